@@ -60,31 +60,36 @@ def newline_count(col) -> Column:
 
 
 def all_matches(content, java_pattern: str) -> Column:
-    """Every non-overlapping match of ``java_pattern`` in ``content`` with its
-    1-based start and end line: ``array<struct<idx,text,line_start,line_end>>``.
+    """Every non-overlapping match of ``java_pattern`` in ``content``:
+    ``array<struct<idx, text, line_start, line_end, offset>>`` with 1-based
+    lines and the 0-based character offset of the match start.
 
     Spark has no all-positions regex function, so the match texts
     (``regexp_extract_all``) are interleaved with the text between matches
     (``split`` on the same pattern): the newlines before match ``i`` are those
-    in gaps ``0..i`` and matches ``0..i-1``.  The pattern must not match the
+    in gaps ``0..i`` and matches ``0..i-1``.  One left-to-right ``aggregate``
+    carries the running line and offset.  The pattern must not match the
     empty string (rejected on load).
     """
     c = _c(content)
     m = F.regexp_extract_all(c, F.lit(java_pattern), 0)
     s = F.split(c, java_pattern, -1)
-    # per match i: newlines in gap i plus in match i
-    steps = F.zip_with(m, s, lambda mt, gap: F.struct(newline_count(gap).alias("g"),
-                                                      newline_count(mt).alias("t"), mt.alias("text")))
+    steps = F.zip_with(m, s, lambda mt, gap: F.struct(
+        newline_count(gap).alias("g"), newline_count(mt).alias("t"), F.length(gap).alias("gl"),
+        F.length(mt).alias("tl"), mt.alias("text")))
     steps = F.slice(steps, 1, F.size(m))
-    init = F.struct(F.lit(1).alias("line"), F.array().cast(
-        "array<struct<idx:int,text:string,line_start:int,line_end:int>>").alias("out"))
+    init = F.struct(F.lit(1).alias("line"), F.lit(0).alias("off"), F.array().cast(
+        "array<struct<idx:int,text:string,line_start:int,line_end:int,offset:int>>").alias("out"))
 
     def step(acc, x):
         start = acc["line"] + x["g"]
         end = start + x["t"]
+        off = acc["off"] + x["gl"]
         rec = F.struct((F.size(acc["out"]) + 1).cast("int").alias("idx"), x["text"].alias("text"),
-                       start.cast("int").alias("line_start"), end.cast("int").alias("line_end"))
-        return F.struct(end.alias("line"), F.array_append(acc["out"], rec).alias("out"))
+                       start.cast("int").alias("line_start"), end.cast("int").alias("line_end"),
+                       off.cast("int").alias("offset"))
+        return F.struct(end.alias("line"), (off + x["tl"]).alias("off"),
+                        F.array_append(acc["out"], rec).alias("out"))
 
     return F.aggregate(steps, init, step, lambda acc: acc["out"])
 

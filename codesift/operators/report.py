@@ -35,7 +35,11 @@ def go_summary(matches: DataFrame) -> DataFrame:
         F.count_if(F.col("severity") == "low").alias("low"))
     names = type_counts(matches).agg(
         F.map_from_entries(F.collect_list(F.struct("name", "n"))).alias("vulnerabilities"))
-    return totals.crossJoin(names)  # 1 x 1 rows
+    # stitch the two one-row aggregates without a join
+    both = totals.withColumn("vulnerabilities", F.lit(None).cast("map<string,bigint>")).unionByName(
+        names, allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in ["total_files", "high", "medium", "low"]],
+                    F.first("vulnerabilities", ignorenulls=True).alias("vulnerabilities"))
 
 
 def totals(matches: DataFrame) -> DataFrame:

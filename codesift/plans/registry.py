@@ -23,3 +23,8 @@ _register(S, [
     "top_files", "severity_distribution", "confidence_histogram", "per_file_report", "file_list",
     "severity_normalized", "signature_scan_all",
 ])
+
+from . import security as K  # noqa: E402
+
+_register(K, ["security_checks_python", "sensitive_data_documents", "sensitive_data_pages",
+              "security_full_check"])

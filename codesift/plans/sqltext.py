@@ -22,7 +22,7 @@ def values(rows: list[tuple], columns: list[str]) -> str:
             return f"CAST({v!r} AS DOUBLE)"
         return q(v)
     body = ", ".join("(" + ", ".join(lit(v) for v in r) + ")" for r in rows)
-    return f"(SELECT * FROM (VALUES {body}) AS t({', '.join(columns)}))"
+    return f"(SELECT * FROM (VALUES {body}) AS t({', '.join(chr(34) + c + chr(34) for c in columns)}))"
 
 
 def conf_sql(code: str, plen: str, rule: str) -> str:
@@ -62,9 +62,12 @@ def all_matches_sql(files: str, patterns: str, extra_cols: str = "") -> str:
     SELECT fp.* EXCLUDE (ms, gs, content), i, ms[i] AS mtext,
       (length(gs[i]) - length(replace(gs[i], chr(10), '')))
         + (length(ms[i]) - length(replace(ms[i], chr(10), ''))) AS step,
-      length(ms[i]) - length(replace(ms[i], chr(10), '')) AS inner_nl
+      length(ms[i]) - length(replace(ms[i], chr(10), '')) AS inner_nl,
+      length(gs[i]) + length(ms[i]) AS span, length(ms[i]) AS mlen
     FROM fp, range(1, len(ms) + 1) r(i))
-  SELECT ex.* EXCLUDE (step, inner_nl),
+  SELECT ex.* EXCLUDE (step, inner_nl, span, mlen),
+    CAST(SUM(span) OVER (PARTITION BY path, {", ".join(["pattern"] + ([extra_cols] if extra_cols else []))}
+         ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - mlen AS INT) AS "offset",
     CAST(1 + SUM(step) OVER (PARTITION BY path, {", ".join(["pattern"] + ([extra_cols] if extra_cols else []))}
          ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - inner_nl AS INT) AS line_start,
     CAST(1 + SUM(step) OVER (PARTITION BY path, {", ".join(["pattern"] + ([extra_cols] if extra_cols else []))}
