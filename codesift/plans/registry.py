@@ -28,3 +28,10 @@ from . import security as K  # noqa: E402
 
 _register(K, ["security_checks_python", "sensitive_data_documents", "sensitive_data_pages",
               "security_full_check"])
+
+from . import clone_jobs as CJ  # noqa: E402
+
+_register(CJ, ["function_forms", "exact_clone_groups", "document_line_hashes", "clone_hash_hits",
+               "clone_reused_vulns", "clone_reduced_functions", "clone_containment", "clone_jaccard",
+               "benchmark_containment", "store_corpus_line_intersect", "store_corpus_line_union",
+               "vuln_store_rules", "clone_findings"])
