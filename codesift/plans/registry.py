@@ -35,3 +35,8 @@ _register(CJ, ["function_forms", "exact_clone_groups", "document_line_hashes", "
                "clone_reused_vulns", "clone_reduced_functions", "clone_containment", "clone_jaccard",
                "benchmark_containment", "store_corpus_line_intersect", "store_corpus_line_union",
                "vuln_store_rules", "clone_findings"])
+
+from . import symbol_jobs as SJ  # noqa: E402
+
+_register(SJ, ["call_sites", "parse_errors", "symbols", "context_counts", "file_complexity", "exact_calls",
+               "call_name_matches", "similar_calls", "sandbox_escape_calls"])
