@@ -260,7 +260,9 @@ def detect_clones(functions: DataFrame, store: dict, theta: float = THETA) -> Da
     reused = reused_vulns(hits, store["oss_idx"])
     targets = reduce_by_dir(functions, hits)
     rules = vuln_rules(store).join(reused, "vuln_idx", "left_semi")
-    rules = rules.where(F.size("vul_set") > 3)  # bodies of <= 3 lines never match
+    # bodies of <= 3 lines never match; the rule table is bounded by the
+    # store (one row per vulnerability) and read twice below
+    rules = rules.where(F.size("vul_set") > 3).cache()
     bodies = rules.select("vuln_idx", F.lit("vul").alias("which"), F.col("vul_set").alias("body")).unionByName(
         rules.select("vuln_idx", F.lit("old").alias("which"), F.col("old_set").alias("body")))
     pairs = containment_pairs(targets.select("func_id", "norm"), bodies, theta, min_lines=1)

@@ -227,16 +227,19 @@ def detect_first(files: DataFrame, signatures, strict_ext: bool = False, context
     rows = signatures.select("sig_id", "name", "severity", "affected_languages", "code_patterns") \
         .limit(MAX_UNROLLED + 1).collect() if isinstance(signatures, DataFrame) else signatures
     tagged = applicable(files, None, strict_ext)
+    content = F.col("content")
     per = []
     for r in rows:
         for i, p in enumerate(r["code_patterns"]):
             jp = to_java(p, "python", multiline=True)
-            cond = F.col("_lang").isin(list(r["affected_languages"])) & F.col("content").rlike(jp)
-            ms = TX.all_matches(F.col("content"), jp)
-            per.append(F.when(cond, F.struct(
+            pos = F.regexp_instr(content, F.lit(jp))  # 1-based start of the first match, 0 if none
+            text = F.regexp_extract(content, jp, 0)
+            start = TX.newline_count(F.substring(content, 1, pos - 1)) + 1
+            m = F.struct(start.cast("int").alias("line_start"),
+                         (start + TX.newline_count(text)).cast("int").alias("line_end"))
+            per.append(F.when(F.col("_lang").isin(list(r["affected_languages"])) & (pos > 0), F.struct(
                 F.lit(r["sig_id"]).alias("sig_id"), F.lit(r["name"]).alias("name"),
-                F.lit(r["severity"]).alias("severity"), F.lit(i).alias("pattern_ord"),
-                F.element_at(ms, 1).alias("m"))))
+                F.lit(r["severity"]).alias("severity"), F.lit(i).alias("pattern_ord"), m.alias("m"))))
     if not per:
         return files.sparkSession.createDataFrame([], match_schema() + ", pattern_ord int")
     found = F.filter(F.array(*per), lambda h: h.isNotNull())

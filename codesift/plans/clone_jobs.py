@@ -265,7 +265,14 @@ def sql_vuln_store_rules():
 
 
 def q_clone_findings(spark, sf_dir):
-    return CL.detect_clones(_functions(spark, sf_dir), ST.build_store(spark, sf_dir), THETA)
+    """D1 end to end.  The detector reads the target functions three times
+    (hash hits, directory reduction, candidate pairs); here they are derived
+    from lineitem, so they are persisted (recomputable from lineage if an
+    executor is lost).  In production the function store is a parquet table
+    (``save_functions``) and is simply scanned, with column pruning."""
+    from pyspark import StorageLevel
+    functions = _functions(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
+    return CL.detect_clones(functions, ST.build_store(spark, sf_dir), THETA)
 
 
 def sql_clone_findings():

@@ -40,3 +40,8 @@ from . import symbol_jobs as SJ  # noqa: E402
 
 _register(SJ, ["call_sites", "parse_errors", "symbols", "context_counts", "file_complexity", "exact_calls",
                "call_name_matches", "similar_calls", "sandbox_escape_calls"])
+
+from . import first_match as FM  # noqa: E402
+
+_register(FM, ["first_match_scan", "first_match_fix_similarity", "first_match_context", "semantic_hashes",
+               "semantic_clone_groups"])

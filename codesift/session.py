@@ -58,3 +58,16 @@ def cut_lineage(df):
     """Reliable checkpoint (never localCheckpoint): survives executor loss."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def materialize(df, name: str = "table"):
+    """Write ``df`` as parquet under the shared checkpoint folder and read it
+    back: cuts lineage (survives executor loss), and later reads get column
+    pruning and predicate pushdown.  Used for tables that several branches
+    of one plan read (e.g. the target function store)."""
+    import uuid
+
+    base = ensure_checkpoint_dir(df.sparkSession)
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
