@@ -45,3 +45,9 @@ from . import first_match as FM  # noqa: E402
 
 _register(FM, ["first_match_scan", "first_match_fix_similarity", "first_match_context", "semantic_hashes",
                "semantic_clone_groups"])
+
+from . import lifecycle as LC  # noqa: E402
+
+_register(LC, ["corpus_files", "resolve_language", "exclude_globs_basename", "exclude_globs_path",
+               "inline_batch_accepted", "inline_batch_rejected", "json_report", "xml_report", "function_store",
+               "vuln_store_files", "tag_functions", "incremental_scan", "stream_scan"])
