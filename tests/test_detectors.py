@@ -1,0 +1,170 @@
+"""Detector tests on the reference's own test inputs (expected rows derived
+from the reference semantics, see FIXTURES.md §1.2)."""
+
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from codesift.functions import text as TX
+from codesift.functions.regex import check_pattern, re2_compatible
+from codesift.operators import detect as D
+from codesift.operators import report as R
+from codesift.sources import catalog as CAT
+from codesift.sources.files import to_lines
+
+VULNERABLE_PY = '''
+import os
+import subprocess
+import sqlite3
+
+def process_command(cmd):
+    # 命令注入漏洞
+    os.system(cmd)
+    subprocess.call(cmd, shell=True)
+
+def query_database(user_id):
+    # SQL注入漏洞
+    conn = sqlite3.connect("test.db")
+    cursor = conn.cursor()
+    cursor.execute("SELECT * FROM users WHERE id = %s" % user_id)
+    return cursor.fetchall()
+
+def main():
+    process_command("ls -l")
+'''
+
+SAFE_PY = '''
+import subprocess
+
+def run(cmd):
+    subprocess.run(["echo", cmd], check=True)
+'''
+
+UNIT_SNIPPET = '''
+import os
+import subprocess
+
+def unsafe_command():
+    cmd = "ls -l"
+    os.system(cmd)
+    subprocess.call(["echo", "hello"])
+
+def unsafe_sql():
+    query = "SELECT * FROM users WHERE id = %s"
+    cursor.execute(query % user_id)
+'''
+
+TEST_SIGNATURES = [
+    ("CMD001", "命令注入", "high", "", [r"os\.system\([^)]*\)", r"subprocess\.call\([^)]*\)"]),
+    ("SQL001", "SQL注入", "high", "", [r"execute\(['\"][^'\"]*%[^'\"]*['\"]\)",
+                                         r"executemany\(['\"][^'\"]*%[^'\"]*['\"]\)"]),
+]
+
+
+def rows(df, *cols):
+    return sorted(tuple(r[c] for c in cols) for r in df.collect())
+
+
+def test_detect_all_rule_p_integration_fixture(files_df):
+    files = files_df([("src/vulnerable.py", VULNERABLE_PY), ("src/safe.py", SAFE_PY)])
+    out = D.detect_all(files, TEST_SIGNATURES, "P", min_confidence=0.7)
+    got = rows(out, "sig_id", "path", "line_start", "matched_code", "confidence")
+    assert got == [
+        ("CMD001", "src/vulnerable.py", 8, "os.system(cmd)", 0.9),
+        ("CMD001", "src/vulnerable.py", 9, "subprocess.call(cmd, shell=True)", 0.95),
+    ]
+
+
+def test_detect_all_rule_p_unit_fixture(files_df):
+    out = D.detect_all(files_df([("t.py", UNIT_SNIPPET)]), TEST_SIGNATURES, "P")
+    got = rows(out, "sig_id", "line_start", "matched_code", "confidence")
+    assert got == [("CMD001", 7, "os.system(cmd)", 0.9),
+                   ("CMD001", 8, 'subprocess.call(["echo", "hello"])', 0.95)]
+
+
+def test_confidence_rules(spark):
+    cases = [("os.system('ls')", r"os\.system\([^)]*\)", 0.9),
+             ("subprocess.call(['ls'])", r"subprocess\.call\([^)]*\)", 0.95),
+             ("import os; os.system('ls')", r"os\.system\([^)]*\)", 0.95)]
+    df = spark.createDataFrame([(c, len(p)) for c, p, _ in cases], "code string, plen int")
+    got = [r[0] for r in df.select(TX.confidence(F.col("code"), F.col("plen"), "P")).collect()]
+    assert got == [e for _, _, e in cases]
+    # G-vul: .7 + .1 + .1 + .1 is 0.9999999999999999 in doubles, capped below 1
+    g = spark.createDataFrame([("import os; os.system(x)", 25)], "code string, plen int")
+    v = g.select(TX.confidence(F.col("code"), F.col("plen"), "G-vul")).first()[0]
+    assert v == pytest.approx(1.0) and v <= 1.0
+
+
+def test_match_spanning_lines_and_crlf(files_df):
+    content = "a = 1\neval(x,\n  y)\r\nexcept:\n"
+    files = files_df([("m.py", content)])
+    out = D.detect_all(files, [("E", "e", "high", "", [r"eval\([^)]*\)"])], "P", min_confidence=0.0)
+    r = out.first()
+    assert (r.line_start, r.line_end, r.matched_code) == (2, 3, "eval(x,\n  y)")
+
+
+def test_all_matches_positions_against_python(files_df):
+    text = "x\n\nfoo(1)\nbar foo(2,\n3) foo()\n" * 3
+    pat = r"foo\([^)]*\)"
+    files = files_df([("f.py", text)])
+    got = files.select(F.explode(TX.all_matches(F.col("content"), "(?d)" + pat)).alias("m")).select(
+        "m.text", "m.line_start", "m.line_end", "m.offset").collect()
+    exp = [(m.group(), text.count("\n", 0, m.start()) + 1, text.count("\n", 0, m.end()) + 1, m.start())
+           for m in re.finditer(pat, text)]
+    assert [tuple(r) for r in got] == exp
+
+
+def test_python_block_checks_blank_line_before_except(files_df):
+    files = files_df([("b.py", "try:\n    x()\n\nexcept:\n    pass\n")])
+    out = D.block_checks(files, "python")
+    got = rows(out, "sig_id", "line_start")
+    # ``^(\s*)`` starts on the blank line before ``except:``: both report line 3
+    assert got == [("PY011", 3), ("PY012", 3)]
+
+
+def test_javascript_block_checks(files_df):
+    files = files_df([("a.js", "console.log(x);\nalert('hi');\n")])
+    got = rows(D.block_checks(files, "javascript"), "sig_id", "line_start", "matched_code", "confidence")
+    assert got == [("JS011", 1, "console.log(...)", 0.7), ("JS012", 2, "alert(...)", 0.7)]
+
+
+def test_line_detector_and_go_scan(files_df):
+    code = "import pickle\nx = eval(data)\npassword = 'hunter22'\nh = hashlib.md5(b)\n"
+    files = files_df([("a.py", code), ("b.txt", code)])
+    out = D.go_directory_scan(files, to_lines(files))
+    got = rows(out, "sig_id", "path", "line_start")
+    assert got == [("PY001", "a.py", 2), ("PY006", "a.py", 3), ("PY007", "a.py", 4)]
+
+
+def test_re2_compatibility_and_pattern_checks(spark):
+    bad = [p for _i, _n, _s, _d, ps in CAT.JAVASCRIPT_CATALOG for p in ps if not re2_compatible(p)]
+    assert len(bad) == 2  # the two JS009 look-ahead patterns
+    assert check_pattern(spark, r"a(b") is not None
+    assert check_pattern(spark, r"a*") == "matches the empty string"
+    assert check_pattern(spark, r"eval\(") is None
+
+
+def test_summary_golden(spark):
+    rows_ = [("file1.py", "PY001", "Dangerous eval() usage", "high"),
+             ("file2.py", "PY002", "Dangerous exec() usage", "high"),
+             ("file2.py", "PY005", "Insecure random number generation", "medium"),
+             ("file3.py", "PY008", "Temporary file creation risk", "medium"),
+             ("file3.py", "PY010", "Debug mode enabled", "medium"),
+             ("file3.py", "PY012", "Bare except block", "low")]
+    m = spark.createDataFrame(rows_, "path string, sig_id string, name string, severity string")
+    s = R.go_summary(m).first()
+    assert (s.total_files, s.high, s.medium, s.low) == (3, 2, 3, 1)
+    assert all(v == 1 for v in s.vulnerabilities.values()) and len(s.vulnerabilities) == 6
+    sev = dict((r.severity, r.n) for r in R.severity_summary(m).collect())
+    assert sev["CRITICAL"] == 0 and sev["high"] == 2
+
+
+def test_first_match_snippet(files_df, spark):
+    lines = [f"l{i}" for i in range(1, 11)]
+    lines[5] = "os.system(cmd)"
+    files = files_df([("a.py", "\n".join(lines) + "\n")])
+    sigs = CAT.cwe_signatures(spark).where(F.col("sig_id") == "CWE-78")
+    r = D.detect_first(files, sigs).where(F.col("pattern_ord") == 0).first()
+    assert (r.line_start, r.line_end) == (6, 6)
+    assert r.matched_code == "\n".join(lines[2:9])
