@@ -158,7 +158,7 @@ def containment_pairs(functions: DataFrame, bodies: DataFrame, theta: float = TH
     """
     store = (bodies.select("vuln_idx", "which", F.array_distinct("body").alias("b"))
              .where(F.size("b") >= min_lines)
-             .select("vuln_idx", "which", F.size("b").alias("size_v"), F.explode("b").alias("line")))
+             .select("vuln_idx", "which", F.size("b").cast("bigint").alias("size_v"), F.explode("b").alias("line")))
     flines = functions.select("func_id", F.explode(F.array_distinct("norm")).alias("line"))
     n = store.limit(BROADCAST_ROW_LIMIT + 1).count()
     if n <= BROADCAST_ROW_LIMIT:
