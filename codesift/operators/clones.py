@@ -249,41 +249,81 @@ def _subset(sub: Column, sup: Column) -> Column:
     return F.size(F.array_except(sub, sup)) == 0
 
 
-def detect_clones(functions: DataFrame, store: dict, theta: float = THETA) -> DataFrame:
-    """One finding per (vulnerability, function).
+def has_all_lines(core: Column, lines: Column) -> Column:
+    """Every essential line is among the function's lines (relational
+    division as an array predicate on one candidate pair)."""
+    return _subset(core, lines)
 
-    ``store`` has ``oss_idx, vuln_cve, vuln_hash, vuln_body, ess_lines,
-    pat_lines, dep_lines``.  Returns ``vuln_idx, cve, func_id, name, path,
-    matched_on`` (``vul`` or ``old`` body).
-    """
-    hits = hash_matches(functions, store["vuln_hash"], store["oss_idx"])
-    reused = reused_vulns(hits, store["oss_idx"])
-    targets = reduce_by_dir(functions, hits)
-    rules = vuln_rules(store).join(reused, "vuln_idx", "left_semi")
-    # bodies of <= 3 lines never match; the rule table is bounded by the
-    # store (one row per vulnerability) and read twice below
-    rules = rules.where(F.size("vul_set") > 3).cache()
+
+def has_dependencies(first: Column, fallback: Column, lines: Column) -> Column:
+    """All ``vul`` dependency lines present; failing that, all ``old``
+    ones when there are any."""
+    return _subset(first, lines) | ((F.size(fallback) > 0) & _subset(fallback, lines))
+
+
+def lacks_patch(new_lines: Column, lines: Column) -> Column:
+    """None of the new patch lines is present."""
+    return ~F.arrays_overlap(new_lines, lines)
+
+
+def candidate_pairs(targets: DataFrame, rules: DataFrame, theta: float = THETA) -> DataFrame:
+    """The pruned J4: (function, vulnerability) pairs whose vulnerable or
+    oldest body reaches the containment threshold, found through the
+    inverted line join — never a cross product.  ``vul_ok`` / ``old_ok``
+    tell which body passed."""
     bodies = rules.select("vuln_idx", F.lit("vul").alias("which"), F.col("vul_set").alias("body")).unionByName(
         rules.select("vuln_idx", F.lit("old").alias("which"), F.col("old_set").alias("body")))
     pairs = containment_pairs(targets.select("func_id", "norm"), bodies, theta, min_lines=1)
-    cand = pairs.groupBy("func_id", "vuln_idx").agg(
+    return pairs.groupBy("func_id", "vuln_idx").agg(
         F.max(F.when(F.col("which") == "vul", True)).alias("vul_ok"),
         F.max(F.when(F.col("which") == "old", True)).alias("old_ok"))
+
+
+def rule_checks(cand: DataFrame, rules: DataFrame, targets: DataFrame) -> DataFrame:
+    """J5 + J6 + J7 on candidate pairs, per the vulnerability's mode:
+    ``ess_ok, dep_ok, patch_ok`` and their conjunction ``ok``.  Abstract
+    lines are used when ``is_abs``, normalised lines otherwise; mode 3 (patch
+    only) needs at least one new patch line and none of them present."""
     j = cand.join(F.broadcast(rules), "vuln_idx").join(
         targets.select("func_id", "name", "path", "norm", "abst"), "func_id")
     x, y = F.array_distinct("norm"), F.array_distinct("abst")
+    flag, is_abs = F.col("flag"), F.col("is_abs")
+    ess_ok = F.when(flag == 3, True).when(is_abs, has_all_lines(F.col("core_abs"), y)).otherwise(
+        has_all_lines(F.col("core_norm"), x))
+    dep_ok = F.when(flag == 3, True).when(
+        is_abs, has_dependencies(F.col("dep_vul_abs"), F.col("dep_old_abs"), y)).otherwise(
+        has_dependencies(F.col("dep_vul_nor"), F.col("dep_old_nor"), x))
+    patch_ok = (F.when(flag == 3, (F.size("new_abs_pat") > 0) & lacks_patch(F.col("new_abs_pat"), y))
+                .when(flag == 2, F.when(is_abs, lacks_patch(F.col("new_abs_pat"), y)).otherwise(
+                    lacks_patch(F.col("new_pat"), x)))
+                .otherwise(True))
+    return j.select("vuln_idx", "func_id", "name", "path", "flag", "is_abs", "vul_ok", "old_ok",
+                    ess_ok.alias("ess_ok"), dep_ok.alias("dep_ok"), patch_ok.alias("patch_ok")).withColumn(
+        "ok", F.col("ess_ok") & F.col("dep_ok") & F.col("patch_ok"))
+
+
+def clone_candidates(functions: DataFrame, store: dict, theta: float = THETA):
+    """J1 -> J2 -> J3 -> pruned J4: ``(candidates, rules, targets)``."""
+    hits = hash_matches(functions, store["vuln_hash"], store["oss_idx"])
+    reused = reused_vulns(hits, store["oss_idx"])
+    targets = reduce_by_dir(functions, hits)
+    rules = vuln_rules(store).join(reused, "vuln_idx", "left_semi")
+    # bodies of <= 3 lines never match; the rule table is bounded by the
+    # store (one row per vulnerability) and read twice below
+    rules = rules.where(F.size("vul_set") > 3).cache()
+    return candidate_pairs(targets, rules, theta), rules, targets
 
-    def dep_ok(vul_c, old_c, s):
-        first = _subset(F.col(vul_c), s)
-        return first | ((F.size(old_c) > 0) & _subset(F.col(old_c), s))
-
-    abs_rule = _subset(F.col("core_abs"), y) & dep_ok("dep_vul_abs", "dep_old_abs", y) & \
-        ((F.col("flag") != 2) | ~F.arrays_overlap("new_abs_pat", y))
-    nor_rule = _subset(F.col("core_norm"), x) & dep_ok("dep_vul_nor", "dep_old_nor", x) & \
-        ((F.col("flag") != 2) | ~F.arrays_overlap("new_pat", x))
-    flag3 = (F.size("new_abs_pat") > 0) & ~F.arrays_overlap("new_abs_pat", y)
-    ok = F.when(F.col("flag") == 3, flag3).when(F.col("is_abs"), abs_rule).otherwise(nor_rule)
-    found = j.where(ok).select(
+
+def detect_clones(functions: DataFrame, store: dict, theta: float = THETA) -> DataFrame:
+    """One finding per (vulnerability, function).
+
+    ``store`` has ``oss_idx, vuln_cve, vuln_hash, vuln_body, ess_lines,
+    pat_lines, dep_lines``.  Returns ``vuln_idx, cve, func_id, name, path,
+    matched_on`` (``vul`` or ``old`` body).
+    """
+    cand, rules, targets = clone_candidates(functions, store, theta)
+    checked = rule_checks(cand, rules, targets).where(F.col("ok"))
+    found = checked.select(
         "vuln_idx", "func_id", "name", "path",
         F.when(F.col("vul_ok"), F.lit("vul")).otherwise(F.lit("old")).alias("matched_on"))
     return label_cve(found, store["vuln_cve"]).select("vuln_idx", "cve", "func_id", "name", "path", "matched_on")

@@ -297,3 +297,37 @@ ev AS (
   FROM pairs)
 SELECT ev.vuln_idx, c.cve, func_id, name, path, CASE WHEN cv THEN 'vul' ELSE 'old' END AS matched_on
 FROM ev LEFT JOIN vuln_cve c ON c.vuln_idx = ev.vuln_idx WHERE ok AND (cv OR co)"""
+
+
+def q_clone_rule_checks(spark, sf_dir):
+    """J5 + J6 + J7 per candidate pair (before the final conjunction)."""
+    from pyspark import StorageLevel
+    functions = _functions(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
+    cand, rules, targets = CL.clone_candidates(functions, ST.build_store(spark, sf_dir), THETA)
+    r = CL.rule_checks(cand, rules, targets)
+    return r.select("vuln_idx", "func_id", "flag", "is_abs", F.coalesce("vul_ok", F.lit(False)).alias("vul_ok"),
+                    "ess_ok", "dep_ok", "patch_ok")
+
+
+def sql_clone_rule_checks():
+    return _with_fn_store() + ",\n" + _hits_sql() + ",\n" + _rules_sql() + """,
+reused AS (SELECT DISTINCT vuln_idx FROM oss_idx WHERE oss IN (SELECT oss FROM hits)),
+targets AS (SELECT * FROM syn_functions WHERE dir IN (SELECT dir FROM hits)),
+pairs AS (
+  SELECT r.*, t.func_id, list_distinct(t.norm) AS x, list_distinct(t.abst) AS y
+  FROM rules r JOIN targets t ON true
+  WHERE r.flag > 0 AND len(r.vul_set) > 3 AND r.vuln_idx IN (SELECT vuln_idx FROM reused)),
+ev AS (
+  SELECT *,
+    len(list_intersect(vul_set, x)) / len(vul_set) >= 0.5 AS cv,
+    len(old_set) > 0 AND len(list_intersect(old_set, x)) / len(old_set) >= 0.5 AS co
+  FROM pairs)
+SELECT vuln_idx, func_id, flag, is_abs, cv AS vul_ok,
+  CASE WHEN flag = 3 THEN true WHEN is_abs THEN list_has_all(y, core_abs) ELSE list_has_all(x, core_norm) END AS ess_ok,
+  CASE WHEN flag = 3 THEN true
+       WHEN is_abs THEN list_has_all(y, dep_vul_abs) OR (len(dep_old_abs) > 0 AND list_has_all(y, dep_old_abs))
+       ELSE list_has_all(x, dep_vul_nor) OR (len(dep_old_nor) > 0 AND list_has_all(x, dep_old_nor)) END AS dep_ok,
+  CASE WHEN flag = 3 THEN len(new_abs_pat) > 0 AND NOT list_has_any(new_abs_pat, y)
+       WHEN flag = 2 THEN (CASE WHEN is_abs THEN NOT list_has_any(new_abs_pat, y) ELSE NOT list_has_any(new_pat, x) END)
+       ELSE true END AS patch_ok
+FROM ev WHERE cv OR co"""

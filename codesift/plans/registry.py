@@ -21,7 +21,7 @@ _register(S, [
     "scan_python_lines", "scan_javascript_lines", "block_checks_python", "block_checks_javascript",
     "go_directory_scan", "severity_summary", "go_summary", "totals", "type_counts", "top_types",
     "top_files", "severity_distribution", "confidence_histogram", "per_file_report", "file_list",
-    "severity_normalized", "signature_scan_all",
+    "severity_normalized", "signature_scan_all", "signature_file_scan", "report_rows",
 ])
 
 from . import security as K  # noqa: E402
@@ -34,7 +34,7 @@ from . import clone_jobs as CJ  # noqa: E402
 _register(CJ, ["function_forms", "exact_clone_groups", "document_line_hashes", "clone_hash_hits",
                "clone_reused_vulns", "clone_reduced_functions", "clone_containment", "clone_jaccard",
                "benchmark_containment", "store_corpus_line_intersect", "store_corpus_line_union",
-               "vuln_store_rules", "clone_findings"])
+               "vuln_store_rules", "clone_findings", "clone_rule_checks"])
 
 from . import symbol_jobs as SJ  # noqa: E402
 

@@ -281,3 +281,49 @@ SELECT 'signature' AS detector, sig_id, name, severity, path, line_start, line_e
        round({conf_sql('mtext', 'plen', 'P')}, 6) AS confidence
 FROM {all_matches_sql('syn_files', pats, 'sig_id, pattern_ord')} m)
 WHERE confidence >= 0.7"""
+
+
+# --- S6: signatures from a JSON file, then D2 ----------------------------------------
+
+def q_signature_file_scan(spark, sf_dir):
+    """S6 end to end: the CWE signature file is written as JSON, loaded with
+    Spark's JSON source (defaults applied), exploded to patterns, and used
+    for the all-match scan."""
+    import json
+    import uuid
+
+    from ..session import ensure_checkpoint_dir
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/signatures-{uuid.uuid4().hex}.json"
+    with open(path, "w", encoding="utf-8") as fh:
+        json.dump(CAT.CWE_SIGNATURES, fh)
+    sigs = CAT.load_signatures(spark, path)
+    files, _ = _corpus(spark, sf_dir)
+    return _round(D.detect_all(files, CAT.patterns_of(sigs), "P", "signature", 0.7))
+
+
+def sql_signature_file_scan():
+    return sql_signature_scan_all()
+
+
+# --- A11 ------------------------------------------------------------------------------
+
+def _catalog_signatures(spark):
+    py = CAT.builtin_signatures(spark, "python")
+    js = CAT.builtin_signatures(spark, "javascript")
+    blocks = [(s, n, sev, d, None, None, [], [], [], []) for s, n, sev, d, *_ in
+              CAT.PYTHON_BLOCK_CHECKS + CAT.JAVASCRIPT_BLOCK_CHECKS]
+    return py.unionByName(js).unionByName(spark.createDataFrame(blocks, CAT.SIGNATURE_SCHEMA))
+
+
+def q_report_rows(spark, sf_dir):
+    return _round(R.report_rows(go_scan(spark, sf_dir), _catalog_signatures(spark)))
+
+
+def sql_report_rows():
+    rows = [(s, d) for s, _n, _sev, d, _p in CAT.PYTHON_CATALOG + CAT.JAVASCRIPT_CATALOG]
+    rows += [(s, d) for s, _n, _sev, d, *_ in CAT.PYTHON_BLOCK_CHECKS + CAT.JAVASCRIPT_BLOCK_CHECKS]
+    sig = values(rows, ["sig_id", "description"])
+    return _with_scan() + f"""
+SELECT m.sig_id AS id, m.name, s.description, m.severity, CAST(NULL AS VARCHAR) AS cwe_id,
+       CAST(NULL AS VARCHAR) AS cve_id, m.path AS file, m.line_start, m.line_end, m.matched_code, m.confidence
+FROM m LEFT JOIN {sig} s ON s.sig_id = m.sig_id"""
