@@ -80,7 +80,6 @@ def detect_lines(lines: DataFrame, patterns, rule: str = "G-py", detector: str =
         return lines.sparkSession.createDataFrame([], match_schema())
     found = F.filter(F.array(*hits), lambda h: h.isNotNull())
     exploded = (lines.select("path", "line_no", text.alias("code"), found.alias("hits"))
-                .where(F.size("hits") > 0)
                 .select("path", "line_no", "code", F.explode("hits").alias("h")))
     return exploded.select(
         F.lit(detector).alias("detector"), F.col("h.sig_id").alias("sig_id"),
@@ -126,7 +125,7 @@ def _file_hits(files: DataFrame, specs: list[tuple], content: Column) -> DataFra
             TX.all_matches(content, jp).alias("ms"))))
     found = F.filter(F.array(*per), lambda h: h.isNotNull())
     return (files.select("path", found.alias("hits"))
-            .where(F.size("hits") > 0)
+            
             .select("path", F.explode("hits").alias("h"))
             .select("path", "h.sig_id", "h.name", "h.severity", "h.pattern_ord", "h.plen",
                     F.explode("h.ms").alias("m")))
@@ -189,15 +188,125 @@ def run_detectors(inputs: Iterable[DataFrame], min_confidence: float = 0.7) -> D
     return min_confidence_filter(out, min_confidence)
 
 
-def go_directory_scan(files: DataFrame, lines: DataFrame, min_confidence: float = 0.7) -> DataFrame:
+def detect_lines_multi(lines: DataFrame, groups, keep_non_re2: bool = False) -> DataFrame:
+    """D3 for several detectors in ONE pass over the lines.
+
+    ``groups``: ``(catalogue, rule, detector, exts)``.  Each pattern is
+    guarded by its detector's extension test inside the projection (not a
+    ``where``), so every detector reads the same input plan — one scan, one
+    shuffle reused — and each line is read once for all catalogues.
+    """
+    text = F.col("code")
+    lines = lines.select("path", "line_no", F.regexp_replace(F.col("text"), r"\r$", "").alias("code"),
+                         F.regexp_extract(F.col("path"), r"(\.[^./]*)$", 1).alias("_ext"))
+    hits = []
+    for catalog, rule, detector, exts in groups:
+        applies = F.col("_ext").isin(list(exts))
+        for sig_id, name, severity, ordinal, pattern in _pattern_rows(catalog):
+            if not keep_non_re2 and not re2_compatible(pattern):
+                continue
+            jp = TX.java_for_rule(pattern, rule)
+            plen = len(pattern.encode("utf-8"))
+            hits.append(F.when(applies & text.rlike(jp), F.struct(
+                F.lit(detector).alias("detector"), F.lit(sig_id).alias("sig_id"), F.lit(name).alias("name"),
+                F.lit(severity).alias("severity"), TX.confidence(text, plen, rule).alias("confidence"))))
+    found = F.filter(F.array(*hits), lambda h: h.isNotNull())
+    return (lines.select("path", "line_no", text.alias("code"), found.alias("hits"))
+            
+            .select("path", "line_no", "code", F.explode("hits").alias("h"))
+            .select(F.col("h.detector").alias("detector"), F.col("h.sig_id").alias("sig_id"),
+                    F.col("h.name").alias("name"), F.col("h.severity").alias("severity"), "path",
+                    F.col("line_no").alias("line_start"), F.col("line_no").alias("line_end"),
+                    F.col("code").alias("matched_code"), F.col("h.confidence").alias("confidence")))
+
+
+def block_checks_multi(files: DataFrame, languages=("python", "javascript")) -> DataFrame:
+    """D5 + D6 in ONE pass over the files, each check guarded by its
+    detector's extension test."""
+    content = F.col("content")
+    files = files.select("path", "content", F.regexp_extract(F.col("path"), r"(\.[^./]*)$", 1).alias("_ext"))
+    per = []
+    for language in languages:
+        table = CAT.PYTHON_BLOCK_CHECKS if language == "python" else CAT.JAVASCRIPT_BLOCK_CHECKS
+        applies = F.col("_ext").isin(PY_EXTS if language == "python" else JS_EXTS)
+        for sig_id, name, sev, _d, p, conf, suffix in table:
+            jp = to_java(p, RE2)
+            per.append(F.when(applies & content.rlike(jp), F.struct(
+                F.lit(language).alias("detector"), F.lit(sig_id).alias("sig_id"), F.lit(name).alias("name"),
+                F.lit(sev).alias("severity"), F.lit(float(conf)).alias("confidence"), F.lit(suffix).alias("suffix"),
+                TX.all_matches(content, jp).alias("ms"))))
+    found = F.filter(F.array(*per), lambda h: h.isNotNull())
+    hits = (files.select("path", found.alias("hits"))
+            .select("path", F.explode("hits").alias("h"))
+            .select("path", "h.detector", "h.sig_id", "h.name", "h.severity", "h.confidence", "h.suffix",
+                    F.explode("h.ms").alias("m")))
+    return hits.select("detector", "sig_id", "name", "severity", "path",
+                       F.col("m.line_start").alias("line_start"), F.col("m.line_start").alias("line_end"),
+                       F.concat(F.col("m.text"), F.col("suffix")).alias("matched_code"), "confidence")
+
+
+def scan_files_fused(files: DataFrame, line_groups, block_languages=("python", "javascript"),
+                     keep_non_re2: bool = False) -> DataFrame:
+    """D3 + D5/D6 fused into ONE projection over ``files(path, content)``.
+
+    Each file row yields its line-wise hits (a higher-order ``transform`` over
+    its lines, every pattern guarded by the detector's extension) and its
+    whole-file block-check hits; one ``explode`` emits them.  One read of
+    the corpus, no union, no second scan: with ``binaryFile`` input the whole
+    directory scan is a single map-only stage.
+    """
+    ext = F.regexp_extract(F.col("path"), r"(\.[^./]*)$", 1)
+    files = files.select("path", "content", ext.alias("_ext"),
+                         F.split(F.col("content"), "\n", -1).alias("_lines"))
+    rec = lambda det, sig, name, sev, ls, le, code, conf: F.struct(
+        F.lit(det).alias("detector"), F.lit(sig).alias("sig_id"), F.lit(name).alias("name"),
+        F.lit(sev).alias("severity"), ls.cast("int").alias("line_start"), le.cast("int").alias("line_end"),
+        code.alias("matched_code"), conf.cast("double").alias("confidence"))
+
+    def line_hits(raw, i):
+        text = F.regexp_replace(raw, r"\r$", "")
+        hs = []
+        for catalog, rule, detector, exts in line_groups:
+            applies = F.col("_ext").isin(list(exts))
+            for sig_id, name, severity, _o, pattern in _pattern_rows(catalog):
+                if not keep_non_re2 and not re2_compatible(pattern):
+                    continue
+                jp = TX.java_for_rule(pattern, rule)
+                hs.append(F.when(applies & text.rlike(jp), rec(
+                    detector, sig_id, name, severity, i + 1, i + 1, text,
+                    TX.confidence(text, len(pattern.encode("utf-8")), rule))))
+        return F.filter(F.array(*hs), lambda h: h.isNotNull())
+
+    per_line = F.flatten(F.transform("_lines", line_hits))
+    content = F.col("content")
+    blocks = []
+    for language in block_languages:
+        table = CAT.PYTHON_BLOCK_CHECKS if language == "python" else CAT.JAVASCRIPT_BLOCK_CHECKS
+        applies = F.col("_ext").isin(PY_EXTS if language == "python" else JS_EXTS)
+        for sig_id, name, sev, _d, p, conf, suffix in table:
+            jp = to_java(p, RE2)
+            ms = F.when(applies & content.rlike(jp), TX.all_matches(content, jp)).otherwise(
+                F.array().cast("array<struct<idx:int,text:string,line_start:int,line_end:int,offset:int>>"))
+            def to_rec(language=language, sig_id=sig_id, name=name, sev=sev, conf=conf, suffix=suffix):
+                return lambda m: rec(language, sig_id, name, sev, m["line_start"], m["line_start"],
+                                     F.concat(m["text"], F.lit(suffix)), F.lit(conf))
+            blocks.append(F.transform(ms, to_rec()))
+    allhits = F.concat(per_line, *blocks)
+    return files.select("path", F.explode(allhits).alias("h")).select(
+        "h.detector", "h.sig_id", "h.name", "h.severity", "path", "h.line_start", "h.line_end",
+        "h.matched_code", "h.confidence")
+
+
+GO_LINE_GROUPS = [(CAT.PYTHON_CATALOG, "G-py", "python", PY_EXTS),
+                  (CAT.JAVASCRIPT_CATALOG, "G-js", "javascript", JS_EXTS)]
+
+
+def go_directory_scan(files: DataFrame, lines: DataFrame | None = None, min_confidence: float = 0.7) -> DataFrame:
     """The Go scanner's directory scan: python and javascript detectors
-    (line-wise catalogue + block checks), union, threshold."""
-    return run_detectors([
-        detect_lines(lines, CAT.PYTHON_CATALOG, "G-py", "python", PY_EXTS),
-        block_checks(files, "python"),
-        detect_lines(lines, CAT.JAVASCRIPT_CATALOG, "G-js", "javascript", JS_EXTS),
-        block_checks(files, "javascript"),
-    ], min_confidence)
+    (line-wise catalogues + block checks), union, threshold — as ONE fused
+    map-only pass over the files (``scan_files_fused``).  ``lines`` is
+    accepted for API symmetry and not needed."""
+    return run_detectors([scan_files_fused(files, GO_LINE_GROUPS)], min_confidence)
 
 
 # --- D4 + J12: first-match detector of the Python CLI --------------------------------
@@ -245,7 +354,7 @@ def detect_first(files: DataFrame, signatures, strict_ext: bool = False, context
     found = F.filter(F.array(*per), lambda h: h.isNotNull())
     # Python ``splitlines`` also breaks on \r; the corpus is \n-normalised.
     lines_arr = F.split(F.regexp_replace(F.col("content"), r"\n\z", ""), "\n", -1)
-    hits = (tagged.select("path", "content", found.alias("hits")).where(F.size("hits") > 0)
+    hits = (tagged.select("path", "content", found.alias("hits"))
             .select("path", lines_arr.alias("ls"), F.explode("hits").alias("h")))
     snippet = TX.context_snippet(F.col("ls"), F.col("h.m.line_start"), F.col("h.m.line_end"), context_lines)
     return hits.select(

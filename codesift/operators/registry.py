@@ -41,17 +41,13 @@ class DetectorRegistry:
 
 def default_registry() -> DetectorRegistry:
     """The Go scanner's two built-in detectors."""
-    from ..sources.files import to_lines
-
     reg = DetectorRegistry()
 
     def python(files):
-        return D.detect_lines(to_lines(files), CAT.PYTHON_CATALOG, "G-py", "python", D.PY_EXTS).unionByName(
-            D.block_checks(files, "python"))
+        return D.scan_files_fused(files, [D.GO_LINE_GROUPS[0]], ("python",))
 
     def javascript(files):
-        return D.detect_lines(to_lines(files), CAT.JAVASCRIPT_CATALOG, "G-js", "javascript",
-                              D.JS_EXTS).unionByName(D.block_checks(files, "javascript"))
+        return D.scan_files_fused(files, [D.GO_LINE_GROUPS[1]], ("javascript",))
 
     reg.register("python", CAT.DETECTOR_LANGUAGES["python"], python)
     reg.register("javascript", CAT.DETECTOR_LANGUAGES["javascript"], javascript)
