@@ -123,12 +123,28 @@ def _maybe_broadcast(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> DataFra
     return F.broadcast(df) if n <= limit else df
 
 
+def bounded_table(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> tuple[DataFrame, bool]:
+    """Store-side tables (one row per vulnerability or store line) are small
+    by construction but have a long lineage (the store derivation).  When the
+    row count is checked under ``limit`` they are collected once into a local
+    relation — what a broadcast does anyway — so every later job broadcasts
+    the rows instead of re-running their lineage.  Above the limit the table
+    stays distributed with its lineage cut by a reliable checkpoint.
+    Returns ``(table, is_small)``."""
+    rows = df.limit(limit + 1).collect()
+    if len(rows) <= limit:
+        return df.sparkSession.createDataFrame(rows, df.schema), True
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True), False
+
+
 def hash_matches(functions: DataFrame, vuln_hash: DataFrame, oss_idx: DataFrame) -> DataFrame:
     """Target functions whose ``norm_hash`` is a known vulnerable hash of an
     OSS present in the OSS index."""
     known = vuln_hash.join(oss_idx.select("oss").distinct(), "oss", "left_semi")
-    known = _maybe_broadcast(known.select("oss", F.col("hash").alias("norm_hash")).distinct())
-    return functions.select("func_id", "dir", "norm_hash").join(known, "norm_hash")
+    known, small = bounded_table(known.select("oss", F.col("hash").alias("norm_hash")).distinct())
+    return functions.select("func_id", "dir", "norm_hash").join(F.broadcast(known) if small else known, "norm_hash")
 
 
 def reused_vulns(hits: DataFrame, oss_idx: DataFrame) -> DataFrame:
@@ -160,14 +176,7 @@ def containment_pairs(functions: DataFrame, bodies: DataFrame, theta: float = TH
              .where(F.size("b") >= min_lines)
              .select("vuln_idx", "which", F.size("b").cast("bigint").alias("size_v"), F.explode("b").alias("line")))
     flines = functions.select("func_id", F.explode(F.array_distinct("norm")).alias("line"))
-    n = store.limit(BROADCAST_ROW_LIMIT + 1).count()
-    if n <= BROADCAST_ROW_LIMIT:
-        joined = flines.join(F.broadcast(store), "line")
-    else:
-        salt = F.pmod(F.xxhash64("func_id"), F.lit(salt_buckets)).cast("int")
-        fs = flines.withColumn("salt", salt)
-        ss = store.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salt_buckets - 1))))
-        joined = fs.join(ss, ["line", "salt"])
+    joined = _line_join(flines, store, ("line",), salt_buckets)
     pairs = joined.groupBy("func_id", "vuln_idx", "which").agg(
         F.count(F.lit(1)).alias("shared"), F.first("size_v").alias("size_v"))
     return (pairs.withColumn("containment", F.col("shared") / F.col("size_v"))
@@ -266,52 +275,111 @@ def lacks_patch(new_lines: Column, lines: Column) -> Column:
     return ~F.arrays_overlap(new_lines, lines)
 
 
-def candidate_pairs(targets: DataFrame, rules: DataFrame, theta: float = THETA) -> DataFrame:
-    """The pruned J4: (function, vulnerability) pairs whose vulnerable or
-    oldest body reaches the containment threshold, found through the
-    inverted line join — never a cross product.  ``vul_ok`` / ``old_ok``
-    tell which body passed."""
-    bodies = rules.select("vuln_idx", F.lit("vul").alias("which"), F.col("vul_set").alias("body")).unionByName(
-        rules.select("vuln_idx", F.lit("old").alias("which"), F.col("old_set").alias("body")))
-    pairs = containment_pairs(targets.select("func_id", "norm"), bodies, theta, min_lines=1)
-    return pairs.groupBy("func_id", "vuln_idx").agg(
-        F.max(F.when(F.col("which") == "vul", True)).alias("vul_ok"),
-        F.max(F.when(F.col("which") == "old", True)).alias("old_ok"))
-
-
-def rule_checks(cand: DataFrame, rules: DataFrame, targets: DataFrame) -> DataFrame:
-    """J5 + J6 + J7 on candidate pairs, per the vulnerability's mode:
-    ``ess_ok, dep_ok, patch_ok`` and their conjunction ``ok``.  Abstract
-    lines are used when ``is_abs``, normalised lines otherwise; mode 3 (patch
-    only) needs at least one new patch line and none of them present."""
-    j = cand.join(F.broadcast(rules), "vuln_idx").join(
-        targets.select("func_id", "name", "path", "norm", "abst"), "func_id")
-    x, y = F.array_distinct("norm"), F.array_distinct("abst")
-    flag, is_abs = F.col("flag"), F.col("is_abs")
-    ess_ok = F.when(flag == 3, True).when(is_abs, has_all_lines(F.col("core_abs"), y)).otherwise(
-        has_all_lines(F.col("core_norm"), x))
-    dep_ok = F.when(flag == 3, True).when(
-        is_abs, has_dependencies(F.col("dep_vul_abs"), F.col("dep_old_abs"), y)).otherwise(
-        has_dependencies(F.col("dep_vul_nor"), F.col("dep_old_nor"), x))
-    patch_ok = (F.when(flag == 3, (F.size("new_abs_pat") > 0) & lacks_patch(F.col("new_abs_pat"), y))
-                .when(flag == 2, F.when(is_abs, lacks_patch(F.col("new_abs_pat"), y)).otherwise(
-                    lacks_patch(F.col("new_pat"), x)))
-                .otherwise(True))
-    return j.select("vuln_idx", "func_id", "name", "path", "flag", "is_abs", "vul_ok", "old_ok",
-                    ess_ok.alias("ess_ok"), dep_ok.alias("dep_ok"), patch_ok.alias("patch_ok")).withColumn(
-        "ok", F.col("ess_ok") & F.col("dep_ok") & F.col("patch_ok"))
-
-
-def clone_candidates(functions: DataFrame, store: dict, theta: float = THETA):
-    """J1 -> J2 -> J3 -> pruned J4: ``(candidates, rules, targets)``."""
+def _line_join(flines: DataFrame, store: DataFrame, keys=("line",), salt_buckets: int = SALT_BUCKETS) -> DataFrame:
+    """Join exploded function lines to exploded store lines on ``keys``.
+
+    The store side is broadcast when its row count is checked under
+    ``BROADCAST_ROW_LIMIT``; otherwise both sides are salted so one hot line
+    (shared by a third of all functions) spreads over ``salt_buckets`` tasks.
+    """
+    keys = list(keys)
+    store, small = bounded_table(store)
+    if small:
+        return flines.join(F.broadcast(store), keys)
+    salt = F.pmod(F.xxhash64("func_id"), F.lit(salt_buckets)).cast("int")
+    fs = flines.withColumn("salt", salt)
+    ss = store.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salt_buckets - 1))))
+    return fs.join(ss, keys + ["salt"]).drop("salt")
+
+
+# line sets per vulnerability: (name, form used, rules column) by mode
+_SETS_ABS = [("core", "abst", "core_abs"), ("dep_vul", "abst", "dep_vul_abs"), ("dep_old", "abst", "dep_old_abs"),
+             ("patch", "abst", "new_abs_pat")]
+_SETS_NOR = [("core", "norm", "core_norm"), ("dep_vul", "norm", "dep_vul_nor"), ("dep_old", "norm", "dep_old_nor"),
+             ("patch", "norm", "new_pat")]
+SET_NAMES = ["vul", "old", "core", "dep_vul", "dep_old", "patch"]
+
+
+def store_line_sets(rules: DataFrame) -> DataFrame:
+    """Every line set a pair is tested against, exploded:
+    ``vuln_idx, set_id, form, line`` (``set_id`` indexes ``SET_NAMES``).  Containment sets use normalised
+    lines; essential / dependency / patch sets use abstract lines when the
+    vulnerability is matched in abstract mode (always for mode 3)."""
+    sid = {n: i for i, n in enumerate(SET_NAMES)}
+    parts = [rules.select("vuln_idx", F.lit(sid["vul"]).alias("set_id"), F.lit("norm").alias("form"),
+                          F.explode("vul_set").alias("line")),
+             rules.select("vuln_idx", F.lit(sid["old"]).alias("set_id"), F.lit("norm").alias("form"),
+                          F.explode("old_set").alias("line"))]
+    abstract = F.col("is_abs") | (F.col("flag") == 3)
+    for (name, form_a, col_a), (_n, form_n, col_n) in zip(_SETS_ABS, _SETS_NOR):
+        parts.append(rules.select(
+            "vuln_idx", F.lit(sid[name]).alias("set_id"),
+            F.when(abstract, F.lit(form_a)).otherwise(F.lit(form_n)).alias("form"),
+            F.explode(F.when(abstract, F.col(col_a)).otherwise(F.col(col_n))).alias("line")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.distinct()
+
+
+def pair_counts(targets: DataFrame, rules: DataFrame) -> DataFrame:
+    """Per (function, vulnerability): how many lines of each store set the
+    function has.  One map-side join against the store sets and ONE
+    partial-aggregated shuffle on the pair; no cross product, no join back
+    to the function table."""
+    flines = targets.select("func_id", F.explode(F.array(
+        F.struct(F.lit("norm").alias("form"), F.array_distinct("norm").alias("ls")),
+        F.struct(F.lit("abst").alias("form"), F.array_distinct("abst").alias("ls")))).alias("f")).select(
+        "func_id", F.col("f.form").alias("form"), F.explode("f.ls").alias("line"))
+    joined = _line_join(flines, store_line_sets(rules), keys=("form", "line"))
+    return joined.groupBy("func_id", "vuln_idx").agg(
+        *[F.count_if(F.col("set_id") == i).alias(f"n_{n}") for i, n in enumerate(SET_NAMES)])
+
+
+def evaluate_pairs(counts: DataFrame, rules: DataFrame, theta: float = THETA) -> DataFrame:
+    """J8 containment + J5/J6/J7 from the per-set counts: a set is contained
+    when its count equals its size, disjoint when its count is zero."""
+    sizes = rules.select("vuln_idx", "flag", "is_abs", *[
+        F.size(c).alias(f"s_{n}") for n, c in (("vul", "vul_set"), ("old", "old_set"))],
+        F.size(F.when(F.col("is_abs") | (F.col("flag") == 3), F.col("core_abs")).otherwise(F.col("core_norm"))).alias("s_core"),
+        F.size(F.when(F.col("is_abs") | (F.col("flag") == 3), F.col("dep_vul_abs")).otherwise(F.col("dep_vul_nor"))).alias("s_dep_vul"),
+        F.size(F.when(F.col("is_abs") | (F.col("flag") == 3), F.col("dep_old_abs")).otherwise(F.col("dep_old_nor"))).alias("s_dep_old"),
+        F.size(F.when(F.col("is_abs") | (F.col("flag") == 3), F.col("new_abs_pat")).otherwise(F.col("new_pat"))).alias("s_patch"))
+    j = counts.join(F.broadcast(sizes), "vuln_idx")  # one row per vulnerability
+    vul_ok = (F.col("s_vul") > 0) & (F.col("n_vul") / F.col("s_vul") >= F.lit(theta))
+    old_ok = (F.col("s_old") > 0) & (F.col("n_old") / F.col("s_old") >= F.lit(theta))
+    flag = F.col("flag")
+    ess_ok = (flag == 3) | (F.col("n_core") == F.col("s_core"))
+    dep_ok = (flag == 3) | (F.col("n_dep_vul") == F.col("s_dep_vul")) | (
+        (F.col("s_dep_old") > 0) & (F.col("n_dep_old") == F.col("s_dep_old")))
+    patch_ok = F.when(flag == 3, (F.col("s_patch") > 0) & (F.col("n_patch") == 0)).when(
+        flag == 2, F.col("n_patch") == 0).otherwise(True)
+    return (j.where(vul_ok | old_ok)
+            .select("vuln_idx", "func_id", "flag", "is_abs", vul_ok.alias("vul_ok"),
+                    old_ok.alias("old_ok"), ess_ok.alias("ess_ok"), dep_ok.alias("dep_ok"),
+                    patch_ok.alias("patch_ok"))
+            .withColumn("ok", F.col("ess_ok") & F.col("dep_ok") & F.col("patch_ok")))
+
+
+def clone_candidates(functions: DataFrame, store: dict):
+    """J1 -> J2 -> J3: ``(rules, targets)``.  The directory list is
+    broadcast after a size check; rules are one row per vulnerability."""
     hits = hash_matches(functions, store["vuln_hash"], store["oss_idx"])
     reused = reused_vulns(hits, store["oss_idx"])
-    targets = reduce_by_dir(functions, hits)
+    hit_dirs = _maybe_broadcast(hits.select("dir").distinct())
+    targets = functions.join(hit_dirs, "dir", "left_semi")
     rules = vuln_rules(store).join(reused, "vuln_idx", "left_semi")
-    # bodies of <= 3 lines never match; the rule table is bounded by the
-    # store (one row per vulnerability) and read twice below
-    rules = rules.where(F.size("vul_set") > 3).cache()
-    return candidate_pairs(targets, rules, theta), rules, targets
+    # bodies of <= 3 lines never match; one row per vulnerability
+    rules, _small = bounded_table(rules.where(F.size("vul_set") > 3))
+    return rules, targets
+
+
+def rule_checks(functions: DataFrame, store: dict, theta: float = THETA) -> DataFrame:
+    """Candidate pairs (containment of the vulnerable or oldest body) with
+    the per-rule outcome ``ess_ok`` (J5), ``dep_ok`` (J6), ``patch_ok``
+    (J7) and their conjunction ``ok``."""
+    rules, targets = clone_candidates(functions, store)
+    return evaluate_pairs(pair_counts(targets, rules), rules, theta)
 
 
 def detect_clones(functions: DataFrame, store: dict, theta: float = THETA) -> DataFrame:
@@ -321,9 +389,9 @@ def detect_clones(functions: DataFrame, store: dict, theta: float = THETA) -> Da
     pat_lines, dep_lines``.  Returns ``vuln_idx, cve, func_id, name, path,
     matched_on`` (``vul`` or ``old`` body).
     """
-    cand, rules, targets = clone_candidates(functions, store, theta)
-    checked = rule_checks(cand, rules, targets).where(F.col("ok"))
+    checked = rule_checks(functions, store, theta).where(F.col("ok"))
     found = checked.select(
-        "vuln_idx", "func_id", "name", "path",
-        F.when(F.col("vul_ok"), F.lit("vul")).otherwise(F.lit("old")).alias("matched_on"))
+        "vuln_idx", "func_id", F.when(F.col("vul_ok"), F.lit("vul")).otherwise(F.lit("old")).alias("matched_on"))
+    # names only for the findings: a join on the function key, after filtering
+    found = found.join(functions.select("func_id", "name", "path"), "func_id")
     return label_cve(found, store["vuln_cve"]).select("vuln_idx", "cve", "func_id", "name", "path", "matched_on")

@@ -303,10 +303,8 @@ def q_clone_rule_checks(spark, sf_dir):
     """J5 + J6 + J7 per candidate pair (before the final conjunction)."""
     from pyspark import StorageLevel
     functions = _functions(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
-    cand, rules, targets = CL.clone_candidates(functions, ST.build_store(spark, sf_dir), THETA)
-    r = CL.rule_checks(cand, rules, targets)
-    return r.select("vuln_idx", "func_id", "flag", "is_abs", F.coalesce("vul_ok", F.lit(False)).alias("vul_ok"),
-                    "ess_ok", "dep_ok", "patch_ok")
+    r = CL.rule_checks(functions, ST.build_store(spark, sf_dir), THETA)
+    return r.select("vuln_idx", "func_id", "flag", "is_abs", "vul_ok", "ess_ok", "dep_ok", "patch_ok")
 
 
 def sql_clone_rule_checks():

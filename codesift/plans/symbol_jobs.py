@@ -28,6 +28,15 @@ def _line_files(spark, sf_dir):
                         F.col("text").alias("content"))
 
 
+def _calls(spark, sf_dir):
+    """C1 over the one-line files, persisted: the matchers read the call
+    table several times (regex hits, distinct texts, join back) and the
+    table comes from a Python parse, so it is computed once per query
+    (recomputable from lineage if an executor is lost)."""
+    from pyspark import StorageLevel
+    return SY.call_sites(_line_files(spark, sf_dir)).persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def _cwe_catalog():
     return [(s["id"], s["name"], s["severity"], s["description"], s["code_patterns"])
             for s in CAT.CWE_SIGNATURES["signatures"]]
@@ -123,7 +132,7 @@ SELECT path, CAST(0 AS BIGINT) AS complexity FROM syn_files WHERE regexp_extract
 
 
 def q_exact_calls(spark, sf_dir):
-    m = SY.match_calls(SY.call_sites(_line_files(spark, sf_dir)), _cwe_catalog(), 0.7)
+    m = SY.match_calls(_calls(spark, sf_dir), _cwe_catalog(), 0.7)
     return m.withColumn("confidence", F.round("confidence", 6))
 
 
@@ -153,7 +162,7 @@ FROM calls c JOIN {pats} p ON regexp_matches(c.func_name, p.pattern)"""
 
 def q_similar_calls(spark, sf_dir):
     """D8 + J14 (rows-only check: DuckDB has no LCS)."""
-    m = SY.match_similar_calls(SY.call_sites(_line_files(spark, sf_dir)), _cwe_catalog(), 0.7)
+    m = SY.match_similar_calls(_calls(spark, sf_dir), _cwe_catalog(), 0.7)
     return m.withColumn("confidence", F.round("confidence", 6))
 
 
