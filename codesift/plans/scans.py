@@ -292,10 +292,9 @@ def q_signature_file_scan(spark, sf_dir):
     import json
     import uuid
 
-    from ..session import ensure_checkpoint_dir
+    from ..session import ensure_checkpoint_dir, write_text_file
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/signatures-{uuid.uuid4().hex}.json"
-    with open(path, "w", encoding="utf-8") as fh:
-        json.dump(CAT.CWE_SIGNATURES, fh)
+    write_text_file(spark, path, json.dumps(CAT.CWE_SIGNATURES))
     sigs = CAT.load_signatures(spark, path)
     files, _ = _corpus(spark, sf_dir)
     return _round(D.detect_all(files, CAT.patterns_of(sigs), "P", "signature", 0.7))

@@ -71,3 +71,17 @@ def materialize(df, name: str = "table"):
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def write_text_file(spark, path: str, text: str) -> None:
+    """Write one small text file (a signature catalogue, a store index file)
+    through the Hadoop FileSystem API, so the path may be on any filesystem
+    Spark can read (local, HDFS, object stores) — never via driver-local I/O."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = fs.create(p, True)
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()

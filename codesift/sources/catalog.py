@@ -302,9 +302,10 @@ def load_signatures(spark: SparkSession, path: str) -> DataFrame:
                     F.coalesce("s.context_patterns", empty).alias("context_patterns")))
 
 
-def write_signatures(signatures: dict, path: str) -> None:
-    with open(path, "w", encoding="utf-8") as fh:
-        json.dump(signatures, fh)
+def write_signatures(spark: SparkSession, signatures: dict, path: str) -> None:
+    """Write a signature file (any Spark-readable filesystem)."""
+    from ..session import write_text_file
+    write_text_file(spark, path, json.dumps(signatures))
 
 
 def patterns_of(signatures: DataFrame) -> DataFrame:

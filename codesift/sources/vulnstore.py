@@ -19,8 +19,6 @@ comes from the file name (``_metadata.file_name``).
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -128,52 +126,48 @@ def _union(spark, parts, schema):
 
 
 def write_vuln_store(store: dict, root: str) -> None:
-    """Write store tables in the directory layout above (small tables; one
-    task per file is the format)."""
+    """Write store tables in the directory layout above.  A store is a small
+    bounded table (one row per vulnerability / store line); its rows are
+    grouped per file on the driver and each file is written through the
+    Hadoop FileSystem API, so ``root`` may be any Spark-readable filesystem."""
     import json
 
-    os.makedirs(root, exist_ok=True)
-    for sub in ("vulHashes", "vulBodySet", "vulESSLines", "noOldESSLines", "patESSLines",
-                "vulDEPLines", "noOldDEPLines"):
-        os.makedirs(f"{root}/{sub}", exist_ok=True)
+    from ..session import write_text_file
+
+    spark = store["oss_idx"].sparkSession
+    root = root.rstrip("/")
     rows = lambda k: [r.asDict(recursive=True) for r in store[k].collect()]
-    with open(f"{root}/oss_idx.txt", "w") as fh:
-        fh.write("\n".join(f"{r['oss']}@@{r['vuln_idx']}" for r in rows("oss_idx")))
-    with open(f"{root}/idx2cve.txt", "w") as fh:
-        fh.write("\n".join(f"{r['vuln_idx']}##{r['cve']}" for r in rows("vuln_cve")))
+    put = lambda rel, text: write_text_file(spark, f"{root}/{rel}", text)
+    put("oss_idx.txt", "\n".join(f"{r['oss']}@@{r['vuln_idx']}" for r in rows("oss_idx")))
+    put("idx2cve.txt", "\n".join(f"{r['vuln_idx']}##{r['cve']}" for r in rows("vuln_cve")))
     by = {}
     for r in rows("vuln_hash"):
         by.setdefault(r["oss"], []).append(r["hash"])
     for oss, hs in by.items():
-        with open(f"{root}/vulHashes/{oss}_hash.txt", "w") as fh:
-            fh.write("\n".join(f"{h}\tx" for h in hs))
+        put(f"vulHashes/{oss}_hash.txt", "\n".join(f"{h}\tx" for h in hs))
     for r in rows("vuln_body"):
         doc = {"vul_body": r["vul_body"] or []}
         if r.get("old_body") is not None:
             doc["old_body"] = r["old_body"]
-        with open(f"{root}/vulBodySet/{r['vuln_idx']}_body.json", "w") as fh:
-            json.dump(doc, fh)
+        put(f"vulBodySet/{r['vuln_idx']}_body.json", json.dumps(doc))
     groups = {}
     for r in rows("ess_lines"):
         groups.setdefault((r["vuln_idx"], r["kind"]), []).append(
             {"vul_body": r["vul_body"], "abs_body": r["abs_body"]})
     for (idx, kind), items in groups.items():
         sub = "vulESSLines" if kind == "common" else "noOldESSLines"
-        with open(f"{root}/{sub}/{idx}_{kind}.txt", "w") as fh:
-            json.dump(items, fh)
+        put(f"{sub}/{idx}_{kind}.txt", json.dumps(items))
     pats = {}
     for r in rows("pat_lines"):
         pats.setdefault(r["vuln_idx"], []).append({"pat_body": r["pat_body"], "abs_body": r["abs_body"]})
     for idx, items in pats.items():
-        with open(f"{root}/patESSLines/{idx}_plus.txt", "w") as fh:
-            json.dump(items, fh)
+        put(f"patESSLines/{idx}_plus.txt", json.dumps(items))
     deps = {}
     for r in rows("dep_lines"):
         deps.setdefault(r["vuln_idx"], {}).setdefault(r["origin"], {}).setdefault(r["dep_key"], []).append(
             {"abs_norm_vul": r["abs_norm_vul"], "orig_norm_vul": r["orig_norm_vul"]})
     for idx, doc in deps.items():
-        with open(f"{root}/vulDEPLines/{idx}_depen.txt", "w") as fh:
-            json.dump(doc, fh)
+        put(f"vulDEPLines/{idx}_depen.txt", json.dumps(doc))
 
 
 def load_tags(spark: SparkSession, path: str) -> DataFrame:
