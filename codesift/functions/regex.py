@@ -59,3 +59,58 @@ def check_pattern(spark, pattern: str, dialect: str = RE2) -> str | None:
         if m.find() and m.end() == m.start():
             return "matches the empty string"
     return None
+
+
+_META = set(".^$*+?{}[]()|\\")
+_ESCAPABLE_LITERAL = set("./()[]{}*+?|^$-:'\"=,#&%@!<>~`;")
+
+
+def required_literal(pattern: str, min_len: int = 3) -> str | None:
+    """A literal every match must contain, read from the pattern's leading
+    run of plain characters (``\\.`` counts as ``.``), or ``None``.
+
+    Used as a cheap ``contains`` prefilter in front of the regex: exact,
+    because a match of the whole pattern starts with that run.  Patterns
+    with inline flags, a top-level alternation or an optional last
+    character in the run give ``None``.
+    """
+    if pattern.startswith("(?") or _has_top_level_alternation(pattern):
+        return None
+    out, i = [], 0
+    while i < len(pattern):
+        ch = pattern[i]
+        if ch == "\\" and i + 1 < len(pattern) and pattern[i + 1] in _ESCAPABLE_LITERAL:
+            out.append(pattern[i + 1])
+            i += 2
+            continue
+        if ch in _META:
+            break
+        out.append(ch)
+        i += 1
+    if i < len(pattern) and pattern[i] in "?*{" and out:
+        out.pop()  # the last character may be optional / repeated zero times
+    lit = "".join(out)
+    return lit if len(lit) >= min_len else None
+
+
+def _has_top_level_alternation(pattern: str) -> bool:
+    depth, i = 0, 0
+    in_class = False
+    while i < len(pattern):
+        ch = pattern[i]
+        if ch == "\\":
+            i += 2
+            continue
+        if in_class:
+            if ch == "]":
+                in_class = False
+        elif ch == "[":
+            in_class = True
+        elif ch == "(":
+            depth += 1
+        elif ch == ")":
+            depth -= 1
+        elif ch == "|" and depth == 0:
+            return True
+        i += 1
+    return False

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as TX
-from ..functions.regex import RE2, re2_compatible, to_java
+from ..functions.regex import RE2, re2_compatible, required_literal, to_java
 from ..sources import catalog as CAT
 
 MAX_UNROLLED = 2000
@@ -47,6 +47,14 @@ def _pattern_rows(patterns) -> list[tuple]:
     return out
 
 
+def literal_guard(col: Column, pattern: str) -> Column:
+    """``contains(required literal)`` in front of a regex: a cheap test that
+    skips the regex engine on rows that cannot match (exact, see
+    ``required_literal``)."""
+    lit = required_literal(pattern)
+    return col.contains(lit) if lit else F.lit(True)
+
+
 def ext_filter(path_col: Column, exts: Sequence[str]) -> Column:
     """Case-sensitive extension test, as ``filepath.Ext(path) == ext``."""
     return F.regexp_extract(path_col, r"(\.[^./]*)$", 1).isin(list(exts))
@@ -73,7 +81,7 @@ def detect_lines(lines: DataFrame, patterns, rule: str = "G-py", detector: str =
         if not keep_non_re2 and not re2_compatible(pattern):
             continue
         jp = TX.java_for_rule(pattern, rule)
-        hits.append(F.when(text.rlike(jp), F.struct(
+        hits.append(F.when(literal_guard(text, pattern) & text.rlike(jp), F.struct(
             F.lit(sig_id).alias("sig_id"), F.lit(name).alias("name"), F.lit(severity).alias("severity"),
             F.lit(ordinal).alias("pattern_ord"), F.lit(len(pattern.encode("utf-8"))).alias("plen"))))
     if not hits:
@@ -118,8 +126,10 @@ def _file_hits(files: DataFrame, specs: list[tuple], content: Column) -> DataFra
     hit for that pattern.
     """
     per = []
-    for sig_id, name, severity, ordinal, jp, plen in specs:
-        per.append(F.when(content.rlike(jp), F.struct(
+    for spec in specs:
+        sig_id, name, severity, ordinal, jp, plen = spec[:6]
+        guard = literal_guard(content, spec[6]) if len(spec) > 6 else F.lit(True)
+        per.append(F.when(guard & content.rlike(jp), F.struct(
             F.lit(sig_id).alias("sig_id"), F.lit(name).alias("name"), F.lit(severity).alias("severity"),
             F.lit(ordinal).alias("pattern_ord"), F.lit(plen).alias("plen"),
             TX.all_matches(content, jp).alias("ms"))))
@@ -141,7 +151,7 @@ def detect_all(files: DataFrame, patterns, rule: str = "P", detector: str = "sig
         if rule != "P" and not keep_non_re2 and not re2_compatible(pattern):
             continue
         specs.append((sig_id, name, severity, ordinal, TX.java_for_rule(pattern, rule),
-                       len(pattern) if rule == "P" else len(pattern.encode("utf-8"))))
+                       len(pattern) if rule == "P" else len(pattern.encode("utf-8")), pattern))
     hits = _file_hits(files, specs, F.col("content"))
     out = hits.select(
         F.lit(detector).alias("detector"), "sig_id", "name", "severity", "path",
@@ -207,7 +217,7 @@ def detect_lines_multi(lines: DataFrame, groups, keep_non_re2: bool = False) ->
                 continue
             jp = TX.java_for_rule(pattern, rule)
             plen = len(pattern.encode("utf-8"))
-            hits.append(F.when(applies & text.rlike(jp), F.struct(
+            hits.append(F.when(applies & literal_guard(text, pattern) & text.rlike(jp), F.struct(
                 F.lit(detector).alias("detector"), F.lit(sig_id).alias("sig_id"), F.lit(name).alias("name"),
                 F.lit(severity).alias("severity"), TX.confidence(text, plen, rule).alias("confidence"))))
     found = F.filter(F.array(*hits), lambda h: h.isNotNull())
@@ -272,7 +282,7 @@ def scan_files_fused(files: DataFrame, line_groups, block_languages=("python", "
                 if not keep_non_re2 and not re2_compatible(pattern):
                     continue
                 jp = TX.java_for_rule(pattern, rule)
-                hs.append(F.when(applies & text.rlike(jp), rec(
+                hs.append(F.when(applies & literal_guard(text, pattern) & text.rlike(jp), rec(
                     detector, sig_id, name, severity, i + 1, i + 1, text,
                     TX.confidence(text, len(pattern.encode("utf-8")), rule))))
         return F.filter(F.array(*hs), lambda h: h.isNotNull())
@@ -285,7 +295,7 @@ def scan_files_fused(files: DataFrame, line_groups, block_languages=("python", "
         applies = F.col("_ext").isin(PY_EXTS if language == "python" else JS_EXTS)
         for sig_id, name, sev, _d, p, conf, suffix in table:
             jp = to_java(p, RE2)
-            ms = F.when(applies & content.rlike(jp), TX.all_matches(content, jp)).otherwise(
+            ms = F.when(applies & literal_guard(content, p) & content.rlike(jp), TX.all_matches(content, jp)).otherwise(
                 F.array().cast("array<struct<idx:int,text:string,line_start:int,line_end:int,offset:int>>"))
             def to_rec(language=language, sig_id=sig_id, name=name, sev=sev, conf=conf, suffix=suffix):
                 return lambda m: rec(language, sig_id, name, sev, m["line_start"], m["line_start"],
@@ -346,7 +356,8 @@ def detect_first(files: DataFrame, signatures, strict_ext: bool = False, context
             start = TX.newline_count(F.substring(content, 1, pos - 1)) + 1
             m = F.struct(start.cast("int").alias("line_start"),
                          (start + TX.newline_count(text)).cast("int").alias("line_end"))
-            per.append(F.when(F.col("_lang").isin(list(r["affected_languages"])) & (pos > 0), F.struct(
+            per.append(F.when(F.col("_lang").isin(list(r["affected_languages"])) & literal_guard(content, p)
+                              & (pos > 0), F.struct(
                 F.lit(r["sig_id"]).alias("sig_id"), F.lit(r["name"]).alias("name"),
                 F.lit(r["severity"]).alias("severity"), F.lit(i).alias("pattern_ord"), m.alias("m"))))
     if not per:
