@@ -74,7 +74,7 @@ def three_forms(fn: DataFrame, params_col=None, dtypes_col=None, locals_col=None
         F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("dir"))
 
 
-def extract_functions(lines: DataFrame, tags: DataFrame) -> DataFrame:
+def extract_functions(lines: DataFrame, tags: DataFrame, keep_overloads: bool = False) -> DataFrame:
     """T7 (+J10): one row per function tag with its body.
 
     ``tags(path, name, kind, line, end_line)``; function bodies are the file
@@ -90,6 +90,11 @@ def extract_functions(lines: DataFrame, tags: DataFrame) -> DataFrame:
         F.sort_array(F.collect_list(F.struct("line_no", "text"))).alias("ls"))
     bodies = bodies.select("path", "name", "start_line", "end_line",
                            F.transform("ls", lambda x: x["text"]).alias("orig"))
+    if keep_overloads:
+        # every definition kept; the start line joins the key
+        return bodies.select("path", F.concat(F.col("name"), F.lit("@"), F.col("start_line").cast("string"))
+                             .alias("name"), "start_line", "end_line", "orig",
+                             F.array_join("orig", "\n").alias("body"))
     # last wins per (name, path): keep the max start line (a partial aggregate)
     last = bodies.groupBy("path", "name").agg(F.max(F.struct(
         "start_line", "end_line", "orig")).alias("f"))

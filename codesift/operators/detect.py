@@ -33,13 +33,17 @@ JS_EXTS = [".js", ".jsx", ".ts", ".tsx"]
 
 
 def _pattern_rows(patterns) -> list[tuple]:
-    """Accept a catalogue list or a patterns DataFrame (bounded collect)."""
+    """Accept a catalogue list or a patterns DataFrame (bounded collect).
+    Patterns from a DataFrame are user input: invalid ones are dropped here
+    (``catalog.validate_patterns`` returns them as a rejects table)."""
     if isinstance(patterns, DataFrame):
         rows = patterns.select("sig_id", "name", "severity", "pattern_ord", "pattern") \
             .limit(MAX_UNROLLED + 1).collect()
         if len(rows) > MAX_UNROLLED:
             raise OverflowError("catalogue too large to unroll")
-        return [tuple(r) for r in rows]
+        from ..functions.regex import check_pattern
+        spark = patterns.sparkSession
+        return [tuple(r) for r in rows if check_pattern(spark, r["pattern"], "python") is None]
     out = []
     for sig_id, name, severity, _desc, pats in patterns:
         for i, p in enumerate(pats):

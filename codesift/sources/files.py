@@ -107,7 +107,7 @@ def _glob_segment(seg: str, negate: str) -> str:
     return "".join(out)
 
 
-def glob_regex(pattern: str, mode: str = "basename") -> str:
+def glob_regex(pattern: str, mode: str = "basename", recursive: bool = False) -> str:
     """Regex for one exclude pattern.
 
     ``basename`` (Go scanner, ``filepath.Match``): whole-name match of one
@@ -119,11 +119,22 @@ def glob_regex(pattern: str, mode: str = "basename") -> str:
         return "^" + _glob_segment(pattern, "^") + "$"
     absolute = pattern.startswith("/")
     segs = [s for s in pattern.strip("/").split("/") if s]
-    body = "/".join(_glob_segment(s, "!") for s in segs)
+    if recursive:
+        # ``**`` spans any number of segments (including none)
+        body = ""
+        for k, seg in enumerate(segs):
+            last = k == len(segs) - 1
+            if seg == "**":
+                body += ".*" if last else "(?:[^/]+/)*"
+            else:
+                body += _glob_segment(seg, "!") + ("" if last else "/")
+    else:
+        body = "/".join(_glob_segment(s, "!") for s in segs)
     return ("^/?" if absolute else "(^|/)") + body + "$"
 
 
-def exclude_globs(files: DataFrame, globs: Sequence[str], mode: str = "basename") -> DataFrame:
+def exclude_globs(files: DataFrame, globs: Sequence[str], mode: str = "basename",
+                  recursive: bool = False) -> DataFrame:
     """S3: drop files matched by any exclude glob.
 
     ``basename``: a glob matching the file name or any directory name on the
@@ -142,7 +153,7 @@ def exclude_globs(files: DataFrame, globs: Sequence[str], mode: str = "basename"
     else:
         hit = F.lit(False)
         for g in globs:
-            hit = hit | F.col("path").rlike(glob_regex(g, "path"))
+            hit = hit | F.col("path").rlike(glob_regex(g, "path", recursive))
     return files.where(~hit)
 
 

@@ -156,3 +156,25 @@ def test_vuln_store_loader_priority_and_bare_deps(spark):
     assert {(r.origin, r.dep_key, r.orig_norm_vul) for r in st["dep_lines"].collect()} == {("vul", "k", "d1")}
     rules = CL.vuln_rules(st).first()
     assert rules.flag == 2 and rules.core_norm == ["a"] and rules.new_pat == ["p"]
+
+
+def test_recursive_double_star_option():
+    import re
+    rx = re.compile(SF.glob_regex("**/test/*.py", "path", recursive=True))
+    assert rx.search("test/a.py") and rx.search("x/y/test/a.py")
+    assert not rx.search("x/test/sub/a.py")
+    strict = re.compile(SF.glob_regex("**/test/*.py", "path"))
+    assert not strict.search("test/a.py") and strict.search("x/test/a.py")
+
+
+def test_extract_functions_last_wins_and_overloads(spark):
+    from codesift.operators import clones as CL
+    lines = spark.createDataFrame([("a.c", i, t) for i, t in enumerate(
+        ["int f(int a) {", "  return a;", "}", "int f(char b) {", "  return b;", "}"], 1)],
+        "path string, line_no int, text string")
+    tags = spark.createDataFrame([("a.c", "f", "function", 1, 3, None), ("a.c", "f", "function", 4, 6, None)],
+                                 "path string, name string, kind string, line int, end_line int, typeref string")
+    one = CL.extract_functions(lines, tags).collect()
+    assert len(one) == 1 and one[0].start_line == 4
+    both = CL.extract_functions(lines, tags, keep_overloads=True).collect()
+    assert sorted(r.name for r in both) == ["f@1", "f@4"]

@@ -168,3 +168,38 @@ def test_first_match_snippet(files_df, spark):
     r = D.detect_first(files, sigs).where(F.col("pattern_ord") == 0).first()
     assert (r.line_start, r.line_end) == (6, 6)
     assert r.matched_code == "\n".join(lines[2:9])
+
+
+def test_invalid_patterns_go_to_rejects(spark, files_df):
+    sigs = spark.createDataFrame([
+        ("A", "a", "high", None, None, None, [], [r"eval\(", r"bad(", r"x*"], [], [])], CAT.SIGNATURE_SCHEMA)
+    pats = CAT.patterns_of(sigs)
+    ok, rej = CAT.validate_patterns(pats)
+    assert [r.pattern for r in ok.collect()] == [r"eval\("]
+    assert sorted(r.pattern for r in rej.collect()) == [r"bad(", r"x*"]
+    # the scan itself survives the bad rows
+    out = D.detect_all(files_df([("a.py", "eval(x)\n")]), pats, "P", min_confidence=0.0)
+    assert [r.matched_code for r in out.collect()] == ["eval("]
+
+
+def test_entry_contract(spark):
+    import __spark_entry__ as E
+    df = E.entry(spark)
+    assert df.count() > 0
+    assert df.columns == D.MATCH_COLUMNS
+    assert set(E.oracle_sql()) <= set(E.queries())
+
+
+def test_text_stream_scan(spark, tmp_path):
+    from codesift.operators.registry import default_registry
+    from codesift.streaming import scan as STR
+    src = tmp_path / "src"
+    src.mkdir()
+    (src / "a.py").write_text("x = eval(y)\n")
+    (src / "b.js").write_text("console.log(1)\n")
+    out, ckpt = str(tmp_path / "out"), str(tmp_path / "ckpt")
+    reg = default_registry()
+    q = STR.scan_text_stream(spark, str(src), lambda df: reg.run(df), out, ckpt)
+    q.awaitTermination()
+    got = sorted((r.path.rsplit("/", 1)[-1], r.sig_id) for r in spark.read.parquet(out).collect())
+    assert got == [("a.py", "PY001"), ("b.js", "JS011")]
