@@ -37,6 +37,31 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     return spark
 
 
+def cluster_conf(input_tb: float = 100.0, executors: int = 1000, cores_per_executor: int = 4) -> dict:
+    """Suggested settings for a large cluster run (apply on the session
+    builder; the library itself only reads the session it is given).
+
+    Partitions are sized for ~128 MiB of input per task and ~200 MiB of
+    shuffle per reducer, so tasks stay in executor memory and spill is the
+    exception; AQE coalesces small partitions and splits skewed ones.
+    """
+    input_bytes = input_tb * 1024 ** 4
+    reducers = max(executors * cores_per_executor * 2, int(input_bytes / (200 * 1024 ** 2)))
+    return {
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(128 * 1024 ** 2),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+        "spark.sql.shuffle.partitions": str(reducers),
+        "spark.sql.files.maxPartitionBytes": str(128 * 1024 ** 2),
+        "spark.sql.autoBroadcastJoinThreshold": str(64 * 1024 ** 2),
+        "spark.sql.legacy.javaCharsets": "true",
+        "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    }
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 

@@ -42,6 +42,9 @@ def scan_corpus(spark: SparkSession, root: str, max_bytes: int | None = DEFAULT_
 
     ``path`` is relative to ``root``; ``repo`` is the root's name.
     """
+    if decode:
+        # the CP949 fallback needs the JVM's extended charsets
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
