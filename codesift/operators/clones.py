@@ -163,8 +163,11 @@ def reduce_by_dir(functions: DataFrame, hits: DataFrame) -> DataFrame:
 
 
 def label_cve(findings: DataFrame, vuln_cve: DataFrame) -> DataFrame:
-    """vuln_idx -> CVE (last row wins upstream; the store keeps one)."""
-    return findings.join(F.broadcast(vuln_cve), "vuln_idx", "left")
+    """vuln_idx -> CVE (last row wins upstream; the store keeps one).
+    The CVE table grows with the store, so it is broadcast only under the
+    checked row bound."""
+    cves, small = bounded_table(vuln_cve)
+    return findings.join(F.broadcast(cves) if small else cves, "vuln_idx", "left")
 
 
 # --- J8 / J9 ------------------------------------------------------------------------
@@ -221,7 +224,7 @@ def vuln_rules(store: dict) -> DataFrame:
     ess_all = store["ess_lines"]
     has_common = ess_all.where(F.col("kind") == "common").select("vuln_idx").distinct() \
         .withColumn("has_common", F.lit(True))
-    ess = ess_all.join(F.broadcast(has_common), "vuln_idx", "left").where(
+    ess = ess_all.join(has_common, "vuln_idx", "left").where(
         (F.col("kind") == "common") | F.col("has_common").isNull())
     ess = ess.groupBy("vuln_idx").agg(
         F.array_distinct(F.collect_list(TX.normalize_line("vul_body"))).alias("core_norm"),
@@ -350,7 +353,8 @@ def evaluate_pairs(counts: DataFrame, rules: DataFrame, theta: float = THETA) ->
         F.size(F.when(F.col("is_abs") | (F.col("flag") == 3), F.col("dep_vul_abs")).otherwise(F.col("dep_vul_nor"))).alias("s_dep_vul"),
         F.size(F.when(F.col("is_abs") | (F.col("flag") == 3), F.col("dep_old_abs")).otherwise(F.col("dep_old_nor"))).alias("s_dep_old"),
         F.size(F.when(F.col("is_abs") | (F.col("flag") == 3), F.col("new_abs_pat")).otherwise(F.col("new_pat"))).alias("s_patch"))
-    j = counts.join(F.broadcast(sizes), "vuln_idx")  # one row per vulnerability
+    sizes, small = bounded_table(sizes)  # one row per vulnerability
+    j = counts.join(F.broadcast(sizes) if small else sizes, "vuln_idx")
     vul_ok = (F.col("s_vul") > 0) & (F.col("n_vul") / F.col("s_vul") >= F.lit(theta))
     old_ok = (F.col("s_old") > 0) & (F.col("n_old") / F.col("s_old") >= F.lit(theta))
     flag = F.col("flag")
