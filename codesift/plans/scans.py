@@ -326,3 +326,33 @@ def sql_report_rows():
 SELECT m.sig_id AS id, m.name, s.description, m.severity, CAST(NULL AS VARCHAR) AS cwe_id,
        CAST(NULL AS VARCHAR) AS cve_id, m.path AS file, m.line_start, m.line_end, m.matched_code, m.confidence
 FROM m LEFT JOIN {sig} s ON s.sig_id = m.sig_id"""
+
+
+# --- D2 with rule G-vul (Go signature detector) + T12 ------------------------------
+
+def _go_catalog():
+    return [(i, n, sev, "", pats) for i, n, sev, pats in CAT.GO_SIGNATURES]
+
+
+def q_go_signature_scan(spark, sf_dir):
+    """The Go signature detector: every match in the whole file, rule G-vul,
+    kept at >= 0.7; severities (Chinese labels) normalised (T12)."""
+    files, _ = _corpus(spark, sf_dir)
+    m = D.detect_all(files, _go_catalog(), "G-vul", "go-signature", 0.7)
+    return _round(D.normalize_severity(m)).select(
+        "sig_id", "name", "severity", "severity_norm", "severity_rank", "path", "line_start", "line_end",
+        "matched_code", "confidence")
+
+
+def sql_go_signature_scan():
+    rows = [(i, n, sev, k, p, len(p.encode("utf-8"))) for i, n, sev, pats in CAT.GO_SIGNATURES
+            for k, p in enumerate(pats)]
+    pats = values(rows, ["sig_id", "name", "severity", "pattern_ord", "pattern", "plen"])
+    scale = values(CAT.SEVERITY_SCALE, ["severity", "severity_norm", "severity_rank"])
+    return f"""WITH {C.oracle_files_sql()},
+m AS (SELECT sig_id, name, severity, path, line_start, line_end, mtext AS matched_code,
+             round({conf_sql('mtext', 'plen', 'G-vul')}, 6) AS confidence
+      FROM {all_matches_sql('syn_files', pats, 'sig_id, pattern_ord')} x)
+SELECT m.sig_id, m.name, m.severity, coalesce(s.severity_norm, m.severity) AS severity_norm, s.severity_rank,
+       m.path, m.line_start, m.line_end, m.matched_code, m.confidence
+FROM m LEFT JOIN {scale} s ON s.severity = m.severity WHERE m.confidence >= 0.7"""

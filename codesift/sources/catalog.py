@@ -182,6 +182,19 @@ CWE_SIGNATURES = {
     ]
 }
 
+# ---------------------------------------------------------------------------
+# FIXED VALUES — the example signature file of the Go signature detector
+# (id, name, severity, code patterns); severities are the Chinese labels.
+# ---------------------------------------------------------------------------
+GO_SIGNATURES = [
+    ("CWE-78", "OS命令注入", "高", [r"os\.system\(.*\)", r"exec\.Command\(.*\)", r"shell\.Run\(.*\)"]),
+    ("CWE-89", "SQL注入", "高", [r"db\.Query\(.*\+.*\)", r"db\.Exec\(.*\+.*\)", r"sql\.Raw\(.*\)"]),
+    ("CWE-200", "敏感信息泄露", "中", [r"log\.Print\(.*password.*\)", r"fmt\.Printf\(.*secret.*\)",
+                                  r"\.Debug\(.*key.*\)"]),
+    ("CWE-22", "路径遍历", "高", [r"os\.Open\(.*\)", r"ioutil\.ReadFile\(.*\)", r"os\.ReadFile\(.*\)"]),
+    ("CWE-326", "弱加密", "中", [r"md5\.New\(\)", r"sha1\.New\(\)", r"des\.NewCipher\(.*\)"]),
+]
+
 # ---------------------------------------------------------------------------
 # FIXED VALUES — static security-check pattern tables, per dialect.
 # check -> patterns.  "python" patterns run with Python semantics, "go" with RE2.
