@@ -153,8 +153,8 @@ def semantic_form(col) -> Column:
     whitespace, trim, blank string literals, rename identifiers to
     ``var0, var1, ...`` in first-seen order."""
     c = _c(col)
-    c = F.regexp_replace(c, r"(?m)#.*$", "")
-    c = F.regexp_replace(c, r"(?m)//.*$", "")
+    c = F.regexp_replace(c, r"(?dm)#.*$", "")
+    c = F.regexp_replace(c, r"(?dm)//.*$", "")
     c = F.regexp_replace(c, r"(?s)/\*.*?\*/", "")
     c = F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
     c = F.regexp_replace(c, r'"[^"]*"', '""')
