@@ -177,3 +177,18 @@ def sql_sandbox_escape_calls():
 SELECT path, 'sandbox_escape' AS "check", source AS matched, lineno AS line_no FROM calls
 WHERE (contains(func_name, '.') AND regexp_extract(func_name, '([^.]*)$', 1) IN ({attrs}))
    OR (NOT contains(func_name, '.') AND func_name IN ({names}))"""
+
+
+def q_js_call_sites(spark, sf_dir):
+    """C1 (regex form) over the synthetic JavaScript files."""
+    files = C.syn_files(spark, sf_dir).where(D.ext_filter(F.col("path"), D.JS_EXTS))
+    return SY.call_sites_regex(files)
+
+
+def sql_js_call_sites():
+    return f"""WITH {C.oracle_lines_sql()}
+SELECT path, line_no AS lineno, func_name,
+       CASE WHEN contains(func_name, '.') THEN split_part(func_name, '.', 1) END AS base,
+       CASE WHEN contains(func_name, '.') THEN split_part(func_name, '.', 2) END AS attr
+FROM (SELECT path, line_no, unnest(regexp_extract_all(text, '{SY.CALL_NAME_PATTERN}', 1)) AS func_name
+      FROM syn_lines WHERE regexp_extract(path, '(\\.[^./]*)$', 1) IN ('.js', '.jsx', '.ts', '.tsx'))"""

@@ -178,3 +178,12 @@ def test_extract_functions_last_wins_and_overloads(spark):
     assert len(one) == 1 and one[0].start_line == 4
     both = CL.extract_functions(lines, tags, keep_overloads=True).collect()
     assert sorted(r.name for r in both) == ["f@1", "f@4"]
+
+
+def test_go_form_call_checks(files_df):
+    go = 'package m\nfunc main() {\n  fmt.Scanln(&x)\n  s := bufio.NewScanner(r)\n  exec.Command("ls").Run()\n  os.Remove(p)\n}\n'
+    calls = SY.call_sites_regex(files_df([("m.go", go)]))
+    inp = sorted((r.matched, r.line_no) for r in K.input_validation_go(calls).collect())
+    assert inp == [("bufio.NewScanner", 4), ("fmt.Scanln", 3)]
+    sand = sorted((r.matched, r.line_no) for r in K.sandbox_escape_go(calls).collect())
+    assert sand == [("exec.Command", 5), ("os.Remove", 6)]
