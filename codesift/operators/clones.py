@@ -31,6 +31,9 @@ from ..functions import text as TX
 THETA = 0.5
 BROADCAST_ROW_LIMIT = 2_000_000  # store lines; above this the salted shuffle is used
 SALT_BUCKETS = 32
+# Largest number of store line sets one line may belong to for the single
+# inverted count join; above it candidates come from prefix filtering.
+MAX_FANOUT = 64
 
 
 # --- T4 / T5 / T6 / T7 --------------------------------------------------------------
@@ -383,22 +386,87 @@ def clone_candidates(functions: DataFrame, store: dict):
     return rules, targets
 
 
-def rule_checks(functions: DataFrame, store: dict, theta: float = THETA) -> DataFrame:
+def prefix_candidates(targets: DataFrame, rules: DataFrame, theta: float = THETA) -> DataFrame:
+    """Prefix filtering (set-similarity joins, Chaudhuri et al. 2006; Bayardo
+    et al. 2007) for containment ``|V ∩ X| / |V| >= theta``.
+
+    Lines of every vulnerable / oldest body are ordered by how many store
+    bodies contain them (rarest first, then text).  A pair can only reach
+    the threshold if ``X`` holds one of the first ``|V| - floor(theta |V|) + 1``
+    lines of ``V`` (pigeonhole), so candidates come from a join on those
+    rare lines only — the lines shared by most bodies (``}``, ``''``) never
+    enter the join.  Returns distinct ``(func_id, vuln_idx)``."""
+    bodies = rules.select("vuln_idx", F.explode(F.array(
+        F.struct(F.lit("vul").alias("which"), F.col("vul_set").alias("b")),
+        F.struct(F.lit("old").alias("which"), F.col("old_set").alias("b")))).alias("x")).select(
+        "vuln_idx", F.col("x.which").alias("which"), F.col("x.b").alias("b")).where(F.size("b") > 0)
+    lines = bodies.select("vuln_idx", "which", F.size("b").alias("s"), F.explode("b").alias("line"))
+    freq = lines.groupBy("line").agg(F.count(F.lit(1)).alias("df"))
+    ranked = lines.join(freq, "line")
+    # rank within a body without a window: the body is one row; sort its lines there
+    per_body = ranked.groupBy("vuln_idx", "which", "s").agg(
+        F.sort_array(F.collect_list(F.struct("df", "line"))).alias("ordered"))
+    plen = (F.col("s") - F.floor(F.col("s") * F.lit(theta) + F.lit(1e-9)) + 1).cast("int")
+    prefix = per_body.select("vuln_idx", F.explode(F.slice("ordered", 1, F.least(plen, F.col("s")))).alias("e")) \
+        .select("vuln_idx", F.col("e.line").alias("line")).distinct()
+    prefix, small = bounded_table(prefix)
+    flines = targets.select("func_id", F.explode(F.array_distinct("norm")).alias("line"))
+    j = flines.join(F.broadcast(prefix), "line") if small else _line_join(flines, prefix)
+    return j.select("func_id", "vuln_idx").distinct()
+
+
+def pair_counts_arrays(cand: DataFrame, targets: DataFrame, rules: DataFrame) -> DataFrame:
+    """Exact per-set counts for candidate pairs from the function's arrays
+    (one join of the candidates with the function table on ``func_id``)."""
+    j = cand.join(targets.select("func_id", "norm", "abst"), "func_id").join(F.broadcast(rules), "vuln_idx")
+    x, y = F.array_distinct("norm"), F.array_distinct("abst")
+    abstract = F.col("is_abs") | (F.col("flag") == 3)
+    pick = lambda a, n: F.when(abstract, F.size(F.array_intersect(F.col(a), y))).otherwise(
+        F.size(F.array_intersect(F.col(n), x)))
+    return j.select("func_id", "vuln_idx",
+                    F.size(F.array_intersect("vul_set", x)).cast("bigint").alias("n_vul"),
+                    F.size(F.array_intersect("old_set", x)).cast("bigint").alias("n_old"),
+                    pick("core_abs", "core_norm").cast("bigint").alias("n_core"),
+                    pick("dep_vul_abs", "dep_vul_nor").cast("bigint").alias("n_dep_vul"),
+                    pick("dep_old_abs", "dep_old_nor").cast("bigint").alias("n_dep_old"),
+                    pick("new_abs_pat", "new_pat").cast("bigint").alias("n_patch"))
+
+
+def store_fanout(rules: DataFrame) -> int:
+    """Most store line sets any one line belongs to (bounded store table)."""
+    sets = store_line_sets(rules)
+    row = sets.groupBy("form", "line").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()
+    return int(row[0] or 0)
+
+
+def rule_checks(functions: DataFrame, store: dict, theta: float = THETA, strategy: str = "auto") -> DataFrame:
     """Candidate pairs (containment of the vulnerable or oldest body) with
     the per-rule outcome ``ess_ok`` (J5), ``dep_ok`` (J6), ``patch_ok``
-    (J7) and their conjunction ``ok``."""
+    (J7) and their conjunction ``ok``.
+
+    ``strategy``: ``counts`` — one inverted join of every function line with
+    every store line set, counted per pair (work = corpus lines x fan-out);
+    ``prefix`` — candidates by prefix filtering, then exact counts from the
+    arrays; ``auto`` picks ``counts`` when the store's fan-out (most sets
+    sharing one line) is at most ``MAX_FANOUT``, else ``prefix``."""
     rules, targets = clone_candidates(functions, store)
-    return evaluate_pairs(pair_counts(targets, rules), rules, theta)
+    if strategy == "auto":
+        strategy = "counts" if store_fanout(rules) <= MAX_FANOUT else "prefix"
+    if strategy == "counts":
+        counts = pair_counts(targets, rules)
+    else:
+        counts = pair_counts_arrays(prefix_candidates(targets, rules, theta), targets, rules)
+    return evaluate_pairs(counts, rules, theta)
 
 
-def detect_clones(functions: DataFrame, store: dict, theta: float = THETA) -> DataFrame:
+def detect_clones(functions: DataFrame, store: dict, theta: float = THETA, strategy: str = "auto") -> DataFrame:
     """One finding per (vulnerability, function).
 
     ``store`` has ``oss_idx, vuln_cve, vuln_hash, vuln_body, ess_lines,
     pat_lines, dep_lines``.  Returns ``vuln_idx, cve, func_id, name, path,
     matched_on`` (``vul`` or ``old`` body).
     """
-    checked = rule_checks(functions, store, theta).where(F.col("ok"))
+    checked = rule_checks(functions, store, theta, strategy).where(F.col("ok"))
     found = checked.select(
         "vuln_idx", "func_id", F.when(F.col("vul_ok"), F.lit("vul")).otherwise(F.lit("old")).alias("matched_on"))
     # names only for the findings: a join on the function key, after filtering

@@ -133,3 +133,16 @@ def test_strip_comments_and_long_literal(spark):
     got = [r[0] for r in df.select(TX.strip_comments(F.col("s"))).collect()]
     exp = ["".join(m.group("n") for m in t3.finditer(c) if m.group("n")) for c in cases]
     assert got == exp
+
+
+def test_prefix_strategy_equals_counts_and_brute_force(spark):
+    functions = C.syn_functions(spark, SF0001).cache()
+    store = ST.build_store(spark, SF0001)
+    cols = ["vuln_idx", "func_id", "vul_ok", "old_ok", "ess_ok", "dep_ok", "patch_ok", "ok"]
+    a = {tuple(r) for r in CL.rule_checks(functions, store, strategy="counts").select(*cols).collect()}
+    b = {tuple(r) for r in CL.rule_checks(functions, store, strategy="prefix").select(*cols).collect()}
+    assert a == b and len(a) > 0
+    got = {(r.vuln_idx, r.cve, r.func_id, r.matched_on)
+           for r in CL.detect_clones(functions, store, strategy="prefix").collect()}
+    fl = [r.asDict(recursive=True) for r in functions.select("func_id", "dir", "norm", "abst", "norm_hash").collect()]
+    assert got == brute_force_d1(fl, store)
