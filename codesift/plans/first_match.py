@@ -56,12 +56,31 @@ def q_first_match_fix_similarity(spark, sf_dir):
 
 
 def q_first_match_context(spark, sf_dir):
-    """Symbols of each match's file attached (rows-only)."""
+    """Symbols of each match's file attached (counts of imports and
+    variables; 0 for files without symbols or that do not parse)."""
     files = C.syn_files(spark, sf_dir)
     m = D.detect_first(files, _cwe(spark), strict_ext=False)
     ctx = SY.attach_context(m.select("sig_id", "pattern_ord", "path", "line_start"), SY.symbol_table(files))
+    n = lambda c: F.when(F.col(c).isNull(), F.lit(0)).otherwise(F.size(c))
     return ctx.select("sig_id", "pattern_ord", "path", "line_start",
-                      F.size("imports").alias("n_imports"), F.size("variables").alias("n_variables"))
+                      n("imports").alias("n_imports"), n("variables").alias("n_variables"))
+
+
+def sql_first_match_context():
+    """In this corpus a file parses as Python unless it has an ``except:``
+    line; its imports are its ``import x`` lines, its variables its
+    ``name = ...`` lines."""
+    fm = sql_first_match_scan()
+    return f"""WITH fm AS ({fm}),
+{C.oracle_files_sql()},
+fc AS (SELECT path, list_contains(lines, 'except:') AS bad,
+              len(list_filter(lines, lambda l: regexp_matches(l, '^import [A-Za-z_][A-Za-z0-9_]*$'))) AS ni,
+              len(list_filter(lines, lambda l: regexp_matches(l, '^[A-Za-z_][A-Za-z0-9_]* = '))) AS nv
+       FROM syn_files)
+SELECT fm.sig_id, fm.pattern_ord, fm.path, fm.line_start,
+       CAST(CASE WHEN fc.bad THEN 0 ELSE fc.ni END AS INT) AS n_imports,
+       CAST(CASE WHEN fc.bad THEN 0 ELSE fc.nv END AS INT) AS n_variables
+FROM fm JOIN fc ON fc.path = fm.path"""
 
 
 def q_semantic_hashes(spark, sf_dir):

@@ -192,3 +192,31 @@ SELECT path, line_no AS lineno, func_name,
        CASE WHEN contains(func_name, '.') THEN split_part(func_name, '.', 2) END AS attr
 FROM (SELECT path, line_no, unnest(regexp_extract_all(text, '{SY.CALL_NAME_PATTERN}', 1)) AS func_name
       FROM syn_lines WHERE regexp_extract(path, '(\\.[^./]*)$', 1) IN ('.js', '.jsx', '.ts', '.tsx'))"""
+
+
+LCS_SQL = """list_reduce(range(1, length({a}) + 1),
+   lambda prev, i: list_reduce(range(1, length({b}) + 1),
+       lambda row, j: list_append(row, CASE WHEN substr({a}, i, 1) = substr({b}, j, 1) THEN prev[j] + 1
+                                            ELSE greatest(prev[j + 1], row[-1]) END),
+       [0]),
+   list_transform(range(0, length({b}) + 1), lambda k: 0))[-1]"""
+
+
+def sql_similar_calls():
+    """D8 oracle: regex hits (rule P) or, failing the regex, LCS similarity
+    >= 0.7 by a dynamic programme over nested ``list_reduce``."""
+    rows = [(s, n, sev, i, p, len(p)) for s, n, sev, _d, pats in _cwe_catalog() for i, p in enumerate(pats)]
+    pats = values(rows, ["sig_id", "name", "severity", "pattern_ord", "pattern", "plen"])
+    lcs = LCS_SQL.format(a="text", b="pattern")
+    return f"""WITH {_calls_cte()},
+pairs AS (SELECT c.path, c.lineno, c.full_call_similar AS text, p.*,
+                 regexp_matches(c.full_call_similar, '(?i)' || p.pattern) AS hit
+          FROM calls c CROSS JOIN {pats} p),
+sims AS (SELECT text, pattern, {lcs} / greatest(length(text), length(pattern)) AS sim
+         FROM (SELECT DISTINCT text, pattern FROM pairs WHERE NOT hit
+               AND least(length(text), length(pattern)) >= 0.7 * greatest(length(text), length(pattern))))
+SELECT path, lineno, sig_id, name, severity, pattern_ord, text AS matched_code,
+       round({conf_sql('text', 'plen', 'P')}, 6) AS confidence FROM pairs WHERE hit
+UNION ALL
+SELECT p.path, p.lineno, p.sig_id, p.name, p.severity, p.pattern_ord, p.text, round(s.sim, 6)
+FROM pairs p JOIN sims s ON s.text = p.text AND s.pattern = p.pattern WHERE NOT p.hit AND s.sim >= 0.7"""

@@ -236,3 +236,19 @@ def test_full_check_last_position_wins(files_df):
     full = {r.check: r for r in K.full_check(files, K.security_check(files), K.ALL_CHECKS).collect()}
     assert full["sensitive_data"].details["password"] == content.rindex("password")
     assert full["sensitive_data"].n_issues == 2 and not full["file_access"].has_issues
+
+
+def test_fix_similarity_brute_force(spark, files_df):
+    import difflib
+    from codesift.operators import semantic as SE
+    code = "import os\nx = 1\nos.system(cmd)\ny = 2\nsubprocess.call(c, shell=True)\n"
+    files = files_df([("a.py", code)])
+    sigs = CAT.cwe_signatures(spark).where(F.col("sig_id") == "CWE-78")
+    m = D.detect_first(files, sigs)
+    got = {(r.pattern_ord, round(r.confidence, 9)) for r in SE.fix_similarity(m, sigs).collect()}
+    fixes = CAT.CWE_SIGNATURES["signatures"][0]["fix_patterns"]
+    exp = set()
+    for r in m.collect():
+        best = max(difflib.SequenceMatcher(None, r.matched_code, f).ratio() for f in fixes)
+        exp.add((r.pattern_ord, round(max(0.5, best * 0.8), 9)))
+    assert got == exp and len(got) >= 2
