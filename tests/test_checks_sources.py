@@ -187,3 +187,22 @@ def test_go_form_call_checks(files_df):
     assert inp == [("bufio.NewScanner", 4), ("fmt.Scanln", 3)]
     sand = sorted((r.matched, r.line_no) for r in K.sandbox_escape_go(calls).collect())
     assert sand == [("exec.Command", 5), ("os.Remove", 6)]
+
+
+def test_scan_directory_end_to_end(spark, tmp_path):
+    from codesift.plans.directory import scan_directory
+    src = tmp_path / "proj"
+    (src / "pkg").mkdir(parents=True)
+    (src / "vendor").mkdir()
+    (src / "pkg" / "a.py").write_text("import pickle\nobj = pickle.loads(blob)\ntry:\n    f()\nexcept:\n    pass\n")
+    (src / "pkg" / "b.js").write_text("el.innerHTML = html;\nconsole.log(x);\n")
+    (src / "vendor" / "c.py").write_text("eval(x)\n")
+    out = tmp_path / "report"
+    findings = scan_directory(spark, str(src), str(out), formats=("json", "xml"), exclude=["vendor"])
+    got = sorted((r.path, r.sig_id, r.line_start) for r in findings.collect())
+    assert got == [("pkg/a.py", "PY003", 2), ("pkg/a.py", "PY011", 5), ("pkg/a.py", "PY012", 5),
+                   ("pkg/b.js", "JS003", 1), ("pkg/b.js", "JS011", 2)]
+    summary = spark.read.json(str(out / "json" / "summary")).first()
+    assert (summary.total_files, summary.high, summary.medium, summary.low) == (2, 2, 2, 1)
+    xml = spark.read.format("xml").option("rowTag", "file").load(str(out / "xml" / "results"))
+    assert sorted(r._path for r in xml.collect()) == ["pkg/a.py", "pkg/b.js"]
