@@ -106,6 +106,51 @@ def extract_functions(lines: DataFrame, tags: DataFrame, keep_overloads: bool =
                        F.array_join("f.orig", "\n").alias("body"))
 
 
+def extract_functions_braces(lines: DataFrame) -> DataFrame:
+    """T7 without tags: C-like functions from brace depth.
+
+    ``depth`` is a running sum of ``{`` minus ``}`` over each file's lines (a
+    window partitioned by file — bounded by the file-size limit).  A
+    function starts on a line at depth 0 that opens a brace (one-line
+    functions included) and ends where the depth returns to 0; when the
+    opening brace stands alone, the signature line before it joins the
+    function, as ctags reports the name's line.  The name is the identifier
+    before ``(``.  Braces inside strings and comments count too — an
+    approximation, like any parser-free extraction.  Same output as
+    ``extract_functions``.
+    """
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("path").orderBy("line_no")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    text = F.col("text")
+    opens = F.length(text) - F.length(F.regexp_replace(text, r"\{", ""))
+    closes = F.length(text) - F.length(F.regexp_replace(text, r"\}", ""))
+    name_re = r"([A-Za-z_]\w*)\s*\("
+    d = lines.select("path", "line_no", "text", opens.alias("o"), (opens - closes).alias("delta"))
+    d = d.withColumn("after", F.sum("delta").over(upto))
+    d = d.withColumn("before", F.col("after") - F.col("delta"))
+    d = d.withColumn("start", (F.col("before") <= 0) & (F.col("o") > 0))
+    d = d.withColumn("fn", F.sum(F.when(F.col("start"), 1).otherwise(0)).over(upto))
+    d = d.withColumn("next_start", F.coalesce(F.lead("start").over(w), F.lit(False)))
+    inside = F.col("start") | (F.col("before") > 0)
+    nm = F.nullif(F.regexp_extract("text", name_re, 1), F.lit(""))
+    sig = ~inside & F.col("next_start") & nm.isNotNull()
+    rows = d.where(inside | sig).select(
+        "path", "line_no", "text", F.when(sig, F.col("fn") + 1).otherwise(F.col("fn")).alias("fid"),
+        F.when(sig, nm).alias("sig_name"), F.when(F.col("start"), nm).alias("start_name"))
+    g = rows.groupBy("path", "fid").agg(
+        F.min("line_no").alias("start_line"), F.max("line_no").alias("end_line"),
+        F.coalesce(F.max("sig_name"), F.max("start_name")).alias("name"),
+        F.sort_array(F.collect_list(F.struct("line_no", "text"))).alias("ls"))
+    g = g.where(F.col("name").isNotNull()).select(
+        "path", "name", "start_line", "end_line", F.transform("ls", lambda x: x["text"]).alias("orig"))
+    last = g.groupBy("path", "name").agg(F.max(F.struct("start_line", "end_line", "orig")).alias("f"))
+    return last.select("path", "name", F.col("f.start_line").alias("start_line"),
+                       F.col("f.end_line").alias("end_line"), F.col("f.orig").alias("orig"),
+                       F.array_join("f.orig", "\n").alias("body"))
+
+
 def tags_in_functions(tags: DataFrame) -> DataFrame:
     """Parameter / local tags lying inside a function's line range in the
     same file -> per function the parameter, data-type and local lists."""

@@ -33,3 +33,34 @@ def scan_directory(spark: SparkSession, root: str, out: str | None = None, forma
             else:
                 raise ValueError(f"unknown report format {fmt!r}")
     return findings
+
+
+def clone_scan_directory(spark: SparkSession, root: str, store_root: str, theta: float = 0.5,
+                         suffixes: Sequence[str] = (".c", ".cc", ".cpp"), tags_path: str | None = None,
+                         functions_out: str | None = None) -> DataFrame:
+    """Job A end to end: read the C/C++ files of a tree, extract functions
+    (from a ctags file when given, else by brace depth), build the three
+    forms and hashes, optionally persist the function store, load the
+    vulnerability store and detect vulnerable clones."""
+    from pyspark.sql import functions as F
+
+    from ..operators import clones as CL
+    from ..sources import vulnstore as VS
+
+    files = SF.scan_corpus(spark, root).where(F.col("path").rlike(
+        "(" + "|".join(s.replace(".", r"\.") for s in suffixes) + ")$"))
+    lines = SF.to_lines(files)
+    if tags_path:
+        tags = VS.load_tags(spark, tags_path)
+        fns = CL.extract_functions(lines, tags)
+        ids = CL.tags_in_functions(tags)
+        fns = fns.join(ids, ["path", "name", "start_line"], "left")
+        forms = CL.three_forms(fns.select("name", "path", "body", "params", "dtypes", "locals"),
+                               params_col=F.col("params"), dtypes_col=F.col("dtypes"), locals_col=F.col("locals"))
+    else:
+        fns = CL.extract_functions_braces(lines)
+        forms = CL.three_forms(fns.select("name", "path", "body"))
+    if functions_out:
+        SK.save_functions(forms.withColumn("repo", F.lit(root.rstrip("/").rsplit("/", 1)[-1])), functions_out)
+        forms = SK.load_functions(spark, functions_out)
+    return CL.detect_clones(forms, VS.load_vuln_store(spark, store_root), theta)

@@ -146,3 +146,53 @@ def test_prefix_strategy_equals_counts_and_brute_force(spark):
            for r in CL.detect_clones(functions, store, strategy="prefix").collect()}
     fl = [r.asDict(recursive=True) for r in functions.select("func_id", "dir", "norm", "abst", "norm_hash").collect()]
     assert got == brute_force_d1(fl, store)
+
+
+C_TARGET = """#include <stdio.h>
+int helper(int a) { return a + 1; }
+
+int copy_buf(char *dst, char *src, int n)
+{
+    int i;
+    for (i = 0; i <= n; i++) {
+        dst[i] = src[i];
+    }
+    log_copy(dst);
+    return n;
+}
+"""
+
+
+def test_extract_functions_braces(spark):
+    from codesift.sources.files import to_lines
+    files = spark.createDataFrame([("src/a.c", C_TARGET)], "path string, content string")
+    fns = {r.name: (r.start_line, r.end_line) for r in CL.extract_functions_braces(to_lines(files)).collect()}
+    assert fns == {"helper": (2, 2), "copy_buf": (4, 12)}
+
+
+def test_clone_scan_directory_end_to_end(spark, tmp_path):
+    import json
+    from codesift.functions import text as TX
+    from codesift.plans.directory import clone_scan_directory
+    root = tmp_path / "repo"
+    (root / "src").mkdir(parents=True)
+    (root / "src" / "a.c").write_text(C_TARGET)
+    # a patched copy in the same directory: essential line gone, patch line present -> not reported
+    (root / "src" / "b.c").write_text(C_TARGET.replace("copy_buf", "copy_fixed").replace("i <= n", "i < n"))
+    # the vulnerable body is the target function's own normalised lines
+    body_df = spark.createDataFrame([(C_TARGET.split("\n\n", 1)[1].strip("\n"),)], "b string")
+    norm = body_df.select(TX.norm_lines(F.col("b")).alias("n")).first().n
+    h = body_df.select(TX.function_hash(TX.norm_lines(F.col("b")))).first()[0]
+    store = tmp_path / "store"
+    for sub in ("vulHashes", "vulBodySet", "noOldESSLines", "patESSLines"):
+        (store / sub).mkdir(parents=True)
+    (store / "oss_idx.txt").write_text("libcopy@@V1")
+    (store / "idx2cve.txt").write_text("V1##CVE-2024-0001")
+    (store / "vulHashes" / "libcopy_hash.txt").write_text(f"{h}\tcopy_buf")
+    (store / "vulBodySet" / "V1_body.json").write_text(json.dumps({"vul_body": norm}))
+    ess = [{"vul_body": "for(i=0;i<=n;i++){", "abs_body": "for(i=0;i<=n;i++){"}]
+    (store / "noOldESSLines" / "V1_minus.txt").write_text(json.dumps(ess))
+    pat = [{"pat_body": "for(i=0;i<n;i++){", "abs_body": "for(i=0;i<n;i++){"}]
+    (store / "patESSLines" / "V1_plus.txt").write_text(json.dumps(pat))
+    got = [(r.vuln_idx, r.cve, r.name, r.path) for r in clone_scan_directory(spark, str(root), str(store)).collect()]
+    assert got == [("V1", "CVE-2024-0001", "copy_buf", "src/a.c")]
