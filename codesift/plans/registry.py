@@ -27,7 +27,7 @@ _register(S, [
 from . import security as K  # noqa: E402
 
 _register(K, ["security_checks_python", "sensitive_data_documents", "sensitive_data_pages",
-              "security_full_check"])
+              "security_full_check", "security_full_check_all"])
 
 from . import clone_jobs as CJ  # noqa: E402
 

@@ -64,12 +64,15 @@ def sql_sensitive_data_pages():
 
 
 def _details_text(col):
-    return F.array_join(F.array_sort(F.transform(F.map_entries(col), lambda e: F.concat(
+    """The details map as sorted ``text@position`` pairs; NULL when empty."""
+    text = F.array_join(F.array_sort(F.transform(F.map_entries(col), lambda e: F.concat(
         e["key"], F.lit("@"), e["value"].cast("string")))), ";")
+    return F.when(F.size(col) > 0, text)
 
 
 def q_security_full_check(spark, sf_dir):
-    """K9 over the pattern checks (call checks join in via ``full_check_with_calls``)."""
+    """K9 over the six pattern checks of every synthetic file (``security_full_check_all``
+    adds the two call checks over the Python files)."""
     files = C.syn_files(spark, sf_dir)
     findings = K.security_check(files, PY_CHECKS, "python")
     out = K.full_check(files, findings, PY_CHECKS)
@@ -87,3 +90,43 @@ pc AS (SELECT path, "check", SUM(k) AS n, string_agg(matched || '@' || CAST(p AS
 SELECT s.path, c."check", coalesce(pc.n, 0) > 0 AS has_issues, CAST(coalesce(pc.n, 0) AS BIGINT) AS n_issues,
        pc.details
 FROM syn_files s CROSS JOIN {checks} c LEFT JOIN pc ON pc.path = s.path AND pc."check" = c."check\""""
+
+
+def q_security_full_check_all(spark, sf_dir):
+    """K9 with all eight static checks over the synthetic Python files:
+    six pattern checks plus the two call checks (one ast parse; a file with
+    an ``except:`` line does not parse and counts one issue per call check)."""
+    from pyspark import StorageLevel
+    files = C.syn_files(spark, sf_dir).where(F.col("path").endswith(".py")).select("path", "content") \
+        .persist(StorageLevel.MEMORY_AND_DISK)
+    findings = K.security_check(files, PY_CHECKS, "python").unionByName(K.call_checks(files))
+    out = K.full_check(files, findings, K.ALL_CHECKS)
+    return out.select("path", "check", "has_issues", "n_issues", _details_text("details").alias("details"))
+
+
+def sql_security_full_check_all():
+    checks = values([(c,) for c in K.ALL_CHECKS], ["check"])
+    files = "(SELECT path, content FROM syn_files WHERE ends_with(path, '.py'))"
+    return f"""WITH {C.oracle_files_sql()},
+pf AS ({_findings_body(files, "python", PY_CHECKS)}),
+py AS (SELECT s.* FROM syn_lines s WHERE ends_with(path, '.py')),
+bad AS (SELECT DISTINCT path FROM py WHERE text = 'except:'),
+cf AS (
+  SELECT path, 'sandbox_escape' AS "check", 0 AS pattern_ord,
+         regexp_extract(text, '[A-Za-z_][A-Za-z0-9_.]*\\(.*\\)', 0) AS matched,
+         CAST(NULL AS INT) AS "offset", line_no
+  FROM py WHERE path NOT IN (SELECT path FROM bad)
+    AND regexp_matches(text, '(os\\.system|subprocess\\.call|eval)\\(')
+  UNION ALL
+  SELECT path, c, -1, NULL, NULL, NULL FROM bad, (VALUES ('input_validation'), ('sandbox_escape')) v(c)),
+f AS (SELECT * FROM pf UNION ALL SELECT * FROM cf),
+t AS (SELECT path, "check", matched, arg_max(coalesce("offset", line_no), pattern_ord * 1000000000 + coalesce("offset", line_no)) AS p,
+             count(*) AS k FROM f GROUP BY 1, 2, 3),
+pc AS (SELECT path, "check", SUM(k) AS n,
+              string_agg(matched || '@' || CAST(p AS VARCHAR), ';' ORDER BY matched || '@' || CAST(p AS VARCHAR))
+                FILTER (WHERE matched IS NOT NULL) AS details
+       FROM t GROUP BY 1, 2)
+SELECT s.path, c."check", coalesce(pc.n, 0) > 0 AS has_issues, CAST(coalesce(pc.n, 0) AS BIGINT) AS n_issues,
+       pc.details
+FROM {files} s CROSS JOIN {checks} c LEFT JOIN pc ON pc.path = s.path AND pc."check" = c."check\"
+"""
