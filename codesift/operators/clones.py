@@ -240,15 +240,20 @@ def containment_pairs(functions: DataFrame, bodies: DataFrame, theta: float = TH
 
 
 def jaccard_pairs(a: DataFrame, b: DataFrame, threshold: float, strict: bool = False) -> DataFrame:
-    """J9 as a join: ``a(a_id, lines)``, ``b(b_id, lines)``.
+    """J9 as a join: ``a(a_id, lines)`` (the corpus side), ``b(b_id, lines)``
+    (the store side).
 
     Shared distinct lines are counted through an equi-join on the line (no
-    cross join); the quirky denominator ``|set(a)| + |b| - inter`` uses b's
-    length with duplicates unless ``strict``.
+    cross join): ``b`` is broadcast after a row-count check, otherwise both
+    sides are salted so a hot line is spread over many tasks, and the pair
+    counts are combined map-side.  The quirky denominator
+    ``|set(a)| + |b| - inter`` uses b's length with duplicates unless
+    ``strict``.
     """
-    al = a.select("a_id", F.explode(F.array_distinct("lines")).alias("line"))
+    al = a.select(F.col("a_id").alias("func_id"), F.explode(F.array_distinct("lines")).alias("line"))
     bl = b.select("b_id", F.explode(F.array_distinct("lines")).alias("line"))
-    inter = al.join(bl, "line").groupBy("a_id", "b_id").agg(F.count(F.lit(1)).alias("inter"))
+    inter = _line_join(al, bl, ("line",)).groupBy(F.col("func_id").alias("a_id"), "b_id").agg(
+        F.count(F.lit(1)).alias("inter"))
     sizes_a = a.select("a_id", F.size(F.array_distinct("lines")).alias("na"))
     nb = F.size(F.array_distinct("lines")) if strict else F.size("lines")
     sizes_b = b.select("b_id", nb.alias("nb"))

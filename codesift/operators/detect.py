@@ -202,63 +202,6 @@ def run_detectors(inputs: Iterable[DataFrame], min_confidence: float = 0.7) -> D
     return min_confidence_filter(out, min_confidence)
 
 
-def detect_lines_multi(lines: DataFrame, groups, keep_non_re2: bool = False) -> DataFrame:
-    """D3 for several detectors in ONE pass over the lines.
-
-    ``groups``: ``(catalogue, rule, detector, exts)``.  Each pattern is
-    guarded by its detector's extension test inside the projection (not a
-    ``where``), so every detector reads the same input plan — one scan, one
-    shuffle reused — and each line is read once for all catalogues.
-    """
-    text = F.col("code")
-    lines = lines.select("path", "line_no", F.regexp_replace(F.col("text"), r"\r$", "").alias("code"),
-                         F.regexp_extract(F.col("path"), r"(\.[^./]*)$", 1).alias("_ext"))
-    hits = []
-    for catalog, rule, detector, exts in groups:
-        applies = F.col("_ext").isin(list(exts))
-        for sig_id, name, severity, ordinal, pattern in _pattern_rows(catalog):
-            if not keep_non_re2 and not re2_compatible(pattern):
-                continue
-            jp = TX.java_for_rule(pattern, rule)
-            plen = len(pattern.encode("utf-8"))
-            hits.append(F.when(applies & literal_guard(text, pattern) & text.rlike(jp), F.struct(
-                F.lit(detector).alias("detector"), F.lit(sig_id).alias("sig_id"), F.lit(name).alias("name"),
-                F.lit(severity).alias("severity"), TX.confidence(text, plen, rule).alias("confidence"))))
-    found = F.filter(F.array(*hits), lambda h: h.isNotNull())
-    return (lines.select("path", "line_no", text.alias("code"), found.alias("hits"))
-            
-            .select("path", "line_no", "code", F.explode("hits").alias("h"))
-            .select(F.col("h.detector").alias("detector"), F.col("h.sig_id").alias("sig_id"),
-                    F.col("h.name").alias("name"), F.col("h.severity").alias("severity"), "path",
-                    F.col("line_no").alias("line_start"), F.col("line_no").alias("line_end"),
-                    F.col("code").alias("matched_code"), F.col("h.confidence").alias("confidence")))
-
-
-def block_checks_multi(files: DataFrame, languages=("python", "javascript")) -> DataFrame:
-    """D5 + D6 in ONE pass over the files, each check guarded by its
-    detector's extension test."""
-    content = F.col("content")
-    files = files.select("path", "content", F.regexp_extract(F.col("path"), r"(\.[^./]*)$", 1).alias("_ext"))
-    per = []
-    for language in languages:
-        table = CAT.PYTHON_BLOCK_CHECKS if language == "python" else CAT.JAVASCRIPT_BLOCK_CHECKS
-        applies = F.col("_ext").isin(PY_EXTS if language == "python" else JS_EXTS)
-        for sig_id, name, sev, _d, p, conf, suffix in table:
-            jp = to_java(p, RE2)
-            per.append(F.when(applies & content.rlike(jp), F.struct(
-                F.lit(language).alias("detector"), F.lit(sig_id).alias("sig_id"), F.lit(name).alias("name"),
-                F.lit(sev).alias("severity"), F.lit(float(conf)).alias("confidence"), F.lit(suffix).alias("suffix"),
-                TX.all_matches(content, jp).alias("ms"))))
-    found = F.filter(F.array(*per), lambda h: h.isNotNull())
-    hits = (files.select("path", found.alias("hits"))
-            .select("path", F.explode("hits").alias("h"))
-            .select("path", "h.detector", "h.sig_id", "h.name", "h.severity", "h.confidence", "h.suffix",
-                    F.explode("h.ms").alias("m")))
-    return hits.select("detector", "sig_id", "name", "severity", "path",
-                       F.col("m.line_start").alias("line_start"), F.col("m.line_start").alias("line_end"),
-                       F.concat(F.col("m.text"), F.col("suffix")).alias("matched_code"), "confidence")
-
-
 def scan_files_fused(files: DataFrame, line_groups, block_languages=("python", "javascript"),
                      keep_non_re2: bool = False) -> DataFrame:
     """D3 + D5/D6 fused into ONE projection over ``files(path, content)``.
