@@ -108,7 +108,7 @@ def _detect_lines_join(lines: DataFrame, patterns: DataFrame, rule: str, detecto
                            F.concat(F.lit(prefix), "pattern").alias("jp"),
                            F.octet_length("pattern").alias("plen"))
     text = F.regexp_replace(F.col("text"), r"\r$", "")
-    j = lines.select("path", "line_no", text.alias("code")).join(pats, F.col("code").rlike(F.col("jp")))
+    j = lines.select("path", "line_no", text.alias("code")).join(F.broadcast(pats), F.expr("code RLIKE jp"))
     return j.select(F.lit(detector).alias("detector"), "sig_id", "name", "severity", "path",
                     F.col("line_no").alias("line_start"), F.col("line_no").alias("line_end"),
                     F.col("code").alias("matched_code"),
@@ -148,8 +148,13 @@ def _file_hits(files: DataFrame, specs: list[tuple], content: Column) -> DataFra
 def detect_all(files: DataFrame, patterns, rule: str = "P", detector: str = "signature",
                min_confidence: float = 0.7, keep_non_re2: bool = True) -> DataFrame:
     """Every match in the whole file (may span lines), confidence by rule
-    ``P`` (Python CLI) or ``G-vul`` (Go signature detector); keep >= threshold."""
-    rows = _pattern_rows(patterns)
+    ``P`` (Python CLI) or ``G-vul`` (Go signature detector); keep >= threshold.
+    Catalogues above ``MAX_UNROLLED`` patterns run as a broadcast join with
+    column patterns (``_detect_all_join``)."""
+    try:
+        rows = _pattern_rows(patterns)
+    except OverflowError:
+        return _detect_all_join(files, patterns, rule, detector, min_confidence)
     specs = []
     for sig_id, name, severity, ordinal, pattern in rows:
         if rule != "P" and not keep_non_re2 and not re2_compatible(pattern):
@@ -165,6 +170,40 @@ def detect_all(files: DataFrame, patterns, rule: str = "P", detector: str = "sig
     return min_confidence_filter(out, min_confidence)
 
 
+def _detect_all_join(files: DataFrame, patterns: DataFrame, rule: str, detector: str,
+                     min_confidence: float) -> DataFrame:
+    """D2 for catalogues too large to unroll: files x patterns as a
+    broadcast nested-loop join on ``rlike`` with a column pattern (the
+    catalogue side is broadcast; it is configuration, bounded by memory),
+    then the same extract/split interleave with column patterns."""
+    prefix = "(?dU)" if rule == "P" else "(?d)"
+    plen = F.length("pattern") if rule == "P" else F.octet_length("pattern")
+    pats = patterns.select("sig_id", "name", "severity", "pattern_ord",
+                           F.concat(F.lit(prefix), "pattern").alias("jp"), plen.alias("plen"))
+    j = files.select("path", "content").join(F.broadcast(pats), F.expr("content RLIKE jp"))
+    m = F.expr("regexp_extract_all(content, jp, 0)")
+    gaps = F.expr("split(content, jp, -1)")
+    steps = F.slice(F.zip_with(m, gaps, lambda mt, gap: F.struct(
+        TX.newline_count(gap).alias("g"), TX.newline_count(mt).alias("t"), mt.alias("text"))), 1, F.size(m))
+    init = F.struct(F.lit(1).alias("line"), F.array().cast(
+        "array<struct<text:string,line_start:int,line_end:int>>").alias("out"))
+
+    def step(acc, x):
+        start = acc["line"] + x["g"]
+        end = start + x["t"]
+        rec = F.struct(x["text"].alias("text"), start.cast("int").alias("line_start"),
+                       end.cast("int").alias("line_end"))
+        return F.struct(end.alias("line"), F.array_append(acc["out"], rec).alias("out"))
+
+    ms = F.aggregate(steps, init, step, lambda acc: acc["out"])
+    out = j.select("sig_id", "name", "severity", "path", "plen", F.explode(ms).alias("m")).select(
+        F.lit(detector).alias("detector"), "sig_id", "name", "severity", "path",
+        F.col("m.line_start").alias("line_start"), F.col("m.line_end").alias("line_end"),
+        F.col("m.text").alias("matched_code"),
+        TX.confidence(F.col("m.text"), F.col("plen"), rule).alias("confidence"))
+    return min_confidence_filter(out, min_confidence)
+
+
 # --- D5 / D6: block checks ------------------------------------------------------
 
 def block_checks(files: DataFrame, language: str = "python") -> DataFrame:

@@ -50,7 +50,11 @@ def scan_corpus(spark: SparkSession, root: str, max_bytes: int | None = DEFAULT_
         reader = reader.option("pathGlobFilter", glob)
     raw = reader.load(root)
     base = root.rstrip("/")
-    rel = F.regexp_replace(F.col("path"), r"^(file:)?/*" + re.escape(base.lstrip("/")) + "/?", "")
+    # compare URI paths without scheme and authority (file:, hdfs://host, s3a://bucket)
+    uri = r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?"
+    base_path = re.sub(uri, "", base).lstrip("/")
+    no_uri = F.regexp_replace(F.col("path"), uri, "")
+    rel = F.regexp_replace(no_uri, r"^/*" + re.escape(base_path) + "/?", "")
     meta = raw.select(rel.alias("path"), F.col("length").alias("size"), "content")
     if max_bytes is not None:
         meta = limit_size(meta, max_bytes)

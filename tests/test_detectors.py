@@ -252,3 +252,34 @@ def test_fix_similarity_brute_force(spark, files_df):
         best = max(difflib.SequenceMatcher(None, r.matched_code, f).ratio() for f in fixes)
         exp.add((r.pattern_ord, round(max(0.5, best * 0.8), 9)))
     assert got == exp and len(got) >= 2
+
+
+def test_detect_all_large_catalogue_fallback(spark, files_df, monkeypatch):
+    files = files_df([("src/vulnerable.py", VULNERABLE_PY)])
+    sigs = spark.createDataFrame([(i, n, s, d, None, None, [], p, [], []) for i, n, s, d, p in TEST_SIGNATURES],
+                                 CAT.SIGNATURE_SCHEMA)
+    pats = CAT.patterns_of(sigs)
+    unrolled = rows(D.detect_all(files, pats, "P"), "sig_id", "line_start", "matched_code", "confidence")
+    monkeypatch.setattr(D, "MAX_UNROLLED", 1)
+    joined = rows(D.detect_all(files, pats, "P"), "sig_id", "line_start", "matched_code", "confidence")
+    assert joined == unrolled and len(joined) == 2
+
+
+def test_scan_corpus_relative_paths_with_uri_root(spark, tmp_path):
+    from codesift.sources import files as SF
+    (tmp_path / "r" / "d").mkdir(parents=True)
+    (tmp_path / "r" / "d" / "x.py").write_text("a = 1\n")
+    for root in (str(tmp_path / "r"), "file://" + str(tmp_path / "r"), str(tmp_path / "r") + "/"):
+        assert [r.path for r in SF.scan_corpus(spark, root).collect()] == ["d/x.py"]
+
+
+def test_detect_lines_large_catalogue_fallback(spark, files_df, monkeypatch):
+    code = "x = eval(data)\npassword = 'hunter22'\n"
+    lines = to_lines(files_df([("a.py", code)]))
+    sigs = CAT.builtin_signatures(spark, "python")
+    pats = CAT.patterns_of(sigs)
+    unrolled = rows(D.detect_lines(lines, pats, "G-py"), "sig_id", "line_start", "confidence")
+    monkeypatch.setattr(D, "MAX_UNROLLED", 1)
+    joined = rows(D.detect_lines(lines, pats, "G-py"), "sig_id", "line_start", "confidence")
+    assert joined == unrolled
+    assert [(sig, line) for sig, line, _c in joined] == [("PY001", 1), ("PY006", 2)]
