@@ -206,3 +206,25 @@ def test_scan_directory_end_to_end(spark, tmp_path):
     assert (summary.total_files, summary.high, summary.medium, summary.low) == (2, 2, 2, 1)
     xml = spark.read.format("xml").option("rowTag", "file").load(str(out / "xml" / "results"))
     assert sorted(r._path for r in xml.collect()) == ["pkg/a.py", "pkg/b.js"]
+
+
+def test_lineage_helpers_and_jaccard_column(spark):
+    from codesift.functions import text as TX
+    from codesift.session import cut_lineage, materialize
+    df = spark.range(10).withColumn("sq", F.col("id") * F.col("id"))
+    m = materialize(df, "squares")
+    assert sorted(r.sq for r in m.collect()) == [i * i for i in range(10)]
+    c = cut_lineage(df.where(F.col("id") > 4))
+    assert c.count() == 5
+    j = spark.createDataFrame([(["a", "b", "c"], ["a", "a", "b"])], "x array<string>, y array<string>")
+    quirk, strict = j.select(TX.jaccard("x", "y"), TX.jaccard("x", "y", strict=True)).first()
+    assert abs(quirk - 2 / (3 + 3 - 2)) < 1e-12 and abs(strict - 2 / 3) < 1e-12
+
+
+def test_first_match_strict_extension_parity(spark, files_df):
+    from codesift.operators import detect as D
+    from codesift.sources import catalog as CAT
+    files = files_df([("a.py", "os.system(cmd)\n")])
+    sigs = CAT.cwe_signatures(spark)
+    assert D.detect_first(files, sigs, strict_ext=True).count() == 0  # raw 'py' never equals 'python'
+    assert D.detect_first(files, sigs, strict_ext=False).count() > 0
