@@ -6,19 +6,23 @@ Plan at scale
 bounded by the number of known vulnerabilities, not by the corpus.
 
 1. J1  hash hits: ``functions.norm_hash`` = known vulnerable hash — an
-   equi-join against the store's hash table (broadcast after a size check,
-   shuffled hash join above it).
-2. J2  reused vulnerabilities and J3 directory reduction: semi-joins.
-3. J8  candidate pairs: *no* cross join.  Distinct (function, line) rows are
-   joined on the line to the store's distinct (vulnerability, line) rows and
-   counted per pair; only pairs whose shared-line count can reach the
-   threshold survive.  The store side is broadcast when its size is checked
-   small; otherwise both sides are salted on the line so a line shared by a
-   third of all functions (``''``, ``}``, ``return0;``) is spread over many
-   tasks instead of one.
-4. The remaining rules (essential lines ⊆ function, dependency lines with
-   fallback, no new patch line) are array predicates evaluated only on the
-   candidate pairs.
+   equi-join against the store's hash table (broadcast after a row-count
+   check, shuffled join above it).
+2. J2  reused vulnerabilities and J3 directory reduction: semi-joins (the
+   directory list is broadcast after a check).
+3. Pairs, never a cross join.  Strategy ``counts``: each function's distinct
+   normalised / abstract lines are joined on the line to every store line
+   set (vulnerable body, oldest body, essential, dependency, patch lines)
+   and counted per (function, vulnerability) in one partial-aggregated
+   shuffle; containment (J8) and the rules J5/J6/J7 are comparisons of
+   those counts with the set sizes.  Strategy ``prefix`` (chosen when one
+   line belongs to many store sets): candidates come only from each body's
+   rarest lines (prefix filtering), exact counts from the arrays.
+4. Store-side tables are small by construction; they are collected once
+   into local relations after a row-count check (what a broadcast does
+   anyway) so jobs never re-run their lineage; above the bound they are
+   checkpointed and the line join is salted so a line shared by a third of
+   all functions (``''``, ``}``, ``return0;``) spreads over many tasks.
 """
 
 from __future__ import annotations
