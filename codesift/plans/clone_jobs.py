@@ -329,3 +329,19 @@ SELECT vuln_idx, func_id, flag, is_abs, cv AS vul_ok,
        WHEN flag = 2 THEN (CASE WHEN is_abs THEN NOT list_has_any(new_abs_pat, y) ELSE NOT list_has_any(new_pat, x) END)
        ELSE true END AS patch_ok
 FROM ev WHERE cv OR co"""
+
+
+def q_text_forms_lines(spark, sf_dir):
+    """T1 / T2 / T3 per corpus line (whole lines, every line)."""
+    lines = C.syn_lines(spark, sf_dir)
+    return lines.select("path", "line_no", TX.normalize_line("text").alias("t1"),
+                        TX.normalize_for_hash("text").alias("t2"), TX.strip_comments("text").alias("t3"))
+
+
+def sql_text_forms_lines():
+    t3 = ST.T3_RE2.replace("'", "''")
+    return f"""WITH {C.oracle_lines_sql()}
+SELECT path, line_no, {_n('text')} AS t1,
+       lower(translate(text, chr(10) || chr(13) || chr(9) || '{{}} ', '')) AS t2,
+       regexp_replace(text, '{t3}', '\\3', 'g') AS t3
+FROM syn_lines"""
