@@ -58,7 +58,8 @@ def q_first_match_fix_similarity(spark, sf_dir):
 def q_first_match_context(spark, sf_dir):
     """Symbols of each match's file attached (counts of imports and
     variables; 0 for files without symbols or that do not parse)."""
-    files = C.syn_files(spark, sf_dir)
+    from pyspark import StorageLevel
+    files = C.syn_files(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)  # read by two branches
     m = D.detect_first(files, _cwe(spark), strict_ext=False)
     ctx = SY.attach_context(m.select("sig_id", "pattern_ord", "path", "line_start"), SY.symbol_table(files))
     n = lambda c: F.when(F.col(c).isNull(), F.lit(0)).otherwise(F.size(c))

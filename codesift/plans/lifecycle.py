@@ -236,7 +236,9 @@ def q_incremental_scan(spark, sf_dir):
     """A first pass with an empty state, then a second pass with the
     first pass's state; the second pass rescans nothing and returns the
     full result."""
-    files = C.syn_files(spark, sf_dir).select("path", F.sha2("content", 256).alias("sha256"), "content")
+    from pyspark import StorageLevel
+    files = C.syn_files(spark, sf_dir).select("path", F.sha2("content", 256).alias("sha256"), "content") \
+        .persist(StorageLevel.MEMORY_AND_DISK)  # read by the anti-join, the detectors and the semi-join
     empty_files = spark.createDataFrame([], "path string, sha256 string")
     empty_res = spark.createDataFrame([], D.match_schema() + ", sha256 string")
     res1, state1, _fresh1 = STR.scan_incremental(files, empty_files, empty_res, _go_detect)

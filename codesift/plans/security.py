@@ -73,7 +73,8 @@ def _details_text(col):
 def q_security_full_check(spark, sf_dir):
     """K9 over the six pattern checks of every synthetic file (``security_full_check_all``
     adds the two call checks over the Python files)."""
-    files = C.syn_files(spark, sf_dir)
+    from pyspark import StorageLevel
+    files = C.syn_files(spark, sf_dir).select("path", "content").persist(StorageLevel.MEMORY_AND_DISK)
     findings = K.security_check(files, PY_CHECKS, "python")
     out = K.full_check(files, findings, PY_CHECKS)
     return out.select("path", "check", "has_issues", "n_issues", _details_text("details").alias("details"))
