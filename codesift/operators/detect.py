@@ -307,8 +307,9 @@ def go_directory_scan(files: DataFrame, lines: DataFrame | None = None, min_conf
 
 # --- D4 + J12: first-match detector of the Python CLI --------------------------------
 
-def applicable(files: DataFrame, signatures: DataFrame, strict_ext: bool = False) -> DataFrame:
-    """(file, signature) pairs where the signature applies to the file.
+def applicable(files: DataFrame, strict_ext: bool = False) -> DataFrame:
+    """Adds ``_lang``, the key a signature's ``affected_languages`` is
+    tested against (per pattern, in ``detect_first``).
 
     ``strict_ext=True`` reproduces the reference, which compares the raw
     extension (``py``) with language names (``python``).
@@ -331,7 +332,7 @@ def detect_first(files: DataFrame, signatures, strict_ext: bool = False, context
     """
     rows = signatures.select("sig_id", "name", "severity", "affected_languages", "code_patterns") \
         .limit(MAX_UNROLLED + 1).collect() if isinstance(signatures, DataFrame) else signatures
-    tagged = applicable(files, None, strict_ext)
+    tagged = applicable(files, strict_ext)
     content = F.col("content")
     per = []
     for r in rows:

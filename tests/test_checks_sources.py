@@ -228,3 +228,19 @@ def test_first_match_strict_extension_parity(spark, files_df):
     sigs = CAT.cwe_signatures(spark)
     assert D.detect_first(files, sigs, strict_ext=True).count() == 0  # raw 'py' never equals 'python'
     assert D.detect_first(files, sigs, strict_ext=False).count() > 0
+
+
+def test_large_file_and_many_files_bounds(spark, files_df):
+    import time
+    stmts = "\n".join(f"x{i} = random.randint(1, {i})" if i % 100 == 0 else f"y{i} = {i}" for i in range(10_000))
+    files = files_df([("big.py", stmts)])
+    t0 = time.time()
+    full = K.full_check(files, K.security_check(files), K.ALL_CHECKS).collect()
+    assert time.time() - t0 < 30
+    rnd = [r for r in full if r.check == "random_generation"][0]
+    assert rnd.n_issues == 100
+    same = files_df([(f"f{i}.py", "import random\nv = random.random()\n") for i in range(100)])
+    t0 = time.time()
+    rows = K.full_check(same, K.security_check(same), K.ALL_CHECKS).where("has_issues").collect()
+    assert time.time() - t0 < 60
+    assert len({r.path for r in rows}) == 100
