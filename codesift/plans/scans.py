@@ -356,3 +356,31 @@ m AS (SELECT sig_id, name, severity, path, line_start, line_end, mtext AS matche
 SELECT m.sig_id, m.name, m.severity, coalesce(s.severity_norm, m.severity) AS severity_norm, s.severity_rank,
        m.path, m.line_start, m.line_end, m.matched_code, m.confidence
 FROM m LEFT JOIN {scale} s ON s.severity = m.severity WHERE m.confidence >= 0.7"""
+
+
+# --- X1: a user detector registered next to the built-ins ------------------------------
+
+def q_registered_detectors_scan(spark, sf_dir):
+    """X1 + D9: the default registry (python, javascript) plus a registered
+    detector running the CWE signature all-match scan on Python files."""
+    from ..operators.registry import default_registry, register_detector
+    sigs = CAT.CWE_SIGNATURES["signatures"]
+    cat = [(s["id"], s["name"], s["severity"], s["description"], s["code_patterns"]) for s in sigs]
+    reg = register_detector(default_registry(), "cwe", ["py"],
+                            lambda files: D.detect_all(files, cat, "P", "cwe", 0.0))
+    files, _ = _corpus(spark, sf_dir)
+    return _round(reg.run(files.select("path", "content"), 0.7))
+
+
+def sql_registered_detectors_scan():
+    rows = []
+    for s in CAT.CWE_SIGNATURES["signatures"]:
+        for i, p in enumerate(s["code_patterns"]):
+            rows.append((s["id"], s["name"], s["severity"], i, p, len(p)))
+    pats = values(rows, ["sig_id", "name", "severity", "pattern_ord", "pattern", "plen"])
+    py = "(SELECT path, content FROM syn_files WHERE ends_with(path, '.py'))"
+    return _with_scan() + f""",
+cwe AS (SELECT 'cwe' AS detector, sig_id, name, severity, path, line_start, line_end, mtext AS matched_code,
+               round({conf_sql('mtext', 'plen', 'P')}, 6) AS confidence
+        FROM {all_matches_sql(py, pats, 'sig_id, pattern_ord')} x)
+SELECT * FROM m UNION ALL SELECT * FROM cwe WHERE confidence >= 0.7"""
