@@ -80,12 +80,13 @@ def sql_exclude_globs_path():
 # --- S10 -------------------------------------------------------------------------------
 
 def _code_rows(spark, sf_dir):
-    """Inline code rows: every synthetic line (language from its extension)
-    and every document (language = its natural language, unsupported)."""
+    """Inline code rows: every synthetic line (language from its extension;
+    assignment lines carry their file name, the others get the default) and
+    every document (language = its natural language, unsupported)."""
     lines = C.syn_lines(spark, sf_dir).select(
         F.col("text").alias("code"),
         F.when(F.col("path").endswith(".py"), "python").otherwise("javascript").alias("language"),
-        F.when(F.col("line_no") % 2 == 0, F.col("path")).alias("fileName"))
+        F.when(F.col("text").contains("="), F.col("path")).alias("fileName"))
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(
         F.col("text").alias("code"), F.col("lang").alias("language"), F.lit(None).cast("string").alias("fileName"))
     return lines.unionByName(docs)
@@ -100,7 +101,7 @@ def _code_rows_sql() -> str:
     return f"""{C.oracle_lines_sql()},
 rows AS (
   SELECT text AS code, CASE WHEN ends_with(path, '.py') THEN 'python' ELSE 'javascript' END AS language,
-         CASE WHEN line_no % 2 = 0 THEN path END AS fileName FROM syn_lines
+         CASE WHEN contains(text, '=') THEN path END AS fileName FROM syn_lines
   UNION ALL SELECT text, lang, NULL FROM documents),
 named AS (SELECT code, language, coalesce(CASE WHEN fileName <> '' THEN fileName END, 'code.' || language) AS path
           FROM rows)"""

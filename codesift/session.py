@@ -58,7 +58,8 @@ def cluster_conf(input_tb: float = 100.0, executors: int = 1000, cores_per_execu
         "spark.sql.autoBroadcastJoinThreshold": str(64 * 1024 ** 2),
         "spark.sql.legacy.javaCharsets": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
-        "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+        # rows of the Python adapters are whole files: keep Arrow batches small
+        "spark.sql.execution.arrow.maxRecordsPerBatch": "256",
     }
 
 
