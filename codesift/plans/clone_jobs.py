@@ -345,3 +345,17 @@ SELECT path, line_no, {_n('text')} AS t1,
        lower(translate(text, chr(10) || chr(13) || chr(9) || '{{}} ', '')) AS t2,
        regexp_replace(text, '{t3}', '\\3', 'g') AS t3
 FROM syn_lines"""
+
+
+def q_brace_functions(spark, sf_dir):
+    """T7 without tags over the C view of the corpus (brace depth)."""
+    from ..sources.files import to_lines
+    return CL.extract_functions_braces(to_lines(C.syn_c_files(spark, sf_dir))).select(
+        "path", "name", "start_line", "end_line")
+
+
+def sql_brace_functions():
+    return f"""WITH {C.oracle_files_sql()}
+SELECT regexp_replace(path, '\\.(py|js)$', '.c') AS path, 'f' || CAST(file_id AS VARCHAR) AS name,
+       1 AS start_line, n_lines + 3 AS end_line
+FROM syn_files"""

@@ -53,8 +53,8 @@ def lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
 def syn_files(spark: SparkSession, sf_dir: str, source: DataFrame | None = None) -> DataFrame:
     """``files``: ``file_id, path, lines array<string>, content, n_lines``.
 
-    One partial-free aggregation per file key: the sorted ``collect_list`` of
-    a file's lines.  A file is the scanner's atomic unit (the reference reads
+    One aggregation per file key (partial ``collect_list`` map-side, then
+    one shuffle): the sorted list of a file's lines.  A file is the scanner's atomic unit (the reference reads
     each file whole); at production scale files come from ``scan_corpus``
     (one row per file, no shuffle at all).
     """
@@ -112,3 +112,15 @@ syn_files AS (
   SELECT file_id, path, string_agg(text, chr(10) ORDER BY line_no) AS content,
          list(text ORDER BY line_no) AS lines, CAST(count(*) AS INT) AS n_lines
   FROM syn_lines GROUP BY file_id, path)"""
+
+
+def syn_c_files(spark: SparkSession, sf_dir: str, files: DataFrame | None = None) -> DataFrame:
+    """A C-style view of the corpus: each file becomes one function
+    ``int f<id>(int a)`` whose body is the file's lines as statements — for
+    the tag-free function extraction (brace depth).  ``path, content``."""
+    files = files if files is not None else syn_files(spark, sf_dir)
+    body = F.array_join(F.transform("lines", lambda x: F.concat(F.lit("    "), x, F.lit(";"))), "\n")
+    return files.select(
+        F.regexp_replace("path", r"\.(py|js)$", ".c").alias("path"),
+        F.concat(F.lit("int f"), F.col("file_id").cast("string"), F.lit("(int a)\n{\n"), body,
+                 F.lit("\n}\n")).alias("content"))

@@ -34,7 +34,8 @@ from . import clone_jobs as CJ  # noqa: E402
 _register(CJ, ["function_forms", "exact_clone_groups", "document_line_hashes", "clone_hash_hits",
                "clone_reused_vulns", "clone_reduced_functions", "clone_containment", "clone_jaccard",
                "benchmark_containment", "store_corpus_line_intersect", "store_corpus_line_union",
-               "vuln_store_rules", "clone_findings", "clone_rule_checks", "text_forms_lines"])
+               "vuln_store_rules", "clone_findings", "clone_rule_checks", "text_forms_lines",
+               "brace_functions"])
 
 from . import symbol_jobs as SJ  # noqa: E402
 
