@@ -359,3 +359,19 @@ def sql_brace_functions():
 SELECT regexp_replace(path, '\\.(py|js)$', '.c') AS path, 'f' || CAST(file_id AS VARCHAR) AS name,
        1 AS start_line, n_lines + 3 AS end_line
 FROM syn_files"""
+
+
+def q_clone_findings_by_cve(spark, sf_dir):
+    """Rollup over D1: affected functions and files per CVE (partial
+    aggregation, one small shuffle)."""
+    f = q_clone_findings(spark, sf_dir)
+    return f.groupBy("vuln_idx", "cve").agg(F.count(F.lit(1)).alias("n_functions"),
+                                            F.countDistinct("path").alias("n_files"),
+                                            F.count_if(F.col("matched_on") == "old").alias("n_via_old_body"))
+
+
+def sql_clone_findings_by_cve():
+    return f"""WITH d AS ({sql_clone_findings()})
+SELECT vuln_idx, cve, count(*) AS n_functions, count(DISTINCT path) AS n_files,
+       count(*) FILTER (WHERE matched_on = 'old') AS n_via_old_body
+FROM d GROUP BY 1, 2"""
