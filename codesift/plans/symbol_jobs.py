@@ -161,7 +161,7 @@ FROM calls c JOIN {pats} p ON regexp_matches(c.func_name, p.pattern)"""
 
 
 def q_similar_calls(spark, sf_dir):
-    """D8 + J14 (rows-only check: DuckDB has no LCS)."""
+    """D8 + J14: regex hit (rule P) or LCS similarity per call and pattern."""
     m = SY.match_similar_calls(_calls(spark, sf_dir), _cwe_catalog(), 0.7)
     return m.withColumn("confidence", F.round("confidence", 6))
 
