@@ -375,3 +375,18 @@ def sql_clone_findings_by_cve():
 SELECT vuln_idx, cve, count(*) AS n_functions, count(DISTINCT path) AS n_files,
        count(*) FILTER (WHERE matched_on = 'old') AS n_via_old_body
 FROM d GROUP BY 1, 2"""
+
+
+def q_clone_findings_c(spark, sf_dir):
+    """Job A on the C view of the corpus: functions by brace depth (no tags),
+    three forms, the per-nation store built the same way, D1."""
+    from pyspark import StorageLevel
+    functions = C.syn_c_functions(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
+    return CL.detect_clones(functions, ST.build_store(spark, sf_dir, c_view=True), THETA)
+
+
+def sql_clone_findings_c():
+    base = f"WITH {C.oracle_files_sql()},\n{C.oracle_c_files_sql()},\n{ST.oracle_functions_sql('syn_cfuncs')},\n" \
+           f"{ST.oracle_store_sql()}"
+    body = sql_clone_findings()
+    return base + body[body.index(",\nhits AS"):]

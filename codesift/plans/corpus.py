@@ -124,3 +124,27 @@ def syn_c_files(spark: SparkSession, sf_dir: str, files: DataFrame | None = None
         F.regexp_replace("path", r"\.(py|js)$", ".c").alias("path"),
         F.concat(F.lit("int f"), F.col("file_id").cast("string"), F.lit("(int a)\n{\n"), body,
                  F.lit("\n}\n")).alias("content"))
+
+
+def syn_c_functions(spark: SparkSession, sf_dir: str, files: DataFrame | None = None) -> DataFrame:
+    """Functions of the C view, extracted by brace depth (no tags), with the
+    three forms; locals are the assigned names, as for ``syn_functions``."""
+    from ..operators import clones
+    from ..sources.files import to_lines
+    c = syn_c_files(spark, sf_dir, files)
+    fns = clones.extract_functions_braces(to_lines(c))
+    fns = fns.select("name", "path", "body",
+                     F.regexp_extract("name", r"^f(\d+)$", 1).cast("long").alias("file_id"))
+    return clones.three_forms(fns, locals_col=assigned_names(F.col("body")))
+
+
+def oracle_c_files_sql() -> str:
+    """``syn_cfuncs``: the C view's function bodies (file content without the
+    final newline — the brace extraction's span) in ``oracle_functions_sql``'s
+    input shape (needs ``syn_files``)."""
+    body = ("'int f' || CAST(file_id AS VARCHAR) || '(int a)' || chr(10) || '{' || chr(10) || "
+            "array_to_string(list_transform(lines, lambda x: '    ' || x || ';'), chr(10)) || chr(10) || '}'")
+    return f"""syn_cfuncs AS (
+  SELECT file_id, regexp_replace(path, '\\.(py|js)$', '.c') AS path, {body} AS content,
+         []::VARCHAR[] AS lines
+  FROM syn_files)"""

@@ -35,7 +35,7 @@ _register(CJ, ["function_forms", "exact_clone_groups", "document_line_hashes", "
                "clone_reused_vulns", "clone_reduced_functions", "clone_containment", "clone_jaccard",
                "benchmark_containment", "store_corpus_line_intersect", "store_corpus_line_union",
                "vuln_store_rules", "clone_findings", "clone_rule_checks", "text_forms_lines",
-               "brace_functions", "clone_findings_by_cve"])
+               "brace_functions", "clone_findings_by_cve", "clone_findings_c"])
 
 from . import symbol_jobs as SJ  # noqa: E402
 

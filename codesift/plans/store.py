@@ -50,7 +50,7 @@ def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
         "nationkey", "n_name", "regionkey", "r_name", "v.version", "v.orderkey")
 
 
-def version_functions(spark: SparkSession, sf_dir: str, vers: DataFrame) -> DataFrame:
+def version_functions(spark: SparkSession, sf_dir: str, vers: DataFrame, c_view: bool = False) -> DataFrame:
     """The three forms of every version's function (75 functions).
 
     The version keys are bounded (three per nation), so they become a
@@ -58,7 +58,8 @@ def version_functions(spark: SparkSession, sf_dir: str, vers: DataFrame) -> Data
     (row-group pruning on ``l_orderkey`` statistics) instead of a join."""
     keys = sorted({r.orderkey for r in vers.select("orderkey").distinct().limit(10_000).collect()})
     li = C.lineitem(spark, sf_dir).where(F.col("l_orderkey").isin(keys))
-    fn = C.syn_functions(spark, sf_dir, C.syn_files(spark, sf_dir, source=li))
+    files = C.syn_files(spark, sf_dir, source=li)
+    fn = C.syn_c_functions(spark, sf_dir, files) if c_view else C.syn_functions(spark, sf_dir, files)
     vid = F.concat(F.lit("V"), F.lpad(F.col("nationkey").cast("string"), 2, "0"))
     return vers.join(fn, vers.orderkey == fn.file_id).select(
         vid.alias("vuln_idx"), "nationkey", "regionkey", "r_name", "version", "norm", "abst", "norm_hash")
@@ -70,10 +71,12 @@ def _lines(vf: DataFrame, version: str) -> DataFrame:
         "vuln_idx", F.col("z.norm").alias("norm"), F.col("z.abst").alias("abst"))
 
 
-def build_store(spark: SparkSession, sf_dir: str) -> dict:
-    """All store tables as DataFrames (small, fixed size: 25 vulnerabilities)."""
+def build_store(spark: SparkSession, sf_dir: str, c_view: bool = False) -> dict:
+    """All store tables as DataFrames (small, fixed size: 25 vulnerabilities).
+    ``c_view`` builds the versions from the C view of the corpus (functions
+    extracted by brace depth)."""
     vers = versions(spark, sf_dir)
-    vf = version_functions(spark, sf_dir, vers).cache()
+    vf = version_functions(spark, sf_dir, vers, c_view).cache()
     ids = vf.select("vuln_idx", "nationkey", "regionkey", "r_name").distinct()
     oss_idx = ids.select(F.col("r_name").alias("oss"), "vuln_idx")
     vuln_cve = ids.select("vuln_idx", F.concat(
