@@ -196,3 +196,13 @@ def test_clone_scan_directory_end_to_end(spark, tmp_path):
     (store / "patESSLines" / "V1_plus.txt").write_text(json.dumps(pat))
     got = [(r.vuln_idx, r.cve, r.name, r.path) for r in clone_scan_directory(spark, str(root), str(store)).collect()]
     assert got == [("V1", "CVE-2024-0001", "copy_buf", "src/a.c")]
+
+
+def test_strategies_agree_on_c_view(spark):
+    functions = C.syn_c_functions(spark, SF0001).cache()
+    store = ST.build_store(spark, SF0001, c_view=True)
+    a = {tuple(r) for r in CL.detect_clones(functions, store, strategy="counts").collect()}
+    b = {tuple(r) for r in CL.detect_clones(functions, store, strategy="prefix").collect()}
+    assert a == b and len(a) > 0
+    fl = [r.asDict(recursive=True) for r in functions.select("func_id", "dir", "norm", "abst", "norm_hash").collect()]
+    assert {(r[0], r[1], r[2], r[5]) for r in a} == brute_force_d1(fl, store)
