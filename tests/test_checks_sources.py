@@ -244,3 +244,18 @@ def test_large_file_and_many_files_bounds(spark, files_df):
     rows = K.full_check(same, K.security_check(same), K.ALL_CHECKS).where("has_issues").collect()
     assert time.time() - t0 < 60
     assert len({r.path for r in rows}) == 100
+
+
+def test_corpus_files_against_hashlib(spark):
+    import hashlib
+    import os
+    from codesift.plans.registry import QUERIES
+    sf = "/root/testdata/sf0.001"
+    got = {r.path: (r.size, r.sha256) for r in QUERIES["corpus_files"](spark, sf).collect()}
+    exp = {}
+    for name in sorted(os.listdir(sf)):
+        p = os.path.join(sf, name)
+        if os.path.isfile(p):
+            data = open(p, "rb").read()
+            exp[name] = (len(data), hashlib.sha256(data).hexdigest())
+    assert got == exp
