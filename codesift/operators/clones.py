@@ -168,7 +168,12 @@ def tags_in_functions(tags: DataFrame) -> DataFrame:
     return g.select(
         "path", F.col("fname").alias("name"), "start_line",
         F.transform(F.filter("ts", lambda t: t["kind"] == "parameter"), lambda t: t["id"]).alias("params"),
-        F.transform(F.filter("ts", lambda t: t["typeref"].isNotNull()), lambda t: t["typeref"]).alias("dtypes"),
+        # data types in the upstream order: all parameter types, then local types
+        F.concat(
+            F.transform(F.filter("ts", lambda t: (t["kind"] == "parameter") & t["typeref"].isNotNull()),
+                        lambda t: t["typeref"]),
+            F.transform(F.filter("ts", lambda t: (t["kind"] == "local") & t["typeref"].isNotNull()),
+                        lambda t: t["typeref"])).alias("dtypes"),
         F.transform(F.filter("ts", lambda t: t["kind"] == "local"), lambda t: t["id"]).alias("locals"))
 
 

@@ -206,3 +206,14 @@ def test_strategies_agree_on_c_view(spark):
     assert a == b and len(a) > 0
     fl = [r.asDict(recursive=True) for r in functions.select("func_id", "dir", "norm", "abst", "norm_hash").collect()]
     assert {(r[0], r[1], r[2], r[5]) for r in a} == brute_force_d1(fl, store)
+
+
+def test_tags_in_functions_orders_types_params_first(spark):
+    tags = spark.createDataFrame([
+        ("a.c", "f", "function", 1, 9, None),
+        ("a.c", "n", "local", 2, None, "size_t"),
+        ("a.c", "p", "parameter", 1, None, "buf_t"),
+        ("a.c", "q", "parameter", 1, None, "len_t")],
+        "path string, name string, kind string, line int, end_line int, typeref string")
+    r = CL.tags_in_functions(tags).first()
+    assert r.params == ["p", "q"] and r.locals == ["n"] and r.dtypes == ["buf_t", "len_t", "size_t"]
