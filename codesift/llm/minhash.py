@@ -6,8 +6,9 @@ similarity of at least a threshold.  Items that share a band bucket are
 candidates.  Every bucket is first linked as a star around its smallest item,
 which is linear in its size; the links are verified on the full sets and give
 first components.  Pairs that the stars did not try matter only where a bucket
-still holds several components; there all members are compared by their odd
-sketches in bounded blocks, and pairs that may be similar are verified too.
+still holds several components; there the members are compared by their odd
+sketches in bounded blocks, the most alike first, and verified on the spot
+until their components meet, so a bucket yields links but never its pairs.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from .components import components
 
 # Members of a bucket compared in one block.
 BLOCK = 1024
+# Set elements held for one block.
+BLOCK_ELEMENTS = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -138,18 +141,17 @@ def sketch_columns(sets: list[np.ndarray], scheme: Scheme) -> dict[str, pa.Array
 
 
 SKETCH = "n_shingles bigint, d1 bigint, d2 bigint, bands array<bigint>"
-SETS = "s array<bigint>, odd binary"
+SETS = "m int, s binary, odd binary"
 
 
 def set_columns(sets: list[np.ndarray], scheme: Scheme) -> dict[str, pa.Array]:
-    """Arrow columns s (the set) and odd (its odd sketch) of non-empty sets."""
+    """Arrow columns m (size), s (the sorted set, 8 bytes an element) and odd
+    (its odd sketch) of non-empty sets."""
     odd = np.empty((0, scheme.bits // 8), np.uint8)
     if sets:
         starts = np.cumsum([0, *map(len, sets[:-1])])
         odd = odd_sketches(samples_of(np.concatenate(sets), starts, scheme.samples), scheme.bits)
-    ends = np.cumsum([0, *map(len, sets)], dtype=np.int32)
-    flat = np.concatenate(sets) if sets else np.empty(0, np.uint64)
-    return {"s": pa.ListArray.from_arrays(pa.array(ends), pa.array(as_long(flat))),
+    return {"m": pa.array([len(s) for s in sets], pa.int32()), "s": pa.array([s.tobytes() for s in sets], pa.binary()),
             "odd": pa.array([o.tobytes() for o in odd], pa.binary())}
 
 
@@ -162,7 +164,7 @@ def classes_of(sketched: DataFrame) -> DataFrame:
 def similar_components(classes: DataFrame, sets_of, scheme: Scheme) -> DataFrame:
     """(id, component) of the class representatives that have a similar one.
 
-    ``sets_of(ids)`` returns (id, s, odd) for the given ids.
+    ``sets_of(ids)`` returns (id, m, s, odd) for the given ids.
     """
     members = classes.select("id", F.explode("bands").alias("key"))
     buckets = members.groupBy("key").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("n")).filter("n > 1")
@@ -177,10 +179,12 @@ def similar_components(classes: DataFrame, sets_of, scheme: Scheme) -> DataFrame
     of = first.select("id", "component")
     placed = shared.filter("n > 2").join(of, "id", "left").withColumn("component", F.coalesce("component", "id"))
     placed = written(placed, "placed")
-    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("m")) \
-        .filter("lo != hi").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    more = untried_pairs(placed.join(mixed, "key").filter("id != pivot").drop("pivot", "n"), sets, scheme)
-    more = written(verified(more, sets, scheme), "verified")
+    sizes = sets.select("id", "m")
+    mixed = placed.join(sizes, "id").groupBy("key").agg(
+        F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n_members"), F.sum("m").alias("n_elements")) \
+        .filter("lo != hi").select("key", F.ceil(F.greatest(F.col("n_members") / BLOCK, F.col("n_elements") / BLOCK_ELEMENTS)).cast("int").alias("blocks"))
+    more = links_in_blocks(placed.join(mixed, "key").filter("id != pivot").select("key", "id", "component", "blocks"), sets, scheme)
+    more = written(more, "verified")
     if more.isEmpty():
         return first
     la = of.select(F.col("id").alias("a"), F.col("component").alias("ca"))
@@ -206,44 +210,62 @@ def odd_bits(a: str, b: str):
     return count(a, b)
 
 
+def common(a: np.ndarray, b: np.ndarray) -> int:
+    """Elements that two sorted sets share."""
+    if len(a) > len(b):
+        a, b = b, a
+    at = np.searchsorted(b, a)
+    return int((b[np.minimum(at, len(b) - 1)] == a).sum())
+
+
+def common_elements(a: str, b: str):
+    @F.arrow_udf("int")
+    def count(x: pa.Array, y: pa.Array) -> pa.Array:
+        return pa.array([common(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64))
+                         for p, q in zip(x.to_pylist(), y.to_pylist())], pa.int32())
+    return count(a, b)
+
+
 def verified(pairs: DataFrame, sets: DataFrame, scheme: Scheme) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold.  The odd sketches
     go first and spare most other pairs the transport of their sets."""
-    odd = sets.select("id", "odd", F.size("s").alias("m"))
+    odd = sets.select("id", "odd", "m")
     oa, ob = (odd.select(F.col("id").alias(x), F.col("odd").alias(f"o{x}"), F.col("m").alias(f"m{x}")) for x in "ab")
     near = pairs.join(oa, "a").join(ob, "b") \
         .filter((100 * F.least("ma", "mb") >= scheme.percent * F.greatest("ma", "mb"))) \
-        .withColumn("z", odd_bits("oa", "ob")).filter(F.col("z") <= scheme.most_odd_bits()).select("a", "b")
+        .withColumn("z", odd_bits("oa", "ob")).filter(F.col("z") <= scheme.most_odd_bits()).select("a", "b", "ma", "mb")
     sa, sb = (sets.select(F.col("id").alias(x), F.col("s").alias(f"s{x}")) for x in "ab")
-    both = F.size(F.array_intersect("sa", "sb"))
-    return near.join(sa, "a").join(sb, "b").select("a", "b", both.alias("i"), (F.size("sa") + F.size("sb") - both).alias("u")) \
-        .filter(100 * F.col("i") >= scheme.percent * F.col("u")).select("a", "b")
+    return near.join(sa, "a").join(sb, "b").withColumn("both", common_elements("sa", "sb")) \
+        .filter(100 * F.col("both") >= scheme.percent * (F.col("ma") + F.col("mb") - F.col("both"))).select("a", "b")
 
 
-def untried_pairs(members: DataFrame, sets: DataFrame, scheme: Scheme) -> DataFrame:
-    """Pairs of members (key, id, component, blocks) of a bucket that lie in
-    different components and whose odd sketches and set sizes allow the threshold.
+def links_in_blocks(members: DataFrame, sets: DataFrame, scheme: Scheme) -> DataFrame:
+    """Verified links (a, b) that join the components of the members (key, id,
+    component, blocks) of a bucket, as far as they can be joined.
 
-    A large bucket is cut into blocks of about BLOCK members, and every pair of
-    blocks is a task of its own, so no task holds a whole bucket.
+    A large bucket is cut into blocks, and every pair of blocks is a group of
+    its own, so no task holds a whole bucket.  Pairs already in one component,
+    of too different sizes, or with too many odd bits are passed over; the rest
+    are verified in the order of their odd bits.
     """
-    odd = sets.select("id", "odd", F.size("s").alias("m"))
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    dealt = members.join(odd, "id").withColumn("own", own) \
+    dealt = members.withColumn("own", own) \
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))) \
-        .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
-                "own", "id", "component", "m", "odd")
+        .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component") \
+        .join(sets, "id")
     most, percent = scheme.most_odd_bits(), scheme.percent
+    cols = ["key", "i", "j", "own", "id", "component", "m", "s", "odd"]
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def compare(rows):
+    def plausible(rows):
+        """(odd bits, x, y) of the pairs worth verifying."""
         n = len(rows["id"])
         odd = np.frombuffer(b"".join(rows["odd"]), np.uint8).reshape(n, -1)
         if odd.shape[1] % 8 == 0:
             odd = odd.view(np.uint64)
-        ids, comp, size, own = (np.array(rows[c], np.int64) for c in ("id", "component", "m", "own"))
+        comp, size, own = (np.array(rows[c], np.int64) for c in ("component", "m", "own"))
         cross = rows["i"][0] != rows["j"][0]
-        out_a, out_b = [], []
+        found = []
         for x in range(n - 1):
             ok = comp[x + 1:] != comp[x]
             if cross:
@@ -252,32 +274,53 @@ def untried_pairs(members: DataFrame, sets: DataFrame, scheme: Scheme) -> DataFr
             at = np.flatnonzero(ok) + x + 1
             if len(at):
                 z = np.bitwise_count(odd[at] ^ odd[x]).sum(1, dtype=np.int64)
-                at = at[z <= most]
-                out_a.append(np.full(len(at), ids[x]))
-                out_b.append(ids[at])
-        if not out_a:
-            return None
-        a, b = np.concatenate(out_a), np.concatenate(out_b)
-        return pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=schema)
+                near = z <= most
+                found.append(np.stack([z[near], np.full(near.sum(), x), at[near]], 1))
+        if not found:
+            return []
+        found = np.concatenate(found)
+        return found[np.argsort(found[:, 0], kind="stable")][:, 1:].tolist()
+
+    def solve(rows):
+        comp, out = rows["component"], []
+        root = {c: c for c in comp}
+
+        def find(c):
+            while root[c] != c:
+                root[c] = root[root[c]]
+                c = root[c]
+            return c
+
+        sets = {}
+        for x, y in plausible(rows):
+            cx, cy = find(comp[x]), find(comp[y])
+            if cx == cy:
+                continue
+            for k in (x, y):
+                if k not in sets:
+                    sets[k] = np.frombuffer(rows["s"][k], np.uint64)
+            both = common(sets[x], sets[y])
+            if 100 * both >= percent * (len(sets[x]) + len(sets[y]) - both):
+                root[max(cx, cy)] = min(cx, cy)
+                out.append((rows["id"][x], rows["id"][y]))
+        return out
 
     def runs(it):
-        cols = ["key", "i", "j", "own", "id", "component", "m", "odd"]
         held, here = None, None
         for batch in it:
-            data = {c: batch.column(c).to_pylist() for c in cols}
-            for row in zip(*(data[c] for c in cols)):
+            data = [batch.column(c).to_pylist() for c in cols]
+            out = []
+            for row in zip(*data):
                 if row[:3] != here:
-                    if held and len(held["id"]) > 1:
-                        out = compare(held)
-                        if out is not None:
-                            yield out
+                    out += solve(held) if held and len(held["id"]) > 1 else []
                     held, here = {c: [] for c in cols}, row[:3]
                 for c, v in zip(cols, row):
                     held[c].append(v)
-        if held and len(held["id"]) > 1:
-            out = compare(held)
-            if out is not None:
-                yield out
+            if out:
+                yield pa.record_batch([pa.array(v, pa.int64()) for v in zip(*out)], schema=schema)
+        out = solve(held) if held and len(held["id"]) > 1 else []
+        if out:
+            yield pa.record_batch([pa.array(v, pa.int64()) for v in zip(*out)], schema=schema)
 
     return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j") \
         .mapInArrow(runs, "a bigint, b bigint").distinct()
