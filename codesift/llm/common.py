@@ -16,7 +16,7 @@ from codesift.session import ensure_checkpoint_dir
 # Bytes of text handled at once inside a task (longer texts come alone).
 CHUNK_BYTES = 4 << 20
 # Distinct words kept in a per-task cache before it is emptied.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -102,9 +102,16 @@ def shingles(word_hashes: np.ndarray, k: int) -> np.ndarray:
     return mix(acc)
 
 
-def list_column(values: np.ndarray, offsets: np.ndarray, typ=None) -> pa.Array:
-    """Arrow list column of ragged rows given as flat values and offsets."""
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, typ))
+def flat_shingles(word_hashes: np.ndarray, lens: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingle hashes of many texts laid out one after the other, each of at
+    least k words (``lens``), and where each text's shingles start; repeated
+    shingles are kept."""
+    acc = np.full(len(word_hashes) - k + 1, k, np.uint64)
+    for j in range(k):
+        acc = acc * np.uint64(0x9FB21C651E98DF25) + word_hashes[j:len(word_hashes) - k + 1 + j]
+    of = np.repeat(np.arange(len(lens)), lens)
+    inside = of[:len(acc)] == of[k - 1:]
+    return mix(acc[inside]), np.cumsum(lens - k + 1) - (lens - k + 1)
 
 
 def as_long(x: np.ndarray) -> np.ndarray:

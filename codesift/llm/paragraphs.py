@@ -4,7 +4,7 @@ A text is cut into paragraphs at line ends and, because passages are also
 copied into the middle of lines, after every sentence of at least
 ``LONG_SENTENCE`` words.  Whether a cut is made depends on the sentence alone,
 so a copied passage is cut alike wherever it stands.  Paragraphs with equal
-shingle sets form classes; bands are tuned for the wanted recall; paragraphs
+words form classes; bands are tuned for the wanted recall; paragraphs
 that collide in a band are verified by exact Jaccard similarity; and of every
 connected component the first paragraph (smallest doc_id, then place) stays.
 
@@ -24,8 +24,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, chunks, columns, texts_of, written
-from .minhash import SETS, SKETCH, Scheme, SetMaker, classes_of, set_columns, similar_components, sketch_columns, tuned
+from .common import WordHasher, batches, chunks, columns, texts_of, written
+from .minhash import SETS, SKETCH, Scheme, SetMaker, classes_of, sequence_columns, set_columns, similar_components, tuned
 from .near import words_of
 
 LONG_SENTENCE = 8
@@ -67,10 +67,11 @@ PLACE = "id bigint, doc_id bigint, number int, start int, finish int, n_words in
 def repeated_paragraphs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", scheme: Scheme = PARAGRAPHS) -> DataFrame:
     """One row per paragraph to remove: doc_id, paragraph, start and n_bytes in
     the text, n_words, and the paragraph that stays (kept_doc_id, kept_paragraph)."""
+    assert MIN_WORDS >= scheme.words
     d = columns(docs, doc_id=doc_id, text=text).withColumn("doc_id", F.col("doc_id").cast("long")).filter("doc_id is not null")
 
     def sketch(it):
-        make, made = SetMaker(scheme.words), 0
+        hasher, made = WordHasher(), 0
         base = TaskContext.get().partitionId() << 36
         for batch, texts in batches(it, limit=1 << 20):
             rows = [(doc, p) for doc, t in zip(batch.column("doc_id").to_pylist(), texts) for p in cut(t)]
@@ -79,7 +80,7 @@ def repeated_paragraphs(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
             ints = [pa.array([p[k] for _, p in rows], pa.int32()) for k in range(3)]
             cols = {"id": pa.array(np.arange(made, made + len(rows)) + base), "doc_id": pa.array([doc for doc, _ in rows], pa.int64()),
                     "number": ints[0], "start": ints[1], "finish": ints[2],
-                    "n_words": pa.array([len(p[3]) for _, p in rows], pa.int32())} | sketch_columns(make([p[3] for _, p in rows]), scheme)
+                    "n_words": pa.array([len(p[3]) for _, p in rows], pa.int32())} | sequence_columns([p[3] for _, p in rows], hasher, scheme)
             made += len(rows)
             yield pa.record_batch(list(cols.values()), list(cols))
 
