@@ -19,8 +19,10 @@ counted one by one; an empty table gives an empty result.
 from __future__ import annotations
 
 import json
+import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -66,7 +68,9 @@ class RankMerger:
         self.made = np.array([vocab[a + b] for a, b in pairs], np.int64)[order]
 
     def symbols(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Surviving symbol ids of all words, flat, and each word's count."""
+        """Surviving symbol ids of all (non-empty) words, flat, and each word's count."""
+        if not words:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         flat = np.frombuffer(b"".join(words), np.uint8)
         ids = self.inner[flat]
@@ -99,8 +103,6 @@ class RankMerger:
             keep = ~finished
             keep[idx + 1] = False
             ids, owner = ids[keep], owner[keep]
-        if not done_ids:
-            return np.empty(0, np.int64), np.zeros(len(words), np.int64)
         all_ids, all_owner = np.concatenate(done_ids), np.concatenate(done_owner)
         order = np.argsort(all_owner, kind="stable")
         return all_ids[order], np.bincount(all_owner, minlength=len(words))
@@ -113,6 +115,7 @@ class TokenCounter:
     """Token counts of texts for one tokeniser file."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"     # Spark runs the tasks in parallel
         from tokenizers import Tokenizer
 
         self.merger = RankMerger(path)
@@ -122,33 +125,43 @@ class TokenCounter:
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
         self.plain, self.split = re.compile(PLAIN), re.compile(SPLIT)
         self.back = {c: b for b, c in enumerate(byte_symbols())}
-        self.cache: dict[str, int] = {}
+        self.cache: dict[str, int] = {}        # of parts
+        self.counts: dict[bytes, int] = {}     # of pre-tokens
 
-    def words(self, text: str) -> tuple[list[bytes], int]:
-        """Pre-tokens as strings of byte symbols or plain text, and the number
-        of special tokens."""
+    def parts(self, text: str) -> tuple[list[str], int]:
+        """Parts between white space, normalised, and the number of special
+        tokens.  No token spans white space."""
         if self.plain.fullmatch(text) and "<|" not in text:
-            return self.split.findall(text.lower()), 0
-        parts = self.special.split(text) if self.special else [text]
+            return text.lower().split(), 0
+        rest = self.special.split(text) if self.special else [text]
         out = []
-        for part in parts:
-            for piece, _ in self.pre.pre_tokenize_str(self.normalizer.normalize_str(part)):
-                out.append(bytes(self.back[c] for c in piece).decode("utf-8"))
-        return out, len(parts) - 1
+        for part in rest:
+            out += self.normalizer.normalize_str(part).split(" ")
+        return out, len(rest) - 1
+
+    def pieces(self, part: str) -> list[bytes]:
+        """Pre-tokens of a part as UTF-8 bytes."""
+        if self.plain.fullmatch(part):
+            return list(map(str.encode, self.split.findall(part)))
+        return [bytes(self.back[c] for c in piece) for piece, _ in self.pre.pre_tokenize_str(part)] if part else []
 
     def __call__(self, texts: list) -> np.ndarray:
-        split = [self.words(t.decode("utf-8")) if t else ([], 0) for t in texts]
-        words = [w for ws, _ in split for w in ws]
+        split = [self.parts(t.decode("utf-8")) if t else ([], 0) for t in texts]
         if len(self.cache) > CACHE_WORDS:
             self.cache = {}
-        new = list(set(words).difference(self.cache))
+        new = {p for parts, _ in split for p in parts}
+        if len(self.counts) > CACHE_WORDS:
+            self.counts = {}
+        new.difference_update(self.cache)
         if new:
-            self.cache.update(zip(new, self.merger.counts([w.encode() for w in new]).tolist()))
-        per_word = np.fromiter(map(self.cache.__getitem__, words), np.int64, len(words))
-        total = np.r_[0, np.cumsum(per_word)]
-        ends = np.cumsum([len(ws) for ws, _ in split])
-        starts = np.r_[0, ends[:-1]].astype(np.int64)
-        return total[ends] - total[starts] + np.array([s for _, s in split])
+            parts = list(new)
+            pieces = list(map(self.pieces, parts))
+            words = list(set(chain.from_iterable(pieces)).difference(self.counts))
+            self.counts.update(zip(words, self.merger.counts(words).tolist()))
+            count = self.counts.__getitem__
+            self.cache.update((p, sum(map(count, ws))) for p, ws in zip(parts, pieces))
+        get = self.cache.__getitem__
+        return np.array([sum(map(get, parts)) + n for parts, n in split], np.int64)
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text",
