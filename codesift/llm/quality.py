@@ -161,17 +161,15 @@ def limits(measured: DataFrame) -> DataFrame:
     sketch = written(sketches(measured), "sketch")
     own = fences(sketch, ["lang", "source"])
     by_lang = fences(sketch, ["lang"])
-    # one row: the merge of all sketches, carried under a constant key
-    whole = fences(sketch.withColumn("_all", F.lit(1)), ["_all"])
+    whole = fences(sketch.withColumn("_all", F.lit(1)), ["_all"])     # one row, or none
     names = [c for c in own.columns if c not in ("lang", "source", "n_docs")]
-    groups = measured.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("_rows")).withColumn("_all", F.lit(1))
-    o, b, w = own.alias("o"), by_lang.alias("b"), whole.alias("w")
-    g = groups.alias("g")
+    groups = measured.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("_rows"))
+    o, b = own.alias("o"), by_lang.alias("b")
+    g = groups.withColumn("w", whole.select(F.struct(*names)).scalar()).alias("g")
     joined = g.join(o, F.col("g.lang").eqNullSafe(F.col("o.lang")) & F.col("g.source").eqNullSafe(F.col("o.source")), "left") \
-        .join(b, F.col("g.lang").eqNullSafe(F.col("b.lang")), "left") \
-        .join(w, F.col("g._all") == F.col("w._all"), "left")
+        .join(b, F.col("g.lang").eqNullSafe(F.col("b.lang")), "left")
     pick = [F.when(F.col("o.n_docs") >= MIN_GROUP, F.col(f"o.{c}"))
-            .when(F.col("b.n_docs") >= MIN_GROUP, F.col(f"b.{c}")).otherwise(F.col(f"w.{c}")).alias(c) for c in names]
+            .when(F.col("b.n_docs") >= MIN_GROUP, F.col(f"b.{c}")).otherwise(F.col(f"g.w.{c}")).alias(c) for c in names]
     return joined.select(F.col("g.lang").alias("lang"), F.col("g.source").alias("source"), *pick)
 
 
