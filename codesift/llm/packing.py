@@ -17,7 +17,7 @@ other columns are ignored.
 from __future__ import annotations
 
 import heapq
-import re
+import os
 import zlib
 
 import numpy as np
@@ -26,8 +26,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import PLAIN, SPLIT
 from .common import CACHE_WORDS, batches, columns, written
+from .pretokens import gather, is_plain, lowered, range_hashes, ranges
 
 MAX_LENGTH = 2048
 # Longest part of a remainder: at least four parts fit a window, so sums even out.
@@ -87,31 +87,71 @@ def pack_group(sizes: np.ndarray, capacity: int) -> np.ndarray:
 
 class Encoder:
     """Token ids of texts as little-endian unsigned 32-bit bytes, by the
-    tokenizers library; pre-tokens of ordinary text are encoded once per task."""
+    tokenizers library.
+
+    The pre-tokens of ordinary texts are found for a whole batch at once, and
+    each distinct one is encoded once per task, all new ones of a batch in one
+    call; any other text goes through the library whole.
+    """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"     # Spark runs the tasks in parallel
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tok = Tokenizer.from_file(path)
-        self.plain, self.split = re.compile(PLAIN), re.compile(SPLIT)
-        self.cache: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch(texts, add_special_tokens=False)]
-
-    def __call__(self, text: bytes | None) -> bytes:
-        if not text:
-            return b""
-        s = text.decode("utf-8")
-        if not self.plain.fullmatch(s) or "<|" in s:
-            return self._encode([s])[0]
-        words = self.split.findall(s.lower())
-        new = list(set(words).difference(self.cache))
+        # the same model for words that are normalised and split already
+        self.words = Tokenizer(self.tok.model)
+        self.words.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.last = np.zeros(self.tok.get_vocab_size(), bool)
+        for token, i in self.tok.get_vocab().items():
+            self.last[i] = token.endswith("</w>")
+        self.cache: dict[int, bytes] = {}
+
+    def _ids(self, text: str, tok=None) -> np.ndarray:
+        return np.array((tok or self.tok).encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _learn(self, keys: list[int], words: list[bytes]) -> None:
+        ids = self._ids(b" ".join(words).decode("utf-8"), self.words)
+        # a pre-token ends with a token that ends a word
+        at = [0, *(np.flatnonzero(self.last[ids]) + 1).tolist()]
+        if len(at) != len(words) + 1 or at[-1] != len(ids):
+            raise ValueError("this tokenizer file does not end its words with </w>")
+        flat = ids.tobytes()
+        self.cache.update((k, flat[4 * a:4 * b]) for k, a, b in zip(keys, at, at[1:]))
+
+    def _plain(self, texts: list[bytes]) -> list[bytes]:
+        buf = lowered(texts)
+        starts, ends = ranges(buf)
+        if not len(starts):
+            return [b""] * len(texts)
+        keys, first, which = np.unique(range_hashes(buf, starts, ends), return_index=True, return_inverse=True)
+        if len(self.cache) > 2 * CACHE_WORDS:
+            self.cache = {}
+        keys = keys.tolist()
+        new = [i for i, k in enumerate(keys) if k not in self.cache]
         if new:
-            if len(self.cache) > CACHE_WORDS:
-                self.cache, new = {}, list(set(words))
-            self.cache.update(zip(new, self._encode(new)))
-        return b"".join(map(self.cache.__getitem__, words))
+            a, b = starts[first[new]].tolist(), ends[first[new]].tolist()
+            self._learn([keys[i] for i in new], [buf[x:y] for x, y in zip(a, b)])
+        known = [self.cache[k] for k in keys]
+        offsets = np.cumsum([0, *map(len, known)]) // 4
+        ids, lens = gather(np.frombuffer(b"".join(known), "<u4"), offsets, which)
+        # where each text's ids end: texts are followed by one blank each
+        text_ends = np.cumsum([len(t) + 1 for t in texts])
+        n_words = np.searchsorted(starts, text_ends)
+        upto = np.r_[0, np.cumsum(lens)][n_words]
+        flat, cut = ids.tobytes(), [0, *(4 * upto).tolist()]
+        return [flat[a:b] for a, b in zip(cut, cut[1:])]
+
+    def __call__(self, texts: list) -> list[bytes]:
+        out = [b""] * len(texts)
+        plain = [i for i, t in enumerate(texts) if t and is_plain(t)]
+        for i, ids in zip(plain, self._plain([texts[i] for i in plain]) if plain else []):
+            out[i] = ids
+        for i in set(range(len(texts))).difference(plain):
+            if texts[i]:
+                out[i] = self._ids(texts[i].decode("utf-8")).tobytes()
+        return out
 
 
 def cut(docs: DataFrame, tokenizer: str, closing_id: int = 1, max_length: int = MAX_LENGTH, part: int = PART) -> DataFrame:
@@ -123,8 +163,8 @@ def cut(docs: DataFrame, tokenizer: str, closing_id: int = 1, max_length: int =
         for batch, texts in batches(it):
             enc = enc or Encoder(tokenizer)
             cols = ([], [], [], [], [])
-            for doc, text in zip(batch.column("doc_id").to_pylist(), texts):
-                ids = enc(text) + closing
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), enc(texts)):
+                ids += closing
                 n = len(ids) // 4
                 full = n - n % max_length
                 cuts = [*range(0, full, max_length), *range(full, n, part), n]
