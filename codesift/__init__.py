@@ -10,8 +10,16 @@ Everything is a DataFrame -> DataFrame function:
 * ``streaming`` – incremental and Structured Streaming scans
 """
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
 
+# Functions of this package travel to the executors by value, so workers need
+# no copy of it on their path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 from .operators.checks import full_check, security_check  # noqa: E402
 from .operators.clones import detect_clones  # noqa: E402
 from .operators.detect import detect_all, detect_first, detect_lines, go_directory_scan  # noqa: E402

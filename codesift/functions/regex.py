@@ -58,9 +58,38 @@ def check_pattern(spark, pattern: str, dialect: str = RE2) -> str | None:
         m = compiled.matcher(probe)
         if m.find() and m.end() == m.start():
             return "matches the empty string"
+    bare = _without_lookaround(pattern)
+    if bare != pattern:
+        try:
+            if jvm.java.util.regex.Pattern.compile(to_java(bare, dialect)).matcher("").find():
+                return "matches the empty string"
+        except Exception:  # the rest alone is no pattern: judged by the probes only
+            pass
     return None
 
 
+def _without_lookaround(pattern: str) -> str:
+    """``pattern`` without its look-around groups, which consume nothing."""
+    out, i, in_class = [], 0, False
+    while i < len(pattern):
+        if pattern[i] == "\\":
+            out.append(pattern[i:i + 2])
+            i += 2
+        elif not in_class and pattern.startswith(("(?=", "(?!", "(?<=", "(?<!"), i):
+            depth = 0
+            while i < len(pattern):
+                step = 2 if pattern[i] == "\\" else 1
+                depth += (pattern[i] == "(") - (pattern[i] == ")")
+                i += step
+                if depth == 0:
+                    break
+        else:
+            in_class = pattern[i] == "[" or (in_class and pattern[i] != "]")
+            out.append(pattern[i])
+            i += 1
+    return "".join(out)
+
+
 _META = set(".^$*+?{}[]()|\\")
 _ESCAPABLE_LITERAL = set("./()[]{}*+?|^$-:'\"=,#&%@!<>~`;")
 

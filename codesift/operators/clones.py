@@ -42,14 +42,21 @@ MAX_FANOUT = 64
 
 # --- T4 / T5 / T6 / T7 --------------------------------------------------------------
 
+# Names and type spellings that are valid regexes in every dialect: plain
+# characters, simple bracket groups, and single quantifiers after something.
+_USABLE_ID = (r"(?U)^(?:[\w \t:.,<>&=/@#%!'\";~-]|\[\w+\])"
+              r"(?:[\w \t:.,<>&=/@#%!'\";~-]|\[\w+\]|[*?](?![*?+{]))*$")
+
+
 def _replace_ids(body: Column, ids: Column, token: str) -> Column:
     """Replace each id with ``token`` where it stands between non-word chars
     (``(^|\\W)id(\\W)``, neighbours consumed, so adjacent hits can be missed —
-    the upstream behaviour).  Blank ids are skipped; ids that are not plain
-    words are skipped too (upstream skips ids that are invalid regexes)."""
+    the upstream behaviour).  An id is a regex, as upstream (``unsigned int``,
+    ``char *``, ``T<int>``).  Blank ids and ids outside ``_USABLE_ID`` are skipped
+    (upstream skips ids that are invalid regexes)."""
     def step(s, i):
         pat = F.concat(F.lit(r"(?U)(^|\W)"), i, F.lit(r"(\W)"))
-        ok = (F.length(i) > 0) & i.rlike(r"^\w+$")
+        ok = (F.length(i) > 0) & i.rlike(_USABLE_ID)
         return F.when(ok, F.regexp_replace(s, pat, F.lit("$1" + token + "$2"))).otherwise(s)
     return F.aggregate(F.coalesce(ids, F.array().cast("array<string>")), body, step)
 

@@ -2,14 +2,13 @@
 
 Scale notes
 -----------
-* A signature catalogue is configuration (tens to a few thousand patterns),
-  never data.  Below ``MAX_UNROLLED`` patterns it is unrolled into one literal
-  ``rlike`` per pattern inside a single projection: every regex is compiled
-  once per task by codegen and a corpus row is read once for all patterns.
-  No join, no shuffle: the scan is a map-only stage over the corpus.
-* Above the bound the patterns stay a DataFrame and the scan is a broadcast
-  nested-loop join with a column pattern (checked size), so an arbitrarily
-  large catalogue still runs — just slower.
+* A signature catalogue is configuration, not data.  It is unrolled into one
+  literal ``rlike`` per pattern inside a projection over the corpus: no join,
+  no shuffle, a map-only stage.  A catalogue of more than ``MAX_UNROLLED``
+  patterns gives one such projection per ``MAX_UNROLLED`` patterns, and their
+  union; the rows do not depend on its size.
+* Every entry point takes its patterns from ``pattern_rows``, which drops the
+  invalid ones.
 * Output rows are the matches themselves; nothing is collected.
 """
 
@@ -17,14 +16,14 @@ from __future__ import annotations
 
 from typing import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as TX
-from ..functions.regex import RE2, re2_compatible, required_literal, to_java
+from ..functions.regex import RE2, check_pattern, re2_compatible, required_literal, to_java
 from ..sources import catalog as CAT
 
-MAX_UNROLLED = 2000
+MAX_UNROLLED = 500  # patterns per projection
 MATCH_COLUMNS = ["detector", "sig_id", "name", "severity", "path", "line_start", "line_end",
                  "matched_code", "confidence"]
 
@@ -32,23 +31,32 @@ PY_EXTS = [".py"]
 JS_EXTS = [".js", ".jsx", ".ts", ".tsx"]
 
 
-def _pattern_rows(patterns) -> list[tuple]:
-    """Accept a catalogue list or a patterns DataFrame (bounded collect).
-    Patterns from a DataFrame are user input: invalid ones are dropped here
-    (``catalog.validate_patterns`` returns them as a rejects table)."""
+def pattern_rows(patterns, spark=None) -> list[tuple]:
+    """``(sig_id, name, severity, pattern_ord, pattern)`` of a catalogue list,
+    a patterns table (column ``pattern``) or a signature table (column
+    ``code_patterns``), without the patterns that do not compile or can match
+    the empty string (``catalog.validate_patterns`` returns those)."""
     if isinstance(patterns, DataFrame):
-        rows = patterns.select("sig_id", "name", "severity", "pattern_ord", "pattern") \
-            .limit(MAX_UNROLLED + 1).collect()
-        if len(rows) > MAX_UNROLLED:
-            raise OverflowError("catalogue too large to unroll")
-        from ..functions.regex import check_pattern
         spark = patterns.sparkSession
-        return [tuple(r) for r in rows if check_pattern(spark, r["pattern"], "python") is None]
-    out = []
-    for sig_id, name, severity, _desc, pats in patterns:
-        for i, p in enumerate(pats):
-            out.append((sig_id, name, severity, i, p))
-    return out
+        if "code_patterns" in patterns.columns:
+            patterns = patterns.select("sig_id", "name", "severity",
+                                       F.posexplode("code_patterns").alias("pattern_ord", "pattern"))
+        rows = (tuple(r) for r in patterns.select("sig_id", "name", "severity", "pattern_ord", "pattern")
+                .toLocalIterator())
+    else:
+        rows = ((sig_id, name, severity, i, p) for sig_id, name, severity, _desc, pats in patterns
+                for i, p in enumerate(pats))
+    spark = spark or SparkSession.getActiveSession()
+    return [r for r in rows if check_pattern(spark, r[4], "python") is None]
+
+
+def in_chunks(rows: list, project, empty: DataFrame) -> DataFrame:
+    """Union of ``project(chunk)`` over chunks of ``MAX_UNROLLED`` rows."""
+    out = None
+    for i in range(0, len(rows), MAX_UNROLLED):
+        part = project(rows[i:i + MAX_UNROLLED])
+        out = part if out is None else out.unionByName(part)
+    return empty if out is None else out
 
 
 def literal_guard(col: Column, pattern: str) -> Column:
@@ -75,44 +83,25 @@ def detect_lines(lines: DataFrame, patterns, rule: str = "G-py", detector: str =
     """
     if exts is not None:
         lines = lines.where(ext_filter(F.col("path"), exts))
-    try:
-        rows = _pattern_rows(patterns)
-    except OverflowError:
-        return _detect_lines_join(lines, patterns, rule, detector)
+    rows = [r for r in pattern_rows(patterns, lines.sparkSession) if keep_non_re2 or re2_compatible(r[4])]
     text = F.regexp_replace(F.col("text"), r"\r$", "")
-    hits = []
-    for sig_id, name, severity, ordinal, pattern in rows:
-        if not keep_non_re2 and not re2_compatible(pattern):
-            continue
-        jp = TX.java_for_rule(pattern, rule)
-        hits.append(F.when(literal_guard(text, pattern) & text.rlike(jp), F.struct(
+
+    def project(chunk):
+        hits = [F.when(literal_guard(text, pattern) & text.rlike(TX.java_for_rule(pattern, rule)), F.struct(
             F.lit(sig_id).alias("sig_id"), F.lit(name).alias("name"), F.lit(severity).alias("severity"),
-            F.lit(ordinal).alias("pattern_ord"), F.lit(len(pattern.encode("utf-8"))).alias("plen"))))
-    if not hits:
-        return lines.sparkSession.createDataFrame([], match_schema())
-    found = F.filter(F.array(*hits), lambda h: h.isNotNull())
-    exploded = (lines.select("path", "line_no", text.alias("code"), found.alias("hits"))
-                .select("path", "line_no", "code", F.explode("hits").alias("h")))
-    return exploded.select(
-        F.lit(detector).alias("detector"), F.col("h.sig_id").alias("sig_id"),
-        F.col("h.name").alias("name"), F.col("h.severity").alias("severity"), "path",
-        F.col("line_no").alias("line_start"), F.col("line_no").alias("line_end"),
-        F.col("code").alias("matched_code"),
-        TX.confidence(F.col("code"), F.col("h.plen"), rule).alias("confidence"))
-
-
-def _detect_lines_join(lines: DataFrame, patterns: DataFrame, rule: str, detector: str) -> DataFrame:
-    """Fallback for catalogues above the unroll bound: join on a column regex."""
-    prefix = "(?dU)" if rule == "P" else "(?d)"
-    pats = patterns.select("sig_id", "name", "severity",
-                           F.concat(F.lit(prefix), "pattern").alias("jp"),
-                           F.octet_length("pattern").alias("plen"))
-    text = F.regexp_replace(F.col("text"), r"\r$", "")
-    j = lines.select("path", "line_no", text.alias("code")).join(F.broadcast(pats), F.expr("code RLIKE jp"))
-    return j.select(F.lit(detector).alias("detector"), "sig_id", "name", "severity", "path",
-                    F.col("line_no").alias("line_start"), F.col("line_no").alias("line_end"),
-                    F.col("code").alias("matched_code"),
-                    TX.confidence(F.col("code"), F.col("plen"), rule).alias("confidence"))
+            F.lit(ordinal).alias("pattern_ord"), F.lit(len(pattern.encode("utf-8"))).alias("plen")))
+            for sig_id, name, severity, ordinal, pattern in chunk]
+        found = F.filter(F.array(*hits), lambda h: h.isNotNull())
+        exploded = (lines.select("path", "line_no", text.alias("code"), found.alias("hits"))
+                    .select("path", "line_no", "code", F.explode("hits").alias("h")))
+        return exploded.select(
+            F.lit(detector).alias("detector"), F.col("h.sig_id").alias("sig_id"),
+            F.col("h.name").alias("name"), F.col("h.severity").alias("severity"), "path",
+            F.col("line_no").alias("line_start"), F.col("line_no").alias("line_end"),
+            F.col("code").alias("matched_code"),
+            TX.confidence(F.col("code"), F.col("h.plen"), rule).alias("confidence"))
+
+    return in_chunks(rows, project, lines.sparkSession.createDataFrame([], match_schema()))
 
 
 def match_schema() -> str:
@@ -148,59 +137,22 @@ def _file_hits(files: DataFrame, specs: list[tuple], content: Column) -> DataFra
 def detect_all(files: DataFrame, patterns, rule: str = "P", detector: str = "signature",
                min_confidence: float = 0.7, keep_non_re2: bool = True) -> DataFrame:
     """Every match in the whole file (may span lines), confidence by rule
-    ``P`` (Python CLI) or ``G-vul`` (Go signature detector); keep >= threshold.
-    Catalogues above ``MAX_UNROLLED`` patterns run as a broadcast join with
-    column patterns (``_detect_all_join``)."""
-    try:
-        rows = _pattern_rows(patterns)
-    except OverflowError:
-        return _detect_all_join(files, patterns, rule, detector, min_confidence)
-    specs = []
-    for sig_id, name, severity, ordinal, pattern in rows:
-        if rule != "P" and not keep_non_re2 and not re2_compatible(pattern):
-            continue
-        specs.append((sig_id, name, severity, ordinal, TX.java_for_rule(pattern, rule),
-                       len(pattern) if rule == "P" else len(pattern.encode("utf-8")), pattern))
-    hits = _file_hits(files, specs, F.col("content"))
-    out = hits.select(
-        F.lit(detector).alias("detector"), "sig_id", "name", "severity", "path",
-        F.col("m.line_start").alias("line_start"), F.col("m.line_end").alias("line_end"),
-        F.col("m.text").alias("matched_code"),
-        TX.confidence(F.col("m.text"), F.col("plen"), rule).alias("confidence"))
-    return min_confidence_filter(out, min_confidence)
-
-
-def _detect_all_join(files: DataFrame, patterns: DataFrame, rule: str, detector: str,
-                     min_confidence: float) -> DataFrame:
-    """D2 for catalogues too large to unroll: files x patterns as a
-    broadcast nested-loop join on ``rlike`` with a column pattern (the
-    catalogue side is broadcast; it is configuration, bounded by memory),
-    then the same extract/split interleave with column patterns."""
-    prefix = "(?dU)" if rule == "P" else "(?d)"
-    plen = F.length("pattern") if rule == "P" else F.octet_length("pattern")
-    pats = patterns.select("sig_id", "name", "severity", "pattern_ord",
-                           F.concat(F.lit(prefix), "pattern").alias("jp"), plen.alias("plen"))
-    j = files.select("path", "content").join(F.broadcast(pats), F.expr("content RLIKE jp"))
-    m = F.expr("regexp_extract_all(content, jp, 0)")
-    gaps = F.expr("split(content, jp, -1)")
-    steps = F.slice(F.zip_with(m, gaps, lambda mt, gap: F.struct(
-        TX.newline_count(gap).alias("g"), TX.newline_count(mt).alias("t"), mt.alias("text"))), 1, F.size(m))
-    init = F.struct(F.lit(1).alias("line"), F.array().cast(
-        "array<struct<text:string,line_start:int,line_end:int>>").alias("out"))
-
-    def step(acc, x):
-        start = acc["line"] + x["g"]
-        end = start + x["t"]
-        rec = F.struct(x["text"].alias("text"), start.cast("int").alias("line_start"),
-                       end.cast("int").alias("line_end"))
-        return F.struct(end.alias("line"), F.array_append(acc["out"], rec).alias("out"))
-
-    ms = F.aggregate(steps, init, step, lambda acc: acc["out"])
-    out = j.select("sig_id", "name", "severity", "path", "plen", F.explode(ms).alias("m")).select(
-        F.lit(detector).alias("detector"), "sig_id", "name", "severity", "path",
-        F.col("m.line_start").alias("line_start"), F.col("m.line_end").alias("line_end"),
-        F.col("m.text").alias("matched_code"),
-        TX.confidence(F.col("m.text"), F.col("plen"), rule).alias("confidence"))
+    ``P`` (Python CLI) or ``G-vul`` (Go signature detector); keep >= threshold."""
+    rows = [r for r in pattern_rows(patterns, files.sparkSession)
+            if rule == "P" or keep_non_re2 or re2_compatible(r[4])]
+
+    def project(chunk):
+        specs = [(sig_id, name, severity, ordinal, TX.java_for_rule(pattern, rule),
+                  len(pattern) if rule == "P" else len(pattern.encode("utf-8")), pattern)
+                 for sig_id, name, severity, ordinal, pattern in chunk]
+        hits = _file_hits(files, specs, F.col("content"))
+        return hits.select(
+            F.lit(detector).alias("detector"), "sig_id", "name", "severity", "path",
+            F.col("m.line_start").alias("line_start"), F.col("m.line_end").alias("line_end"),
+            F.col("m.text").alias("matched_code"),
+            TX.confidence(F.col("m.text"), F.col("plen"), rule).alias("confidence"))
+
+    out = in_chunks(rows, project, files.sparkSession.createDataFrame([], match_schema()))
     return min_confidence_filter(out, min_confidence)
 
 
@@ -264,7 +216,7 @@ def scan_files_fused(files: DataFrame, line_groups, block_languages=("python", "
         hs = []
         for catalog, rule, detector, exts in line_groups:
             applies = F.col("_ext").isin(list(exts))
-            for sig_id, name, severity, _o, pattern in _pattern_rows(catalog):
+            for sig_id, name, severity, _o, pattern in pattern_rows(catalog):
                 if not keep_non_re2 and not re2_compatible(pattern):
                     continue
                 jp = TX.java_for_rule(pattern, rule)
@@ -330,37 +282,39 @@ def detect_first(files: DataFrame, signatures, strict_ext: bool = False, context
     ``array_contains`` on the file's language.  Fix-pattern similarity (J15)
     is applied separately by ``fix_similarity``.
     """
-    rows = signatures.select("sig_id", "name", "severity", "affected_languages", "code_patterns") \
-        .limit(MAX_UNROLLED + 1).collect() if isinstance(signatures, DataFrame) else signatures
+    spark = files.sparkSession
+    if isinstance(signatures, DataFrame):
+        signatures = signatures.select("sig_id", "name", "severity", "affected_languages", "code_patterns").toLocalIterator()
+    rows = [(r["sig_id"], r["name"], r["severity"], list(r["affected_languages"]), i, p)
+            for r in signatures for i, p in enumerate(r["code_patterns"]) if check_pattern(spark, p, "python") is None]
     tagged = applicable(files, strict_ext)
     content = F.col("content")
-    per = []
-    for r in rows:
-        for i, p in enumerate(r["code_patterns"]):
+    # Python ``splitlines`` also breaks on \r; the corpus is \n-normalised.
+    lines_arr = F.split(F.regexp_replace(F.col("content"), r"\n\z", ""), "\n", -1)
+
+    def project(chunk):
+        per = []
+        for sig_id, name, severity, languages, i, p in chunk:
             jp = to_java(p, "python", multiline=True)
-            pos = F.regexp_instr(content, F.lit(jp))  # 1-based start of the first match, 0 if none
             text = F.regexp_extract(content, jp, 0)
-            start = TX.newline_count(F.substring(content, 1, pos - 1)) + 1
+            start = TX.newline_count(F.split(content, jp, 2)[0]) + 1  # lines before the first match
             m = F.struct(start.cast("int").alias("line_start"),
                          (start + TX.newline_count(text)).cast("int").alias("line_end"))
-            per.append(F.when(F.col("_lang").isin(list(r["affected_languages"])) & literal_guard(content, p)
-                              & (pos > 0), F.struct(
-                F.lit(r["sig_id"]).alias("sig_id"), F.lit(r["name"]).alias("name"),
-                F.lit(r["severity"]).alias("severity"), F.lit(i).alias("pattern_ord"), m.alias("m"))))
-    if not per:
-        return files.sparkSession.createDataFrame([], match_schema() + ", pattern_ord int")
-    found = F.filter(F.array(*per), lambda h: h.isNotNull())
-    # Python ``splitlines`` also breaks on \r; the corpus is \n-normalised.
-    lines_arr = F.split(F.regexp_replace(F.col("content"), r"\n\z", ""), "\n", -1)
-    hits = (tagged.select("path", "content", found.alias("hits"))
-            .select("path", lines_arr.alias("ls"), F.explode("hits").alias("h")))
-    snippet = TX.context_snippet(F.col("ls"), F.col("h.m.line_start"), F.col("h.m.line_end"), context_lines)
-    return hits.select(
-        F.lit("first").alias("detector"), F.col("h.sig_id").alias("sig_id"), F.col("h.name").alias("name"),
-        F.col("h.severity").alias("severity"), "path",
-        F.col("h.m.line_start").alias("line_start"), F.col("h.m.line_end").alias("line_end"),
-        snippet.alias("matched_code"), F.lit(0.5).alias("confidence"),
-        F.col("h.pattern_ord").alias("pattern_ord"))
+            per.append(F.when(F.col("_lang").isin(languages) & literal_guard(content, p) & content.rlike(jp), F.struct(
+                F.lit(sig_id).alias("sig_id"), F.lit(name).alias("name"),
+                F.lit(severity).alias("severity"), F.lit(i).alias("pattern_ord"), m.alias("m"))))
+        found = F.filter(F.array(*per), lambda h: h.isNotNull())
+        hits = (tagged.select("path", "content", found.alias("hits"))
+                .select("path", lines_arr.alias("ls"), F.explode("hits").alias("h")))
+        snippet = TX.context_snippet(F.col("ls"), F.col("h.m.line_start"), F.col("h.m.line_end"), context_lines)
+        return hits.select(
+            F.lit("first").alias("detector"), F.col("h.sig_id").alias("sig_id"), F.col("h.name").alias("name"),
+            F.col("h.severity").alias("severity"), "path",
+            F.col("h.m.line_start").alias("line_start"), F.col("h.m.line_end").alias("line_end"),
+            snippet.alias("matched_code"), F.lit(0.5).alias("confidence"),
+            F.col("h.pattern_ord").alias("pattern_ord"))
+
+    return in_chunks(rows, project, spark.createDataFrame([], match_schema() + ", pattern_ord int"))
 
 
 # --- T12 -------------------------------------------------------------------------

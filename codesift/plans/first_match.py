@@ -68,13 +68,13 @@ def q_first_match_context(spark, sf_dir):
 
 
 def sql_first_match_context():
-    """In this corpus a file parses as Python unless it has an ``except:``
-    line; its imports are its ``import x`` lines, its variables its
+    """In this corpus a ``.py`` file parses unless it has an ``except:`` line, and
+    other files have no symbols; its imports are its ``import x`` lines, its variables its
     ``name = ...`` lines."""
     fm = sql_first_match_scan()
     return f"""WITH fm AS ({fm}),
 {C.oracle_files_sql()},
-fc AS (SELECT path, list_contains(lines, 'except:') AS bad,
+fc AS (SELECT path, list_contains(lines, 'except:') OR NOT ends_with(path, '.py') AS bad,
               len(list_filter(lines, lambda l: regexp_matches(l, '^import [A-Za-z_][A-Za-z0-9_]*$'))) AS ni,
               len(list_filter(lines, lambda l: regexp_matches(l, '^[A-Za-z_][A-Za-z0-9_]* = '))) AS nv
        FROM syn_files)

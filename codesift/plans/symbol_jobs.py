@@ -167,7 +167,7 @@ def q_similar_calls(spark, sf_dir):
 
 
 def q_sandbox_escape_calls(spark, sf_dir):
-    return K.sandbox_escape(SY.call_sites(_line_files(spark, sf_dir))).select("path", "check", "matched", "line_no")
+    return K.sandbox_escape(SY.parse_calls(_line_files(spark, sf_dir))).select("path", "check", "matched", "line_no")
 
 
 def sql_sandbox_escape_calls():

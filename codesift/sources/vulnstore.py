@@ -90,10 +90,16 @@ def load_vuln_store(spark: SparkSession, root: str) -> dict:
                                   F.explode(F.from_json("value", pat_schema)).alias("e"))
                          .select("vuln_idx", "e.pat_body", "e.abs_body"))
     pat_lines = _union(spark, pat_parts, "vuln_idx string, pat_body string, abs_body string")
+    # dependency lines count only beside the essential lines in use: those of
+    # vulDEPLines with ``_common``, those of noOldDEPLines with ``_minus``
+    common = ess_lines.where("kind = 'common'").select("vuln_idx").distinct()
+    minus = ess_lines.where("kind = 'minus'").select("vuln_idx").distinct().join(common, "vuln_idx", "left_anti")
+    dep_of = {"vulDEPLines": common, "noOldDEPLines": minus}
     dep_parts = []
     for sub in ("vulDEPLines", "noOldDEPLines"):
         if _has_files(spark, f"{root}/{sub}/*_depen.txt"):
-            dep_parts.append(_dep_lines(_text(spark, f"{root}/{sub}/*_depen.txt", whole=True)))
+            deps = _dep_lines(_text(spark, f"{root}/{sub}/*_depen.txt", whole=True))
+            dep_parts.append(deps.join(dep_of[sub], "vuln_idx", "left_semi"))
     dep_lines = _union(spark, dep_parts, "vuln_idx string, origin string, dep_key string, "
                                          "abs_norm_vul string, orig_norm_vul string")
     return {"oss_idx": oss_idx, "vuln_cve": vuln_cve, "vuln_hash": vuln_hash, "vuln_body": vuln_body,
@@ -166,8 +172,9 @@ def write_vuln_store(store: dict, root: str) -> None:
     for r in rows("dep_lines"):
         deps.setdefault(r["vuln_idx"], {}).setdefault(r["origin"], {}).setdefault(r["dep_key"], []).append(
             {"abs_norm_vul": r["abs_norm_vul"], "orig_norm_vul": r["orig_norm_vul"]})
+    with_common = {idx for idx, kind in groups if kind == "common"}
     for idx, doc in deps.items():
-        put(f"vulDEPLines/{idx}_depen.txt", json.dumps(doc))
+        put(f"{'vulDEPLines' if idx in with_common else 'noOldDEPLines'}/{idx}_depen.txt", json.dumps(doc))
 
 
 def load_tags(spark: SparkSession, path: str) -> DataFrame:
