@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHE_WORDS, columns, texts_of
+from .common import CACHE_WORDS, columns, text_slices
 
 # Text whose normal form is its lower-case form and whose characters the
 # pattern below classifies as the tokeniser file does.
@@ -167,15 +167,12 @@ class TokenCounter:
 def count_tokens(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text",
                  limit: int = 2048) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of every document."""
-    from .common import chunks
-
     @F.arrow_udf("bigint")
     def tokens(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
         counter = None
         for column in it:
             counter = counter or TokenCounter(tokenizer)
-            texts = texts_of(column)
-            out = [counter(texts[a:b]) for a, b in chunks(texts)]
+            out = [counter(texts) for _, texts in text_slices(column, 4 << 20)]
             yield pa.array(np.concatenate(out) if out else np.empty(0, np.int64), pa.int64())
 
     d = columns(docs, doc_id=doc_id, text=text)

@@ -3,10 +3,12 @@ hashing with numpy, and written intermediate tables."""
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 from codesift.session import ensure_checkpoint_dir
 
 # Bytes of text handled at once inside a task (longer texts come alone).
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 # Distinct words kept in a per-task cache before it is emptied.
 CACHE_WORDS = 200_000
 
@@ -46,25 +48,37 @@ def texts_of(column) -> list:
     return column.cast(pa.large_binary() if large else pa.binary()).to_pylist()
 
 
-def chunks(texts: list, limit: int = CHUNK_BYTES):
-    """Ranges [a, b) of ``texts`` with about ``limit`` bytes each."""
-    a = size = 0
-    for i, t in enumerate(texts):
-        n = len(t) if t else 0
-        if i > a and size + n > limit:
-            yield a, i
-            a, size = i, 0
-        size += n
-    if a < len(texts):
-        yield a, len(texts)
+def text_slices(column, limit: int = CHUNK_BYTES):
+    """(first row, texts) for runs of rows with about ``limit`` bytes of text."""
+    size = pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    upto = np.cumsum(size)
+    a, n = 0, len(size)
+    while a < n:
+        b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + limit, side="right")))
+        yield a, texts_of(column.slice(a, b - a))
+        a = b
 
 
 def batches(it, text: str = "text", limit: int = CHUNK_BYTES):
     """(record batch slice, its texts) of about ``limit`` bytes each."""
     for batch in it:
-        texts = texts_of(batch.column(text))
-        for a, b in chunks(texts, limit):
-            yield batch.slice(a, b - a), texts[a:b]
+        for a, texts in text_slices(batch.column(text), limit):
+            yield batch.slice(a, len(texts)), texts
+
+
+def tidy(task):
+    """``task`` (a function of an Arrow batch iterator) that hands freed memory
+    back to the system at its end: Python workers are reused, and two of them
+    share an executor's memory with its JVM."""
+    def run(it):
+        try:
+            yield from task(it)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+    return run
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, columns, written
+from .common import batches, columns, tidy, written
 from .minhash import SETS, SKETCH, Scheme, SetMaker, classes_of, set_columns, similar_components, sketch_columns
 
 # 40 bands of 6 samples find a pair of similarity 0.8 but for 5 in a million.
@@ -44,11 +44,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             cols = {"id": batch.column("id").take(pa.array(full, pa.int64()))} | set_columns([sets[i] for i in full], scheme)
             yield pa.record_batch(list(cols.values()), list(cols))
 
-    rows = written(d.mapInArrow(sketch, "id bigint, " + SKETCH), "sketches")
+    rows = written(d.mapInArrow(tidy(sketch), "id bigint, " + SKETCH), "sketches")
     # a null id never joins, so such rows neither link nor represent a class
     classes = written(classes_of(rows.filter("id is not null")), "classes")
     found = similar_components(
-        classes, lambda ids: d.join(ids, "id", "left_semi").mapInArrow(full_sets, "id bigint, " + SETS), scheme)
+        classes, lambda ids: d.join(ids, "id", "left_semi").mapInArrow(tidy(full_sets), "id bigint, " + SETS), scheme)
     # Only classes with copies or links need a lookup; all other rows stand alone.
     known = classes.join(found.withColumnRenamed("id", "found"), F.col("id") == F.col("found"), "left") \
         .filter("n > 1 or component is not null") \

@@ -26,12 +26,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHE_WORDS, batches, columns, written
+from .common import CACHE_WORDS, batches, columns, tidy, written
 from .pretokens import gather, is_plain, lowered, range_hashes, ranges
 
 MAX_LENGTH = 2048
 # Longest part of a remainder: at least four parts fit a window, so sums even out.
 PART = 512
+# Text encoded at once: a larger batch repeats more of its words.
+BATCH_BYTES = 4 << 20
 # Parts per differencing group; a group's padding is below one window.
 GROUP_PARTS = 600
 
@@ -160,7 +162,7 @@ def cut(docs: DataFrame, tokenizer: str, closing_id: int = 1, max_length: int =
 
     def pieces(it):
         enc = None
-        for batch, texts in batches(it):
+        for batch, texts in batches(it, limit=BATCH_BYTES):
             enc = enc or Encoder(tokenizer)
             cols = ([], [], [], [], [])
             for doc, ids in zip(batch.column("doc_id").to_pylist(), enc(texts)):
@@ -174,7 +176,7 @@ def cut(docs: DataFrame, tokenizer: str, closing_id: int = 1, max_length: int =
             yield pa.record_batch([pa.array(c, pa.int64()) for c in cols],
                                   ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return docs.mapInArrow(pieces, PIECES)
+    return docs.mapInArrow(tidy(pieces), PIECES)
 
 
 def pack(docs: DataFrame, tokenizer: str, closing_id: int = 1, max_length: int = MAX_LENGTH, part: int = PART,

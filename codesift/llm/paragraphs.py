@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHasher, batches, chunks, columns, texts_of, written
+from .common import WordHasher, batches, columns, text_slices, tidy, written
 from .minhash import SETS, SKETCH, Scheme, SetMaker, classes_of, sequence_columns, set_columns, similar_components, tuned
 from .near import words_of
 
@@ -73,7 +73,7 @@ def repeated_paragraphs(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     def sketch(it):
         hasher, made = WordHasher(), 0
         base = TaskContext.get().partitionId() << 36
-        for batch, texts in batches(it, limit=1 << 20):
+        for batch, texts in batches(it):
             rows = [(doc, p) for doc, t in zip(batch.column("doc_id").to_pylist(), texts) for p in cut(t)]
             if not rows:
                 continue
@@ -87,21 +87,20 @@ def repeated_paragraphs(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     def full_sets(it):
         make = SetMaker(scheme.words)
         for batch in it:
-            texts = texts_of(batch.column("text"))
-            places = batch.column("places").to_pylist()
-            for a, b in chunks(texts, 1 << 20):
-                rows = [(p["id"], words_of(t[p["start"]:p["finish"]])) for t, ps in zip(texts[a:b], places[a:b]) if t for p in ps]
+            for a, texts in text_slices(batch.column("text")):
+                places = batch.column("places").slice(a, len(texts)).to_pylist()
+                rows = [(p["id"], words_of(t[p["start"]:p["finish"]])) for t, ps in zip(texts, places) if t for p in ps]
                 rows = [r for r in rows if r[1]]
                 cols = {"id": pa.array([r[0] for r in rows], pa.int64())} | set_columns(make([r[1] for r in rows]), scheme)
                 yield pa.record_batch(list(cols.values()), list(cols))
 
-    units = written(d.mapInArrow(sketch, PLACE + SKETCH), "paragraphs")
+    units = written(d.mapInArrow(tidy(sketch), PLACE + SKETCH), "paragraphs")
     classes = classes_of(units)
 
     def sets_of(ids):
         wanted = units.select("id", "doc_id", "start", "finish").join(ids, "id").groupBy("doc_id") \
             .agg(F.collect_list(F.struct("id", "start", "finish")).alias("places"))
-        return d.join(wanted, "doc_id").select("text", "places").mapInArrow(full_sets, "id bigint, " + SETS)
+        return d.join(wanted, "doc_id").select("text", "places").mapInArrow(tidy(full_sets), "id bigint, " + SETS)
 
     found = similar_components(classes, sets_of, scheme)
     alike = classes.select("d1", "d2", "id", "n").join(found.withColumnRenamed("id", "found"), F.col("id") == F.col("found"), "left") \

@@ -20,14 +20,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, texts_of, written
+from .common import batches, columns, tidy, written
 
 # Lower-cases A-Z, keeps 0-9, a-z and all bytes of non-ASCII characters; every
 # other byte separates words.
 TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32
               for b in range(256))
 # Words of a segment (a longer document is a segment by itself).
-SEGMENT_WORDS = 200_000
+SEGMENT_WORDS = 150_000
 # Bytes of phrases that one pass over the index carries to every task.
 PASS_BYTES = 8 << 20
 WINDOW = 10
@@ -69,8 +69,8 @@ def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", seg
                                     one(ends, pa.int32()), one(place[by_term], pa.int32())],
                                    ["segment", "doc_ids", "n_words", "terms", "ends", "positions"])
 
-        for batch in it:
-            for doc, t in zip(batch.column("doc_id").to_pylist(), texts_of(batch.column("text"))):
+        for batch, texts in batches(it):
+            for doc, t in zip(batch.column("doc_id").to_pylist(), texts):
                 mine = words_of(t)
                 if ids and len(words) + len(mine) > segment_words:
                     yield segment()
@@ -83,7 +83,7 @@ def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", seg
             yield segment()
 
     d = columns(docs, doc_id=doc_id, text=text)
-    return written(d.withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(segments, SEGMENT), "index")
+    return written(d.withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(tidy(segments), SEGMENT), "index")
 
 
 class Segment:
@@ -255,7 +255,7 @@ def _finder(sent, slop):
     HIT_SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()),
                             ("spans", pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))),
                             ("items", pa.list_(pa.string())), ("segment", pa.string()), ("row", pa.int64())])
-    return find
+    return tidy(find)
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, n: int = WINDOW) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import columns, texts_of, written
+from .common import columns, text_slices, written
 
 SPACE = b" \t\n\r\x0b\x0c"
 SYMBOLS = b"#*$%&|<>"
@@ -88,7 +88,7 @@ def measure_udf():
     @F.arrow_udf(f"struct<{fields}>")
     def measure(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in it:
-            rows = [measures_of(t) for t in texts_of(column)]
+            rows = [measures_of(t) for _, texts in text_slices(column) for t in texts]
             yield pa.StructArray.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(len(MEASURES))],
                                              MEASURES)
     return measure

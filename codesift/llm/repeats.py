@@ -38,13 +38,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_long, columns, mix, texts_of, written
+from .common import as_long, batches, columns, mix, texts_of, tidy, written
 
 LENGTH = 100
 GRAM = 32
 # Bytes handled at once: positions in a chunk fit the low bits of the order key.
-CHUNK_BITS = 21
-SLICE = 1 << 20
+CHUNK_BITS = 20
+SLICE = 1 << 19
 # Contexts of one anchor that are compared in one task.
 GROUP = 20_000
 # Window bytes compared at once in step 3.
@@ -162,8 +162,8 @@ def _scan(length: int):
 
     def scan(it):
         held, size = [], 0
-        for batch in it:
-            for doc, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch.column("text"))):
+        for batch, texts in batches(it):
+            for doc, text in zip(batch.column("doc_id").to_pylist(), texts):
                 if doc is None or not text or len(text) < length:
                     continue
                 for o in range(0, max(1, len(text) - length + 1), SLICE - length + 1):
@@ -176,7 +176,7 @@ def _scan(length: int):
         if held:
             yield from chunk(held)
 
-    return scan
+    return tidy(scan)
 
 
 def _reduce(length: int):
@@ -227,7 +227,7 @@ def _reduce(length: int):
                     yield pa.record_batch([pa.array(values[0].astype(np.int32)), *(pa.array(v.astype(np.int64)) for v in values[1:4]),
                                            *(pa.array(v.astype(np.int32)) for v in values[4:])], names)
 
-    return reduce
+    return tidy(reduce)
 
 
 def longest_previous_factors(rank: np.ndarray, lcp: np.ndarray) -> np.ndarray:
@@ -314,7 +314,7 @@ def _factors(length: int):
         if held:
             yield solve(held)
 
-    return factors
+    return tidy(factors)
 
 
 SPAN = "array<struct<a:int,b:int>>"
