@@ -6,8 +6,8 @@ Plan at scale
 bounded by the number of known vulnerabilities, not by the corpus.
 
 1. J1  hash hits: ``functions.norm_hash`` = known vulnerable hash — an
-   equi-join against the store's hash table (broadcast after a row-count
-   check, shuffled join above it).
+   equi-join against the store's hash table (broadcast after a check of its
+   bytes, shuffled join above the bound).
 2. J2  reused vulnerabilities and J3 directory reduction: semi-joins (the
    directory list is broadcast after a check).
 3. Pairs, never a cross join.  Strategy ``counts``: each function's distinct
@@ -18,11 +18,11 @@ bounded by the number of known vulnerabilities, not by the corpus.
    those counts with the set sizes.  Strategy ``prefix`` (chosen when one
    line belongs to many store sets): candidates come only from each body's
    rarest lines (prefix filtering), exact counts from the arrays.
-4. Store-side tables are small by construction; they are collected once
-   into local relations after a row-count check (what a broadcast does
-   anyway) so jobs never re-run their lineage; above the bound they are
-   checkpointed and the line join is salted so a line shared by a third of
-   all functions (``''``, ``}``, ``return0;``) spreads over many tasks.
+4. Store-side tables have a long lineage, so each is written once from the
+   tasks to the shared checkpoint folder and read back; nothing passes
+   through the driver.  The written bytes decide between a broadcast and a
+   shuffled join, in which the line join is salted so a line shared by a
+   third of all functions (``''``, ``}``, ``return0;``) spreads over many tasks.
 """
 
 from __future__ import annotations
@@ -31,9 +31,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as TX
+from ..session import materialize
 
 THETA = 0.5
-BROADCAST_ROW_LIMIT = 2_000_000  # store lines; above this the salted shuffle is used
+BROADCAST_BYTES = 16 * 1024 * 1024  # written (compressed) bytes of a store table; above this joins shuffle
 SALT_BUCKETS = 32
 # Largest number of store line sets one line may belong to for the single
 # inverted count join; above it candidates come from prefix filtering.
@@ -186,34 +187,26 @@ def tags_in_functions(tags: DataFrame) -> DataFrame:
 
 # --- J1 / J2 / J3 / J13 -------------------------------------------------------------
 
-def _maybe_broadcast(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    """Broadcast only when the row count is checked under ``limit``."""
-    n = df.limit(limit + 1).count()
-    return F.broadcast(df) if n <= limit else df
+def store_table(df: DataFrame, limit: int | None = None) -> tuple[DataFrame, bool]:
+    """Write a store-side table once, from the tasks, and read it back:
+    ``(table, is_small)``.  Later jobs scan the written rows instead of
+    re-running their lineage; ``is_small`` says whether the written bytes are
+    within ``limit`` (``BROADCAST_BYTES``), so the table may be broadcast."""
+    table = materialize(df, "store")
+    size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return table, size <= (BROADCAST_BYTES if limit is None else limit)
 
 
-def bounded_table(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> tuple[DataFrame, bool]:
-    """Store-side tables (one row per vulnerability or store line) are small
-    by construction but have a long lineage (the store derivation).  When the
-    row count is checked under ``limit`` they are collected once into a local
-    relation — what a broadcast does anyway — so every later job broadcasts
-    the rows instead of re-running their lineage.  Above the limit the table
-    stays distributed with its lineage cut by a reliable checkpoint.
-    Returns ``(table, is_small)``."""
-    rows = df.limit(limit + 1).collect()
-    if len(rows) <= limit:
-        return df.sparkSession.createDataFrame(rows, df.schema), True
-    from ..session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True), False
+def _side(df: DataFrame, small: bool) -> DataFrame:
+    return F.broadcast(df) if small else df
 
 
 def hash_matches(functions: DataFrame, vuln_hash: DataFrame, oss_idx: DataFrame) -> DataFrame:
     """Target functions whose ``norm_hash`` is a known vulnerable hash of an
     OSS present in the OSS index."""
     known = vuln_hash.join(oss_idx.select("oss").distinct(), "oss", "left_semi")
-    known, small = bounded_table(known.select("oss", F.col("hash").alias("norm_hash")).distinct())
-    return functions.select("func_id", "dir", "norm_hash").join(F.broadcast(known) if small else known, "norm_hash")
+    known, small = store_table(known.select("oss", F.col("hash").alias("norm_hash")).distinct())
+    return functions.select("func_id", "dir", "norm_hash").join(_side(known, small), "norm_hash")
 
 
 def reused_vulns(hits: DataFrame, oss_idx: DataFrame) -> DataFrame:
@@ -229,53 +222,88 @@ def reduce_by_dir(functions: DataFrame, hits: DataFrame) -> DataFrame:
 def label_cve(findings: DataFrame, vuln_cve: DataFrame) -> DataFrame:
     """vuln_idx -> CVE (last row wins upstream; the store keeps one).
     The CVE table grows with the store, so it is broadcast only under the
-    checked row bound."""
-    cves, small = bounded_table(vuln_cve)
-    return findings.join(F.broadcast(cves) if small else cves, "vuln_idx", "left")
+    checked byte bound."""
+    cves, small = store_table(vuln_cve)
+    return findings.join(_side(cves, small), "vuln_idx", "left")
 
 
 # --- J8 / J9 ------------------------------------------------------------------------
 
+def rare_prefixes(bodies: DataFrame, need: Column) -> DataFrame:
+    """``bodies(b_id, b)`` with distinct lines ``b`` -> ``(b_id, line)``: of each body its
+    ``|b| - need + 1`` rarest lines (by the number of bodies that hold them,
+    then text).  A set that shares at least ``need`` lines with the body
+    holds one of them (pigeonhole), so the lines most bodies share (``}``,
+    ``''``) only enter a join where a body has too few others.  Bodies that
+    cannot share ``need`` lines have no row."""
+    lines = bodies.select("b_id", F.size("b").alias("s"), need.alias("need"), F.explode("b").alias("line"))
+    lines = lines.where(F.col("need") <= F.col("s"))
+    freq = lines.groupBy("line").agg(F.count(F.lit(1)).alias("df"))
+    # a body is one row: its lines are sorted there, without a window
+    ordered = lines.join(freq, "line").groupBy("b_id", "s", "need").agg(
+        F.sort_array(F.collect_list(F.struct("df", "line"))).alias("ls"))
+    keep = F.least(F.col("s") - F.col("need") + 1, F.col("s")).cast("int")
+    return ordered.select("b_id", F.explode(F.slice("ls", 1, keep)).alias("e")).select("b_id", F.col("e.line").alias("line"))
+
+
+def _sharing_pairs(sets: DataFrame, bodies: DataFrame, need: Column, salt_buckets: int) -> DataFrame:
+    """Pairs of ``sets(func_id, x)`` and ``bodies(b_id, b, ...)`` that share a rare line,
+    with the exact number ``shared`` of common lines.
+
+    Candidates are pairs of ids from the join on the rare lines; each is
+    counted on the two whole sets.  The sets are read again for that, but
+    only those with a candidate pass the join on ``func_id``."""
+    flines = sets.select("func_id", F.explode("x").alias("line"))
+    cand = _line_join(flines, rare_prefixes(bodies, need), ("line",), salt_buckets).select("func_id", "b_id").distinct()
+    bodies, small = store_table(bodies)
+    j = cand.join(sets, "func_id").join(_side(bodies, small), "b_id")
+    return j.withColumn("shared", F.size(F.array_intersect("b", "x")).cast("bigint"))
+
+
 def containment_pairs(functions: DataFrame, bodies: DataFrame, theta: float = THETA,
                       min_lines: int = 4, salt_buckets: int = SALT_BUCKETS) -> DataFrame:
-    """Pairs with ``|V ∩ X| / |V| >= theta`` on distinct lines, ``|V| >= min_lines``.
+    """Pairs with ``|V ∩ X| / |V| >= theta`` on distinct lines, ``|V| >= min_lines``,
+    which share at least one line.
 
     ``functions(func_id, norm)``; ``bodies(vuln_idx, which, body array)``
     (``which`` tells the vulnerable from the oldest body).  Returns
     ``func_id, vuln_idx, which, shared, size_v, containment``.
     """
-    store = (bodies.select("vuln_idx", "which", F.array_distinct("body").alias("b"))
-             .where(F.size("b") >= min_lines)
-             .select("vuln_idx", "which", F.size("b").cast("bigint").alias("size_v"), F.explode("b").alias("line")))
-    flines = functions.select("func_id", F.explode(F.array_distinct("norm")).alias("line"))
-    joined = _line_join(flines, store, ("line",), salt_buckets)
-    pairs = joined.groupBy("func_id", "vuln_idx", "which").agg(
-        F.count(F.lit(1)).alias("shared"), F.first("size_v").alias("size_v"))
-    return (pairs.withColumn("containment", F.col("shared") / F.col("size_v"))
-            .where(F.col("containment") >= F.lit(theta)))
+    store = bodies.select(F.struct("vuln_idx", "which").alias("b_id"), F.array_distinct("body").alias("b")) \
+        .where((F.size("b") >= min_lines) & (F.size("b") > 0))
+    sets = functions.select("func_id", F.array_distinct("norm").alias("x"))
+    need = _at_least(F.size("b") * F.lit(theta))
+    pairs = _sharing_pairs(sets, store, need, salt_buckets)
+    size_v = F.size("b").cast("bigint")
+    return (pairs.select("func_id", "b_id.vuln_idx", "b_id.which", "shared", size_v.alias("size_v"),
+                         (F.col("shared") / size_v).alias("containment"))
+            .where((F.col("containment") >= F.lit(theta)) & (F.col("shared") > 0)))
+
+
+def _at_least(bound: Column) -> Column:
+    """Fewest common lines for a sum of at least ``bound`` (one at least); the
+    margin keeps rounding of the product from raising it."""
+    return F.greatest(F.ceil(bound - F.lit(1e-9)), F.lit(1)).cast("int")
 
 
 def jaccard_pairs(a: DataFrame, b: DataFrame, threshold: float, strict: bool = False) -> DataFrame:
     """J9 as a join: ``a(a_id, lines)`` (the corpus side), ``b(b_id, lines)``
-    (the store side).
+    (the store side); pairs that share at least one line.
 
-    Shared distinct lines are counted through an equi-join on the line (no
-    cross join): ``b`` is broadcast after a row-count check, otherwise both
-    sides are salted so a hot line is spread over many tasks, and the pair
-    counts are combined map-side.  The quirky denominator
+    As ``|set(a)| >= inter``, a pair reaches the threshold only if ``inter`` is
+    at least ``threshold`` times b's length, so candidates come from b's
+    rarest lines and are counted exactly.  The quirky denominator
     ``|set(a)| + |b| - inter`` uses b's length with duplicates unless
     ``strict``.
     """
-    al = a.select(F.col("a_id").alias("func_id"), F.explode(F.array_distinct("lines")).alias("line"))
-    bl = b.select("b_id", F.explode(F.array_distinct("lines")).alias("line"))
-    inter = _line_join(al, bl, ("line",)).groupBy(F.col("func_id").alias("a_id"), "b_id").agg(
-        F.count(F.lit(1)).alias("inter"))
-    sizes_a = a.select("a_id", F.size(F.array_distinct("lines")).alias("na"))
-    nb = F.size(F.array_distinct("lines")) if strict else F.size("lines")
-    sizes_b = b.select("b_id", nb.alias("nb"))
-    j = inter.join(sizes_a, "a_id").join(sizes_b, "b_id")
-    sim = F.col("inter") / (F.col("na") + F.col("nb") - F.col("inter"))
-    return j.select("a_id", "b_id", "inter", sim.alias("jaccard")).where(F.col("jaccard") >= threshold)
+    sets = a.select(F.col("a_id").alias("func_id"), F.array_distinct("lines").alias("x"))
+    distinct = F.array_distinct("lines")
+    nb = F.size(distinct) if strict else F.size("lines")
+    store = b.select("b_id", distinct.alias("b"), nb.alias("nb")).where(F.size("b") > 0)
+    pairs = _sharing_pairs(sets, store, _at_least(F.col("nb") * F.lit(threshold)), SALT_BUCKETS)
+    sim = F.col("shared") / (F.size("x") + F.col("nb") - F.col("shared"))
+    return (pairs.select(F.col("func_id").alias("a_id"), "b_id", F.col("shared").alias("inter"), sim.alias("jaccard"))
+            .where((F.col("jaccard") >= threshold) & (F.col("inter") > 0)))
 
 
 # --- D1 -----------------------------------------------------------------------------
@@ -355,12 +383,12 @@ def lacks_patch(new_lines: Column, lines: Column) -> Column:
 def _line_join(flines: DataFrame, store: DataFrame, keys=("line",), salt_buckets: int = SALT_BUCKETS) -> DataFrame:
     """Join exploded function lines to exploded store lines on ``keys``.
 
-    The store side is broadcast when its row count is checked under
-    ``BROADCAST_ROW_LIMIT``; otherwise both sides are salted so one hot line
+    The store side is broadcast when its written bytes are within
+    ``BROADCAST_BYTES``; otherwise both sides are salted so one hot line
     (shared by a third of all functions) spreads over ``salt_buckets`` tasks.
     """
     keys = list(keys)
-    store, small = bounded_table(store)
+    store, small = store_table(store)
     if small:
         return flines.join(F.broadcast(store), keys)
     salt = F.pmod(F.xxhash64("func_id"), F.lit(salt_buckets)).cast("int")
@@ -422,8 +450,8 @@ def evaluate_pairs(counts: DataFrame, rules: DataFrame, theta: float = THETA) ->
         F.size(F.when(F.col("is_abs") | (F.col("flag") == 3), F.col("dep_vul_abs")).otherwise(F.col("dep_vul_nor"))).alias("s_dep_vul"),
         F.size(F.when(F.col("is_abs") | (F.col("flag") == 3), F.col("dep_old_abs")).otherwise(F.col("dep_old_nor"))).alias("s_dep_old"),
         F.size(F.when(F.col("is_abs") | (F.col("flag") == 3), F.col("new_abs_pat")).otherwise(F.col("new_pat"))).alias("s_patch"))
-    sizes, small = bounded_table(sizes)  # one row per vulnerability
-    j = counts.join(F.broadcast(sizes) if small else sizes, "vuln_idx")
+    sizes, small = store_table(sizes)  # one row per vulnerability
+    j = counts.join(_side(sizes, small), "vuln_idx")
     vul_ok = (F.col("s_vul") > 0) & (F.col("n_vul") / F.col("s_vul") >= F.lit(theta))
     old_ok = (F.col("s_old") > 0) & (F.col("n_old") / F.col("s_old") >= F.lit(theta))
     flag = F.col("flag")
@@ -440,51 +468,37 @@ def evaluate_pairs(counts: DataFrame, rules: DataFrame, theta: float = THETA) ->
 
 
 def clone_candidates(functions: DataFrame, store: dict):
-    """J1 -> J2 -> J3: ``(rules, targets)``.  The directory list is
-    broadcast after a size check; rules are one row per vulnerability."""
-    hits = hash_matches(functions, store["vuln_hash"], store["oss_idx"])
+    """J1 -> J2 -> J3: ``(rules, targets)``.  The hits are written once; the
+    directory list is broadcast only if its bytes allow it; rules are one
+    row per vulnerability and stay distributed."""
+    hits, _ = store_table(hash_matches(functions, store["vuln_hash"], store["oss_idx"]).select("oss", "dir").distinct())
     reused = reused_vulns(hits, store["oss_idx"])
-    hit_dirs = _maybe_broadcast(hits.select("dir").distinct())
-    targets = functions.join(hit_dirs, "dir", "left_semi")
+    dirs, small = store_table(hits.select("dir").distinct())
+    targets = functions.join(_side(dirs, small), "dir", "left_semi")
     rules = vuln_rules(store).join(reused, "vuln_idx", "left_semi")
     # bodies of <= 3 lines never match; one row per vulnerability
-    rules, _small = bounded_table(rules.where(F.size("vul_set") > 3))
-    return rules, targets
+    return store_table(rules.where(F.size("vul_set") > 3))[0], targets
 
 
 def prefix_candidates(targets: DataFrame, rules: DataFrame, theta: float = THETA) -> DataFrame:
     """Prefix filtering (set-similarity joins, Chaudhuri et al. 2006; Bayardo
-    et al. 2007) for containment ``|V ∩ X| / |V| >= theta``.
-
-    Lines of every vulnerable / oldest body are ordered by how many store
-    bodies contain them (rarest first, then text).  A pair can only reach
-    the threshold if ``X`` holds one of the first ``|V| - floor(theta |V|) + 1``
-    lines of ``V`` (pigeonhole), so candidates come from a join on those
-    rare lines only — the lines shared by most bodies (``}``, ``''``) never
-    enter the join.  Returns distinct ``(func_id, vuln_idx)``."""
-    bodies = rules.select("vuln_idx", F.explode(F.array(
-        F.struct(F.lit("vul").alias("which"), F.col("vul_set").alias("b")),
-        F.struct(F.lit("old").alias("which"), F.col("old_set").alias("b")))).alias("x")).select(
-        "vuln_idx", F.col("x.which").alias("which"), F.col("x.b").alias("b")).where(F.size("b") > 0)
-    lines = bodies.select("vuln_idx", "which", F.size("b").alias("s"), F.explode("b").alias("line"))
-    freq = lines.groupBy("line").agg(F.count(F.lit(1)).alias("df"))
-    ranked = lines.join(freq, "line")
-    # rank within a body without a window: the body is one row; sort its lines there
-    per_body = ranked.groupBy("vuln_idx", "which", "s").agg(
-        F.sort_array(F.collect_list(F.struct("df", "line"))).alias("ordered"))
-    plen = (F.col("s") - F.floor(F.col("s") * F.lit(theta) + F.lit(1e-9)) + 1).cast("int")
-    prefix = per_body.select("vuln_idx", F.explode(F.slice("ordered", 1, F.least(plen, F.col("s")))).alias("e")) \
-        .select("vuln_idx", F.col("e.line").alias("line")).distinct()
-    prefix, small = bounded_table(prefix)
+    et al. 2007) for containment ``|V ∩ X| / |V| >= theta`` of the vulnerable
+    or the oldest body.  Returns distinct ``(func_id, vuln_idx)``."""
+    bodies = rules.select(F.explode(F.array(
+        F.struct("vuln_idx", F.lit("vul").alias("which"), F.col("vul_set").alias("b")),
+        F.struct("vuln_idx", F.lit("old").alias("which"), F.col("old_set").alias("b")))).alias("x")).select(
+        F.struct("x.vuln_idx", "x.which").alias("b_id"), F.col("x.b").alias("b")).where(F.size("b") > 0)
+    prefix = rare_prefixes(bodies, _at_least(F.size("b") * F.lit(theta)))
     flines = targets.select("func_id", F.explode(F.array_distinct("norm")).alias("line"))
-    j = flines.join(F.broadcast(prefix), "line") if small else _line_join(flines, prefix)
-    return j.select("func_id", "vuln_idx").distinct()
+    joined = _line_join(flines, prefix.select(F.col("b_id.vuln_idx").alias("vuln_idx"), "line").distinct())
+    return joined.select("func_id", "vuln_idx").distinct()
 
 
 def pair_counts_arrays(cand: DataFrame, targets: DataFrame, rules: DataFrame) -> DataFrame:
     """Exact per-set counts for candidate pairs from the function's arrays
     (one join of the candidates with the function table on ``func_id``)."""
-    j = cand.join(targets.select("func_id", "norm", "abst"), "func_id").join(F.broadcast(rules), "vuln_idx")
+    rules, small = store_table(rules)
+    j = cand.join(targets.select("func_id", "norm", "abst"), "func_id").join(_side(rules, small), "vuln_idx")
     x, y = F.array_distinct("norm"), F.array_distinct("abst")
     abstract = F.col("is_abs") | (F.col("flag") == 3)
     pick = lambda a, n: F.when(abstract, F.size(F.array_intersect(F.col(a), y))).otherwise(
@@ -499,7 +513,7 @@ def pair_counts_arrays(cand: DataFrame, targets: DataFrame, rules: DataFrame) ->
 
 
 def store_fanout(rules: DataFrame) -> int:
-    """Most store line sets any one line belongs to (bounded store table)."""
+    """Most store line sets any one line belongs to."""
     sets = store_line_sets(rules)
     row = sets.groupBy("form", "line").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()
     return int(row[0] or 0)

@@ -28,18 +28,17 @@ def go_summary(matches: DataFrame) -> DataFrame:
     """A1+A2+A3 (Go form): one row ``total_files, high, medium, low,
     vulnerabilities map<name, count>``.  ``total_files`` counts files with
     results, as the Go result map only holds those."""
-    totals = matches.agg(
-        F.countDistinct("path").alias("total_files"),
-        F.count_if(F.col("severity") == "high").alias("high"),
-        F.count_if(F.col("severity") == "medium").alias("medium"),
-        F.count_if(F.col("severity") == "low").alias("low"))
-    names = type_counts(matches).agg(
-        F.map_from_entries(F.collect_list(F.struct("name", "n"))).alias("vulnerabilities"))
-    # stitch the two one-row aggregates without a join
-    both = totals.withColumn("vulnerabilities", F.lit(None).cast("map<string,bigint>")).unionByName(
-        names, allowMissingColumns=True)
-    return both.agg(*[F.max(c).alias(c) for c in ["total_files", "high", "medium", "low"]],
-                    F.first("vulnerabilities", ignorenulls=True).alias("vulnerabilities"))
+    # one scan of the matches: counts per path, per severity and per name are
+    # grouping sets, combined before the shuffle; grouping_id names the set
+    sets = matches.groupingSets([["path"], ["severity"], ["name"]], "path", "severity", "name").agg(
+        F.count(F.lit(1)).alias("n"), F.grouping_id().alias("of"))
+    per_path, per_severity, per_name = (F.col("of") == g for g in (0b011, 0b101, 0b110))
+    of_severity = lambda s: F.coalesce(
+        F.sum(F.when(per_severity & (F.col("severity") == s), F.col("n"))), F.lit(0)).cast("bigint").alias(s)
+    names = F.collect_list(F.when(per_name & F.col("name").isNotNull(), F.struct("name", "n")))
+    return sets.agg(F.count_if(per_path & F.col("path").isNotNull()).alias("total_files"),
+                    *[of_severity(s) for s in GO_SEVERITY_KEYS],
+                    F.map_from_entries(names).alias("vulnerabilities"))
 
 
 def totals(matches: DataFrame) -> DataFrame:
@@ -80,12 +79,14 @@ def confidence_histogram(matches: DataFrame, width: float = 0.05) -> DataFrame:
 
 
 def per_file_report(matches: DataFrame) -> DataFrame:
-    """``path -> ordered list of matches`` with the count.
+    """``path -> ordered list of matches`` with the count; matches keep a
+    ``description`` if they have one.
 
     A group is one file's matches, bounded by the file-size limit of the
     corpus scan (S4), never by corpus size.
     """
-    m = F.struct("line_start", "sig_id", "line_end", "name", "severity", "matched_code", "confidence")
+    fields = ["line_start", "sig_id", "line_end", "name", "severity", "matched_code", "confidence"]
+    m = F.struct(*fields, *[c for c in ("description",) if c in matches.columns])
     return matches.groupBy("path").agg(F.count(F.lit(1)).alias("n"),
                                        F.sort_array(F.collect_list(m)).alias("matches"))
 
@@ -96,10 +97,10 @@ def file_list(matches: DataFrame) -> DataFrame:
 
 
 def report_rows(matches: DataFrame, signatures: DataFrame) -> DataFrame:
-    """Match + signature fields flattened for rendering.  The signature
-    table is a catalogue (bounded), so it is broadcast."""
+    """Match + signature fields flattened for rendering.  Spark
+    broadcasts the signature table if its size allows it."""
     sig = signatures.select("sig_id", "description", "cwe_id", "cve_id")
-    return matches.join(F.broadcast(sig), "sig_id", "left").select(
+    return matches.join(sig, "sig_id", "left").select(
         F.col("sig_id").alias("id"), "name", "description", "severity", "cwe_id", "cve_id",
         F.col("path").alias("file"), "line_start", "line_end", "matched_code", "confidence")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as TX
 from ..operators import clones as CL
 from ..operators import report as R
+from ..session import materialize
 from . import corpus as C
 from . import store as ST
 
@@ -266,12 +267,10 @@ def sql_vuln_store_rules():
 
 def q_clone_findings(spark, sf_dir):
     """D1 end to end.  The detector reads the target functions three times
-    (hash hits, directory reduction, candidate pairs); here they are derived
-    from lineitem, so they are persisted (recomputable from lineage if an
-    executor is lost).  In production the function store is a parquet table
-    (``save_functions``) and is simply scanned, with column pruning."""
-    from pyspark import StorageLevel
-    functions = _functions(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
+    (hash hits, candidate pairs, names); here they are derived from lineitem,
+    so they are written once and scanned with column pruning, as the function
+    store of a production run (``save_functions``) is."""
+    functions = materialize(_functions(spark, sf_dir), "functions")
     return CL.detect_clones(functions, ST.build_store(spark, sf_dir), THETA)
 
 
@@ -301,8 +300,7 @@ FROM ev LEFT JOIN vuln_cve c ON c.vuln_idx = ev.vuln_idx WHERE ok AND (cv OR co)
 
 def q_clone_rule_checks(spark, sf_dir):
     """J5 + J6 + J7 per candidate pair (before the final conjunction)."""
-    from pyspark import StorageLevel
-    functions = _functions(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
+    functions = materialize(_functions(spark, sf_dir), "functions")
     r = CL.rule_checks(functions, ST.build_store(spark, sf_dir), THETA)
     return r.select("vuln_idx", "func_id", "flag", "is_abs", "vul_ok", "ess_ok", "dep_ok", "patch_ok")
 
@@ -380,8 +378,7 @@ FROM d GROUP BY 1, 2"""
 def q_clone_findings_c(spark, sf_dir):
     """Job A on the C view of the corpus: functions by brace depth (no tags),
     three forms, the per-nation store built the same way, D1."""
-    from pyspark import StorageLevel
-    functions = C.syn_c_functions(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
+    functions = materialize(C.syn_c_functions(spark, sf_dir), "functions")
     return CL.detect_clones(functions, ST.build_store(spark, sf_dir, c_view=True), THETA)
 
 

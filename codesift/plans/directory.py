@@ -13,6 +13,7 @@ from typing import Sequence
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.registry import DetectorRegistry, default_registry
+from ..session import materialize
 from ..sources import files as SF
 from ..sources import sinks as SK
 
@@ -47,8 +48,7 @@ def clone_scan_directory(spark: SparkSession, root: str, store_root: str, theta:
     from ..operators import clones as CL
     from ..sources import vulnstore as VS
 
-    files = SF.scan_corpus(spark, root).where(F.col("path").rlike(
-        "(" + "|".join(s.replace(".", r"\.") for s in suffixes) + ")$"))
+    files = SF.scan_corpus(spark, root, max_bytes=None, suffixes=suffixes)
     lines = SF.to_lines(files)
     if tags_path:
         tags = VS.load_tags(spark, tags_path)
@@ -60,7 +60,10 @@ def clone_scan_directory(spark: SparkSession, root: str, store_root: str, theta:
     else:
         fns = CL.extract_functions_braces(lines)
         forms = CL.three_forms(fns.select("name", "path", "body"))
+    # extracted once: the detector reads the functions three times
     if functions_out:
         SK.save_functions(forms.withColumn("repo", F.lit(root.rstrip("/").rsplit("/", 1)[-1])), functions_out)
         forms = SK.load_functions(spark, functions_out)
+    else:
+        forms = materialize(forms, "functions")
     return CL.detect_clones(forms, VS.load_vuln_store(spark, store_root), theta)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..operators import clones as CL
 from ..operators import detect as D
 from ..operators import registry as REG
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, materialize
 from ..sources import files as SF
 from ..sources import sinks as SK
 from ..sources import vulnstore as VS
@@ -34,9 +34,9 @@ def _scratch(spark, name: str) -> str:
 # --- S1 / S4 ---------------------------------------------------------------------------
 
 def q_corpus_files(spark, sf_dir):
-    """S1 + S4 over the driver's own table files (rows-only: the oracle has
-    no file access)."""
-    f = SF.scan_corpus(spark, sf_dir, max_bytes=SF.DEFAULT_MAX_BYTES, decode=False)
+    """S1 over the driver's own table files, of any size (rows-only: the
+    oracle has no file access)."""
+    f = SF.scan_corpus(spark, sf_dir, max_bytes=None, decode=False)
     return f.select("path", "ext", "size", "sha256")
 
 
@@ -133,28 +133,34 @@ WHERE language NOT IN ({_supported_sql()}) GROUP BY 1, 2, 3"""
 def q_json_report(spark, sf_dir):
     """Write the report folder, read the per-file documents back."""
     out = _scratch(spark, "report-json")
-    SK.write_json(S.go_scan(spark, sf_dir), out, timestamp="1970-01-01T00:00:00Z")
+    SK.write_json(S.go_scan(spark, sf_dir), out, timestamp="1970-01-01T00:00:00Z",
+                  signatures=S._catalog_signatures(spark))
     r = SK.read_json_report(spark, out)
-    return r.select("path", F.col("n").cast("bigint").alias("n"), F.size("matches").cast("bigint").alias("n_items"))
+    m = r.select(F.col("path").alias("file"), F.col("n").cast("bigint").alias("n"), F.explode("matches").alias("m"))
+    return m.select("file", "n", F.col("m.sig_id").alias("id"), "m.name", "m.description", "m.severity",
+                    F.col("m.line_start").cast("int").alias("line_start"),
+                    F.col("m.line_end").cast("int").alias("line_end"), "m.matched_code",
+                    F.round("m.confidence", 6).alias("confidence"))
 
 
 def sql_json_report():
-    return S._with_scan() + "\nSELECT path, count(*) AS n, count(*) AS n_items FROM m GROUP BY path"
+    return f"""SELECT file, count(*) OVER (PARTITION BY file) AS n, id, name, description, severity, line_start,
+       line_end, matched_code, confidence FROM ({S.sql_report_rows()})"""
 
 
 def q_xml_report(spark, sf_dir):
     """XML report folder read back with the XML source."""
     out = _scratch(spark, "report-xml")
-    SK.write_xml(S.go_scan(spark, sf_dir), out, timestamp="1970-01-01T00:00:00Z")
+    SK.write_xml(S.go_scan(spark, sf_dir), out, timestamp="1970-01-01T00:00:00Z",
+                 signatures=S._catalog_signatures(spark))
     r = SK.read_xml_report(spark, out)
-    m = F.col("match")
-    n = F.when(m.isNull(), 0).otherwise(F.size(m)) if dict(r.dtypes).get("match", "").startswith("array") \
-        else F.lit(1)
-    return r.select(F.col("_path").alias("path"), n.cast("bigint").alias("n"))
+    m = r.select(F.col("_path").alias("file"), F.explode("match").alias("m"))
+    return m.select("file", F.col("m._id").alias("id"), "m.name", "m.description", "m.severity",
+                    F.col("m.lineNumber").alias("line_start"), F.round("m.confidence", 6).alias("confidence"))
 
 
 def sql_xml_report():
-    return S._with_scan() + "\nSELECT path, count(*) AS n FROM m GROUP BY path"
+    return f"SELECT file, id, name, description, severity, line_start, confidence FROM ({S.sql_report_rows()})"
 
 
 # --- S13 ---------------------------------------------------------------------------------
@@ -176,8 +182,7 @@ SELECT func_id, regexp_extract(path, '^src/([^/]*)/', 1) AS repo, norm_hash FROM
 def q_vuln_store_files(spark, sf_dir):
     root = _scratch(spark, "vulnstore")
     VS.write_vuln_store(ST.build_store(spark, sf_dir), root)
-    from pyspark import StorageLevel
-    functions = C.syn_functions(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
+    functions = materialize(C.syn_functions(spark, sf_dir), "functions")
     return CL.detect_clones(functions, VS.load_vuln_store(spark, root), CJ.THETA)
 
 
@@ -237,9 +242,9 @@ def q_incremental_scan(spark, sf_dir):
     """A first pass with an empty state, then a second pass with the
     first pass's state; the second pass rescans nothing and returns the
     full result."""
-    from pyspark import StorageLevel
-    files = C.syn_files(spark, sf_dir).select("path", F.sha2("content", 256).alias("sha256"), "content") \
-        .persist(StorageLevel.MEMORY_AND_DISK)  # read by the anti-join, the detectors and the semi-join
+    # read by the anti-join, the detectors and the semi-join
+    files = materialize(C.syn_files(spark, sf_dir).select("path", F.sha2("content", 256).alias("sha256"), "content"),
+                        "files")
     empty_files = spark.createDataFrame([], "path string, sha256 string")
     empty_res = spark.createDataFrame([], D.match_schema() + ", sha256 string")
     res1, state1, _fresh1 = STR.scan_incremental(files, empty_files, empty_res, _go_detect)

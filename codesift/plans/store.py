@@ -24,6 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from . import corpus as C
 
 
@@ -53,11 +54,11 @@ def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def version_functions(spark: SparkSession, sf_dir: str, vers: DataFrame, c_view: bool = False) -> DataFrame:
     """The three forms of every version's function (75 functions).
 
-    The version keys are bounded (three per nation), so they become a
-    literal ``IN`` list that the parquet scan takes as a pushed filter
-    (row-group pruning on ``l_orderkey`` statistics) instead of a join."""
-    keys = sorted({r.orderkey for r in vers.select("orderkey").distinct().limit(10_000).collect()})
-    li = C.lineitem(spark, sf_dir).where(F.col("l_orderkey").isin(keys))
+    A semi-join keeps the versions' lines before files are put together; the
+    written version table is sized by its bytes, so Catalyst broadcasts its
+    three keys per nation and would shuffle a larger one."""
+    keys = vers.select(F.col("orderkey").alias("l_orderkey")).distinct()
+    li = C.lineitem(spark, sf_dir).join(keys, "l_orderkey", "left_semi")
     files = C.syn_files(spark, sf_dir, source=li)
     fn = C.syn_c_functions(spark, sf_dir, files) if c_view else C.syn_functions(spark, sf_dir, files)
     vid = F.concat(F.lit("V"), F.lpad(F.col("nationkey").cast("string"), 2, "0"))
@@ -75,8 +76,8 @@ def build_store(spark: SparkSession, sf_dir: str, c_view: bool = False) -> dict:
     """All store tables as DataFrames (small, fixed size: 25 vulnerabilities).
     ``c_view`` builds the versions from the C view of the corpus (functions
     extracted by brace depth)."""
-    vers = versions(spark, sf_dir)
-    vf = version_functions(spark, sf_dir, vers, c_view).cache()
+    vers = materialize(versions(spark, sf_dir), "versions")
+    vf = materialize(version_functions(spark, sf_dir, vers, c_view), "version-functions")
     ids = vf.select("vuln_idx", "nationkey", "regionkey", "r_name").distinct()
     oss_idx = ids.select(F.col("r_name").alias("oss"), "vuln_idx")
     vuln_cve = ids.select("vuln_idx", F.concat(

@@ -1,15 +1,15 @@
 """Corpus sources.
 
 ``scan_corpus`` reads a directory tree with Spark's ``binaryFile`` source —
-one row per file, read by the executors, never by the driver.  Size and
-path filters are applied to the file metadata before the content column is
-touched (``binaryFile`` prunes on ``length``), so skipped files are never
-read.
+one row per file, read by the executors, never by the driver.  Size, suffix
+and exclude filters are predicates on the file's metadata (``_metadata``),
+which Spark applies to the file listing, so skipped files are never opened.
 """
 
 from __future__ import annotations
 
 import re
+from functools import reduce
 from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -37,10 +37,12 @@ def decode_text(content: Column) -> Column:
 
 def scan_corpus(spark: SparkSession, root: str, max_bytes: int | None = DEFAULT_MAX_BYTES,
                 exclude: Sequence[str] = (), exclude_mode: str = "basename", glob: str | None = None,
-                decode: bool = True) -> DataFrame:
+                decode: bool = True, suffixes: Sequence[str] = ()) -> DataFrame:
     """``path, repo, ext, size, sha256, content`` for every file under ``root``.
 
-    ``path`` is relative to ``root``; ``repo`` is the root's name.
+    ``path`` is relative to ``root``; ``repo`` is the root's name.  With
+    ``suffixes``, only files whose path ends in one of them; ``max_bytes``
+    None keeps files of any size.
     """
     if decode:
         # the CP949 fallback needs the JVM's extended charsets
@@ -53,13 +55,20 @@ def scan_corpus(spark: SparkSession, root: str, max_bytes: int | None = DEFAULT_
     # compare URI paths without scheme and authority (file:, hdfs://host, s3a://bucket)
     uri = r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?"
     base_path = re.sub(uri, "", base).lstrip("/")
-    no_uri = F.regexp_replace(F.col("path"), uri, "")
-    rel = F.regexp_replace(no_uri, r"^/*" + re.escape(base_path) + "/?", "")
-    meta = raw.select(rel.alias("path"), F.col("length").alias("size"), "content")
+
+    def relative(path):
+        return F.regexp_replace(F.regexp_replace(path, uri, ""), r"^/*" + re.escape(base_path) + "/?", "")
+
+    # the metadata's path is URI-encoded
+    listed = relative(F.url_decode(F.regexp_replace(F.col("_metadata.file_path"), r"\+", "%2B")))
     if max_bytes is not None:
-        meta = limit_size(meta, max_bytes)
+        raw = raw.where(F.col("_metadata.file_size") <= F.lit(max_bytes))
+    if suffixes:
+        ends = [listed.endswith(s) for s in suffixes]
+        raw = raw.where(reduce(lambda a, b: a | b, ends))
     if exclude:
-        meta = exclude_globs(meta, exclude, exclude_mode)
+        raw = exclude_globs(raw, exclude, exclude_mode, path=listed)
+    meta = raw.select(relative(F.col("path")).alias("path"), F.col("length").alias("size"), "content")
     out = meta.select(
         "path", F.lit(base.rsplit("/", 1)[-1]).alias("repo"),
         F.regexp_extract("path", r"(\.[^./]*)$", 1).alias("ext"), "size",
@@ -141,18 +150,20 @@ def glob_regex(pattern: str, mode: str = "basename", recursive: bool = False) ->
 
 
 def exclude_globs(files: DataFrame, globs: Sequence[str], mode: str = "basename",
-                  recursive: bool = False) -> DataFrame:
+                  recursive: bool = False, path: Column | None = None) -> DataFrame:
     """S3: drop files matched by any exclude glob.
 
     ``basename``: a glob matching the file name or any directory name on the
     path (which prunes that subtree in the Go walk).  ``path``: a glob
-    matching the right end of the path.
+    matching the right end of the path.  ``path`` is the column ``path``
+    unless given.
     """
+    path = F.col("path") if path is None else path
     globs = [g.strip() for g in globs if g and g.strip()]
     if not globs:
         return files
     if mode == "basename":
-        segs = F.split(F.col("path"), "/")
+        segs = F.split(path, "/")
         hit = F.lit(False)
         for g in globs:
             rx = glob_regex(g, "basename")
@@ -160,7 +171,7 @@ def exclude_globs(files: DataFrame, globs: Sequence[str], mode: str = "basename"
     else:
         hit = F.lit(False)
         for g in globs:
-            hit = hit | F.col("path").rlike(glob_regex(g, "path", recursive))
+            hit = hit | path.rlike(glob_regex(g, "path", recursive))
     return files.where(~hit)
 
 

@@ -14,32 +14,45 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import report as R
+from ..session import materialize
 
+XML_FILES = ("_path string, match array<struct<_id: string, name: string, description: string, severity: string, "
+             "lineNumber: int, matchedCode: string, confidence: double>>")
 
-def _report_parts(matches: DataFrame, title: str, timestamp: str | None):
+
+def _report_parts(matches: DataFrame, title: str, timestamp: str | None, signatures: DataFrame | None):
+    """The per-file documents, written once, and the summary taken from them:
+    the matches (and so the corpus) are evaluated once per report."""
     ts = timestamp or datetime.datetime.now(datetime.timezone.utc).isoformat()
-    per_file = R.per_file_report(matches)
-    summary = R.go_summary(matches).select(F.lit(title).alias("title"), F.lit(ts).alias("timestamp"), "*")
+    if signatures is not None:
+        matches = matches.join(signatures.select("sig_id", "description"), "sig_id", "left")
+    else:
+        matches = matches.withColumn("description", F.lit(None).cast("string"))
+    per_file = materialize(R.per_file_report(matches), "report")
+    flat = per_file.select("path", F.explode("matches").alias("m")).select("path", "m.name", "m.severity")
+    summary = R.go_summary(flat).select(F.lit(title).alias("title"), F.lit(ts).alias("timestamp"), "*")
     return per_file, summary
 
 
 def write_json(matches: DataFrame, path: str, title: str = "Vulnerability Report",
-               timestamp: str | None = None) -> None:
-    """S11."""
-    per_file, summary = _report_parts(matches, title, timestamp)
+               timestamp: str | None = None, signatures: DataFrame | None = None) -> None:
+    """S11.  ``signatures(sig_id, description)`` adds the descriptions."""
+    per_file, summary = _report_parts(matches, title, timestamp, signatures)
     per_file.write.mode("overwrite").json(f"{path}/results")
     summary.write.mode("overwrite").json(f"{path}/summary")
 
 
 def write_xml(matches: DataFrame, path: str, title: str = "Vulnerability Report",
-              timestamp: str | None = None) -> None:
+              timestamp: str | None = None, signatures: DataFrame | None = None) -> None:
     """``<report><file path=..><match id=..>...`` via Spark's XML source.
-    Attributes use the ``_`` prefix convention of the XML data source."""
-    per_file, summary = _report_parts(matches, title, timestamp)
+    Attributes use the ``_`` prefix convention of the XML data source.
+    ``signatures(sig_id, description)`` adds the descriptions."""
+    per_file, summary = _report_parts(matches, title, timestamp, signatures)
     files = per_file.select(
         F.col("path").alias("_path"),
         F.transform("matches", lambda m: F.struct(
-            m["sig_id"].alias("_id"), m["name"].alias("name"), m["severity"].alias("severity"),
+            m["sig_id"].alias("_id"), m["name"].alias("name"), m["description"].alias("description"),
+            m["severity"].alias("severity"),
             m["line_start"].alias("lineNumber"), m["matched_code"].alias("matchedCode"),
             m["confidence"].alias("confidence"))).alias("match"))
     (files.write.mode("overwrite").format("xml").option("rootTag", "results").option("rowTag", "file")
@@ -56,7 +69,7 @@ def read_json_report(spark, path: str) -> DataFrame:
 
 
 def read_xml_report(spark, path: str) -> DataFrame:
-    return spark.read.format("xml").option("rowTag", "file").load(f"{path}/results")
+    return spark.read.format("xml").schema(XML_FILES).option("rowTag", "file").load(f"{path}/results")
 
 
 def save_functions(functions: DataFrame, path: str) -> None:

@@ -19,6 +19,8 @@ comes from the file name (``_metadata.file_name``).
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -131,50 +133,70 @@ def _union(spark, parts, schema):
     return out
 
 
-def write_vuln_store(store: dict, root: str) -> None:
-    """Write store tables in the directory layout above.  A store is a small
-    bounded table (one row per vulnerability / store line); its rows are
-    grouped per file on the driver and each file is written through the
-    Hadoop FileSystem API, so ``root`` may be any Spark-readable filesystem."""
-    import json
+def _store_files(store: dict) -> DataFrame:
+    """``(file, content)`` rows of a store directory; a row holds what one
+    vulnerability (or one project's hash list, or an index) has."""
+    def one_file(rows, file, item, head="[", sep=",", tail="]"):
+        text = F.concat(F.lit(head), F.array_join(F.sort_array(F.collect_list(item)), sep), F.lit(tail))
+        return rows.groupBy(file.alias("file")).agg(text.alias("content"))
+
+    def lines_file(rows, file, item):
+        return one_file(rows, file, item, "", "\n", "")
+
+    idx = F.col("vuln_idx")
+    ess, deps = store["ess_lines"], store["dep_lines"]
+    ess_file = F.when(F.col("kind") == "common", F.concat(F.lit("vulESSLines/"), idx, F.lit("_common.txt"))) \
+        .otherwise(F.concat(F.lit("noOldESSLines/"), idx, F.lit("_minus.txt")))
+    with_common = ess.where("kind = 'common'").select("vuln_idx", F.lit(True).alias("common")).distinct()
+    # dependency lines lie beside the essential lines that are in use
+    entries = deps.groupBy("vuln_idx", "origin", "dep_key").agg(
+        F.sort_array(F.collect_list(F.struct("abs_norm_vul", "orig_norm_vul"))).alias("es"))
+    origins = entries.groupBy("vuln_idx", "origin").agg(
+        F.map_from_entries(F.collect_list(F.struct("dep_key", "es"))).alias("keys"))
+    docs = origins.groupBy("vuln_idx").agg(F.map_from_entries(F.collect_list(F.struct("origin", "keys"))).alias("doc"))
+    dep_dir = F.when(F.col("common"), F.lit("vulDEPLines/")).otherwise(F.lit("noOldDEPLines/"))
+    parts = [
+        lines_file(store["oss_idx"], F.lit("oss_idx.txt"), F.concat_ws("@@", "oss", "vuln_idx")),
+        lines_file(store["vuln_cve"], F.lit("idx2cve.txt"), F.concat_ws("##", "vuln_idx", "cve")),
+        lines_file(store["vuln_hash"], F.concat(F.lit("vulHashes/"), F.col("oss"), F.lit("_hash.txt")),
+                   F.concat(F.col("hash"), F.lit("\tx"))),
+        store["vuln_body"].select(
+            F.concat(F.lit("vulBodySet/"), idx, F.lit("_body.json")).alias("file"),
+            F.to_json(F.struct(F.coalesce("vul_body", F.array().cast("array<string>")).alias("vul_body"),
+                               "old_body")).alias("content")),
+        one_file(ess, ess_file, F.to_json(F.struct("vul_body", "abs_body"))),
+        one_file(store["pat_lines"], F.concat(F.lit("patESSLines/"), idx, F.lit("_plus.txt")),
+                 F.to_json(F.struct("pat_body", "abs_body"))),
+        docs.join(with_common, "vuln_idx", "left").select(
+            F.concat(dep_dir, idx, F.lit("_depen.txt")).alias("file"), F.to_json("doc").alias("content"))]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
-    from ..session import write_text_file
 
-    spark = store["oss_idx"].sparkSession
-    root = root.rstrip("/")
-    rows = lambda k: [r.asDict(recursive=True) for r in store[k].collect()]
-    put = lambda rel, text: write_text_file(spark, f"{root}/{rel}", text)
-    put("oss_idx.txt", "\n".join(f"{r['oss']}@@{r['vuln_idx']}" for r in rows("oss_idx")))
-    put("idx2cve.txt", "\n".join(f"{r['vuln_idx']}##{r['cve']}" for r in rows("vuln_cve")))
-    by = {}
-    for r in rows("vuln_hash"):
-        by.setdefault(r["oss"], []).append(r["hash"])
-    for oss, hs in by.items():
-        put(f"vulHashes/{oss}_hash.txt", "\n".join(f"{h}\tx" for h in hs))
-    for r in rows("vuln_body"):
-        doc = {"vul_body": r["vul_body"] or []}
-        if r.get("old_body") is not None:
-            doc["old_body"] = r["old_body"]
-        put(f"vulBodySet/{r['vuln_idx']}_body.json", json.dumps(doc))
-    groups = {}
-    for r in rows("ess_lines"):
-        groups.setdefault((r["vuln_idx"], r["kind"]), []).append(
-            {"vul_body": r["vul_body"], "abs_body": r["abs_body"]})
-    for (idx, kind), items in groups.items():
-        sub = "vulESSLines" if kind == "common" else "noOldESSLines"
-        put(f"{sub}/{idx}_{kind}.txt", json.dumps(items))
-    pats = {}
-    for r in rows("pat_lines"):
-        pats.setdefault(r["vuln_idx"], []).append({"pat_body": r["pat_body"], "abs_body": r["abs_body"]})
-    for idx, items in pats.items():
-        put(f"patESSLines/{idx}_plus.txt", json.dumps(items))
-    deps = {}
-    for r in rows("dep_lines"):
-        deps.setdefault(r["vuln_idx"], {}).setdefault(r["origin"], {}).setdefault(r["dep_key"], []).append(
-            {"abs_norm_vul": r["abs_norm_vul"], "orig_norm_vul": r["orig_norm_vul"]})
-    with_common = {idx for idx, kind in groups if kind == "common"}
-    for idx, doc in deps.items():
-        put(f"{'vulDEPLines' if idx in with_common else 'noOldDEPLines'}/{idx}_depen.txt", json.dumps(doc))
+def write_vuln_store(store: dict, root: str) -> None:
+    """Write store tables in the directory layout above.
+
+    The content of each file is put together by Spark and written by the
+    task that holds it, so nothing passes through the driver; a repeated
+    task writes the same bytes again.  The two index files are one row each,
+    a line per vulnerability.  ``root`` is a shared folder or a URI that
+    ``pyarrow.fs`` knows (``file:``, ``hdfs:``, ``s3:``, ``gs:``)."""
+    base = re.sub(r"^s3[an]:", "s3:", root.rstrip("/"))
+    base = re.sub(r"^file:/+", "/", base)
+
+    def put(rows):
+        from pyarrow import fs as pafs
+
+        fs, folder = pafs.FileSystem.from_uri(base)
+        for row in rows:
+            target = f"{folder}/{row.file}"
+            fs.create_dir(target.rsplit("/", 1)[0], recursive=True)
+            with fs.open_output_stream(target) as out:
+                out.write((row.content or "").encode("utf-8"))
+
+    _store_files(store).foreachPartition(put)
 
 
 def load_tags(spark: SparkSession, path: str) -> DataFrame:

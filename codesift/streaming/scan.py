@@ -19,6 +19,9 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.files import decode_text
+
+BINARY_FILES = "path string, modificationTime timestamp, length long, content binary"
 Detector = Callable[[DataFrame], DataFrame]
 
 
@@ -56,9 +59,11 @@ def scan_stream(spark: SparkSession, source_dir: str, detect: Detector, out_dir:
 
 def scan_text_stream(spark: SparkSession, source_dir: str, detect: Detector, out_dir: str,
                      checkpoint_dir: str, available_now: bool = True):
-    """I2 on raw files: each arriving file is one row (``wholetext``)."""
-    stream = (spark.readStream.format("text").option("wholetext", "true").load(source_dir)
-              .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content")))
+    """I2 on raw files: each arriving file is one row, decoded as in the
+    corpus scan (UTF-8, else CP949, else empty)."""
+    spark.conf.set("spark.sql.legacy.javaCharsets", "true")     # for CP949, as in scan_corpus
+    stream = (spark.readStream.format("binaryFile").schema(BINARY_FILES).load(source_dir)
+              .select(F.col("_metadata.file_path").alias("path"), decode_text(F.col("content")).alias("content")))
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         detect(batch).write.mode("overwrite").parquet(f"{out_dir.rstrip('/')}/batch_id={batch_id}")

@@ -99,7 +99,7 @@ def test_containment_salted_equals_broadcast(spark, monkeypatch):
     bodies = b.select("vuln_idx", F.lit("vul").alias("which"), F.col("vul_body").alias("body"))
     cols = ["func_id", "vuln_idx", "which", "shared", "size_v"]
     a = {tuple(r) for r in CL.containment_pairs(functions, bodies).select(*cols).collect()}
-    monkeypatch.setattr(CL, "BROADCAST_ROW_LIMIT", 1)
+    monkeypatch.setattr(CL, "BROADCAST_BYTES", 1)
     s = {tuple(r) for r in CL.containment_pairs(functions, bodies, salt_buckets=4).select(*cols).collect()}
     assert a == s and len(a) > 0
     for r in CL.containment_pairs(functions, bodies).collect():
