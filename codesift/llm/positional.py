@@ -52,20 +52,17 @@ def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", seg
         made = 0
 
         def segment():
-            seen: dict[bytes, int] = {}
-            code = np.fromiter((seen.setdefault(w, len(seen)) for w in words), np.int32, len(words))
-            terms = np.array(list(seen), object)
-            order = sorted(range(len(terms)), key=terms.__getitem__)
-            rank = np.empty(len(terms), np.int32)
-            rank[order] = np.arange(len(terms), dtype=np.int32)
-            code = rank[code]
+            terms = sorted(set(words))
+            number = dict(zip(terms, range(len(terms))))
+            # numbers of 16 bits are sorted by radix
+            code = np.fromiter(map(number.__getitem__, words), np.uint16 if len(terms) <= 1 << 16 else np.int32, len(words))
             n = np.array(counts, np.int32)
             place = np.arange(len(words), dtype=np.int32) + np.repeat(np.arange(len(n), dtype=np.int32), n)
             by_term = np.argsort(code, kind="stable")
             ends = np.cumsum(np.bincount(code, minlength=len(terms))).astype(np.int32)
             one = lambda v, t: pa.array([v], pa.list_(t))
             name = pa.array([f"{TaskContext.get().partitionId()}-{made}"])
-            return pa.record_batch([name, one(ids, pa.int64()), one(n, pa.int32()), one([terms[i] for i in order], pa.binary()),
+            return pa.record_batch([name, one(ids, pa.int64()), one(n, pa.int32()), one(terms, pa.binary()),
                                     one(ends, pa.int32()), one(place[by_term], pa.int32())],
                                    ["segment", "doc_ids", "n_words", "terms", "ends", "positions"])
 
@@ -247,10 +244,12 @@ def _finder(sent, slop):
                         if b <= n[d] or slop:
                             spans[d].append((a, min(b, int(n[d]))))
                             items[d].update(owners[p])
-                rows = [{"doc_id": i, "n_words": int(k), "spans": [{"a": a, "b": b} for a, b in merged_ranges(s)],
-                         "items": sorted(x), "segment": batch.column("segment")[r].as_py(), "row": j}
-                        for j, (i, k, s, x) in enumerate(zip(ids, n, spans, items))]
-                yield pa.RecordBatch.from_pylist(rows, HIT_SCHEMA)
+                yield pa.record_batch(
+                    [pa.array(ids, pa.int64()), pa.array(n),
+                     pa.array([[{"a": a, "b": b} for a, b in merged_ranges(s)] for s in spans], HIT_SCHEMA.field("spans").type),
+                     pa.array([sorted(x) for x in items], pa.list_(pa.string())),
+                     pa.array([batch.column("segment")[r].as_py()] * len(ids), pa.string()),
+                     pa.array(np.arange(len(ids)))], schema=HIT_SCHEMA)
 
     HIT_SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()),
                             ("spans", pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))),
