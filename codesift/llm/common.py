@@ -117,15 +117,27 @@ def shingles(word_hashes: np.ndarray, k: int) -> np.ndarray:
 
 
 def flat_shingles(word_hashes: np.ndarray, lens: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingle hashes of many texts laid out one after the other, each of at
-    least k words (``lens``), and where each text's shingles start; repeated
+    """As ``shingles`` for many texts laid out one after the other, each of at
+    least one word (``lens``), and where each text's shingles start; repeated
     shingles are kept."""
-    acc = np.full(len(word_hashes) - k + 1, k, np.uint64)
-    for j in range(k):
-        acc = acc * np.uint64(0x9FB21C651E98DF25) + word_hashes[j:len(word_hashes) - k + 1 + j]
-    of = np.repeat(np.arange(len(lens)), lens)
-    inside = of[:len(acc)] == of[k - 1:]
-    return mix(acc[inside]), np.cumsum(lens - k + 1) - (lens - k + 1)
+    counts = np.maximum(lens - k + 1, 1)
+    starts = np.cumsum(counts) - counts
+    out = np.empty(counts.sum(), np.uint64)
+    n = len(word_hashes) - k + 1
+    if n > 0:
+        acc = np.full(n, k, np.uint64)
+        for j in range(k):
+            acc = acc * np.uint64(0x9FB21C651E98DF25) + word_hashes[j:n + j]
+        of = np.repeat(np.arange(len(lens)), lens)
+        out[np.repeat(lens >= k, counts)] = mix(acc[of[:n] == of[k - 1:]])
+    begins = np.cumsum(lens) - lens
+    for width in range(1, k):
+        short = np.flatnonzero(lens == width)
+        acc = np.full(len(short), width, np.uint64)
+        for j in range(width):
+            acc = acc * np.uint64(0x9FB21C651E98DF25) + word_hashes[begins[short] + j]
+        out[starts[short]] = mix(acc)
+    return out, starts
 
 
 def as_long(x: np.ndarray) -> np.ndarray:

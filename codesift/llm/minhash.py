@@ -124,13 +124,13 @@ def sequence_columns(word_lists: list[list[bytes]], hasher: WordHasher, scheme:
     """As ``sketch_columns`` with the number of shingle places for n_shingles
     and the digest of the word sequence instead of the set's: equal sequences
     have equal sets, and other equal sets collide in every band.  Every list
-    needs at least ``scheme.words`` words."""
+    needs a word."""
     lens = np.array([len(w) for w in word_lists], np.int64)
     flat, starts = flat_shingles(hasher([w for ws in word_lists for w in ws]), lens, scheme.words)
     keys = band_keys(samples_of(flat, starts, scheme.bands * scheme.rows), scheme.bands, scheme.rows)
     digest = np.frombuffer(b"".join(xxhash.xxh3_128_digest(b" ".join(ws)) for ws in word_lists), np.int64).reshape(-1, 2)
     ends = np.arange(0, (len(lens) + 1) * scheme.bands, scheme.bands, dtype=np.int32)
-    return {"n_shingles": pa.array(lens - scheme.words + 1), "d1": pa.array(digest[:, 0]), "d2": pa.array(digest[:, 1]),
+    return {"n_shingles": pa.array(np.maximum(lens - scheme.words + 1, 1)), "d1": pa.array(digest[:, 0]), "d2": pa.array(digest[:, 1]),
             "bands": pa.ListArray.from_arrays(pa.array(ends), pa.array(as_long(keys.ravel())))}
 
 

@@ -1,15 +1,16 @@
 """Removal of near-equal paragraphs by banded MinHash.
 
 A text is cut into paragraphs at line ends and, because passages are also
-copied into the middle of lines, after every sentence of at least
-``LONG_SENTENCE`` words.  Whether a cut is made depends on the sentence alone,
-so a copied passage is cut alike wherever it stands.  Paragraphs with equal
+copied into the middle of lines, before and after every sentence of at least
+``LONG_SENTENCE`` words; shorter sentences between two cuts are one paragraph.
+So a copied long sentence or line is cut alike wherever it stands, and a copied
+short sentence where its neighbours are alike.  Paragraphs with equal
 words form classes; bands are tuned for the wanted recall; paragraphs
 that collide in a band are verified by exact Jaccard similarity; and of every
 connected component the first paragraph (smallest doc_id, then place) stays.
 
-Defined results: paragraphs of fewer than ``MIN_WORDS`` words are never
-removed; null and empty texts have none; rows without doc_id take no part; of
+Defined results: every paragraph with a word is judged, and fewer words than
+the shingle width are one shingle; null, empty and blank texts have none; rows without doc_id take no part; of
 rows that share a doc_id, equal places count as one place; an empty table
 gives an empty result; other columns are ignored.
 """
@@ -29,34 +30,37 @@ from .minhash import SETS, SKETCH, Scheme, SetMaker, classes_of, sequence_column
 from .near import words_of
 
 LONG_SENTENCE = 8
-MIN_WORDS = 8
 PARAGRAPHS = tuned(words=5, percent=80, recall=0.99, max_bands=3, samples=128, bits=256)
 
 STOP = re.compile(rb"\n|[.!?]+(?=[ \t\r\n\x0b\x0c]|\Z)")
 
 
-def cut(text: bytes | None, long_sentence: int = LONG_SENTENCE, min_words: int = MIN_WORDS) -> list[tuple[int, int, int, list[bytes]]]:
-    """(number, start, end, words) of the paragraphs long enough to be judged."""
+def cut(text: bytes | None, long_sentence: int = LONG_SENTENCE) -> list[tuple[int, int, int, list[bytes]]]:
+    """(number, start, end, words) of the paragraphs, each of a word at least."""
     if not text:
         return []
-    out, start, seen, number = [], 0, [], 0
+    out, start, seen = [], 0, []
     at = 0
 
     def close(end):
-        nonlocal start, seen, number
+        nonlocal start, seen
         if seen:
-            if len(seen) >= min_words:
-                out.append((number, start, end, seen))
-            number += 1
+            out.append((len(out), start, end, seen))
         start, seen = end, []
 
     for m in STOP.finditer(text):
         sentence = words_of(text[at:m.end()])
+        long = len(sentence) >= long_sentence
+        if long:
+            close(at)                          # short sentences before a long one
         seen = seen + sentence if seen else sentence
         at = m.end()
-        if m.group()[:1] == b"\n" or len(sentence) >= long_sentence:
+        if long or m.group()[:1] == b"\n":
             close(at)
-    seen = seen + words_of(text[at:])
+    sentence = words_of(text[at:])
+    if len(sentence) >= long_sentence:
+        close(at)
+    seen = seen + sentence
     close(len(text))
     return out
 
@@ -67,7 +71,6 @@ PLACE = "id bigint, doc_id bigint, number int, start int, finish int, n_words in
 def repeated_paragraphs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", scheme: Scheme = PARAGRAPHS) -> DataFrame:
     """One row per paragraph to remove: doc_id, paragraph, start and n_bytes in
     the text, n_words, and the paragraph that stays (kept_doc_id, kept_paragraph)."""
-    assert MIN_WORDS >= scheme.words
     d = columns(docs, doc_id=doc_id, text=text).withColumn("doc_id", F.col("doc_id").cast("long")).filter("doc_id is not null")
 
     def sketch(it):

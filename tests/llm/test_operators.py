@@ -5,6 +5,7 @@ columns with clashing names, and empty tables."""
 import base64
 import collections
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -217,6 +218,30 @@ def test_paragraphs_equal_brute_force(docs, texts, none):
     assert paragraphs.repeated_paragraphs(none).count() == 0
 
 
+def own_paragraphs(text):
+    """Paragraph word lists, cut from lines and sentences by other means."""
+    out = []
+    for line in (text or "").split("\n"):
+        sentences = [x.lower().split() for x in re.split(r"(?<=[.!?])(?=[ \t\r\x0b\x0c])", line)]
+        for long, run in itertools.groupby(sentences, lambda x: len(x) >= 8):
+            out += list(run) if long else [sum(run, [])]
+    return [w for w in out if w]
+
+
+def test_short_paragraphs_and_cuts_equal_brute_force(spark):
+    ten = "alpha beta gamma delta epsilon zeta eta theta iota kappa."
+    rows = [(1, f"Six words stand before this one. {ten} Short end."), (2, f"Others. Here. {ten}\nsee also page six"),
+            (3, f"{ten}\nSee also  PAGE six\n\n"), (4, "x\ny z\nno ending but more than eight words in here"), (5, "x"), (6, None), (7, " \n"),
+            (8, "Aside. no ending but more than eight words in here"), (9, "six words and no stop here"), (10, "a\nsix words and no stop here\n")]
+    got = {(r.doc_id, r.paragraph): (r.kept_doc_id, r.kept_paragraph, r.n_words)
+           for r in paragraphs.repeated_paragraphs(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    units = {(i, n): w for i, t in rows for n, w in enumerate(own_paragraphs(t))}
+    sets = {u: {tuple(w[k:k + 5]) for k in range(max(1, len(w) - 4))} for u, w in units.items()}
+    comp = brute_components(sets)
+    assert got == {u: (*comp[u], len(units[u])) for u in units if comp[u] != u}
+    assert {(2, 1), (3, 0), (3, 1), (5, 0), (8, 1), (10, 1)} == set(got)
+
+
 def test_band_tuning():
     s = minhash.tuned(5, 80, 0.999, 40, 128, 256)
     assert s.recall(0.8) >= 0.999 and s.bands <= 40
