@@ -1,8 +1,8 @@
-"""MinHash samples, bands and odd sketches of shingle sets, and the banded
-similarity join on them.
+"""MinHash samples, bands and odd sketches of shingle sets, prefixes and parity
+bitmaps that miss no pair, and the bucketed similarity join on either.
 
 ``similar_components`` links items whose shingle sets have a Jaccard
-similarity of at least a threshold.  Items that share a band bucket are
+similarity of at least a threshold.  Items that share a bucket are
 candidates.  Every bucket is first linked as a star around its smallest item,
 which is linear in its size; the links are verified on the full sets and give
 first components.  Pairs that the stars did not try matter only where a bucket
@@ -46,14 +46,59 @@ class Scheme:
     def recall(self, similarity: float) -> float:
         return 1 - (1 - similarity ** self.rows) ** self.bands
 
-    def most_odd_bits(self) -> int:
+    def most_odd_bits(self, elements) -> int:
         """Largest XOR population count of sketches whose sets may reach the
         threshold: the expected count at a similarity ``sigmas`` standard
-        errors of the sample below it."""
+        errors of the sample below it; ``elements`` (of both sets) do not matter."""
         j = self.percent / 100
         low = max(0.0, j - self.sigmas * math.sqrt(j * (1 - j) / self.samples))
         return math.ceil(self.bits * (1 - math.exp(-4 * self.samples * (1 - low) / self.bits)) / 2)
 
+    def keys(self, flat: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bucket keys of non-empty sets laid out in ``flat`` and their number per set."""
+        keys = band_keys(samples_of(flat, starts, self.bands * self.rows), self.bands, self.rows)
+        return keys.ravel(), np.full(len(starts), self.bands)
+
+    def sketch(self, flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        return odd_sketches(samples_of(flat, starts, self.samples), self.bits)
+
+
+@dataclass(frozen=True)
+class Prefixes:
+    """Parameters of a similarity join that misses no pair: in one order of all
+    elements, sets that reach the threshold share one of the first few of each,
+    and parity bitmaps of whole sets differ in no more bits than the sets in
+    elements."""
+
+    words: int              # shingle width
+    percent: int            # least Jaccard similarity, in per cent
+    bits: int               # bits of a parity bitmap
+
+    def most_odd_bits(self, elements):
+        """Largest symmetric difference of sets that reach the threshold and
+        have so many elements together."""
+        return elements * (100 - self.percent) / (100 + self.percent)
+
+    def keys(self, flat: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As in ``Scheme``; the keys are the smallest elements of a set, one
+        more than a set that reaches the threshold with it may lack."""
+        of = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(flat))))
+        flat = flat[np.lexsort((flat, of))]
+        new = np.ones(len(flat), bool)
+        new[1:] = (flat[1:] != flat[:-1]) | (of[1:] != of[:-1])
+        flat, of = flat[new], of[new]
+        sizes = np.bincount(of, minlength=len(starts))
+        rank = np.arange(len(flat)) - (np.cumsum(sizes) - sizes)[of]
+        counts = sizes * (100 - self.percent) // 100 + 1
+        return flat[rank < counts[of]], counts
+
+    def sketch(self, flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        n = len(starts)
+        of = np.repeat(np.arange(n), np.diff(np.append(starts, len(flat))))
+        at = of * self.bits + (flat % np.uint64(self.bits)).astype(np.int64)
+        parity = (np.bincount(at, minlength=n * self.bits) & 1).astype(np.uint8)
+        return np.packbits(parity.reshape(n, self.bits), axis=1)
+
 
 def tuned(words: int, percent: int, recall: float, max_bands: int, samples: int, bits: int) -> Scheme:
     """The widest bands (fewest false candidates) that reach ``recall`` at the
@@ -120,18 +165,20 @@ class SetMaker:
         return out
 
 
-def sequence_columns(word_lists: list[list[bytes]], hasher: WordHasher, scheme: Scheme) -> dict[str, pa.Array]:
+def sequence_columns(word_lists: list[list[bytes]], hasher: WordHasher, scheme: Scheme | Prefixes) -> dict[str, pa.Array]:
     """As ``sketch_columns`` with the number of shingle places for n_shingles
     and the digest of the word sequence instead of the set's: equal sequences
-    have equal sets, and other equal sets collide in every band.  Every list
-    needs a word."""
+    have equal sets, and other equal sets have equal keys.  Every list needs a
+    word.  Fewer words than the shingle width need no keys: only an equal
+    sequence has their one shingle."""
     lens = np.array([len(w) for w in word_lists], np.int64)
     flat, starts = flat_shingles(hasher([w for ws in word_lists for w in ws]), lens, scheme.words)
-    keys = band_keys(samples_of(flat, starts, scheme.bands * scheme.rows), scheme.bands, scheme.rows)
+    keys, n_keys = scheme.keys(flat, starts)
+    keys, n_keys = keys[np.repeat(lens >= scheme.words, n_keys)], np.where(lens >= scheme.words, n_keys, 0)
     digest = np.frombuffer(b"".join(xxhash.xxh3_128_digest(b" ".join(ws)) for ws in word_lists), np.int64).reshape(-1, 2)
-    ends = np.arange(0, (len(lens) + 1) * scheme.bands, scheme.bands, dtype=np.int32)
+    ends = np.cumsum([0, *n_keys], dtype=np.int32)
     return {"n_shingles": pa.array(np.maximum(lens - scheme.words + 1, 1)), "d1": pa.array(digest[:, 0]), "d2": pa.array(digest[:, 1]),
-            "bands": pa.ListArray.from_arrays(pa.array(ends), pa.array(as_long(keys.ravel())))}
+            "bands": pa.ListArray.from_arrays(pa.array(ends), pa.array(as_long(keys)))}
 
 
 def sketch_columns(sets: list[np.ndarray], scheme: Scheme) -> dict[str, pa.Array]:
@@ -158,13 +205,13 @@ SKETCH = "n_shingles bigint, d1 bigint, d2 bigint, bands array<bigint>"
 SETS = "m int, s binary, odd binary"
 
 
-def set_columns(sets: list[np.ndarray], scheme: Scheme) -> dict[str, pa.Array]:
+def set_columns(sets: list[np.ndarray], scheme: Scheme | Prefixes) -> dict[str, pa.Array]:
     """Arrow columns m (size), s (the sorted set, 8 bytes an element) and odd
     (its odd sketch) of non-empty sets."""
     odd = np.empty((0, scheme.bits // 8), np.uint8)
     if sets:
         starts = np.cumsum([0, *map(len, sets[:-1])])
-        odd = odd_sketches(samples_of(np.concatenate(sets), starts, scheme.samples), scheme.bits)
+        odd = scheme.sketch(np.concatenate(sets), starts)
     return {"m": pa.array([len(s) for s in sets], pa.int32()), "s": pa.array([s.tobytes() for s in sets], pa.binary()),
             "odd": pa.array([o.tobytes() for o in odd], pa.binary())}
 
@@ -175,7 +222,7 @@ def classes_of(sketched: DataFrame) -> DataFrame:
         F.min("id").alias("id"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands"))
 
 
-def similar_components(classes: DataFrame, sets_of, scheme: Scheme) -> DataFrame:
+def similar_components(classes: DataFrame, sets_of, scheme: Scheme | Prefixes) -> DataFrame:
     """(id, component) of the class representatives that have a similar one.
 
     ``sets_of(ids)`` returns (id, m, s, odd) for the given ids.
@@ -195,8 +242,11 @@ def similar_components(classes: DataFrame, sets_of, scheme: Scheme) -> DataFrame
     placed = written(placed, "placed")
     sizes = sets.select("id", "m")
     mixed = placed.join(sizes, "id").groupBy("key").agg(
-        F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n_members"), F.sum("m").alias("n_elements")) \
-        .filter("lo != hi").select("key", F.ceil(F.greatest(F.col("n_members") / BLOCK, F.col("n_elements") / BLOCK_ELEMENTS)).cast("int").alias("blocks"))
+        F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n_members"), F.sum("m").alias("n_elements"),
+        F.bit_xor(F.xxhash64("id")).alias("x1"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("x2")) \
+        .filter("lo != hi")
+    # of buckets with the same members (128 bits of hashes agree), one is enough
+    mixed = mixed.groupBy("n_members", "n_elements", "x1", "x2").agg(F.min("key").alias("key")).select("key", F.ceil(F.greatest(F.col("n_members") / BLOCK, F.col("n_elements") / BLOCK_ELEMENTS)).cast("int").alias("blocks"))
     more = links_in_blocks(placed.join(mixed, "key").filter("id != pivot").select("key", "id", "component", "blocks"), sets, scheme)
     more = written(more, "verified")
     if more.isEmpty():
@@ -240,20 +290,20 @@ def common_elements(a: str, b: str):
     return count(a, b)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, scheme: Scheme) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, scheme: Scheme | Prefixes) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold.  The odd sketches
     go first and spare most other pairs the transport of their sets."""
     odd = sets.select("id", "odd", "m")
     oa, ob = (odd.select(F.col("id").alias(x), F.col("odd").alias(f"o{x}"), F.col("m").alias(f"m{x}")) for x in "ab")
     near = pairs.join(oa, "a").join(ob, "b") \
         .filter((100 * F.least("ma", "mb") >= scheme.percent * F.greatest("ma", "mb"))) \
-        .withColumn("z", odd_bits("oa", "ob")).filter(F.col("z") <= scheme.most_odd_bits()).select("a", "b", "ma", "mb")
+        .withColumn("z", odd_bits("oa", "ob")).filter(F.col("z") <= scheme.most_odd_bits(F.col("ma") + F.col("mb"))).select("a", "b", "ma", "mb")
     sa, sb = (sets.select(F.col("id").alias(x), F.col("s").alias(f"s{x}")) for x in "ab")
     return near.join(sa, "a").join(sb, "b").withColumn("both", common_elements("sa", "sb")) \
         .filter(100 * F.col("both") >= scheme.percent * (F.col("ma") + F.col("mb") - F.col("both"))).select("a", "b")
 
 
-def links_in_blocks(members: DataFrame, sets: DataFrame, scheme: Scheme) -> DataFrame:
+def links_in_blocks(members: DataFrame, sets: DataFrame, scheme: Scheme | Prefixes) -> DataFrame:
     """Verified links (a, b) that join the components of the members (key, id,
     component, blocks) of a bucket, as far as they can be joined.
 
@@ -267,7 +317,7 @@ def links_in_blocks(members: DataFrame, sets: DataFrame, scheme: Scheme) -> Data
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))) \
         .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component") \
         .join(sets, "id")
-    most, percent = scheme.most_odd_bits(), scheme.percent
+    percent = scheme.percent
     cols = ["key", "i", "j", "own", "id", "component", "m", "s", "odd"]
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -288,7 +338,7 @@ def links_in_blocks(members: DataFrame, sets: DataFrame, scheme: Scheme) -> Data
             at = np.flatnonzero(ok) + x + 1
             if len(at):
                 z = np.bitwise_count(odd[at] ^ odd[x]).sum(1, dtype=np.int64)
-                near = z <= most
+                near = z <= scheme.most_odd_bits(size[x] + size[at])
                 found.append(np.stack([z[near], np.full(near.sum(), x), at[near]], 1))
         if not found:
             return []

@@ -1,13 +1,14 @@
-"""Removal of near-equal paragraphs by banded MinHash.
+"""Removal of near-equal paragraphs by a prefix filter on their shingle sets.
 
 A text is cut into paragraphs at line ends and, because passages are also
 copied into the middle of lines, before and after every sentence of at least
 ``LONG_SENTENCE`` words; shorter sentences between two cuts are one paragraph.
 So a copied long sentence or line is cut alike wherever it stands, and a copied
 short sentence where its neighbours are alike.  Paragraphs with equal
-words form classes; bands are tuned for the wanted recall; paragraphs
-that collide in a band are verified by exact Jaccard similarity; and of every
-connected component the first paragraph (smallest doc_id, then place) stays.
+words form classes; paragraphs that share one of their few smallest shingle
+hashes, as all pairs that reach the threshold do, are verified by exact Jaccard
+similarity; and of every connected component the first paragraph (smallest
+doc_id, then place) stays.
 
 Defined results: every paragraph with a word is judged, and fewer words than
 the shingle width are one shingle; null, empty and blank texts have none; rows without doc_id take no part; of
@@ -26,11 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import WordHasher, batches, columns, text_slices, tidy, written
-from .minhash import SETS, SKETCH, Scheme, SetMaker, classes_of, sequence_columns, set_columns, similar_components, tuned
+from .minhash import SETS, SKETCH, Prefixes, Scheme, SetMaker, classes_of, sequence_columns, set_columns, similar_components
 from .near import words_of
 
 LONG_SENTENCE = 8
-PARAGRAPHS = tuned(words=5, percent=80, recall=0.99, max_bands=3, samples=128, bits=256)
+PARAGRAPHS = Prefixes(words=5, percent=80, bits=256)
 
 STOP = re.compile(rb"\n|[.!?]+(?=[ \t\r\n\x0b\x0c]|\Z)")
 
@@ -68,7 +69,7 @@ def cut(text: bytes | None, long_sentence: int = LONG_SENTENCE) -> list[tuple[in
 PLACE = "id bigint, doc_id bigint, number int, start int, finish int, n_words int, "
 
 
-def repeated_paragraphs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", scheme: Scheme = PARAGRAPHS) -> DataFrame:
+def repeated_paragraphs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", scheme: Scheme | Prefixes = PARAGRAPHS) -> DataFrame:
     """One row per paragraph to remove: doc_id, paragraph, start and n_bytes in
     the text, n_words, and the paragraph that stays (kept_doc_id, kept_paragraph)."""
     d = columns(docs, doc_id=doc_id, text=text).withColumn("doc_id", F.col("doc_id").cast("long")).filter("doc_id is not null")

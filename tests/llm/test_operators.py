@@ -242,6 +242,34 @@ def test_short_paragraphs_and_cuts_equal_brute_force(spark):
     assert {(2, 1), (3, 0), (3, 1), (5, 0), (8, 1), (10, 1)} == set(got)
 
 
+def test_paragraph_join_misses_no_pair(spark):
+    """1,500 pairs at the threshold and just above, each with no other link."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9))
+    rows = []
+    for k in range(1500):
+        base = [word() for _ in range(rng.choice([13, 22, 40]))]     # 9, 18, 36 shingles
+        more = base + [word() for _ in range((len(base) - 4) // 4)]   # 11, 22, 45: similarity 0.8 and above
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(more))]
+    assert all(100 * len(shingle_set(a, 5)) >= 80 * len(shingle_set(b, 5)) for (_, a), (_, b) in zip(rows[::2], rows[1::2]))
+    got = {(r.doc_id, r.kept_doc_id) for r in paragraphs.repeated_paragraphs(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {(2 * k + 1, 2 * k) for k in range(1500)}
+
+
+def test_prefixes_and_parities_are_bounds():
+    rng = np.random.default_rng(4)
+    p = minhash.Prefixes(5, 80, 256)
+    for m in (1, 4, 5, 9, 100, 3000):
+        for _ in range(40):
+            a = np.unique(rng.integers(0, 2**63, m).astype(np.uint64) * np.uint64(2))
+            lack = rng.choice(len(a), len(a) // 5, replace=False)
+            b = np.unique(np.delete(a, lack))
+            keys, n = p.keys(np.r_[a, a[:1], b], np.array([0, len(a) + 1]))
+            assert n.tolist() == [len(a) // 5 + 1, len(b) // 5 + 1] and set(keys[:n[0]]) & set(keys[n[0]:])
+            odd = p.sketch(np.r_[a, b], np.array([0, len(a)]))
+            assert np.bitwise_count(odd[0] ^ odd[1]).sum() <= len(lack) <= p.most_odd_bits(len(a) + len(b))
+
+
 def test_band_tuning():
     s = minhash.tuned(5, 80, 0.999, 40, 128, 256)
     assert s.recall(0.8) >= 0.999 and s.bands <= 40
