@@ -9,9 +9,13 @@ finds the entry of every block.  Only candidates on the chain from offset 0
 are records; magic inside payloads is rejected and its pieces are put back
 into the payload that holds them.
 
+A payload is written once, as the response of the smallest page_id that has
+it; its other pages are revisit records without a body, which name that page
+and state the length and digest of the whole payload.
+
 Defined results: a null payload is empty; a null URL is written as an empty
 target; line breaks in a URL become spaces; repeated rows give repeated
-records; an empty table gives no records; other columns are ignored.  A file
+records; rows without a numeric page_id are always responses; an empty table gives no records; other columns are ignored.  A file
 whose first record does not parse yields nothing, and a broken chain ends the
 file's records there.
 """
@@ -23,6 +27,7 @@ import hashlib
 import re
 import uuid
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,23 +39,57 @@ from .common import columns, texts_of, written
 
 MAGIC = "WARC/1.0\r\n"
 END = "\r\n\r\n"
+# Bits of the bitmap that keeps payloads of one page out of the shuffle (4 MiB).
+MARKS = 1 << 25
+PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 
 
 def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", payload: str = "html",
                    date: str = "2024-01-01T00:00:00Z", records_per_file: int = 20_000) -> None:
-    """One record per row, in files of at most ``records_per_file`` records."""
+    """One record per row, in files of at most ``records_per_file`` records: a
+    response for the smallest page_id of each payload, else a revisit."""
     d = columns(pages, page_id=page_id, url=url, payload=payload)
     body = F.coalesce(F.col("payload").cast("string"), F.lit(""))
     clean = F.regexp_replace(F.coalesce(F.col("url").cast("string"), F.lit("")), r"[\r\n]", " ")
-    record = F.concat(
-        F.lit(f"{MAGIC}WARC-Type: response\r\nWARC-Record-ID: <urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("")),
-        F.lit(">\r\nWARC-Target-URI: "), clean,
-        F.lit(f"\r\nWARC-Date: {date}\r\nWARC-Payload-Digest: sha1:"), F.sha1(body.cast("binary")),
-        F.lit("\r\nContent-Type: text/html\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit(END), body)
-    d.select(record.alias("value")).write.option("lineSep", END) \
+    d = d.select(F.col("page_id").cast("string").alias("page_id"), F.expr("try_cast(page_id as bigint)").alias("number"), clean.alias("url"),
+                 body.alias("body"), F.sha1(body.cast("binary")).alias("digest"))
+    # only payloads of several pages, and a few that share a mark with them, are moved to be looked up
+    first = d.groupBy("digest").agg(F.min("number").alias("first"), F.max("number").alias("last")) \
+        .filter("first < last").select("digest", "first")
+    first = written(first, "first")
+    marked = _marked(first)
+    alone = d.filter(~marked("digest")).withColumn("first", F.lit(None).cast("long"))
+    d = d.filter(marked("digest")).join(first.hint("shuffle_hash"), "digest", "left").unionByName(alone) \
+        .withColumn("again", F.coalesce(F.col("number") != F.col("first"), F.lit(False)))
+    common = F.concat(
+        F.lit("\r\nWARC-Record-ID: <urn:page:"), F.coalesce("page_id", F.lit("")), F.lit(">\r\nWARC-Target-URI: "), "url",
+        F.lit(f"\r\nWARC-Date: {date}\r\nWARC-Payload-Digest: sha1:"), "digest")
+    length = F.octet_length("body").cast("string")
+    response = F.concat(F.lit(f"{MAGIC}WARC-Type: response"), common,
+                        F.lit("\r\nContent-Type: text/html\r\nContent-Length: "), length, F.lit(END), "body")
+    revisit = F.concat(F.lit(f"{MAGIC}WARC-Type: revisit"), common, F.lit(f"\r\nWARC-Profile: {PROFILE}\r\nWARC-Refers-To: <urn:page:"),
+                       F.col("first").cast("string"), F.lit(">\r\nWARC-Payload-Length: "), length, F.lit(f"\r\nContent-Length: 0{END}"))
+    d.select(F.when(F.col("again"), revisit).otherwise(response).alias("value")).write.option("lineSep", END) \
         .option("maxRecordsPerFile", records_per_file).text(path)
 
 
+def _marked(keys: DataFrame):
+    """A test that holds for every digest in ``keys`` and few others, by a
+    bitmap of bounded size."""
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(MARKS))
+    set_words = keys.select(place("digest").alias("at")).groupBy(F.shiftright("at", 6).alias("word")) \
+        .agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).toArrow()
+    bitmap = np.zeros(MARKS // 64, np.int64)
+    bitmap[set_words.column("word").to_numpy()] = set_words.column("bits").to_numpy()
+
+    @F.arrow_udf("boolean")
+    def test(at: pa.Array) -> pa.Array:
+        at = at.to_numpy(zero_copy_only=False)
+        return pa.array((bitmap[at >> 6] >> (at & 63)) & 1 == 1)
+
+    return lambda c: test(place(c))
+
+
 HEADER = re.compile(rb"((?:[A-Za-z0-9\-]+:[^\r\n]*\r\n)*?(?:[A-Za-z0-9\-]+:[^\r\n]*))\r\n\r\n")
 
 
@@ -72,6 +111,19 @@ def payload_digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
+def stated_payload(fields: dict) -> tuple[str | None, int | None]:
+    """Payload digest (base32) and length that a revisit record states."""
+    algorithm, _, value = fields.get(b"warc-payload-digest", b"").partition(b":")
+    digest = None
+    if algorithm.lower() == b"sha1":
+        if re.fullmatch(rb"[0-9A-Fa-f]{40}", value):
+            digest = base64.b32encode(bytes.fromhex(value.decode())).decode()
+        elif re.fullmatch(rb"[A-Za-z2-7]{32}", value):
+            digest = value.decode().upper()
+    length = fields.get(b"warc-payload-length", b"")
+    return digest, int(length) if re.fullmatch(rb"\d+", length) else None
+
+
 def _pieces(spark: SparkSession, path: str) -> DataFrame:
     return (spark.read.option("lineSep", MAGIC).text(path)
             .select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
@@ -96,7 +148,8 @@ def _placed(it):
 
 
 CANDIDATES = ("file string, block bigint, rel bigint, size bigint, head bigint, length bigint, succ bigint,"
-              " leaves bigint, record_id string, digest string, declared string, type string, uri string")
+              " leaves bigint, record_id string, digest string, declared string, type string, uri string,"
+              " refers_to string, stated_digest string, stated_length bigint")
 
 
 def _candidates(it):
@@ -135,6 +188,9 @@ def _candidates(it):
                     "type": fields.get(b"warc-type", b"").decode("utf-8", "replace"),
                     "uri": fields.get(b"warc-target-uri", b"").decode("utf-8", "replace"),
                     "record_id": fields.get(b"warc-record-id", b"").decode("utf-8", "replace")}
+            if row["type"] == "revisit":
+                row["refers_to"] = fields.get(b"warc-refers-to", b"").decode("utf-8", "replace")
+                row["stated_digest"], row["stated_length"] = stated_payload(fields)
             if head + n <= len(value):
                 row["digest"] = payload_digest(value[head:head + n])
         rows.append(row)
@@ -184,7 +240,9 @@ def _walk(pdf):
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """The records of all archives under ``path``: file, offset, record_id,
-    type, uri, payload_bytes, payload_digest (base32 SHA-1 of the payload)."""
+    type, uri, payload_bytes, payload_digest (base32 SHA-1 of the payload; of a
+    revisit both are those it states) and refers_to (record id; null but for
+    revisits)."""
     cands = written(_pieces(spark, path).mapInArrow(_candidates, CANDIDATES), "candidates")
     totals = cands.groupBy("file", "block").agg(F.sum(F.col("size") + SEP).alias("n"))
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
@@ -198,8 +256,10 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     chain = written(chain, "chain")
     records = cands.join(chain.filter("owner = off").select("file", "off"), ["file", "off"])
     whole = records.filter("digest is not null")
+    again = F.col("type") == "revisit"
     out = ["file", F.col("off").alias("offset"), "record_id", "type", "uri", "declared",
-           F.col("length").alias("payload_bytes"), F.col("digest").alias("payload_digest")]
+           F.when(again, F.col("stated_length")).otherwise(F.col("length")).alias("payload_bytes"),
+           F.when(again, F.col("stated_digest")).otherwise(F.col("digest")).alias("payload_digest"), "refers_to"]
     broken = records.filter("digest is null").select("file", "off", "head", "length")
     if broken.isEmpty():
         return whole.select(*out)
@@ -249,12 +309,6 @@ def round_trip(pages: DataFrame, page_id: str = "page_id", url: str = "url", pay
     spark = pages.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
     write_archives(pages, path, page_id, url, payload)
-    got = read_archives(spark, path).select(
-        F.regexp_extract("record_id", r"^<urn:page:(-?\d+)>$", 1).try_cast("long").alias("page_id"), "payload_bytes", "payload_digest")
-    got = written(got, "records")
-    first = got.groupBy("payload_digest").agg(F.min("page_id").alias("first_id"))
-    joined = got.join(first, "payload_digest")
-    again = F.coalesce(F.col("page_id") != F.col("first_id"), F.lit(False))
-    return joined.select("page_id", "payload_bytes", "payload_digest",
-                         F.when(again, "revisit").otherwise("response").alias("record_type"),
-                         F.when(again, F.col("first_id")).alias("refers_to"))
+    number = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+)>$", 1).try_cast("long")
+    return read_archives(spark, path).select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest",
+                                             F.col("type").alias("record_type"), number("refers_to").alias("refers_to"))

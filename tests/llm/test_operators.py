@@ -301,6 +301,25 @@ def test_warc_round_trip_with_magic_in_payloads(spark):
     assert warc.round_trip(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("marks", [1 << 25, 64])
+def test_warc_copies_are_revisit_records(spark, tmp_path, marks, monkeypatch):
+    monkeypatch.setattr(warc, "MARKS", marks)
+    body = "payload " * 50
+    pages = [(9, "a", body), (4, "b", body), (7, "c\r\nWARC-Type: x", body), (10, "d", body), (None, "e", body), (4, "f", "other"), (5, "g", None),
+             (6, "h", ""), (8, "i", "other" + warc.MAGIC)]
+    df = spark.createDataFrame(pages, "page_id bigint, url string, html string").repartition(2)
+    warc.write_archives(df, str(tmp_path / "w"))
+    raw = b"".join(f.read_bytes() for f in (tmp_path / "w").glob("part-*"))
+    assert raw.count(body.encode()) == 2 and raw.count(b"\r\nWARC-Refers-To: <urn:page:4>\r\n") == 3
+    digest = lambda t: base64.b32encode(hashlib.sha1(t.encode()).digest()).decode()
+    got = {(r.record_id, r.uri): (r.type, r.payload_bytes, r.payload_digest, r.refers_to) for r in warc.read_archives(spark, str(tmp_path / "w")).collect()}
+    first = {9: 4, 7: 4, 10: 4, 6: 5}
+    assert got == {(f"<urn:page:{'' if i is None else i}>", u.replace("\r\n", "  ")):
+                   ("revisit" if i in first else "response", len(h or ""), digest(h or ""), f"<urn:page:{first[i]}>" if i in first else None)
+                   for i, u, h in pages}
+    assert warc.stated_payload({b"warc-payload-digest": b"sha1:" + digest("x").lower().encode()}) == (digest("x"), None)
+
+
 # --- 5 ----------------------------------------------------------------------
 
 def test_quality_measures_and_limits(spark, docs, texts, none):
