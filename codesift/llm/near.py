@@ -59,7 +59,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def drop_near_duplicates(docs: DataFrame) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, scheme: Scheme = DOCUMENTS) -> DataFrame:
     """``docs`` with one document of each group: the smallest doc_id."""
-    gone = near_duplicates(docs).filter("not kept").select("doc_id")
+    gone = near_duplicates(docs, scheme=scheme).filter("not kept").select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

@@ -9,12 +9,17 @@ empty tables pass through by the rules of each operator (see their modules).
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from codesift.llm import near, packing, positional, quality, repeats
 from codesift.llm.common import table, written
 
+# Stages on word shingles take five words; the four of op3 are that query's own.
+NEAR = replace(near.DOCUMENTS, words=5)
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the adaptive quality rules."""
@@ -23,7 +28,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the smallest doc_id, of each group of near-duplicates."""
-    return near.drop_near_duplicates(docs)
+    return near.drop_near_duplicates(docs, NEAR)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -470,6 +470,16 @@ def test_proximity_matches():
     assert [x.tolist() for x in block.find(seg, slop=1)] == [[0, 0], [0, 6]]
 
 
+def test_pipeline_judges_near_duplicates_by_five_words(spark):
+    import corpus_pipeline
+    base = ["w%d" % k for k in range(150)]
+    other = [("x%d" % k if k in (20, 50, 80, 110) else w) for k, w in enumerate(base)]
+    copy = [("y%d" % k if k == 60 else w) for k, w in enumerate(base)]
+    docs = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(other)), (3, " ".join(copy))], "doc_id bigint, text string")
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == {1, 2}    # 1, 2: 126 of 166 shingles
+    assert {r.doc_id for r in near.drop_near_duplicates(docs).collect()} == {1}                        # of four words: 131 of 163
+
+
 # --- driver queries ------------------------------------------------------------
 
 def test_pipeline_stages_and_queries(spark):
