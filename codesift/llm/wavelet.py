@@ -54,14 +54,31 @@ HEADER = ("part", "number", "before", "ids", "documents", "planes", "doc_bytes")
 # White space as the tokenizer file's pattern treats it; what lies between is
 # encoded unit by unit.
 UNITS = re.compile(rb" ?[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+(?![^ \t\n\r\x0b\x0c])|[ \t\n\r\x0b\x0c]+")
-# Control characters and other white space: left to the library as a whole.
+# Other white space and control characters: left to the library as a whole.
 RARE = re.compile(rb"[\x00-\x08\x0e-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe1\xa0\x8e|\xe2\x80[\x80-\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
+SIGNS = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe1\xa0\x8e", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")  # of a rare text
+# A blank, or a line end, before a word is the only white space of an even text.
+CONTROL = bytes(b for b in range(32) if b != 10)
+UNEVEN = (b"  ", b" \n", b"\n ", b"\n\n\n")
+# A full stop or comma that may not stand alone: what precedes it is no letter or digit.
+TIED = re.compile(rb"[.,](?<![A-Za-z0-9][.,])(?<!\xc3[\x80-\x96\x98-\xb6\xb8-\xbf][.,])")
+# Units of one call of the library, and kept by one worker.
+LEARN = 4096
+KNOWN = 3 * CACHE_WORDS
 
 
 class Encoder:
     """Ids of texts as the tokenizers library gives them for a byte-level file.
     Its pattern never joins characters across white space but for one leading
-    blank, so texts are cut there and each distinct unit is encoded once."""
+    blank, so texts are cut there and each distinct unit is encoded once.
+
+    Even texts are cut at blanks alone: a word is known by itself if a blank
+    precedes it, by a zero byte and itself if nothing does (a line's first, and
+    the full stop or comma after a word).  New words are encoded many at a
+    time, those after a blank as one text whose tokens show where a blank
+    begins, the others as lines.  What is known is kept for the worker's next
+    tasks.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"     # Spark runs the tasks in parallel
@@ -69,58 +86,127 @@ class Encoder:
 
         self.tok = Tokenizer.from_file(path)
         added = [t.content.encode() for t in self.tok.get_added_tokens_decoder().values()]
-        self.special = re.compile(b"|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
-        self.cache: dict[bytes, bytes] = {}
+        self.special = tuple(added)
+        vocabulary = self.tok.get_vocab()
+        self.blank = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        for token, i in vocabulary.items():
+            self.blank[i] = token.startswith("\u0120")
+        self.line = self._whole([b"\n"])[0]
+        self.words: dict[bytes, bytes] = {}
+        self.units: dict[bytes, bytes] = {}
 
     def _whole(self, texts: list[bytes]) -> list[bytes]:
         found = self.tok.encode_batch_fast([t.decode("utf-8") for t in texts], add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
+    def _learn(self, new: list[bytes]) -> None:
+        for lines in (False, True):
+            mine = [w for w in new if w.startswith(b"\0") == lines]
+            for a in range(0, len(mine), LEARN):
+                part = mine[a:a + LEARN]
+                if lines:
+                    ids = np.frombuffer(self._whole([b"\n".join(w[1:] for w in part) + b"\n"])[0], "<u4")
+                    ends = np.flatnonzero(ids == np.frombuffer(self.line, "<u4")[0])
+                    starts = np.r_[0, ends[:-1] + 1]
+                else:
+                    ids = np.frombuffer(self._whole([b" " + b" ".join(part)])[0], "<u4")
+                    starts = np.flatnonzero(self.blank[ids])
+                    ends = np.r_[starts[1:], len(ids)]
+                if len(starts) != len(part) or len(ends) != len(part):
+                    raise ValueError("this tokenizer file joins characters across white space")
+                flat = ids.tobytes()
+                self.words.update((w, flat[4 * x:4 * y]) for w, x, y in zip(part, starts.tolist(), ends.tolist()))
+
+    def _even(self, t: bytes) -> bool:
+        return not (t[:1] in (b" ", b"\n") or t[-1:] in (b" ", b"\n") or any(u in t for u in UNEVEN)
+                    or len(t.translate(None, CONTROL)) != len(t))
+
+    @staticmethod
+    def _rare(t: bytes) -> bool:
+        """Never false for a text that ``RARE`` is found in and the cuts below are made in."""
+        return not t.isascii() and any(s in t for s in SIGNS) and RARE.search(t) is not None
+
+    @staticmethod
+    def _words(t: bytes) -> list[bytes]:
+        if TIED.search(t) is None:
+            for stop in (b".", b","):
+                t = t.replace(stop + b" ", b" \0" + stop + b" ").replace(stop + b"\n", b" \0" + stop + b"\n")
+            if t[-1:] in b".,":
+                t = t[:-1] + b" \0" + t[-1:]
+        return (b"\0" + t.replace(b"\n", b" \n \0")).split(b" ")
+
     def __call__(self, texts: list) -> list[bytes]:
-        out, units = [b""] * len(texts), {}
+        out, words, units = [b""] * len(texts), {}, {}
         for i, t in enumerate(texts):
             if not t:
                 continue
-            if RARE.search(t) or (self.special and self.special.search(t)):
+            if any(x in t for x in self.special) or self._rare(t):
+                out[i] = self._whole([t])[0]
+            elif self._even(t):
+                words[i] = self._words(t)
+            elif RARE.search(t):
                 out[i] = self._whole([t])[0]
             else:
                 units[i] = UNITS.findall(t)
-        if len(self.cache) > CACHE_WORDS:
-            self.cache = {}
-        new = list(set().union(*units.values()).difference(self.cache))
-        for a in range(0, len(new), 10_000):
-            part = new[a:a + 10_000]
-            self.cache.update(zip(part, self._whole(part)))
-        known = self.cache.__getitem__
-        for i, u in units.items():
-            out[i] = b"".join(map(known, u))
+        for cache in (self.words, self.units):
+            if len(cache) > KNOWN:
+                cache.clear()
+        self.words.update({b"\0": b"", b"\n": self.line})
+        self._learn(list(set().union(*words.values()).difference(self.words)))
+        new = list(set().union(*units.values()).difference(self.units))
+        for a in range(0, len(new), LEARN):
+            self.units.update(zip(new[a:a + LEARN], self._whole(new[a:a + LEARN])))
+        for found, cache in ((words, self.words), (units, self.units)):
+            known = cache.__getitem__
+            for i, parts in found.items():
+                out[i] = b"".join(map(known, parts))
         return out
 
 
-def _plane(bits: np.ndarray) -> bytes:
-    """One bit-plane: ones before every block and the blocks' places, then the blocks."""
-    packed = np.packbits(bits, bitorder="little").tobytes()
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """This worker's encoder for a tokenizer file."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
+def _blocks(packed: bytes) -> list[bytes]:
+    """The blocks of a plane, deflated where few or most bits are ones and
+    that is smaller."""
     step = BLOCK_BITS // 8
-    raw = [packed[a:a + step] for a in range(0, len(packed), step)]
-    blocks = [min(b, zlib.compress(b, 1), key=len) for b in raw]
-    starts = np.arange(0, len(bits), BLOCK_BITS)
-    ones = np.add.reduceat(bits, starts, dtype=np.int64) if len(bits) else np.empty(0, np.int64)
+    out = []
+    for a in range(0, len(packed), step):
+        raw = packed[a:a + step]
+        ones = int.from_bytes(raw).bit_count()
+        rare = min(ones, 8 * len(raw) - ones) < len(raw)
+        out.append(min(raw, zlib.compress(raw, 1), key=len) if rare else raw)
+    return out
+
+
+def _plane(bits: np.ndarray, packed: bytes) -> bytes:
+    """One bit-plane: ones before every block and the blocks' places, then the blocks."""
+    blocks = _blocks(packed)
+    ones = np.add.reduceat(bits, np.arange(0, len(bits), BLOCK_BITS), dtype=np.int64)
     directory = np.concatenate([[0], np.cumsum(ones), [0], np.cumsum([len(b) for b in blocks], dtype=np.int64)]).astype("<i8")
     return directory.tobytes() + b"".join(blocks)
 
 
 def build(ids: np.ndarray, doc_ids: list, lengths: list[int], part: int = 0, number: int = 0, before: int = 0) -> bytes:
     """A shard file of ``ids``, the concatenated ids of the documents."""
-    cur = np.ascontiguousarray(ids, np.uint32)
-    n_planes = int(cur.max()).bit_length() if len(cur) else 0
-    planes = []
+    n, n_planes = len(ids), int(ids.max()).bit_length() if len(ids) else 0
+    kind = np.uint16 if n_planes <= 16 else np.uint32
+    cur, planes = np.ascontiguousarray(ids, kind), []
     for shift in range(n_planes - 1, -1, -1):
-        bits = (cur >> np.uint32(shift)) & np.uint32(1) != 0
-        planes.append(_plane(bits))
-        cur = np.concatenate([cur[~bits], cur[bits]])
+        bits = (cur & kind(1 << shift)) != 0
+        packed = np.packbits(bits, bitorder="little").tobytes()
+        planes.append(_plane(bits, packed))
+        cur = np.concatenate([cur.take(np.flatnonzero(~bits)), cur.take(np.flatnonzero(bits))])
     known = np.array([i is not None for i in doc_ids], np.uint8)
     docs = zlib.compress(known.tobytes() + np.array([i or 0 for i in doc_ids], "<i8").tobytes() + np.array(lengths, "<i8").tobytes(), 1)
-    head = struct.pack(f"<{len(HEADER)}q", part, number, before, len(ids), len(doc_ids), n_planes, len(docs))
+    head = struct.pack(f"<{len(HEADER)}q", part, number, before, n, len(doc_ids), n_planes, len(docs))
     sizes = np.array([len(p) for p in planes], "<i8").tobytes()
     return MAGIC + head + sizes + docs + b"".join(planes)
 
@@ -191,14 +277,15 @@ class Shard:
 
     def decode(self) -> np.ndarray:
         """All ids, from the last plane up."""
-        cur = np.zeros(self.n, "<u4")
+        kind = np.uint16 if len(self.planes) <= 16 else np.uint32
+        cur = np.zeros(self.n, kind)
         for shift, plane in enumerate(reversed(self.planes)):
-            one = plane.bits().astype(bool)
+            one = plane.bits().view(bool)
             up = np.empty_like(cur)
-            up[~one] = cur[:plane.zeros]
-            up[one] = cur[plane.zeros:] | np.uint32(1 << shift)
+            up[np.flatnonzero(~one)] = cur[:plane.zeros]
+            up[np.flatnonzero(one)] = cur[plane.zeros:] | kind(1 << shift)
             cur = up
-        return cur
+        return cur.astype("<u4")
 
     def access(self, i: int) -> int:
         """The id at place i."""
@@ -257,7 +344,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, closing_id: int = 0
 
         size = 0
         for batch, texts in batches(it):
-            enc = enc or Encoder(tokenizer)
+            enc = enc or encoder(tokenizer)
             for doc, ids in zip(batch.column("doc_id").to_pylist(), enc(texts)):
                 held.append(ids + closing)
                 owners.append(doc)
