@@ -9,8 +9,8 @@ the same matches:
 * Python ``\\w \\s \\b \\d`` are Unicode -> ``(?U)``; RE2's are ASCII -> no flag.
 * Python ``re.IGNORECASE`` on str patterns is Unicode-aware -> ``(?iu)``.
 
-Patterns are validated once on the driver (a catalogue is configuration, not
-data); invalid ones and ones that can match the empty string go to a rejects
+Patterns are validated before they are used, a table of them in the tasks
+(``with_reasons``); invalid ones and ones that can match the empty string go to a rejects
 table instead of failing the job.  RE2 has no look-around or back-references:
 such patterns are flagged ``re2_ok = false`` so the Go-compatible detectors
 skip them as the reference does, unless asked to keep them.
@@ -20,6 +20,10 @@ from __future__ import annotations
 
 import re
 
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
 PYTHON = "python"
 RE2 = "re2"
 
@@ -90,6 +94,32 @@ def _without_lookaround(pattern: str) -> str:
     return "".join(out)
 
 
+def with_reasons(patterns: DataFrame, dialect: str = RE2, column: str = "pattern") -> DataFrame:
+    """``patterns`` with a column ``reason``: why a pattern is rejected, else
+    null, as ``check_pattern`` says of one.  It is decided in the tasks by the
+    regex engine of the scan, so a table of any size may be checked."""
+    compiled = lambda p: F.call_function("try_reflect", F.lit("java.util.regex.Pattern"), F.lit("compile"), p)
+    flags = to_java("", dialect)
+    never = F.lit("(?!)")  # in place of what does not compile: such a column pattern would end the job
+
+    @F.arrow_udf("string")
+    def bare(ps: pa.Array) -> pa.Array:
+        return pa.array([p and _without_lookaround(p) for p in ps.to_pylist()], pa.string())
+
+    def finds_nothing_at(safe: Column, probe: str) -> Column:
+        return F.rlike(F.lit(probe), safe) & (F.call_function("regexp_extract", F.lit(probe), safe, F.lit(0)) == "")
+
+    p = F.col(column)
+    d = patterns.withColumn("_safe", compiled(F.concat(F.lit(flags), p))).withColumn("_bare", bare(p))
+    d = d.withColumn("_safe_bare", F.when(F.col("_bare") != p, compiled(F.concat(F.lit(flags), F.col("_bare")))))
+    d = d.select("*", F.coalesce("_safe", never).alias("_s"), F.coalesce("_safe_bare", never).alias("_b"))
+    empty = finds_nothing_at(F.col("_s"), "") | finds_nothing_at(F.col("_s"), "x") | finds_nothing_at(F.col("_s"), "\n") | \
+        (F.col("_safe").isNotNull() & F.rlike(F.lit(""), F.col("_b")))
+    reason = F.when(p.isNull() | (p == ""), "empty pattern").when(F.col("_safe").isNull(), "invalid: the pattern does not compile") \
+        .when(empty, "matches the empty string")
+    return d.select(*patterns.columns, reason.alias("reason"))
+
+
 _META = set(".^$*+?{}[]()|\\")
 _ESCAPABLE_LITERAL = set("./()[]{}*+?|^$-:'\"=,#&%@!<>~`;")
 

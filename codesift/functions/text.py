@@ -59,8 +59,8 @@ def newline_count(col) -> Column:
     return F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
 
 
-def all_matches(content, java_pattern: str) -> Column:
-    """Every non-overlapping match of ``java_pattern`` in ``content``:
+def all_matches(content, java_pattern: str | Column) -> Column:
+    """Every non-overlapping match of ``java_pattern`` (also a column) in ``content``:
     ``array<struct<idx, text, line_start, line_end, offset>>`` with 1-based
     lines and the 0-based character offset of the match start.
 
@@ -72,7 +72,7 @@ def all_matches(content, java_pattern: str) -> Column:
     empty string (rejected on load).
     """
     c = _c(content)
-    m = F.regexp_extract_all(c, F.lit(java_pattern), 0)
+    m = F.regexp_extract_all(c, F.lit(java_pattern), 0)  # lit() leaves a column as it is
     s = F.split(c, java_pattern, -1)
     steps = F.zip_with(m, s, lambda mt, gap: F.struct(
         newline_count(gap).alias("g"), newline_count(mt).alias("t"), F.length(gap).alias("gl"),

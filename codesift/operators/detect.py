@@ -5,8 +5,8 @@ Scale notes
 * A signature catalogue is configuration, not data.  It is unrolled into one
   literal ``rlike`` per pattern inside a projection over the corpus: no join,
   no shuffle, a map-only stage.  A catalogue of more than ``MAX_UNROLLED``
-  patterns gives one such projection per ``MAX_UNROLLED`` patterns, and their
-  union; the rows do not depend on its size.
+  patterns is looked up in a literal-factor index instead (``indexed``), still
+  map-only and in one corpus read; the rows do not depend on its size.
 * Every entry point takes its patterns from ``pattern_rows``, which drops the
   invalid ones.
 * Output rows are the matches themselves; nothing is collected.
@@ -20,10 +20,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as TX
-from ..functions.regex import RE2, check_pattern, re2_compatible, required_literal, to_java
+from ..functions.regex import RE2, check_pattern, re2_compatible, required_literal, to_java, with_reasons
 from ..sources import catalog as CAT
+from . import indexed
 
-MAX_UNROLLED = 500  # patterns per projection
+MAX_UNROLLED = 500  # patterns of one projection; more are indexed
 MATCH_COLUMNS = ["detector", "sig_id", "name", "severity", "path", "line_start", "line_end",
                  "matched_code", "confidence"]
 
@@ -41,12 +42,13 @@ def pattern_rows(patterns, spark=None) -> list[tuple]:
         if "code_patterns" in patterns.columns:
             patterns = patterns.select("sig_id", "name", "severity",
                                        F.posexplode("code_patterns").alias("pattern_ord", "pattern"))
-        rows = (tuple(r) for r in patterns.select("sig_id", "name", "severity", "pattern_ord", "pattern")
-                .toLocalIterator())
-    else:
-        rows = ((sig_id, name, severity, i, p) for sig_id, name, severity, _desc, pats in patterns
-                for i, p in enumerate(pats))
+        rows = patterns.select("sig_id", "name", "severity", "pattern_ord", "pattern")
+        return [tuple(r)[:5] for r in with_reasons(rows, "python").where("reason is null").toLocalIterator()]
+    rows = [(sig_id, name, severity, i, p) for sig_id, name, severity, _desc, pats in patterns for i, p in enumerate(pats)]
     spark = spark or SparkSession.getActiveSession()
+    if len(rows) > MAX_UNROLLED:  # checked in the tasks
+        rows = spark.createDataFrame(rows, "sig_id string, name string, severity string, pattern_ord int, pattern string")
+        return pattern_rows(rows)
     return [r for r in rows if check_pattern(spark, r[4], "python") is None]
 
 
@@ -85,6 +87,8 @@ def detect_lines(lines: DataFrame, patterns, rule: str = "G-py", detector: str =
         lines = lines.where(ext_filter(F.col("path"), exts))
     rows = [r for r in pattern_rows(patterns, lines.sparkSession) if keep_non_re2 or re2_compatible(r[4])]
     text = F.regexp_replace(F.col("text"), r"\r$", "")
+    if len(rows) > MAX_UNROLLED:
+        return _indexed_lines(lines.select("path", "line_no", text.alias("code")), rows, rule, detector)
 
     def project(chunk):
         hits = [F.when(literal_guard(text, pattern) & text.rlike(TX.java_for_rule(pattern, rule)), F.struct(
@@ -104,6 +108,23 @@ def detect_lines(lines: DataFrame, patterns, rule: str = "G-py", detector: str =
     return in_chunks(rows, project, lines.sparkSession.createDataFrame([], match_schema()))
 
 
+PATTERN_FIELDS = "sig_id: string, name: string, severity: string, pattern_ord: int, pattern: string"
+
+
+def _indexed_lines(lines: DataFrame, rows: list[tuple], rule: str, detector: str) -> DataFrame:
+    """D3 through the literal-factor index: ``lines(path, line_no, code)``."""
+    def project(part):
+        java = [(*r[:4], TX.java_for_rule(r[4], rule), len(r[4].encode("utf-8")), r[4]) for r in part]
+        fields = PATTERN_FIELDS.replace("pattern: string", "java: string, plen: int, pattern: string")
+        pairs = indexed.candidates(lines, F.col("code"), java, fields, whole=False)
+        return pairs.where(F.rlike("code", F.col("java"))).select(
+            F.lit(detector).alias("detector"), "sig_id", "name", "severity", "path", F.col("line_no").alias("line_start"),
+            F.col("line_no").alias("line_end"), F.col("code").alias("matched_code"),
+            TX.confidence(F.col("code"), F.col("plen"), rule).alias("confidence"))
+
+    return indexed.union_of([project(p) for p in indexed.parts(rows)])
+
+
 def match_schema() -> str:
     return ("detector string, sig_id string, name string, severity string, path string, "
             "line_start int, line_end int, matched_code string, confidence double")
@@ -140,6 +161,8 @@ def detect_all(files: DataFrame, patterns, rule: str = "P", detector: str = "sig
     ``P`` (Python CLI) or ``G-vul`` (Go signature detector); keep >= threshold."""
     rows = [r for r in pattern_rows(patterns, files.sparkSession)
             if rule == "P" or keep_non_re2 or re2_compatible(r[4])]
+    if len(rows) > MAX_UNROLLED:
+        return min_confidence_filter(_indexed_files(files, rows, rule, detector), min_confidence)
 
     def project(chunk):
         specs = [(sig_id, name, severity, ordinal, TX.java_for_rule(pattern, rule),
@@ -156,6 +179,22 @@ def detect_all(files: DataFrame, patterns, rule: str = "P", detector: str = "sig
     return min_confidence_filter(out, min_confidence)
 
 
+def _indexed_files(files: DataFrame, rows: list[tuple], rule: str, detector: str) -> DataFrame:
+    """D2 through the literal-factor index."""
+    def project(part):
+        java = [(*r[:4], TX.java_for_rule(r[4], rule), len(r[4]) if rule == "P" else len(r[4].encode("utf-8")), r[4]) for r in part]
+        fields = PATTERN_FIELDS.replace("pattern: string", "java: string, plen: int, pattern: string")
+        pairs = indexed.candidates(files.select("path", "content"), F.col("content"), java, fields, whole=True)
+        hits = pairs.where(F.rlike("content", F.col("java"))) \
+            .select("path", "sig_id", "name", "severity", "plen", F.explode(TX.all_matches(F.col("content"), F.col("java"))).alias("m"))
+        return hits.select(
+            F.lit(detector).alias("detector"), "sig_id", "name", "severity", "path", F.col("m.line_start").alias("line_start"),
+            F.col("m.line_end").alias("line_end"), F.col("m.text").alias("matched_code"),
+            TX.confidence(F.col("m.text"), F.col("plen"), rule).alias("confidence"))
+
+    return indexed.union_of([project(p) for p in indexed.parts(rows)])
+
+
 # --- D5 / D6: block checks ------------------------------------------------------
 
 def block_checks(files: DataFrame, language: str = "python") -> DataFrame:
@@ -284,13 +323,17 @@ def detect_first(files: DataFrame, signatures, strict_ext: bool = False, context
     """
     spark = files.sparkSession
     if isinstance(signatures, DataFrame):
-        signatures = signatures.select("sig_id", "name", "severity", "affected_languages", "code_patterns").toLocalIterator()
-    rows = [(r["sig_id"], r["name"], r["severity"], list(r["affected_languages"]), i, p)
-            for r in signatures for i, p in enumerate(r["code_patterns"]) if check_pattern(spark, p, "python") is None]
+        each = signatures.select("sig_id", "name", "severity", "affected_languages", F.posexplode("code_patterns").alias("i", "pattern"))
+        rows = [tuple(r)[:6] for r in with_reasons(each, "python").where("reason is null").toLocalIterator()]
+    else:
+        rows = [(r["sig_id"], r["name"], r["severity"], list(r["affected_languages"]), i, p)
+                for r in signatures for i, p in enumerate(r["code_patterns"]) if check_pattern(spark, p, "python") is None]
     tagged = applicable(files, strict_ext)
     content = F.col("content")
     # Python ``splitlines`` also breaks on \r; the corpus is \n-normalised.
     lines_arr = F.split(F.regexp_replace(F.col("content"), r"\n\z", ""), "\n", -1)
+    if len(rows) > MAX_UNROLLED:
+        return _indexed_first(tagged, rows, lines_arr, context_lines)
 
     def project(chunk):
         per = []
@@ -317,6 +360,25 @@ def detect_first(files: DataFrame, signatures, strict_ext: bool = False, context
     return in_chunks(rows, project, spark.createDataFrame([], match_schema() + ", pattern_ord int"))
 
 
+def _indexed_first(files: DataFrame, rows: list[tuple], lines_arr: Column, context_lines: int) -> DataFrame:
+    """D4 through the literal-factor index: ``files(path, content, _lang)``."""
+    def project(part):
+        java = [(*r[:3], list(r[3]), r[4], to_java(r[5], "python", multiline=True), r[5]) for r in part]
+        fields = ("sig_id: string, name: string, severity: string, languages: array<string>, pattern_ord: int, java: string, "
+                  "pattern: string")
+        content, jp = F.col("content"), F.col("java")
+        pairs = indexed.candidates(files.select("path", "content", "_lang"), content, java, fields, whole=True)
+        hits = pairs.where(F.array_contains("languages", F.col("_lang")) & F.rlike(content, jp))
+        text = F.call_function("regexp_extract", content, jp, F.lit(0))
+        hits = hits.withColumn("line_start", (TX.newline_count(F.split(content, jp, 2)[0]) + 1).cast("int")) \
+            .withColumn("line_end", (F.col("line_start") + TX.newline_count(text)).cast("int"))
+        snippet = TX.context_snippet(lines_arr, F.col("line_start"), F.col("line_end"), context_lines)
+        return hits.select(F.lit("first").alias("detector"), "sig_id", "name", "severity", "path", "line_start", "line_end",
+                           snippet.alias("matched_code"), F.lit(0.5).alias("confidence"), "pattern_ord")
+
+    return indexed.union_of([project(p) for p in indexed.parts(rows)])
+
+
 # --- T12 -------------------------------------------------------------------------
 
 def normalize_severity(matches: DataFrame) -> DataFrame:

@@ -22,6 +22,7 @@ _register(S, [
     "go_directory_scan", "severity_summary", "go_summary", "totals", "type_counts", "top_types",
     "top_files", "severity_distribution", "confidence_histogram", "per_file_report", "file_list",
     "severity_normalized", "signature_scan_all", "signature_file_scan", "report_rows", "go_signature_scan", "registered_detectors_scan",
+    "catalogue_lines", "catalogue_first",
 ])
 
 from . import security as K  # noqa: E402

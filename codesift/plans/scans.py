@@ -76,6 +76,56 @@ def sql_scan_javascript_lines():
     return _line_scan_sql(CAT.JAVASCRIPT_CATALOG, "G-js", "javascript", D.JS_EXTS)
 
 
+# --- J11 with a catalogue that grows with the tables --------------------------------
+
+SUPPLIER_PATTERNS = [r"os\.system\s*\(\s*cmd{k}\)", r"(?:password|passwd)\s*=\s*\"pw{k}\""]
+
+
+def derived_catalogue(spark, sf_dir) -> DataFrame:
+    """A catalogue of two patterns per supplier, which occur, and one per part,
+    which do not: more than one projection's worth from sf0.01 on."""
+    k = F.col("k").cast("string")
+    pattern = lambda p: F.concat(F.lit(p.split("{k}")[0]), k, F.lit(p.split("{k}")[1]))
+    suppliers = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("k")).select(
+        F.concat(F.lit("S"), k).alias("sig_id"), F.posexplode(F.array(*map(pattern, SUPPLIER_PATTERNS))).alias("pattern_ord", "pattern"))
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("k")).select(
+        F.concat(F.lit("P"), k).alias("sig_id"), F.lit(0).alias("pattern_ord"), pattern(r"part{k}\s*\(").alias("pattern"))
+    return suppliers.unionByName(parts).select("sig_id", F.lit("derived").alias("name"), F.lit("high").alias("severity"), "pattern_ord", "pattern")
+
+
+def q_catalogue_lines(spark, sf_dir):
+    """D3 through the literal-factor index."""
+    _, lines = _corpus(spark, sf_dir)
+    return _round(D.detect_lines(lines, derived_catalogue(spark, sf_dir), "G-py", "derived"))
+
+
+def sql_catalogue_lines():
+    hit = f"""SELECT 'derived' AS detector, 'S' || s_suppkey AS sig_id, 'derived' AS name, 'high' AS severity, path, line_no AS line_start,
+  line_no AS line_end, text AS matched_code, round({conf_sql('text', 'plen', 'G-py')}, 6) AS confidence
+FROM (SELECT *, length(regexp_extract(text, '{{found}}', 1)) + {{fixed}} AS plen FROM syn_lines) l
+JOIN supplier ON regexp_extract(text, '{{found}}', 1) = CAST(s_suppkey AS VARCHAR)"""
+    found = [r"os\.system\(cmd([0-9]+)\)", r'password = "pw([0-9]+)"']
+    return f"WITH {C.oracle_lines_sql()}\n" + "\nUNION ALL\n".join(
+        hit.format(found=f, fixed=len(p) - len("{k}")) for f, p in zip(found, SUPPLIER_PATTERNS))
+
+
+def q_catalogue_first(spark, sf_dir):
+    """D4 through the literal-factor index."""
+    files, _ = _corpus(spark, sf_dir)
+    signatures = derived_catalogue(spark, sf_dir).groupBy("sig_id", "name", "severity").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("pattern_ord", "pattern"))), lambda x: x["pattern"]).alias("code_patterns")) \
+        .withColumn("affected_languages", F.array(F.lit("python")))
+    return D.detect_first(files, signatures, context_lines=0).select("path", "sig_id", "pattern_ord", "line_start", "line_end", "matched_code")
+
+
+def sql_catalogue_first():
+    hit = """SELECT path, sig_id, {ord} AS pattern_ord, min(line_no) AS line_start, min(line_no) AS line_end, arg_min(text, line_no) AS matched_code
+FROM (SELECT path, line_no, text, 'S' || s_suppkey AS sig_id FROM syn_lines JOIN supplier
+      ON regexp_extract(text, '{found}', 1) = CAST(s_suppkey AS VARCHAR) WHERE path LIKE '%.py') GROUP BY path, sig_id"""
+    found = [r"os\.system\(cmd([0-9]+)\)", r'password = "pw([0-9]+)"']
+    return f"WITH {C.oracle_lines_sql()}\n" + "\nUNION ALL\n".join(hit.format(ord=k, found=f) for k, f in enumerate(found))
+
+
 # --- D5 / D6 block checks ------------------------------------------------------------
 
 def q_block_checks_python(spark, sf_dir):

@@ -349,24 +349,15 @@ def supported_languages(spark: SparkSession, detectors=("python", "javascript"))
     return spark.createDataFrame(rows, "detector string, language string, ord int")
 
 
-def validate_patterns(patterns: DataFrame, dialect: str = "python", max_rows: int = 100_000):
-    """Split a patterns table into ``(usable, rejects)``.
+def validate_patterns(patterns: DataFrame, dialect: str = "python"):
+    """Split a patterns table of any size into ``(usable, rejects)``.
 
-    An invalid column pattern would fail the whole Spark job, so every
-    pattern of a (bounded) catalogue is compiled once with the JVM's regex
-    engine on the driver; invalid ones and ones that can match the empty
-    string go to ``rejects`` with the reason (the reference skips them).
+    An invalid column pattern would fail the whole Spark job, so every pattern
+    is compiled with the scan's regex engine in the tasks; invalid ones and
+    ones that can match the empty string go to ``rejects`` with the reason
+    (the reference skips them).
     """
-    from ..functions.regex import check_pattern
-
-    spark = patterns.sparkSession
-    rows = patterns.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        raise ValueError(f"catalogue larger than {max_rows} patterns")
-    ok, bad = [], []
-    for r in rows:
-        reason = check_pattern(spark, r["pattern"], dialect)
-        (ok if reason is None else bad).append(r if reason is None else tuple(r) + (reason,))
-    usable = spark.createDataFrame(ok, patterns.schema)
-    rej_schema = T.StructType(patterns.schema.fields + [T.StructField("reason", T.StringType())])
-    return usable, spark.createDataFrame(bad, rej_schema)
+    from ..functions.regex import with_reasons
+
+    judged = with_reasons(patterns, dialect)
+    return judged.where("reason is null").drop("reason"), judged.where("reason is not null")
