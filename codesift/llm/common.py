@@ -19,6 +19,8 @@ from codesift.session import ensure_checkpoint_dir
 CHUNK_BYTES = 1 << 20
 # Distinct words kept in a per-task cache before it is emptied.
 CACHE_WORDS = 200_000
+# Bits of a bitmap of keys (4 MiB).
+MARKS = 1 << 25
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +36,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def marked(keys: DataFrame, column: str):
+    """A test of a column that holds for every value of ``keys[column]`` and few
+    others, by a bitmap of ``MARKS`` bits whatever the number of keys."""
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(MARKS))
+    words = keys.select(place(F.col(column)).alias("at")).groupBy(F.shiftright("at", 6).alias("word")) \
+        .agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).toArrow()
+    bitmap = np.zeros(MARKS // 64, np.int64)
+    bitmap[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+
+    @F.arrow_udf("boolean")
+    def test(at: pa.Array) -> pa.Array:
+        at = at.to_numpy(zero_copy_only=False)
+        return pa.array((bitmap[at >> 6] >> (at & 63)) & 1 == 1)
+
+    return lambda c: test(place(F.col(c)))
+
+
 def columns(df: DataFrame, **wanted) -> DataFrame:
     """Only the named columns under fixed names, so that further columns of
     ``df`` (also such with clashing names) never reach an operator's joins."""

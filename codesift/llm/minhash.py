@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHasher, as_long, flat_shingles, mix, shingles, written
+from .common import WordHasher, as_long, flat_shingles, marked, mix, shingles, written
 from .components import components
 
 # Members of a bucket compared in one block.
@@ -100,6 +100,22 @@ class Prefixes:
         return np.packbits(parity.reshape(n, self.bits), axis=1)
 
 
+@dataclass(frozen=True)
+class Banded(Prefixes):
+    """Parameters of a banded join whose candidates are verified with parity
+    bitmaps of whole sets, so only its bands can miss a pair."""
+
+    bands: int              # MinHash bands
+    rows: int               # samples per band
+
+    def recall(self, similarity: float) -> float:
+        return 1 - (1 - similarity ** self.rows) ** self.bands
+
+    def keys(self, flat: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        keys = band_keys(samples_of(flat, starts, self.bands * self.rows), self.bands, self.rows)
+        return keys.ravel(), np.full(len(starts), self.bands)
+
+
 def tuned(words: int, percent: int, recall: float, max_bands: int, samples: int, bits: int) -> Scheme:
     """The widest bands (fewest false candidates) that reach ``recall`` at the
     threshold with at most ``max_bands`` bands."""
@@ -222,15 +238,32 @@ def classes_of(sketched: DataFrame) -> DataFrame:
         F.min("id").alias("id"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands"))
 
 
+def sharing(classes: DataFrame) -> DataFrame:
+    """The ids (one column, distinct) of the classes that share a key of
+    ``bands`` with another class.
+
+    Most keys are a single class's: a key is counted with its smallest and
+    largest id, which are all of a pair, and only keys of three classes and more
+    are looked up among the classes again, past a bitmap of those keys.
+    """
+    members = classes.select("id", F.explode("bands").alias("key"))
+    keys = members.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    keys = written(keys, "keys")
+    many = keys.filter("n > 2").select("key")
+    rest = members.filter(marked(many, "key")("key")).join(many, "key", "left_semi").select("id")
+    return keys.select(F.explode(F.array("a", "b")).alias("id")).unionByName(rest).distinct()
+
+
 def similar_components(classes: DataFrame, sets_of, scheme: Scheme | Prefixes) -> DataFrame:
     """(id, component) of the class representatives that have a similar one.
 
-    ``sets_of(ids)`` returns (id, m, s, odd) for the given ids.
+    ``sets_of(ids)`` returns (id, m, s, odd) for the given ids, or is such a
+    written table.
     """
     members = classes.select("id", F.explode("bands").alias("key"))
     buckets = members.groupBy("key").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     shared = written(members.join(buckets, "key"), "buckets")
-    sets = written(sets_of(shared.select("id").distinct()), "sets")
+    sets = sets_of if isinstance(sets_of, DataFrame) else written(sets_of(shared.select("id").distinct()), "sets")
 
     stars = shared.filter("id != pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
     links = written(verified(stars, sets, scheme), "verified")
