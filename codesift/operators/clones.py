@@ -36,6 +36,7 @@ from ..session import materialize
 THETA = 0.5
 BROADCAST_BYTES = 16 * 1024 * 1024  # written (compressed) bytes of a store table; above this joins shuffle
 SALT_BUCKETS = 32
+BIN_LINES = 64  # lines of one bin of an interval join
 # Largest number of store line sets one line may belong to for the single
 # inverted count join; above it candidates come from prefix filtering.
 MAX_FANOUT = 64
@@ -89,22 +90,38 @@ def three_forms(fn: DataFrame, params_col=None, dtypes_col=None, locals_col=None
         F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("dir"))
 
 
+def _line_bins(start: Column, end: Column) -> Column:
+    """Numbers of the bins of ``BIN_LINES`` lines that lines start to end touch."""
+    return F.sequence((start / BIN_LINES).cast("int"), (end / BIN_LINES).cast("int"))
+
+
+def _function_spans(tags: DataFrame, **names) -> DataFrame:
+    """Function tags, one row per bin of lines their range touches: the range
+    join on the line becomes an equi-join on (path, bin)."""
+    cols = {"name": "name", **names}
+    spans = tags.where((F.col("kind") == "function") & (F.col("line") <= F.col("end_line"))).select(
+        "path", F.col("name").alias(cols["name"]), F.col("line").alias("start_line"), "end_line").distinct()
+    return spans.withColumn("bin", F.explode(_line_bins(F.col("start_line"), F.col("end_line"))))
+
+
 def extract_functions(lines: DataFrame, tags: DataFrame, keep_overloads: bool = False) -> DataFrame:
     """T7 (+J10): one row per function tag with its body.
 
     ``tags(path, name, kind, line, end_line)``; function bodies are the file
-    lines in ``[line, end_line]`` — a range join kept an equi-join on
-    ``path``.  The body is assembled per function (bounded by function size);
-    a duplicate ``name##path`` keeps the last function by line, as upstream.
+    lines in ``[line, end_line]``.  Lines are gathered into bins of
+    ``BIN_LINES``, a function is joined to the bins it touches, and takes its
+    lines out of them; so a file of many functions is spread over its bins.
+    The body is assembled per function (bounded by function size); a
+    duplicate ``name##path`` keeps the last function by line, as upstream.
     """
-    funcs = tags.where(F.col("kind") == "function").select(
-        "path", "name", F.col("line").alias("start_line"), "end_line")
-    j = funcs.join(lines.select("path", "line_no", "text"), "path").where(
-        F.col("line_no").between(F.col("start_line"), F.col("end_line")))
-    bodies = j.groupBy("path", "name", "start_line", "end_line").agg(
+    bins = lines.groupBy("path", (F.col("line_no") / BIN_LINES).cast("int").alias("bin")).agg(
         F.sort_array(F.collect_list(F.struct("line_no", "text"))).alias("ls"))
+    own = F.filter("ls", lambda x: x["line_no"].between(F.col("start_line"), F.col("end_line")))
+    j = _function_spans(tags).join(bins, ["path", "bin"]).withColumn("own", own).where(F.size("own") > 0)
+    bodies = j.groupBy("path", "name", "start_line", "end_line").agg(
+        F.sort_array(F.collect_list(F.struct("bin", "own"))).alias("bs"))
     bodies = bodies.select("path", "name", "start_line", "end_line",
-                           F.transform("ls", lambda x: x["text"]).alias("orig"))
+                           F.flatten(F.transform("bs", lambda b: F.transform(b["own"], lambda x: x["text"]))).alias("orig"))
     if keep_overloads:
         # every definition kept; the start line joins the key
         return bodies.select("path", F.concat(F.col("name"), F.lit("@"), F.col("start_line").cast("string"))
@@ -118,59 +135,88 @@ def extract_functions(lines: DataFrame, tags: DataFrame, keep_overloads: bool =
                        F.array_join("f.orig", "\n").alias("body"))
 
 
-def extract_functions_braces(lines: DataFrame) -> DataFrame:
-    """T7 without tags: C-like functions from brace depth.
+# What the fold over a C-like file looks at, in the order it is tried: preprocessor
+# lines, comments, string and character literals, transparent scopes, calls, signs.
+_C_TOKENS = (r"(?m:^[ \t]*#(?:\\\r?\n|[^\n])*)", r"//[^\n]*", r"(?s:/\*.*?(?:\*/|\z))", r'"(?:\\[\s\S]|[^"\\\n])*"?', r"'(?:\\[\s\S]|[^'\\\n])*'?",
+             r'\bnamespace\b[^;{}()"]*\{', r'\bextern\s*"C"\s*\{', r"[A-Za-z_]\w*\s*\(", r"[(){};\n]")
+_NO_FUNCTION = ["__attribute__", "__declspec", "alignas", "asm", "__asm__", "decltype", "_Static_assert", "static_assert"]
+
 
-    ``depth`` is a running sum of ``{`` minus ``}`` over each file's lines (a
-    window partitioned by file — bounded by the file-size limit).  A
-    function starts on a line at depth 0 that opens a brace (one-line
-    functions included) and ends where the depth returns to 0; when the
-    opening brace stands alone, the signature line before it joins the
-    function, as ctags reports the name's line.  The name is the identifier
-    before ``(``.  Braces inside strings and comments count too — an
-    approximation, like any parser-free extraction.  Same output as
-    ``extract_functions``.
+def c_functions(content: Column) -> Column:
+    """Functions of a C-like file, ``array<struct<name, start_line, end_line>>``,
+    by one fold over its tokens.
+
+    The state is the line, the depth of braces and parentheses, and the header
+    seen so far.  Braces in strings, character literals, comments and
+    preprocessor lines do not count; ``namespace`` and ``extern "C"`` blocks are
+    looked into.  A function is a block at depth 0 after a header ``name(...)``
+    since the last ``;`` or block; it starts on the name's line, and one that is
+    not closed ends with the file.  An approximation, as anything without a
+    parser: conditional compilation that opens a brace twice is not undone.
     """
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("path").orderBy("line_no")
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    text = F.col("text")
-    opens = F.length(text) - F.length(F.regexp_replace(text, r"\{", ""))
-    closes = F.length(text) - F.length(F.regexp_replace(text, r"\}", ""))
-    name_re = r"([A-Za-z_]\w*)\s*\("
-    d = lines.select("path", "line_no", "text", opens.alias("o"), (opens - closes).alias("delta"))
-    d = d.withColumn("after", F.sum("delta").over(upto))
-    d = d.withColumn("before", F.col("after") - F.col("delta"))
-    d = d.withColumn("start", (F.col("before") <= 0) & (F.col("o") > 0))
-    d = d.withColumn("fn", F.sum(F.when(F.col("start"), 1).otherwise(0)).over(upto))
-    d = d.withColumn("next_start", F.coalesce(F.lead("start").over(w), F.lit(False)))
-    inside = F.col("start") | (F.col("before") > 0)
-    nm = F.nullif(F.regexp_extract("text", name_re, 1), F.lit(""))
-    sig = ~inside & F.col("next_start") & nm.isNotNull()
-    rows = d.where(inside | sig).select(
-        "path", "line_no", "text", F.when(sig, F.col("fn") + 1).otherwise(F.col("fn")).alias("fid"),
-        F.when(sig, nm).alias("sig_name"), F.when(F.col("start"), nm).alias("start_name"))
-    g = rows.groupBy("path", "fid").agg(
-        F.min("line_no").alias("start_line"), F.max("line_no").alias("end_line"),
-        F.coalesce(F.max("sig_name"), F.max("start_name")).alias("name"),
-        F.sort_array(F.collect_list(F.struct("line_no", "text"))).alias("ls"))
-    g = g.where(F.col("name").isNotNull()).select(
-        "path", "name", "start_line", "end_line", F.transform("ls", lambda x: x["text"]).alias("orig"))
-    last = g.groupBy("path", "name").agg(F.max(F.struct("start_line", "end_line", "orig")).alias("f"))
-    return last.select("path", "name", F.col("f.start_line").alias("start_line"),
-                       F.col("f.end_line").alias("end_line"), F.col("f.orig").alias("orig"),
-                       F.array_join("f.orig", "\n").alias("body"))
+    tokens = F.regexp_extract_all(content, F.lit("|".join(_C_TOKENS)), 0)
+    functions = "array<struct<name:string,start_line:int,end_line:int>>"
+    text, number = F.lit(None).cast("string"), F.lit(None).cast("int")
+    state = ["line", "depth", "paren", "name", "at", "inside", "out"]
+    first = F.struct(F.lit(1).alias("line"), F.lit(0).alias("depth"), F.lit(0).alias("paren"), text.alias("name"), number.alias("at"),
+                     F.lit(False).alias("inside"), F.array().cast(functions).alias("out"))
+
+    def found(s, end):
+        return F.array_append(s["out"], F.struct(s["name"].alias("name"), s["at"].alias("start_line"), end.alias("end_line")))
+
+    def step(s, t):
+        def then(**new):
+            return F.struct(*[new.get(k, s[k]).alias(k) for k in state])
+
+        top = s["depth"] == 0
+        word = F.regexp_extract(t, r"^\w+", 0)
+        header = top & (s["paren"] == 0) & s["name"].isNull() & ~word.isin(_NO_FUNCTION)
+        closed = F.greatest(s["depth"] - 1, F.lit(0))
+        ends = (closed == 0) & s["inside"]
+        forget = dict(name=text, at=number)
+        return F.when(t == "\n", then(line=s["line"] + 1)) \
+            .when((t == ";") & top, then(paren=F.lit(0), **forget)) \
+            .when((t == "(") & top, then(paren=s["paren"] + 1)) \
+            .when((t == ")") & top, then(paren=F.greatest(s["paren"] - 1, F.lit(0)))) \
+            .when(t == "{", then(depth=s["depth"] + 1, inside=s["inside"] | (top & s["name"].isNotNull() & (s["paren"] == 0)))) \
+            .when(t == "}", F.when(ends, then(depth=closed, paren=F.lit(0), inside=F.lit(False), out=found(s, s["line"]), **forget))
+                  .when(closed == 0, then(depth=closed, paren=F.lit(0), **forget)).otherwise(then(depth=closed))) \
+            .when(t.endswith("{"), then(line=s["line"] + TX.newline_count(t), paren=F.lit(0), **forget)) \
+            .when(t.endswith("(") & F.rlike(t, F.lit(r"^\w")),
+                  F.when(header, then(line=s["line"] + TX.newline_count(t), paren=s["paren"] + 1, name=word, at=s["line"]))
+                  .when(top, then(line=s["line"] + TX.newline_count(t), paren=s["paren"] + 1))
+                  .otherwise(then(line=s["line"] + TX.newline_count(t)))) \
+            .when(t.contains("\n"), then(line=s["line"] + TX.newline_count(t))) \
+            .otherwise(s)
+
+    return F.aggregate(tokens, first, step, lambda s: F.when(s["inside"], found(s, F.size(F.split(content, "\n", -1)))).otherwise(s["out"]))
+
+
+def extract_functions_braces(files: DataFrame) -> DataFrame:
+    """T7 without tags: C-like functions of ``files(path, content)`` by a fold
+    over each file (``c_functions``), without a shuffle or window.  Numbered
+    lines (``path, line_no, text``) are put together to files first.  Same output
+    as ``extract_functions``; of functions of one name the last stays.
+    """
+    if "content" not in files.columns:
+        files = files.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("line_no", "text"))).alias("ls")) \
+            .select("path", F.array_join(F.transform("ls", lambda x: x["text"]), "\n").alias("content"))
+    found = files.select("path", "content", F.array_sort(c_functions(F.col("content"))).alias("fs"))
+    # sorted by name and place: the last of a name precedes another name
+    last = F.filter("fs", lambda f, i: F.coalesce(F.get("fs", i + 1)["name"] != f["name"], F.lit(True)))
+    each = found.select("path", F.transform(F.split("content", "\n", -1), lambda x: F.regexp_replace(x, r"\r$", "")).alias("lines"),
+                        F.explode(last).alias("f"))
+    orig = F.slice("lines", F.col("f.start_line"), F.col("f.end_line") - F.col("f.start_line") + 1)
+    return each.select("path", "f.name", "f.start_line", "f.end_line", orig.alias("orig"), F.array_join(orig, "\n").alias("body"))
 
 
 def tags_in_functions(tags: DataFrame) -> DataFrame:
     """Parameter / local tags lying inside a function's line range in the
-    same file -> per function the parameter, data-type and local lists."""
-    funcs = tags.where(F.col("kind") == "function").select(
-        "path", F.col("name").alias("fname"), F.col("line").alias("start_line"), "end_line")
+    same file -> per function the parameter, data-type and local lists.  The
+    interval join is one on (path, bin of lines)."""
     inner = tags.where(F.col("kind").isin("parameter", "local")).select(
-        "path", F.col("name").alias("id"), "kind", F.col("line").alias("at"), "typeref")
-    j = funcs.join(inner, "path").where(F.col("at").between(F.col("start_line"), F.col("end_line")))
+        "path", (F.col("line") / BIN_LINES).cast("int").alias("bin"), F.col("name").alias("id"), "kind", F.col("line").alias("at"), "typeref")
+    j = _function_spans(tags, name="fname").join(inner, ["path", "bin"]).where(F.col("at").between(F.col("start_line"), F.col("end_line")))
     order = F.struct("at", "id", "kind", "typeref")
     g = j.groupBy("path", "fname", "start_line").agg(F.sort_array(F.collect_list(order)).alias("ts"))
     return g.select(

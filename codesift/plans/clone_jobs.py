@@ -346,16 +346,15 @@ FROM syn_lines"""
 
 
 def q_brace_functions(spark, sf_dir):
-    """T7 without tags over the C view of the corpus (brace depth)."""
-    from ..sources.files import to_lines
-    return CL.extract_functions_braces(to_lines(C.syn_c_files(spark, sf_dir))).select(
-        "path", "name", "start_line", "end_line")
+    """T7 without tags over the C view of the corpus, whose statements hold
+    braces in strings, characters and comments besides real blocks."""
+    return CL.extract_functions_braces(C.syn_braced_files(spark, sf_dir)).select("path", "name", "start_line", "end_line")
 
 
 def sql_brace_functions():
     return f"""WITH {C.oracle_files_sql()}
-SELECT regexp_replace(path, '\\.(py|js)$', '.c') AS path, 'f' || CAST(file_id AS VARCHAR) AS name,
-       1 AS start_line, n_lines + 3 AS end_line
+SELECT regexp_replace(path, '\\.(py|js)$', '.c') AS path, unnest(['f', 'g']) || CAST(file_id AS VARCHAR) AS name,
+       unnest([4, n_lines + 9]) AS start_line, unnest([n_lines + 7, n_lines + 9]) AS end_line
 FROM syn_files"""
 
 

@@ -126,13 +126,34 @@ def syn_c_files(spark: SparkSession, sf_dir: str, files: DataFrame | None = None
                  F.lit("\n}\n")).alias("content"))
 
 
+BRACED_SQL = """CASE CAST(n % 6 AS INT)
+    WHEN 0 THEN '    s = "{";'
+    WHEN 1 THEN '    if (a) { b(); } // }'
+    WHEN 2 THEN '    /* { */ c = \\'}\\';'
+    WHEN 3 THEN '    s = "a\\\\"}";'
+    WHEN 4 THEN '    for (;;) { break; }'
+    ELSE '    d = 1;' END"""
+
+
+def syn_braced_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C files with two functions each, one of as many statements as the
+    corpus file has lines, with braces inside strings, character literals,
+    comments and a macro, and a header of two lines.  ``path, content``."""
+    files = syn_files(spark, sf_dir)
+    line = F.expr(f"transform(sequence(1, n_lines), n -> {BRACED_SQL})")
+    name = lambda f: F.concat(F.lit(f), F.col("file_id").cast("string"))
+    return files.select(
+        F.regexp_replace("path", r"\.(py|js)$", ".c").alias("path"),
+        F.concat(F.lit("#define OPEN(x) { x(\n/* { f( */ struct s { int a; };\n__attribute__((cold))\nint "), name("f"),
+                 F.lit("(int a,\n  int b)\n{"), F.lit("\n"), F.array_join(line, "\n"), F.lit("\n}\nint x = 1;\nint "), name("g"),
+                 F.lit("(void) { return h(1); }\n")).alias("content"))
+
+
 def syn_c_functions(spark: SparkSession, sf_dir: str, files: DataFrame | None = None) -> DataFrame:
     """Functions of the C view, extracted by brace depth (no tags), with the
     three forms; locals are the assigned names, as for ``syn_functions``."""
     from ..operators import clones
-    from ..sources.files import to_lines
-    c = syn_c_files(spark, sf_dir, files)
-    fns = clones.extract_functions_braces(to_lines(c))
+    fns = clones.extract_functions_braces(syn_c_files(spark, sf_dir, files))
     fns = fns.select("name", "path", "body",
                      F.regexp_extract("name", r"^f(\d+)$", 1).cast("long").alias("file_id"))
     return clones.three_forms(fns, locals_col=assigned_names(F.col("body")))

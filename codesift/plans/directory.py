@@ -49,16 +49,15 @@ def clone_scan_directory(spark: SparkSession, root: str, store_root: str, theta:
     from ..sources import vulnstore as VS
 
     files = SF.scan_corpus(spark, root, max_bytes=None, suffixes=suffixes)
-    lines = SF.to_lines(files)
     if tags_path:
         tags = VS.load_tags(spark, tags_path)
-        fns = CL.extract_functions(lines, tags)
+        fns = CL.extract_functions(SF.to_lines(files), tags)
         ids = CL.tags_in_functions(tags)
         fns = fns.join(ids, ["path", "name", "start_line"], "left")
         forms = CL.three_forms(fns.select("name", "path", "body", "params", "dtypes", "locals"),
                                params_col=F.col("params"), dtypes_col=F.col("dtypes"), locals_col=F.col("locals"))
     else:
-        fns = CL.extract_functions_braces(lines)
+        fns = CL.extract_functions_braces(files)
         forms = CL.three_forms(fns.select("name", "path", "body"))
     # extracted once: the detector reads the functions three times
     if functions_out:

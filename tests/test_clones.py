@@ -217,3 +217,67 @@ def test_tags_in_functions_orders_types_params_first(spark):
         "path string, name string, kind string, line int, end_line int, typeref string")
     r = CL.tags_in_functions(tags).first()
     assert r.params == ["p", "q"] and r.locals == ["n"] and r.dtypes == ["buf_t", "len_t", "size_t"]
+
+
+TRICKY_C = '''#if 0
+#define BEGIN { do \\
+   { foo(
+#endif
+namespace a {
+extern "C" {
+static const char *t[] = { "{", "}" };
+struct p { int q; };
+int one(int a) { char c = '{'; return a; } /* } */
+// int not(int a) {
+__attribute__((noinline)) int
+two(int a,
+    char *s)  // (
+{
+    if (a) { s = "\\"}"; }
+    /* {
+       { */
+}
+}
+int three(void);
+Foo::Foo(int a) : x(a), y{1} { z(); }
+#define M(x) }
+int one(int again)
+{ }
+}
+int open_end(void) {
+    x();
+'''
+
+
+def test_brace_fold_skips_strings_comments_and_macros(spark):
+    files = spark.createDataFrame([("t.cpp", TRICKY_C), ("n.c", None), ("e.c", ""), ("r.c", "int a()\r\n{\r\n}\r\n")], "path string, content string")
+    got = {(r.path, r.name): (r.start_line, r.end_line, r.body) for r in CL.extract_functions_braces(files).collect()}
+    lines = TRICKY_C.split("\n")
+    spans = {"one": (23, 24), "two": (12, 18), "open_end": (26, len(lines)), "Foo": (21, 21)}
+    assert {k[1]: v[:2] for k, v in got.items() if k[0] == "t.cpp"} == spans
+    assert got["t.cpp", "two"][2] == "\n".join(lines[11:18]) and got["r.c", "a"] == (1, 3, "int a()\n{\n}")
+    plan = CL.extract_functions_braces(files)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan
+
+
+def test_interval_joins_with_2000_functions_in_one_file(spark):
+    rows, text = [], []
+    for i in range(2000):
+        start = len(text) + 1
+        body = [f"int f{i}(int p{i})", "{", *[f"  int v{i} = {k};" for k in range(i % 90)], "}"]
+        text += [*body, ""]
+        rows.append(("a.c", f"f{i}", "function", start, start + len(body) - 1, None))
+        rows.append(("a.c", f"p{i}", "parameter", start, None, "int"))
+        rows += [("a.c", f"v{i}", "local", start + 2, None, "int")] if i % 90 else []
+    rows.append(("a.c", "whole", "function", 1, len(text), None))
+    tags = spark.createDataFrame(rows, "path string, name string, kind string, line int, end_line int, typeref string").repartition(4)
+    lines = spark.createDataFrame([("a.c", k + 1, t) for k, t in enumerate(text)], "path string, line_no int, text string").repartition(4)
+    fns = CL.extract_functions(lines, tags)
+    got = {r.name: r.body for r in fns.collect()}
+    assert got == {n: "\n".join(text[a - 1:b]) for _, n, k, a, b, _ in rows if k == "function"}
+    ids = CL.tags_in_functions(tags)
+    own = {r.name: (r.params, r.locals) for r in ids.collect()}
+    assert own["f7"] == (["p7"], ["v7"]) and own["f90"] == (["p90"], []) and len(own["whole"][0]) == 2000
+    for df in (fns, ids):                       # every join has the bin of lines in its key
+        joins = [x for x in df._jdf.queryExecution().executedPlan().toString().split("\n") if "Join" in x and "path" in x]
+        assert joins and all("bin" in x for x in joins)
