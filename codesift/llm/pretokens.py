@@ -72,21 +72,25 @@ def ranges(buf: bytes) -> tuple[np.ndarray, np.ndarray]:
     return at[word], ends[word]
 
 
+BASE = 0x9FB21C651E98DF25
+
+
 def range_hashes(buf: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte ranges, from one running sum of weighted bytes."""
+    """64-bit hashes of the byte ranges, from one running sum of weighted bytes;
+    equal bytes have equal hashes anywhere in any buffer."""
     n = len(buf)
-    base = np.uint64(0x9FB21C651E98DF25)
     if len(_powers[0]) <= n:
-        _powers[0] = np.cumprod(np.r_[np.uint64(1), np.full(2 * n, base, np.uint64)], dtype=np.uint64)
-    weight = _powers[0]
+        inverse = np.uint64(pow(BASE, -1, 1 << 64))
+        _powers[:] = [np.cumprod(np.r_[np.uint64(1), np.full(n, x, np.uint64)], dtype=np.uint64) for x in (np.uint64(BASE), inverse)]
+    weight, back = _powers
     table = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(table[np.frombuffer(buf, np.uint8)] * weight[:n], dtype=np.uint64, out=total[1:])
-    # shifted to a common weight, so equal bytes have equal hashes anywhere
-    return mix((total[ends] - total[starts]) * weight[n - starts] + (ends - starts).astype(np.uint64))
+    return mix((total[ends] - total[starts]) * back[starts] + (ends - starts).astype(np.uint64))
 
 
-_powers = [np.empty(0, np.uint64)]
+# Powers of BASE and of its inverse, as many as the longest buffer so far needed.
+_powers = [np.empty(0, np.uint64), np.empty(0, np.uint64)]
 
 
 def gather(values: np.ndarray, offsets: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -42,7 +42,8 @@ from pyspark.sql import functions as F
 
 from codesift.session import ensure_checkpoint_dir
 
-from .common import CACHE_WORDS, batches, columns, tidy, written
+from .common import batches, columns, tidy, written
+from .pretokens import gather, range_hashes
 
 # A shard is closed when it has this many ids; a document is never cut.
 SHARD_IDS = 1 << 20
@@ -60,11 +61,39 @@ SIGNS = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe1\xa0\x8e", b"\xe2\x80"
 # A blank, or a line end, before a word is the only white space of an even text.
 CONTROL = bytes(b for b in range(32) if b != 10)
 UNEVEN = (b"  ", b" \n", b"\n ", b"\n\n\n")
-# A full stop or comma that may not stand alone: what precedes it is no letter or digit.
-TIED = re.compile(rb"[.,](?<![A-Za-z0-9][.,])(?<!\xc3[\x80-\x96\x98-\xb6\xb8-\xbf][.,])")
-# Units of one call of the library, and kept by one worker.
+# Text cut at once (a larger batch repeats more of its words), units of one call
+# of the library, and bytes of known ids kept by one worker.
+BATCH_BYTES = 4 << 20
 LEARN = 4096
-KNOWN = 3 * CACHE_WORDS
+KNOWN_BYTES = 128 << 20
+
+ALNUM = np.zeros(256, bool)
+ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+
+
+def units(buf: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of what even texts, each followed by a zero byte, are
+    made of: line ends, words with the blank before them, and full stops and
+    commas at the end of a word after an ASCII letter or digit or a letter of
+    UTF-8 lead byte C3, with which they are never one token."""
+    a = np.frombuffer(buf, np.uint8)
+    gap = (a == 32) | (a == 10) | (a == 0)
+    before = np.r_[True, gap[:-1]]
+    stop = np.flatnonzero(((a[:-1] == 46) | (a[:-1] == 44)) & gap[1:])
+    stop = stop[stop > 1]
+    last, lead = a[stop - 1], a[stop - 2]
+    stop = stop[ALNUM[last] | ((lead == 0xC3) & (last != 0x97) & (last != 0xB7))]
+    begins = (~gap & before) | (a == 10)
+    begins[stop] = True
+    starts = np.flatnonzero(begins)
+    closes = gap & ~before                   # the byte after a word
+    closes[stop] = True
+    ends = starts + 1
+    word = a[starts] != 10
+    ends[word] = np.flatnonzero(closes)
+    blank = (starts > 0) & word
+    blank[blank] = a[starts[blank] - 1] == 32
+    return starts - blank, ends
 
 
 class Encoder:
@@ -72,12 +101,10 @@ class Encoder:
     Its pattern never joins characters across white space but for one leading
     blank, so texts are cut there and each distinct unit is encoded once.
 
-    Even texts are cut at blanks alone: a word is known by itself if a blank
-    precedes it, by a zero byte and itself if nothing does (a line's first, and
-    the full stop or comma after a word).  New words are encoded many at a
-    time, those after a blank as one text whose tokens show where a blank
-    begins, the others as lines.  What is known is kept for the worker's next
-    tasks.
+    The units of many even texts are found and told apart by numpy.  New ones
+    are encoded many at a time, those after a blank as one text whose tokens
+    show where a blank begins, the others as lines.  What is known is kept for
+    the worker's next tasks.
     """
 
     def __init__(self, path: str):
@@ -85,81 +112,84 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        added = [t.content.encode() for t in self.tok.get_added_tokens_decoder().values()]
-        self.special = tuple(added)
+        self.special = tuple(t.content.encode() for t in self.tok.get_added_tokens_decoder().values())
         vocabulary = self.tok.get_vocab()
         self.blank = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         for token, i in vocabulary.items():
             self.blank[i] = token.startswith("\u0120")
         self.line = self._whole([b"\n"])[0]
-        self.words: dict[bytes, bytes] = {}
-        self.units: dict[bytes, bytes] = {}
+        self.known: dict[int, bytes] = {}
+        self.size = 0
 
     def _whole(self, texts: list[bytes]) -> list[bytes]:
         found = self.tok.encode_batch_fast([t.decode("utf-8") for t in texts], add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
-    def _learn(self, new: list[bytes]) -> None:
-        for lines in (False, True):
-            mine = [w for w in new if w.startswith(b"\0") == lines]
+    def _cut(self, part: list[bytes], blank: bool) -> list[bytes]:
+        """Ids of units that all begin with a blank, or all with none and hold no line end."""
+        ids = np.frombuffer(self._whole([b"".join(part) if blank else b"\n".join(part) + b"\n"])[0], "<u4")
+        if blank:
+            starts = np.flatnonzero(self.blank[ids])
+            ends = np.r_[starts[1:], len(ids)]
+        else:
+            ends = np.flatnonzero(ids == np.frombuffer(self.line, "<u4")[0])
+            starts = np.r_[0, ends[:-1] + 1]
+        if len(starts) != len(part) or len(ends) != len(part):
+            raise ValueError("this tokenizer file joins characters across white space")
+        flat = ids.tobytes()
+        return [flat[4 * x:4 * y] for x, y in zip(starts.tolist(), ends.tolist())]
+
+    def _learn(self, keys: list[int], words: list[bytes]) -> None:
+        for blank in (True, False):
+            mine = [i for i, w in enumerate(words) if (w[0] == 32) == blank and w != b"\n"]
             for a in range(0, len(mine), LEARN):
                 part = mine[a:a + LEARN]
-                if lines:
-                    ids = np.frombuffer(self._whole([b"\n".join(w[1:] for w in part) + b"\n"])[0], "<u4")
-                    ends = np.flatnonzero(ids == np.frombuffer(self.line, "<u4")[0])
-                    starts = np.r_[0, ends[:-1] + 1]
-                else:
-                    ids = np.frombuffer(self._whole([b" " + b" ".join(part)])[0], "<u4")
-                    starts = np.flatnonzero(self.blank[ids])
-                    ends = np.r_[starts[1:], len(ids)]
-                if len(starts) != len(part) or len(ends) != len(part):
-                    raise ValueError("this tokenizer file joins characters across white space")
-                flat = ids.tobytes()
-                self.words.update((w, flat[4 * x:4 * y]) for w, x, y in zip(part, starts.tolist(), ends.tolist()))
-
-    def _even(self, t: bytes) -> bool:
-        return not (t[:1] in (b" ", b"\n") or t[-1:] in (b" ", b"\n") or any(u in t for u in UNEVEN)
-                    or len(t.translate(None, CONTROL)) != len(t))
-
-    @staticmethod
-    def _rare(t: bytes) -> bool:
-        """Never false for a text that ``RARE`` is found in and the cuts below are made in."""
-        return not t.isascii() and any(s in t for s in SIGNS) and RARE.search(t) is not None
-
-    @staticmethod
-    def _words(t: bytes) -> list[bytes]:
-        if TIED.search(t) is None:
-            for stop in (b".", b","):
-                t = t.replace(stop + b" ", b" \0" + stop + b" ").replace(stop + b"\n", b" \0" + stop + b"\n")
-            if t[-1:] in b".,":
-                t = t[:-1] + b" \0" + t[-1:]
-        return (b"\0" + t.replace(b"\n", b" \n \0")).split(b" ")
+                ids = self._cut([words[i] for i in part], blank)
+                self.known.update((keys[i], x) for i, x in zip(part, ids))
+                self.size += sum(map(len, ids)) + 120 * len(ids)
+        self.known.update((k, self.line) for k, w in zip(keys, words) if w == b"\n")
+
+    def _even(self, texts: list[bytes]) -> list[bytes]:
+        buf = b"\0".join(texts) + b"\0"
+        starts, ends = units(buf)
+        keys, first, which = np.unique(range_hashes(buf, starts, ends), return_index=True, return_inverse=True)
+        if self.size > KNOWN_BYTES:
+            self.known, self.size = {}, 0
+        keys = keys.tolist()
+        new = [i for i, k in enumerate(keys) if k not in self.known]
+        x, y = starts[first[new]].tolist(), ends[first[new]].tolist()
+        self._learn([keys[i] for i in new], [buf[p:q] for p, q in zip(x, y)])
+        known = list(map(self.known.__getitem__, keys))
+        offsets = np.cumsum([0, *map(len, known)]) // 4
+        ids, lens = gather(np.frombuffer(b"".join(known), "<u4"), offsets, which)
+        closes = np.cumsum([len(t) + 1 for t in texts])
+        upto = np.r_[0, np.cumsum(lens)][np.searchsorted(starts, closes)]
+        flat, cut = ids.tobytes(), [0, *(4 * upto).tolist()]
+        return [flat[a:b] for a, b in zip(cut, cut[1:])]
 
     def __call__(self, texts: list) -> list[bytes]:
-        out, words, units = [b""] * len(texts), {}, {}
+        out, even, uneven = [b""] * len(texts), [], []
         for i, t in enumerate(texts):
             if not t:
                 continue
-            if any(x in t for x in self.special) or self._rare(t):
+            if any(x in t for x in self.special) or (not t.isascii() and any(s in t for s in SIGNS) and RARE.search(t)):
                 out[i] = self._whole([t])[0]
-            elif self._even(t):
-                words[i] = self._words(t)
+            elif not (t[:1] in (b" ", b"\n") or t[-1:] in (b" ", b"\n") or any(u in t for u in UNEVEN)
+                      or len(t.translate(None, CONTROL)) != len(t)):
+                even.append(i)
             elif RARE.search(t):
                 out[i] = self._whole([t])[0]
             else:
-                units[i] = UNITS.findall(t)
-        for cache in (self.words, self.units):
-            if len(cache) > KNOWN:
-                cache.clear()
-        self.words.update({b"\0": b"", b"\n": self.line})
-        self._learn(list(set().union(*words.values()).difference(self.words)))
-        new = list(set().union(*units.values()).difference(self.units))
-        for a in range(0, len(new), LEARN):
-            self.units.update(zip(new[a:a + LEARN], self._whole(new[a:a + LEARN])))
-        for found, cache in ((words, self.words), (units, self.units)):
-            known = cache.__getitem__
-            for i, parts in found.items():
-                out[i] = b"".join(map(known, parts))
+                uneven.append((i, UNITS.findall(t)))
+        if even:
+            for i, ids in zip(even, self._even([texts[i] for i in even])):
+                out[i] = ids
+        words = list(set().union(*(u for _, u in uneven)))
+        ids = {}
+        for a in range(0, len(words), LEARN):
+            ids.update(zip(words[a:a + LEARN], self._whole(words[a:a + LEARN])))
+        for i, u in uneven:
+            out[i] = b"".join(map(ids.__getitem__, u))
         return out
 
 
@@ -343,7 +373,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, closing_id: int = 0
             return pa.record_batch([pa.array([file], pa.binary())], ["file"])
 
         size = 0
-        for batch, texts in batches(it):
+        for batch, texts in batches(it, limit=BATCH_BYTES):
             enc = enc or encoder(tokenizer)
             for doc, ids in zip(batch.column("doc_id").to_pylist(), enc(texts)):
                 held.append(ids + closing)
