@@ -126,6 +126,27 @@ def syn_c_files(spark: SparkSession, sf_dir: str, files: DataFrame | None = None
                  F.lit("\n}\n")).alias("content"))
 
 
+# A module: a fixed header, then one function of six lines per corpus line.
+MODULE_HEAD = ['"""Module of {k}."""', "import sys as system", "from json import loads as parse, dumps", "LIMIT = {n}", "NAMES = ['a', {n}]", "",
+               "@register", "@app.route('/{k}')", "class Base{k}(object, Mixin):", '    """Base of {k}."""', "    def __init__(self, size):",
+               "        self.size = size", "    @staticmethod", "    def load(path) -> str:", "        kind = 'text'", "        return open(path).read()", ""]
+MODULE_BODY = """CASE WHEN text = 'except:' THEN CONCAT('    try:', chr(10), '        pass', chr(10), '    except:', chr(10), '        pass')
+    ELSE CONCAT('    ', text, chr(10), '    answer = input("q")', chr(10), '    page = session.get(key)', chr(10), '    return a') END"""
+MODULE_FUNCTION = f"""CONCAT('def run_', CAST(n AS STRING), '(a, b):', chr(10), '    \"\"\"Step.\"\"\"', chr(10), {MODULE_BODY})"""
+
+
+def syn_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole Python files: module, class and function docstrings, decorators, a
+    class with methods, imports, and one function per corpus line that holds
+    the line as a statement (``except:`` as a whole ``try``).  ``path, content``."""
+    files = syn_files(spark, sf_dir)
+    key = F.col("file_id").cast("string")
+    fill = lambda t: F.replace(F.replace(F.lit(t), F.lit("{k}"), key), F.lit("{n}"), F.col("n_lines").cast("string"))
+    steps = F.expr(f"transform(transform(lines, (text, i) -> struct(text, i + 1 AS n)), x -> {MODULE_FUNCTION.replace('text', 'x.text').replace('CAST(n AS', 'CAST(x.n AS')})")
+    return files.select(F.regexp_replace("path", r"\.js$", ".py").alias("path"),
+                        F.concat(fill("\n".join(MODULE_HEAD) + "\n"), F.array_join(steps, "\n"), F.lit("\n")).alias("content"))
+
+
 BRACED_SQL = """CASE CAST(n % 6 AS INT)
     WHEN 0 THEN '    s = "{";'
     WHEN 1 THEN '    if (a) { b(); } // }'

@@ -41,7 +41,8 @@ _register(CJ, ["function_forms", "exact_clone_groups", "document_line_hashes", "
 from . import symbol_jobs as SJ  # noqa: E402
 
 _register(SJ, ["call_sites", "parse_errors", "symbols", "context_counts", "file_complexity", "exact_calls",
-               "call_name_matches", "similar_calls", "sandbox_escape_calls", "js_call_sites"])
+               "call_name_matches", "similar_calls", "sandbox_escape_calls", "js_call_sites",
+               "symbols_files", "context_counts_files", "complexity_files", "input_checks_files"])
 
 from . import first_match as FM  # noqa: E402
 

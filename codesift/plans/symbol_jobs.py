@@ -194,6 +194,88 @@ FROM (SELECT path, line_no, unnest(regexp_extract_all(text, '{SY.CALL_NAME_PATTE
       FROM syn_lines WHERE regexp_extract(path, '(\\.[^./]*)$', 1) IN ('.js', '.jsx', '.ts', '.tsx'))"""
 
 
+# --- Whole files: C2 with scopes, C3, C4, C1 and K5 over the module view ------------------
+
+def _module_symbols(spark, sf_dir):
+    return SY.symbol_table(C.syn_modules(spark, sf_dir))
+
+
+def q_symbols_files(spark, sf_dir):
+    """C2 over whole files, with scopes."""
+    return SY.with_scopes(_module_symbols(spark, sf_dir)).select(
+        "path", "kind", "name", "lineno", "end_lineno", "value", F.array_join("items", ",").alias("items"), "docstring",
+        F.array_join("decorators", ",").alias("decorators"), F.array_join("methods", ",").alias("methods"), "scope", "method")
+
+
+HEAD_LINES = len(C.MODULE_HEAD)
+
+
+def _modules_cte() -> str:
+    """``mod``: files; ``step``: functions, each of six lines from ``pos``."""
+    return f"""{C.oracle_files_sql()},
+mod AS (SELECT regexp_replace(path, '\\.js$', '.py') AS path, CAST(file_id AS VARCHAR) AS k, n_lines FROM syn_files),
+step AS (SELECT regexp_replace(path, '\\.js$', '.py') AS path, 'run_' || line_no AS fn, CAST({HEAD_LINES} + 6 * (line_no - 1) + 1 AS INT) AS pos, text,
+                text <> 'except:' AS plain FROM syn_lines)"""
+
+
+def _module_symbols_sql() -> str:
+    fixed = [("import", "'sys'", 2, 2, "'system'", "''", "NULL", "NULL", "NULL", "''", "FALSE"),
+             ("import", "'json'", 3, 3, "'parse'", "'loads'", "NULL", "NULL", "NULL", "''", "FALSE"),
+             ("import", "'json'", 3, 3, "NULL", "'dumps'", "NULL", "NULL", "NULL", "''", "FALSE"),
+             ("variable", "'LIMIT'", 4, 4, "CAST(n_lines AS VARCHAR)", "''", "NULL", "NULL", "NULL", "''", "FALSE"),
+             ("variable", "'NAMES'", 5, 5, "'[''a'', ' || n_lines || ']'", "''", "NULL", "NULL", "NULL", "''", "FALSE"),
+             ("class", "'Base' || k", 9, 16, "NULL", "'object,Mixin'", "'Base of ' || k || '.'", "'register,app.route'", "'__init__,load'", "''", "FALSE"),
+             ("function", "'__init__'", 11, 12, "NULL", "'self,size'", "NULL", "''", "NULL", "'Base' || k", "TRUE"),
+             ("function", "'load'", 14, 16, "'str'", "'path'", "NULL", "'staticmethod'", "NULL", "'Base' || k", "TRUE"),
+             ("variable", "'kind'", 15, 15, "'text'", "''", "NULL", "NULL", "NULL", "'Base' || k || '.load'", "FALSE")]
+    rows = [f"SELECT path, '{kind}' AS kind, {name} AS name, CAST({a} AS INT) AS lineno, CAST({b} AS INT) AS end_lineno, CAST({value} AS VARCHAR) AS value, "
+            f"{items} AS items, CAST({doc} AS VARCHAR) AS docstring, coalesce(CAST({marks} AS VARCHAR), '') AS decorators, "
+            f"coalesce(CAST({own} AS VARCHAR), '') AS methods, {scope} AS scope, {method} AS method FROM mod"
+            for kind, name, a, b, value, items, doc, marks, own, scope, method in fixed]
+    tail = "'' AS items, CAST(NULL AS VARCHAR) AS docstring, '' AS decorators, '' AS methods"
+    rows.append("SELECT path, 'function', fn, pos, CAST(pos + 5 AS INT), NULL, 'a,b', 'Step.', '', '', '', FALSE FROM step")
+    rows.append(f"SELECT path, 'import', 'os', CAST(pos + 2 AS INT), CAST(pos + 2 AS INT), NULL, {tail}, fn, FALSE FROM step WHERE text = 'import os'")
+    rows.append(f"""SELECT path, 'variable', regexp_extract(text, '^(\\w+) = ', 1), CAST(pos + 2 AS INT), CAST(pos + 2 AS INT),
+  nullif(regexp_extract(text, '^\\w+ = "([^"]*)"$', 1), ''), {tail}, fn, FALSE FROM step WHERE regexp_matches(text, '^\\w+ = ')""")
+    for name, off in (("answer", 3), ("page", 4)):
+        rows.append(f"SELECT path, 'variable', '{name}', CAST(pos + {off} AS INT), CAST(pos + {off} AS INT), NULL, {tail}, fn, FALSE FROM step WHERE plain")
+    return f"{_modules_cte()},\nsymbols AS (\n" + "\nUNION ALL\n".join(rows) + ")"
+
+
+def sql_symbols_files():
+    return f"WITH {_module_symbols_sql()}\nSELECT * FROM symbols"
+
+
+def q_context_counts_files(spark, sf_dir):
+    return SY.context_counts(_module_symbols(spark, sf_dir))
+
+
+def sql_context_counts_files():
+    return f"""WITH {_module_symbols_sql()}
+SELECT path, count(*) FILTER (WHERE kind = 'import') AS n_imports, count(*) FILTER (WHERE kind = 'function') AS n_functions,
+       count(*) FILTER (WHERE kind = 'class') AS n_classs, count(*) FILTER (WHERE kind = 'variable') AS n_variables FROM symbols GROUP BY path"""
+
+
+def q_complexity_files(spark, sf_dir):
+    files = C.syn_modules(spark, sf_dir)
+    return SY.complexity(files, SY.symbol_table(files))
+
+
+def sql_complexity_files():
+    return f"WITH {_modules_cte()}\nSELECT path, CAST(n_lines + 3 AS BIGINT) AS complexity FROM mod"
+
+
+def q_input_checks_files(spark, sf_dir):
+    """K5 over whole files: ``input(...)`` and ``.get`` on a plain name."""
+    return K.input_validation(SY.parse_calls(C.syn_modules(spark, sf_dir))).select("path", "check", "matched", "line_no")
+
+
+def sql_input_checks_files():
+    return f"""WITH {_modules_cte()}
+SELECT path, 'input_validation' AS "check", m AS matched, CAST(pos + o AS INT) AS line_no
+FROM step, (VALUES ('input', 3), ('session.get', 4)) v(m, o) WHERE plain"""
+
+
 LCS_SQL = """list_reduce(range(1, length({a}) + 1),
    lambda prev, i: list_reduce(range(1, length({b}) + 1),
        lambda row, j: list_append(row, CASE WHEN substr({a}, i, 1) = substr({b}, j, 1) THEN prev[j] + 1
