@@ -276,3 +276,98 @@ def q_stream_scan(spark, sf_dir):
 
 def sql_stream_scan():
     return S.sql_go_directory_scan()
+
+
+# --- I1: edited, added and removed files, versioned state --------------------------------------
+
+def _edited(files):
+    """The corpus as it is later: one-line files are gone, JavaScript files have
+    one line more."""
+    js = F.col("path").endswith(".js")
+    return files.where("n_lines > 1").withColumn("content", F.when(js, F.concat("content", F.lit("\neval(late)"))).otherwise(F.col("content")))
+
+
+def q_incremental_versions(spark, sf_dir):
+    """Version 1 of a corpus without its seven-line files, then version 2
+    with those added, JavaScript files edited and one-line files removed.  Its
+    results, with the counts of its manifest row."""
+    files = C.syn_files(spark, sf_dir).select("path", "content", "n_lines")
+    keyed = lambda df: materialize(df.select("path", F.sha2("content", 256).alias("sha256"), "content"), "files")
+    scan = STR.IncrementalScan(spark, _scratch(spark, "versions"), D.match_schema())
+    scan.update(keyed(files.where("n_lines < 7")), _go_detect)
+    out = scan.update(keyed(_edited(files)), _go_detect)
+    counts = scan.manifest().where("version = 2").first()
+    return out.select(*D.MATCH_COLUMNS, *[F.lit(counts[c]).cast("bigint").alias(c) for c in ("n_files", "n_scanned", "n_kept", "n_removed")]) \
+        .withColumn("confidence", F.round("confidence", 6))
+
+
+def sql_incremental_versions():
+    base = C.oracle_files_sql().replace("syn_lines", "base_lines").replace("syn_files", "base_files")
+    return f"""WITH {base},
+syn_lines AS (
+  SELECT b.* FROM base_lines b JOIN base_files f USING (path) WHERE n_lines > 1
+  UNION ALL SELECT file_id, CAST(n_lines + 1 AS INT), path, 'eval(late)' FROM base_files WHERE n_lines > 1 AND path LIKE '%.js'),
+syn_files AS (SELECT file_id, path, string_agg(text, chr(10) ORDER BY line_no) AS content FROM syn_lines GROUP BY file_id, path),
+{S._go_scan_cte()},
+counts AS (SELECT count(*) FILTER (WHERE n_lines > 1) AS n_files,
+  count(*) FILTER (WHERE n_lines > 1 AND (path LIKE '%.js' OR n_lines >= 7)) AS n_scanned,
+  count(*) FILTER (WHERE n_lines BETWEEN 2 AND 6 AND path NOT LIKE '%.js') AS n_kept,
+  count(*) FILTER (WHERE n_lines = 1) AS n_removed FROM base_files)
+SELECT scan.*, counts.* FROM scan, counts WHERE confidence >= 0.7"""
+
+
+# --- I2: the same content streamed twice -----------------------------------------------------
+
+def q_stream_distinct_scan(spark, sf_dir):
+    """Every file's content arrives, then, after a restart of the stream
+    from its checkpoint, all of it again under a later time; each content is
+    scanned once.  Paths are made of the content's sha256."""
+    src, out, ckpt = (_scratch(spark, f"stream-{x}") for x in ("twice", "once", "state"))
+    files = C.syn_files(spark, sf_dir).select(F.concat(F.lit("c/"), F.sha2("content", 256), F.lit(".py")).alias("path"), "content")
+    for minute in (0, 1):
+        arrived = F.expr(f"timestamp'2024-01-01 00:0{minute}:00'").alias("arrived")
+        files.select("path", "content", arrived).repartition(2).write.mode("append").parquet(src)
+        STR.scan_stream(spark, src, _go_detect, out, ckpt, schema="path string, content string, arrived timestamp",
+                        max_files_per_trigger=1, distinct_within="1 hour").awaitTermination()
+    return spark.read.parquet(out).select(*D.MATCH_COLUMNS).withColumn("confidence", F.round("confidence", 6))
+
+
+def sql_stream_distinct_scan():
+    base = C.oracle_files_sql().replace("syn_lines", "base_lines").replace("syn_files", "base_files")
+    return f"""WITH {base},
+syn_files AS (SELECT DISTINCT 'c/' || sha256(content) || '.py' AS path, content FROM base_files),
+syn_lines AS (SELECT path, CAST(i AS INT) AS line_no, string_split(content, chr(10))[i] AS text
+              FROM syn_files, range(1, len(string_split(content, chr(10))) + 1) r(i)),
+{S._go_scan_cte()}
+SELECT * FROM scan WHERE confidence >= 0.7"""
+
+
+# --- S1 / S4: files written in several encodings and read back ----------------------------------
+
+def q_decoded_files(spark, sf_dir):
+    """A folder of UTF-8, CP949, invalid and oversized files, one of
+    each per nation, read back decoded with a size limit."""
+    STR.use_cp949(spark)
+    n = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").cast("string").alias("k"), F.col("n_name").alias("name"))
+    text = F.concat(F.lit("\ub098\ub77c "), "name", F.lit("\r\n"), "name", F.lit("\rend"))
+    kinds = {"utf8": F.encode(text, "UTF-8"), "cp949": F.encode(text, "x-windows-949"),
+             "broken": F.concat(F.encode("name", "UTF-8"), F.unhex(F.lit("FF81FF"))), "large": F.encode(F.repeat("name", 400), "UTF-8")}
+    root = _scratch(spark, "encodings")
+    # a string column of a file's bytes; the writer adds a line feed
+    rows = n.select("k", F.explode(F.create_map(*[x for k, b in kinds.items() for x in (F.lit(k), b)])).alias("kind", "bytes"))
+    rows.select("kind", "k", F.col("bytes").cast("string").alias("value")).repartition(4).write.option("maxRecordsPerFile", 1) \
+        .partitionBy("kind", "k").text(root)
+    files = SF.scan_corpus(spark, root, max_bytes=1000, suffixes=(".txt",))
+    part = lambda c: F.regexp_extract("path", f"{c}=([^/]*)", 1)
+    return files.select(part("kind").alias("kind"), part("k").cast("int").alias("k"), "size", "sha256", "content")
+
+
+def sql_decoded_files():
+    text = "'\ub098\ub77c ' || n_name || {a} || n_name || {b} || 'end'"
+    raw, read = text.format(a="chr(13) || chr(10)", b="chr(13)"), text.format(a="chr(10)", b="chr(10)")
+    cp949 = "unhex('B3AAB6F320') || encode(n_name) || unhex('0D0A') || encode(n_name) || unhex('0D') || encode('end') || unhex('0A')"
+    broken = "encode(n_name) || unhex('FF81FF0A')"
+    return f"""SELECT 'utf8' AS kind, CAST(n_nationkey AS INT) AS k, CAST(octet_length(encode({raw})) + 1 AS BIGINT) AS size,
+  sha256(encode({raw}) || unhex('0A')) AS sha256, {read} || chr(10) AS content FROM nation
+UNION ALL SELECT 'cp949', CAST(n_nationkey AS INT), CAST(octet_length({cp949}) AS BIGINT), sha256({cp949}), {read} || chr(10) FROM nation
+UNION ALL SELECT 'broken', CAST(n_nationkey AS INT), CAST(octet_length({broken}) AS BIGINT), sha256({broken}), '' FROM nation"""

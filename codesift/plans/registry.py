@@ -53,4 +53,5 @@ from . import lifecycle as LC  # noqa: E402
 
 _register(LC, ["corpus_files", "resolve_language", "exclude_globs_basename", "exclude_globs_path",
                "inline_batch_accepted", "inline_batch_rejected", "json_report", "xml_report", "function_store",
-               "vuln_store_files", "tag_functions", "incremental_scan", "stream_scan"])
+               "vuln_store_files", "tag_functions", "incremental_scan", "stream_scan", "incremental_versions",
+               "stream_distinct_scan", "decoded_files"])

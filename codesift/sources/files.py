@@ -26,7 +26,7 @@ def decode_text(content: Column) -> Column:
     CP949 validity is tested by a lossless round trip (the JVM decoder
     substitutes rather than fails).  Text-mode newline translation
     (``\\r\\n`` and lone ``\\r`` -> ``\\n``) is applied after decoding.
-    Needs ``spark.sql.legacy.javaCharsets=true`` for the CP949 charset.
+    Needs ``use_cp949``.
     """
     cp = F.decode(content, "x-windows-949")
     cp_ok = F.encode(cp, "x-windows-949") == content
@@ -35,6 +35,14 @@ def decode_text(content: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, "\r\n", "\n"), "\r", "\n")
 
 
+def use_cp949(spark: SparkSession) -> None:
+    """Enable what ``decode_text`` needs: the JVM's extended charsets, and that
+    a byte sequence which is none of a charset is replaced instead of ending
+    the job (it then fails the round trip)."""
+    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    spark.conf.set("spark.sql.legacy.codingErrorAction", "true")
+
+
 def scan_corpus(spark: SparkSession, root: str, max_bytes: int | None = DEFAULT_MAX_BYTES,
                 exclude: Sequence[str] = (), exclude_mode: str = "basename", glob: str | None = None,
                 decode: bool = True, suffixes: Sequence[str] = ()) -> DataFrame:
@@ -45,8 +53,7 @@ def scan_corpus(spark: SparkSession, root: str, max_bytes: int | None = DEFAULT_
     None keeps files of any size.
     """
     if decode:
-        # the CP949 fallback needs the JVM's extended charsets
-        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+        use_cp949(spark)
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
