@@ -12,7 +12,7 @@ is an unnamed user and no participant; a null text is empty; turns are ordered
 by number (null first), then speaker and text, and repeated rows are repeated
 turns; a conversation without participants has no perspective and so no rows;
 rows without conv_id belong to no dialogue; template marks inside names and
-texts are defused; an empty table gives an empty result; other columns are
+texts are defused, names one to one (blanks become ``_``, ``_`` is escaped); an empty table gives an empty result; other columns are
 ignored.
 """
 
@@ -34,6 +34,19 @@ def defused(c: Column) -> Column:
     return F.replace(c, F.lit("<|"), F.lit("< |"))
 
 
+# Characters of a speaker that a name cannot hold, and what stands for them.
+NAME_MARKS = [("\\", "\\\\"), ("_", "\\_"), ("<|", "<\\|"), (" ", "_"), ("\t", "\\t"), ("\n", "\\n"), ("\r", "\\r"), ("\x0b", "\\v"), ("\x0c", "\\f")]
+
+
+def user_name(speaker: str) -> Column:
+    """A name without white space or template marks; different speakers have
+    different names."""
+    out = F.col(speaker)
+    for mark, name in NAME_MARKS:
+        out = F.replace(out, F.lit(mark), F.lit(name))
+    return out
+
+
 def rotate(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", speaker: str = "role", text: str = "text",
            system: str = SYSTEM) -> DataFrame:
     """conv_id, perspective, turn, speaker, role, name, segment, char_start,
@@ -45,7 +58,7 @@ def rotate(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", speak
     rows = t.join(cast, "conv_id")
     target = F.coalesce(F.col("speaker") == F.col("perspective"), F.lit(False))
     name = F.when(~target & F.col("speaker").isNotNull() & (F.col("speaker") != system),
-                  F.regexp_replace(defused("speaker"), r"\s+", "_"))
+                  user_name("speaker"))
     rows = rows.select("conv_id", "perspective", "turn", "speaker", target.alias("is_target"), name.alias("name"),
                        F.when(target, "assistant").when(F.col("speaker") == system, "system").otherwise("user").alias("role"),
                        defused(F.coalesce("text", F.lit(""))).alias("content"))

@@ -2,12 +2,14 @@
 
 Rows are placed on a grid of quantised metadata dimensions, ordered along the
 Hilbert curve through that grid, and the order is cut into runs of equal row
-counts.  Rows of one shard are close in every dimension, so min/max statistics
-of its files prune on each of them.
+counts.  A dimension is quantised by the order of its values, at cuts that
+leave about as many rows between any two, so rows of one shard are close in
+every dimension and min/max statistics of its files prune on each of them.
 
 Defined results: null text counts as size 1 and CRC 0; null dimension values
-form their own coordinate (0); rows that are equal in all sort keys take
-neighbouring slots in any order; an empty table gives an empty result; other
+form their own coordinate (0); rows of one cell are ordered by a hash of the
+tie columns, then by these, whatever the size of the cell, and rows equal in
+all of them take neighbouring slots in any order; an empty table gives an empty result; other
 columns of the input are ignored.
 """
 
@@ -95,7 +97,7 @@ def hilbert_order(df: DataFrame, dims: list[Column], tie: list[Column], bits: in
 
     keyed = df.select("*", *[F.least(F.greatest(F.coalesce(c.cast("int"), F.lit(0)), F.lit(0)), F.lit(top)).alias(n)
                              for n, c in zip(names, dims)],
-                      F.xxhash64(*tie).alias("_h"))
+                      F.shiftrightunsigned(F.xxhash64(*tie), 1).alias("_h"))
     keyed = written(keyed, "hilbert")
     cells = keyed.groupBy(*names).agg(F.count(F.lit(1)).alias("_n")) \
         .withColumn("_curve", curve(*names)) \
@@ -105,11 +107,13 @@ def hilbert_order(df: DataFrame, dims: list[Column], tie: list[Column], bits: in
     everything = Window.orderBy("_curve").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     cells = cells.withColumn("_start", F.coalesce(F.sum("_n").over(whole), F.lit(0))) \
         .withColumn("_total", F.sum("_n").over(everything))
-    placed = keyed.join(F.broadcast(cells), names).withColumn("_piece", F.pmod("_h", F.col("_pieces")))
+    # a piece is a range of hashes, so the order is by the hash at every number of pieces
+    placed = keyed.join(F.broadcast(cells), names) \
+        .withColumn("_piece", F.shiftright(F.shiftright("_h", 32) * F.col("_pieces"), 31))
     pieces = placed.groupBy("_curve", "_piece").agg(F.count(F.lit(1)).alias("_m"))
     inside = Window.partitionBy("_curve").orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     pieces = pieces.select("_curve", "_piece", F.coalesce(F.sum("_m").over(inside), F.lit(0)).alias("_before"))
-    order = Window.partitionBy("_curve", "_piece").orderBy(*tie)
+    order = Window.partitionBy("_curve", "_piece").orderBy("_h", *tie)
     return (placed.withColumn("_row", F.row_number().over(order))
             .join(pieces, ["_curve", "_piece"])
             .withColumn("_rank", F.col("_start") + F.col("_before") + F.col("_row") - 1)
@@ -130,14 +134,43 @@ def cut_runs(ranked: DataFrame, shards: int) -> DataFrame:
     return out.withColumn("slot", (F.col("_rank") - start).cast("long"))
 
 
-def write_shards(sharded: DataFrame, path: str) -> None:
-    """One folder per shard, each in curve order."""
-    sharded.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
-
-
-def document_dims(lang: str = "lang", source: str = "source", size: str = "size") -> list[Column]:
-    """Metadata dimensions of a document: language and source hashed to 32
-    coordinates (equal values stay together), size by powers of the square root of two."""
-    def bucket(c):
-        return F.when(F.col(c).isNull(), F.lit(0)).otherwise(1 + F.pmod(F.xxhash64(c), F.lit(31)))
-    return [bucket(lang), bucket(source), F.floor(F.log2(F.col(size).cast("double")) * 1.5)]
+def write_shards(sharded: DataFrame, path: str, tasks: int = 200) -> None:
+    """One folder per shard with files in curve order, each a range of slots."""
+    sharded.repartitionByRange(tasks, "shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+
+
+def text_cuts(df: DataFrame, names: list[str], coordinates: int) -> dict[str, tuple[int, list[int]]]:
+    """For each text column where its codes begin (after the prefix that all
+    its values share) and the codes at which ``coordinates`` equal counts of
+    rows are cut."""
+    ends = df.agg(*[f(F.col(c).cast("binary")).alias(f"{k}_{c}") for c in names for k, f in (("lo", F.min), ("hi", F.max))]).first()
+    skip = {}
+    for c in names:
+        lo, hi = bytes(ends[f"lo_{c}"] or b""), bytes(ends[f"hi_{c}"] or b"")
+        skip[c] = next((k for k, (x, y) in enumerate(zip(lo, hi)) if x != y), min(len(lo), len(hi)))
+    at = [k / coordinates for k in range(1, coordinates)]
+    cuts = df.agg(*[F.percentile_approx(text_code(c, skip[c]), at, 100_000).alias(c) for c in names]).first()
+    return {c: (skip[c], list(cuts[c] or [])) for c in names}
+
+
+def text_code(name: str, skip: int) -> Column:
+    """The seven bytes of a text after its first ``skip`` as a number; texts
+    in byte order have codes in order."""
+    part = F.substring(F.col(name).cast("binary"), skip + 1, 7)
+    return F.conv(F.rpad(F.hex(part), 14, "0"), 16, 10).cast("long")
+
+
+def document_dims(docs: DataFrame | None = None, lang: str = "lang", source: str = "source", size: str = "size", bits: int = 5) -> list[Column]:
+    """Metadata dimensions of a document: language and source by the order of
+    their values, cut to equal counts over ``docs``, and size by powers of the
+    square root of two.  Without ``docs`` languages and sources are hashed
+    instead, which keeps equal values together but not neighbouring ones."""
+    length = F.floor(F.log2(F.col(size).cast("double")) * 1.5)
+    if docs is None:
+        return [F.when(F.col(c).isNull(), F.lit(0)).otherwise(1 + F.pmod(F.xxhash64(c), F.lit((1 << bits) - 1))) for c in (lang, source)] + [length]
+    out = []
+    for c, (skip, cuts) in text_cuts(docs, [lang, source], (1 << bits) - 1).items():
+        code = text_code(c, skip)
+        above = sum(((code > F.lit(x)).cast("int") for x in cuts), F.lit(0))
+        out.append(F.when(F.col(c).isNull(), F.lit(0)).otherwise(1 + above))
+    return [*out, length]

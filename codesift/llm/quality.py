@@ -4,9 +4,10 @@ Every document gets a few integer measures.  Their distribution is kept, per
 language and source, in a mergeable quantile sketch: a histogram over
 logarithmic buckets, whose merge is the sum of the counts.  A rule's limit is
 an outlier fence (quartile plus three spreads) read from the sketch of the
-document's own language and source, so no cutoff is fixed for all; sketches of
-small groups are merged into their language's, and those of small languages
-into the whole corpus'.  The limits are joined back to decide.
+document's own language and source, so no cutoff is fixed for all.  It is drawn
+toward the language's by the weight of ``PRIOR`` documents, and that toward the
+whole corpus' likewise, so a small group's few documents decide little and no
+group's size is a switch.  The limits are joined back to decide.
 
 Defined results: a null or empty text has no words, zero measures, and fails
 the base rule; null languages and sources are groups of their own; repeated
@@ -33,17 +34,18 @@ MEASURES = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_r
 
 # Per measure: least spread assumed between quartiles, and which sides reject.
 # The least spread keeps a group of near-equal documents from rejecting
-# harmless deviations.  Ratios are per mille of words or lines; word length is
-# in hundredths of a character.
+# harmless deviations; it decides where most documents of a group measure
+# nothing.  Ratios are per mille of words or lines; word length is in
+# hundredths of a character.
 RULES = {
-    "symbols": (35, "high"),
-    "dup_lines": (140, "high"),
-    "repeats": (120, "high"),
+    "symbols": (20, "high"),
+    "dup_lines": (70, "high"),
+    "repeats": (40, "high"),
     "word_length": (60, "both"),
 }
 FENCE = 3
-# Documents a group needs for limits of its own.
-MIN_GROUP = 200
+# Documents whose weight the wider group's limits have in a group's.
+PRIOR = 200
 
 
 def repeated_words(ids: np.ndarray) -> int:
@@ -144,11 +146,16 @@ def fences(sketch: DataFrame, keys: list[str]) -> DataFrame:
     quart = cum.groupBy(*keys, "rule").agg(
         F.max("_n").alias("n"),
         F.min(F.when(4 * F.col("_c") >= F.col("_n"), F.col("_v"))).alias("q1"),
-        F.min(F.when(4 * F.col("_c") >= 3 * F.col("_n"), F.col("_v"))).alias("q3"))
+        F.min(F.when(2 * F.col("_c") >= F.col("_n"), F.col("_v"))).alias("q2"),
+        F.min(F.when(4 * F.col("_c") >= 3 * F.col("_n"), F.col("_v"))).alias("q3"),
+        F.min(F.when(10 * F.col("_c") >= 9 * F.col("_n"), F.col("_v"))).alias("d9"))
     out = []
     for rule, (least, sides) in RULES.items():
         here = F.col("rule") == rule
-        spread = F.greatest(F.col("q3") - F.col("q1"), F.lit(least))
+        # of a measure that is mostly nothing the quartiles say little, and
+        # its upper tenth may be all junk: the tail counts for repeats alone
+        tail = F.col("d9") - F.col("q2") if rule == "repeats" else F.lit(0)
+        spread = F.greatest(F.col("q3") - F.col("q1"), tail, F.lit(least))
         out.append(F.max(F.when(here, F.col("q3") + FENCE * spread)).alias(f"{rule}_high"))
         if sides == "both":
             out.append(F.max(F.when(here, F.col("q1") - FENCE * spread)).alias(f"{rule}_low"))
@@ -156,8 +163,8 @@ def fences(sketch: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def limits(measured: DataFrame) -> DataFrame:
-    """Limits for every (lang, source) that occurs: its own sketch's, else its
-    language's, else the corpus'."""
+    """Limits for every (lang, source) that occurs: its own sketch's, drawn
+    toward its language's, those drawn toward the corpus'."""
     sketch = written(sketches(measured), "sketch")
     own = fences(sketch, ["lang", "source"])
     by_lang = fences(sketch, ["lang"])
@@ -168,8 +175,11 @@ def limits(measured: DataFrame) -> DataFrame:
     g = groups.withColumn("w", whole.select(F.struct(*names)).scalar()).alias("g")
     joined = g.join(o, F.col("g.lang").eqNullSafe(F.col("o.lang")) & F.col("g.source").eqNullSafe(F.col("o.source")), "left") \
         .join(b, F.col("g.lang").eqNullSafe(F.col("b.lang")), "left")
-    pick = [F.when(F.col("o.n_docs") >= MIN_GROUP, F.col(f"o.{c}"))
-            .when(F.col("b.n_docs") >= MIN_GROUP, F.col(f"b.{c}")).otherwise(F.col(f"g.w.{c}")).alias(c) for c in names]
+    def drawn(side: str, name: str, toward: Column) -> Column:
+        n = F.coalesce(F.col(f"{side}.n_docs"), F.lit(0))
+        return F.coalesce(F.floor((n * F.col(f"{side}.{name}") + PRIOR * toward) / (n + PRIOR)), toward)
+
+    pick = [drawn("o", c, drawn("b", c, F.col(f"g.w.{c}"))).alias(c) for c in names]
     return joined.select(F.col("g.lang").alias("lang"), F.col("g.source").alias("source"), *pick)
 
 

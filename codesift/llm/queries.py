@@ -19,7 +19,7 @@ def op1_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(
         "doc_id", "lang", "source", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
         F.crc32(F.coalesce("text", F.lit("")).cast("binary")).cast("long").alias("text_crc32"))
-    ranked = hilbert.hilbert_order(docs, hilbert.document_dims(), [F.col("doc_id"), F.col("size"), F.col("text_crc32")])
+    ranked = hilbert.hilbert_order(docs, hilbert.document_dims(docs), [F.col("doc_id"), F.col("size"), F.col("text_crc32")])
     return hilbert.cut_runs(ranked, 8).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"), F.col("_curve").alias("curve_index"))

@@ -94,6 +94,47 @@ def test_hilbert_runs_are_even_and_ordered(docs, none, monkeypatch):
     assert hilbert.cut_runs(hilbert.hilbert_order(sized(none), hilbert.document_dims(), [F.col("doc_id")]), 8).count() == 0
 
 
+def test_hilbert_order_does_not_depend_on_piece_size(docs, monkeypatch):
+    sized = docs.withColumn("size", F.lit(1)).withColumn("lang", F.lit("x")).withColumn("source", F.lit("y"))   # one crowded cell
+    got = []
+    for bound in (4, 7, 50_000):
+        monkeypatch.setattr(hilbert, "PIECE_ROWS", bound)
+        rows = hilbert.hilbert_order(sized, hilbert.document_dims(sized), [F.col("doc_id"), F.col("text")]).select("doc_id", "text", "_rank").collect()
+        got.append(sorted(map(tuple, rows), key=str))
+    assert got[0] == got[1] == got[2]
+
+
+def test_hilbert_shards_prune_on_every_dimension(spark, tmp_path):
+    rng = random.Random(5)
+    rows = [(i, rng.choice(["de", "en", "es", "fr"]), f"https://site{rng.randrange(40):02d}.example", 2 ** rng.randint(4, 14)) for i in range(4000)]
+    d = spark.createDataFrame(rows, "doc_id bigint, lang string, source string, size bigint")
+
+    def read(dims):
+        """Shards whose value range meets a filter, over all filters of a kind."""
+        run = hilbert.cut_runs(hilbert.hilbert_order(d, dims, [F.col("doc_id")]), 32)
+        spans = run.groupBy("shard").agg(*[f(c).alias(f"{n}_{c}") for c in ("lang", "source", "size") for n, f in (("lo", F.min), ("hi", F.max))]).collect()
+        meets = lambda c, v: sum(s[f"lo_{c}"] <= v <= s[f"hi_{c}"] for s in spans)
+        return [np.mean([meets(c, v) for v in sorted({r[k] for r in rows})]) for k, c in ((1, "lang"), (2, "source"), (3, "size"))]
+
+    ranked, hashed = read(hilbert.document_dims(d)), read(hilbert.document_dims())
+    assert all(x < 24 for x in ranked) and ranked[0] < hashed[0] and ranked[1] < hashed[1] / 2, (ranked, hashed)
+    hilbert.write_shards(hilbert.cut_runs(hilbert.hilbert_order(d, hilbert.document_dims(d), [F.col("doc_id")]), 4), f"{tmp_path}/s", tasks=12)
+    files = spark.read.parquet(f"{tmp_path}/s").groupBy("shard", F.input_file_name().alias("f")).agg(F.min("slot").alias("a"), F.max("slot").alias("b"), F.count("*").alias("n")).collect()
+    assert len(files) > 8 and all(r.b - r.a + 1 == r.n for r in files)
+
+
+def test_hilbert_query_columns(spark):
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    rows = queries.op1_hilbert_sharding(spark, "/root/testdata/sf0.001").collect()
+    assert {r.doc_id: (r.size, r.text_crc32) for r in rows} == {i: (len(t.encode()) + 1, zlib.crc32(t.encode())) for i, t in docs.items()}
+    slots = collections.defaultdict(list)
+    for r in rows:
+        slots[r.shard].append(r.slot)
+        assert r.law == "rows" and r.grown_shard is None
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values()) and len(rows) == len(docs)
+    assert max(map(len, slots.values())) - min(map(len, slots.values())) <= 1 and set(slots) == set(range(8))
+
+
 # --- 2 ----------------------------------------------------------------------
 
 def brute_repeats(texts, length):
@@ -361,6 +402,52 @@ def test_quality_measures_and_limits(spark, docs, texts, none):
     assert kept == {i for i in range(400) if i % 10}
 
 
+def brute_verdicts(rows):
+    """doc_id -> kept, from rows of ``score``: limits by sorting, no sketches merged by counts."""
+    rules = {"symbols": lambda r: r.n_symbols * 1000 // max(r.n_words, 1), "dup_lines": lambda r: r.n_dup_lines * 1000 // max(r.n_lines, 1),
+             "repeats": lambda r: r.n_repeat_words * 1000 // max(r.n_words, 1), "word_length": lambda r: r.word_chars * 100 // max(r.n_words, 1)}
+
+    def least(v):                                # least value of v's bucket
+        return v if v < 64 else v >> (v.bit_length() - 5) << (v.bit_length() - 5)
+
+    def fence(group, rule):
+        vs = sorted(least(rules[rule](r)) for r in group)
+        if not vs:
+            return 0, None, None
+        at = lambda a, b: vs[-(-len(vs) * a // b) - 1]
+        least_spread, _ = quality.RULES[rule]
+        spread = max(at(3, 4) - at(1, 4), at(9, 10) - at(1, 2) if rule == "repeats" else 0, least_spread)
+        return len(vs), at(1, 4) - 3 * spread, at(3, 4) + 3 * spread
+
+    passed = [r for r in rows if not r.base_failed]
+    kept = {}
+    for r in rows:
+        ok = not r.base_failed
+        for rule, value in rules.items():
+            lo, hi = None, None
+            for wider in (passed, [x for x in passed if x.lang == r.lang], [x for x in passed if (x.lang, x.source) == (r.lang, r.source)]):
+                n, a, b = fence(wider, rule)
+                if n:
+                    lo, hi = (a, b) if lo is None else ((n * a + quality.PRIOR * lo) // (n + quality.PRIOR), (n * b + quality.PRIOR * hi) // (n + quality.PRIOR))
+            ok = ok and (hi is None or value(r) <= hi) and (rule != "word_length" or lo is None or value(r) >= lo)
+        kept[r.doc_id] = ok
+    return kept
+
+
+def test_quality_verdicts_equal_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    more = docs.filter("doc_id % 7 = 0").selectExpr("doc_id + 1000000 as doc_id", "concat(text, ' ', repeat(concat(substr(text, 1, 60), '\n'), 3)) as text", "lang", "null as source", "n_chars")
+    both = docs.unionByName(more)
+    rows = quality.score(both).collect()
+    want = brute_verdicts(rows)
+    assert {r.doc_id: r.kept for r in rows} == want
+    failed = sum(not r.base_failed and not want[r.doc_id] for r in rows)
+    assert failed > 5
+    assert sorted(r.doc_id for r in quality.filter_quality(both).collect()) == sorted(i for i, k in want.items() if k)
+    got = {r.doc_id: r.kept for r in queries.op5_adaptive_quality(spark, "/root/testdata/sf0.001").collect()}
+    assert got == brute_verdicts(quality.score(docs).collect())
+
+
 def test_quantile_sketch_buckets(spark):
     df = spark.range(0, 5000).withColumn("_bucket", F.expr(quality.bucket("id")).cast("long"))
     for r in df.select("id", "_bucket", quality.bucket_value(F.col("_bucket")).alias("v")).collect():
@@ -392,6 +479,14 @@ def test_perspectives(spark):
     assert dialogue.rotate(df.limit(0)).count() == 0
 
 
+def test_speakers_have_names_of_their_own(spark):
+    speakers = ["bob b", "bob_b", "bob  b", "bob\\_b", "bob\tb", "bob\nb", "bob\\nb", "<|x", "< |x", "<\\|x", "", "_", " ", "Bob b"]
+    df = spark.createDataFrame([(1, k, s, "t") for k, s in enumerate(speakers)], "conv_id bigint, turn bigint, role string, text string")
+    names = {r.speaker: r.name for r in dialogue.rotate(df).filter("perspective != speaker").collect()}
+    assert set(names) == set(speakers) and len(set(names.values())) == len(speakers)
+    assert not any(re.search(r"\s", n) or "<|" in n for n in names.values())
+
+
 # --- 8, 10 --------------------------------------------------------------------
 
 @pytest.fixture(scope="module")
