@@ -63,8 +63,8 @@ CONTROL = bytes(b for b in range(32) if b != 10)
 UNEVEN = (b"  ", b" \n", b"\n ", b"\n\n\n")
 # Text cut at once (a larger batch repeats more of its words), units of one call
 # of the library, and bytes of known ids kept by one worker.
-BATCH_BYTES = 4 << 20
-LEARN = 4096
+BATCH_BYTES = 2 << 20
+LEARN = 512
 KNOWN_BYTES = 128 << 20
 
 ALNUM = np.zeros(256, bool)
@@ -216,10 +216,10 @@ def _blocks(packed: bytes) -> list[bytes]:
     return out
 
 
-def _plane(bits: np.ndarray, packed: bytes) -> bytes:
+def _plane(packed: bytes) -> bytes:
     """One bit-plane: ones before every block and the blocks' places, then the blocks."""
     blocks = _blocks(packed)
-    ones = np.add.reduceat(bits, np.arange(0, len(bits), BLOCK_BITS), dtype=np.int64)
+    ones = [int.from_bytes(packed[a:a + BLOCK_BITS // 8]).bit_count() for a in range(0, len(packed), BLOCK_BITS // 8)]
     directory = np.concatenate([[0], np.cumsum(ones), [0], np.cumsum([len(b) for b in blocks], dtype=np.int64)]).astype("<i8")
     return directory.tobytes() + b"".join(blocks)
 
@@ -232,7 +232,7 @@ def build(ids: np.ndarray, doc_ids: list, lengths: list[int], part: int = 0, num
     for shift in range(n_planes - 1, -1, -1):
         bits = (cur & kind(1 << shift)) != 0
         packed = np.packbits(bits, bitorder="little").tobytes()
-        planes.append(_plane(bits, packed))
+        planes.append(_plane(packed))
         cur = np.concatenate([cur.take(np.flatnonzero(~bits)), cur.take(np.flatnonzero(bits))])
     known = np.array([i is not None for i in doc_ids], np.uint8)
     docs = zlib.compress(known.tobytes() + np.array([i or 0 for i in doc_ids], "<i8").tobytes() + np.array(lengths, "<i8").tobytes(), 1)
