@@ -3,7 +3,9 @@
 Pre-tokens are held as ragged numpy arrays of symbol ids.  In every round each
 sequence finds its lowest-rank adjacent pair and merges all occurrences of it
 at once; sequences without a known pair are finished.  The surviving symbols
-are the tokens.  Each distinct pre-token is merged once per task (bounded
+are the tokens.  A sequence of over ``LONG`` bytes is merged by itself, with its
+symbols linked and the places of every pair kept by rank, so a round touches
+only the places of its rank and their neighbours.  Each distinct pre-token is merged once per task (bounded
 cache).
 
 Works with the files that hold a BPE model with word ends over byte symbols.
@@ -18,6 +20,7 @@ counted one by one; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import heapq
 import json
 import os
 import re
@@ -39,6 +42,12 @@ DIGIT = "0-9\\xb2\\xb3\\xb9\\xbc-\\xbe"
 SPLIT = f"'s|'t|'re|'ve|'m|'ll|'d|[{LATIN}]+|[{DIGIT}]|[^\\s{LATIN}{DIGIT}]+"
 
 
+# Longer sequences are merged by themselves.
+LONG = 512
+# In place of a symbol that was merged into the one before it.
+GONE = -2
+
+
 def byte_symbols() -> list[str]:
     """The printable stand-in of each byte in byte-level vocabularies: printable
     Latin-1 characters stand for themselves, the rest for code points from 256."""
@@ -66,6 +75,48 @@ class RankMerger:
         order = np.argsort(key, kind="stable")
         self.key, self.rank = key[order], order.astype(np.int64)
         self.made = np.array([vocab[a + b] for a, b in pairs], np.int64)[order]
+        self.rank_of: dict[int, int] = {}
+
+    def linked_symbols(self, word: bytes) -> list[int]:
+        """Surviving symbol ids of one long word."""
+        if not self.rank_of:
+            self.rank_of = dict(zip(self.key.tolist(), self.rank.tolist()))
+            at = np.argsort(self.rank, kind="stable")
+            self.merge_of = list(zip((self.key[at] // self.size).tolist(), (self.key[at] % self.size).tolist(), self.made[at].tolist()))
+        flat = np.frombuffer(word, np.uint8)
+        ids = self.inner[flat]
+        ids[-1] = self.last[flat[-1]]
+        ids, n, rank_of, size = ids.tolist(), len(flat), self.rank_of, self.size
+        after, before = [*range(1, n), -1], [-1, *range(n - 1)]
+        places: dict[int, list[int]] = {}
+        for i in range(n - 1):
+            rank = rank_of.get(ids[i] * size + ids[i + 1])
+            if rank is not None:
+                places.setdefault(rank, []).append(i)
+        ranks = list(places)
+        heapq.heapify(ranks)
+        while ranks:
+            rank = heapq.heappop(ranks)
+            left, right, made = self.merge_of[rank]
+            for p in sorted(places.pop(rank)):
+                q = after[p]
+                if ids[p] != left or q < 0 or ids[q] != right:     # merged meanwhile
+                    continue
+                ids[p], ids[q], end = made, GONE, after[q]
+                after[p] = end
+                if end >= 0:
+                    before[end] = p
+                for a, b in ((before[p], p), (p, end)):
+                    if a >= 0 and b >= 0:
+                        r = rank_of.get(ids[a] * size + ids[b])
+                        if r is None:
+                            continue
+                        if r in places:
+                            places[r].append(a)
+                        else:
+                            places[r] = [a]
+                            heapq.heappush(ranks, r)
+        return [i for i in ids if i != GONE]
 
     def symbols(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Surviving symbol ids of all (non-empty) words, flat, and each word's count."""
@@ -108,7 +159,12 @@ class RankMerger:
         return all_ids[order], np.bincount(all_owner, minlength=len(words))
 
     def counts(self, words: list[bytes]) -> np.ndarray:
-        return self.symbols(words)[1]
+        out = np.zeros(len(words), np.int64)
+        short = [i for i, w in enumerate(words) if len(w) <= LONG]
+        out[short] = self.symbols([words[i] for i in short])[1]
+        for i in set(range(len(words))).difference(short):
+            out[i] = len(self.linked_symbols(words[i]))
+        return out
 
 
 class TokenCounter:

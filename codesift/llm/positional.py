@@ -5,7 +5,9 @@ stores, per term, the sorted positions at which it occurs.  Segments are rows
 of a Parquet table.  A phrase is looked up in a segment by taking the postings
 of its rarest term there, shifted by the term's offset in the phrase, and
 intersecting them with the shifted postings of the next rarest terms until
-only exact matches remain; a proximity match intersects within a slop.
+only exact matches remain; a proximity match intersects within a slop: every
+term lies at most so many words from the place it has in the phrase, counted
+from an occurrence of the rarest term, and all in one document.
 
 Defined results: null or empty texts have no words and are never hit; items
 without words match nothing; repeated rows are indexed one by one; empty
@@ -96,11 +98,14 @@ class Segment:
         self.key = self.positions + np.repeat(np.arange(len(lens), dtype=np.int64), lens) * self.span
         self.lens = lens
 
-    def phrases(self, flat: np.ndarray, starts: np.ndarray, lens: np.ndarray, slop: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    def phrases(self, flat: np.ndarray, starts: np.ndarray, lens: np.ndarray, slop: int = 0,
+                docs: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(phrase, position) of every match.  ``flat`` holds the phrases'
         term numbers here (-1: no such term), ``starts``/``lens`` each phrase's
         part.  With ``slop`` every term may lie up to so many words away from
-        its place."""
+        its place, but in the same document (``docs``: where each begins, and
+        its number of words); the position is that of the phrase's first word, or
+        the document's beginning if that is later."""
         absent = np.minimum.reduceat(flat, starts) < 0 if len(starts) else np.empty(0, bool)
         alive = np.flatnonzero(~absent)
         if not len(alive):
@@ -117,9 +122,14 @@ class Segment:
         n = self.lens[rare]
         phrase = np.repeat(rows, n)
         within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        place = self.positions[self.ends[rare][phrase] + within] - order[phrase, 0]
-        keep = place >= 0
-        phrase, place = phrase[keep], place[keep]
+        anchor = self.positions[self.ends[rare][phrase] + within]
+        place = anchor - order[phrase, 0]
+        first, last = np.zeros(len(place), np.int64), np.full(len(place), self.span)
+        if slop and docs is not None:
+            doc = np.searchsorted(docs[0], anchor, side="right") - 1
+            first, last = docs[0][doc], docs[0][doc] + docs[1][doc] - 1
+        keep = place >= (first - slop if slop else 0)
+        phrase, place, first, last = phrase[keep], place[keep], first[keep], last[keep]
         for j in range(1, width):
             if not len(phrase):
                 break
@@ -127,13 +137,13 @@ class Segment:
             active = j < lens[alive][phrase]
             t = term[phrase, off]
             want = place + off
-            low = np.maximum(want - slop, 0)
+            low = np.maximum(want - slop, first)
             at = np.searchsorted(self.key, t * self.span + low)
             found = self.key[np.minimum(at, len(self.key) - 1)]
-            ok = (at < len(self.key)) & (found // self.span == t) & (found % self.span <= want + slop)
+            ok = (at < len(self.key)) & (found // self.span == t) & (found % self.span <= np.minimum(want + slop, last))
             keep = ok | ~active
-            phrase, place = phrase[keep], place[keep]
-        return alive[phrase], place
+            phrase, place, first, last = phrase[keep], place[keep], first[keep], last[keep]
+        return alive[phrase], np.maximum(place, first)
 
 
 class Phrases:
@@ -147,9 +157,9 @@ class Phrases:
         self.lens = np.array([len(p) for p in phrases], np.int64)
         self.starts = np.cumsum(self.lens) - self.lens
 
-    def find(self, segment: Segment, slop: int = 0):
+    def find(self, segment: Segment, slop: int = 0, docs=None):
         here = np.array([segment.number.get(t, -1) for t in self.terms], np.int64)
-        return segment.phrases(here[self.flat], self.starts, self.lens, slop)
+        return segment.phrases(here[self.flat], self.starts, self.lens, slop, docs)
 
 
 def windows_of(words: list[bytes], n: int = WINDOW) -> list[tuple]:
@@ -236,7 +246,7 @@ def _finder(sent, slop):
                 if len(block.lens):
                     seg = Segment(col("terms").to_pylist(), col("ends").to_numpy(zero_copy_only=False),
                                   col("positions").to_numpy(zero_copy_only=False))
-                    phrase, place = block.find(seg, slop)
+                    phrase, place = block.find(seg, slop, (starts, n))
                     doc = np.searchsorted(starts, place, side="right") - 1
                     rel = place - starts[doc]
                     for p, d, a in zip(phrase.tolist(), doc.tolist(), rel.tolist()):

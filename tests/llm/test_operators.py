@@ -585,6 +585,40 @@ def test_proximity_matches():
     assert [x.tolist() for x in block.find(seg, slop=1)] == [[0, 0], [0, 6]]
 
 
+def test_proximity_stays_inside_documents(spark):
+    texts = {1: "foo alpha", 2: "beta bar", 3: "alpha x beta", 4: "beta alpha", 5: "x alpha", 6: "alpha beta gamma beta", 7: "alpha x x beta"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").coalesce(1)
+    items = spark.createDataFrame([("i", "alpha beta"), ("j", "gamma beta alpha")], "item_id string, text string")
+    found = {}
+    for slop in (0, 1, 2):
+        for r in positional.search(positional.build_index(docs), items, slop=slop).collect():
+            found[slop, r.doc_id] = r["items"]
+
+    def near_in(t, phrase, slop):
+        """From an occurrence of the rarest term, every other term within slop of its place."""
+        w = t.split()
+        counts = collections.Counter(x for y in texts.values() for x in y.split())
+        k = min(range(len(phrase)), key=lambda i: (counts[phrase[i]], i))
+        return any(all(any(w[q] == x and abs(q - (p - k + i)) <= slop for q in range(len(w))) for i, x in enumerate(phrase)) for p in range(len(w)) if w[p] == phrase[k])
+
+    for (slop, d), got in found.items():
+        want = [name for name, ph in (("i", ["alpha", "beta"]), ("j", ["gamma", "beta", "alpha"])) if near_in(texts[d], ph, slop)]
+        assert got == want, (slop, d)
+    assert found[0, 1] == found[1, 1] == found[2, 2] == [] and found[1, 3] == ["i"]
+
+
+def test_long_words_merge_like_short_ones():
+    merger, rng = bpe.RankMerger(TOKENIZER), random.Random(4)
+    words_ = ["".join(rng.choice(s) for _ in range(n)).encode() for s in ("acgt", "a", "ab", "etaoinshrdlu", "abcdefghijklmnopqrstuvwxyz!é") for n in (1, 2, 3, 40, 700)]
+    flat, counts = merger.symbols(words_)
+    ends = np.cumsum(counts)
+    for w, a, b in zip(words_, ends - counts, ends):
+        assert merger.linked_symbols(w) == flat[a:b].tolist()
+    long = bytes(rng.choice(b"abcdefghijklmnopqrstuvwxyz") for _ in range(300_000))
+    from tokenizers import Tokenizer
+    assert merger.counts([b"ab", long]).tolist()[1] == len(Tokenizer.from_file(TOKENIZER).encode(long.decode(), add_special_tokens=False).ids)
+
+
 def test_pipeline_judges_near_duplicates_by_five_words(spark):
     import corpus_pipeline
     base = ["w%d" % k for k in range(150)]
