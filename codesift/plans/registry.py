@@ -28,7 +28,7 @@ _register(S, [
 from . import security as K  # noqa: E402
 
 _register(K, ["security_checks_python", "sensitive_data_documents", "sensitive_data_pages",
-              "security_full_check", "security_full_check_all"])
+              "security_full_check", "security_full_check_all", "security_full_check_files"])
 
 from . import clone_jobs as CJ  # noqa: E402
 

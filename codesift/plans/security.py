@@ -131,3 +131,13 @@ SELECT s.path, c."check", coalesce(pc.n, 0) > 0 AS has_issues, CAST(coalesce(pc.
        pc.details
 FROM {files} s CROSS JOIN {checks} c LEFT JOIN pc ON pc.path = s.path AND pc."check" = c."check\"
 """
+
+
+def q_security_full_check_files(spark, sf_dir):
+    """K9 with all eight checks over every file of the corpus, one projection."""
+    out = K.full_check_files(C.syn_files(spark, sf_dir).select("path", "content"))
+    return out.select("path", "check", "has_issues", "n_issues", _details_text("details").alias("details"))
+
+
+def sql_security_full_check_files():
+    return sql_security_full_check_all().replace(" WHERE ends_with(path, '.py')", "")
