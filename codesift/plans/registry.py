@@ -42,7 +42,7 @@ from . import symbol_jobs as SJ  # noqa: E402
 
 _register(SJ, ["call_sites", "parse_errors", "symbols", "context_counts", "file_complexity", "exact_calls",
                "call_name_matches", "similar_calls", "sandbox_escape_calls", "js_call_sites",
-               "symbols_files", "context_counts_files", "complexity_files", "input_checks_files"])
+               "symbols_files", "context_counts_files", "complexity_files", "input_checks_files", "similar_names"])
 
 from . import first_match as FM  # noqa: E402
 

@@ -302,3 +302,22 @@ SELECT path, lineno, sig_id, name, severity, pattern_ord, text AS matched_code,
 UNION ALL
 SELECT p.path, p.lineno, p.sig_id, p.name, p.severity, p.pattern_ord, p.text, round(s.sim, 6)
 FROM pairs p JOIN sims s ON s.text = p.text AND s.pattern = p.pattern WHERE NOT p.hit AND s.sim >= 0.7"""
+
+
+def q_similar_names(spark, sf_dir):
+    """D8 + J14, Go form: call names against every pattern's text."""
+    m = SY.match_similar_names(_calls(spark, sf_dir), CAT.PYTHON_CATALOG, 0.7)
+    return m.withColumn("confidence", F.round("confidence", 6))
+
+
+def sql_similar_names():
+    rows = [(s, n, sev, i, p) for s, n, sev, _d, pats in CAT.PYTHON_CATALOG for i, p in enumerate(pats)]
+    pats = values(rows, ["sig_id", "name", "severity", "pattern_ord", "pattern"])
+    lcs = LCS_SQL.format(a="text", b="pattern")
+    return f"""WITH {_calls_cte()},
+pats AS {pats},
+sims AS (SELECT text, pattern, {lcs} / greatest(length(text), length(pattern)) AS sim
+         FROM (SELECT DISTINCT func_name AS text, pattern FROM calls CROSS JOIN pats
+               WHERE least(length(func_name), length(pattern)) >= 0.7 * greatest(length(func_name), length(pattern))))
+SELECT path, lineno, sig_id, name, severity, pattern_ord, func_name AS matched_code, round(sim, 6) AS confidence
+FROM calls JOIN sims ON text = func_name JOIN pats USING (pattern) WHERE sim >= 0.7"""
