@@ -147,6 +147,23 @@ def syn_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.concat(fill("\n".join(MODULE_HEAD) + "\n"), F.array_join(steps, "\n"), F.lit("\n")).alias("content"))
 
 
+# Two lines for each corpus line, by its number: calls in strings, comments and
+# raw strings of two lines beside real ones.
+GO_SQL = """CASE CAST(n % 4 AS INT)
+    WHEN 0 THEN CONCAT('s := "fmt.Scan(x)" // exec.Command(y)', chr(10), 'if (ok) { go_on(s) }')
+    WHEN 1 THEN CONCAT('fmt.Scanln(&v)', chr(10), '/* os.Exit(1) */')
+    WHEN 2 THEN CONCAT('r := `os.Remove(', chr(10), '  a(b)`')
+    ELSE CONCAT('out := exec.Command(name, os.Getenv(key))', chr(10), '"f(" // c(') END"""
+
+
+def syn_go_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Go files of two lines per corpus line after ``package`` and ``func main``.
+    ``path, content``."""
+    steps = F.array_join(F.expr(f"transform(sequence(1, n_lines), n -> {GO_SQL})"), "\n")
+    return syn_files(spark, sf_dir).select(F.regexp_replace("path", r"\.(py|js)$", ".go").alias("path"),
+                                           F.concat(F.lit("package main\nfunc main() {\n"), steps, F.lit("\n}\n")).alias("content"))
+
+
 BRACED_SQL = """CASE CAST(n % 6 AS INT)
     WHEN 0 THEN '    s = "{";'
     WHEN 1 THEN '    if (a) { b(); } // }'

@@ -371,3 +371,38 @@ def sql_decoded_files():
   sha256(encode({raw}) || unhex('0A')) AS sha256, {read} || chr(10) AS content FROM nation
 UNION ALL SELECT 'cp949', CAST(n_nationkey AS INT), CAST(octet_length({cp949}) AS BIGINT), sha256({cp949}), {read} || chr(10) FROM nation
 UNION ALL SELECT 'broken', CAST(n_nationkey AS INT), CAST(octet_length({broken}) AS BIGINT), sha256({broken}), '' FROM nation"""
+
+
+# --- A10: what the registered detectors support, over the corpus ---------------------------------
+
+def q_supported_languages(spark, sf_dir):
+    """A10: each supported language in registration order, with the number of
+    corpus files of that extension."""
+    langs = [(i + 1, lang) for i, lang in enumerate(REG.default_registry().supported_languages())]
+    table = spark.createDataFrame(langs, "ord int, language string")
+    ext = F.lower(F.regexp_extract("path", r"\.([^./]*)$", 1))
+    files = C.syn_files(spark, sf_dir).groupBy(ext.alias("language")).agg(F.count(F.lit(1)).alias("n"))
+    return F.broadcast(table).join(files, "language", "right").where("ord is not null").select("ord", "language", F.col("n").alias("n_files")) \
+        .unionByName(table.join(files, "language", "left_anti").select("ord", "language", F.lit(0).cast("bigint").alias("n_files")))
+
+
+def sql_supported_languages():
+    langs = REG.default_registry().supported_languages()
+    rows = ", ".join(f"({i + 1}, {q(lang)})" for i, lang in enumerate(langs))
+    return f"""WITH {C.oracle_files_sql()}
+SELECT CAST(o AS INT) AS ord, l AS language, (SELECT count(*) FROM syn_files WHERE ends_with(path, '.' || l)) AS n_files
+FROM (VALUES {rows}) v(o, l)"""
+
+
+def q_function_store_arrays(spark, sf_dir):
+    """The three forms of every function, written and read back."""
+    out = _scratch(spark, "functions")
+    SK.save_functions(C.syn_functions(spark, sf_dir).withColumn("repo", F.regexp_extract("path", r"^src/([^/]*)/", 1)), out)
+    text = lambda c: F.array_join(c, "\n").alias(c)
+    return SK.load_functions(spark, out).select("func_id", "repo", text("orig"), text("norm"), text("abst"))
+
+
+def sql_function_store_arrays():
+    text = lambda c: f"array_to_string({c}, chr(10)) AS {c}"
+    return f"""WITH {C.oracle_files_sql()},\n{ST.oracle_functions_sql()}
+SELECT func_id, regexp_extract(path, '^src/([^/]*)/', 1) AS repo, {text('orig')}, {text('norm')}, {text('abst')} FROM syn_functions"""

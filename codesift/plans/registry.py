@@ -42,7 +42,8 @@ from . import symbol_jobs as SJ  # noqa: E402
 
 _register(SJ, ["call_sites", "parse_errors", "symbols", "context_counts", "file_complexity", "exact_calls",
                "call_name_matches", "similar_calls", "sandbox_escape_calls", "js_call_sites",
-               "symbols_files", "context_counts_files", "complexity_files", "input_checks_files", "similar_names"])
+               "symbols_files", "context_counts_files", "complexity_files", "input_checks_files", "similar_names", "go_call_sites",
+               "go_call_checks", "analyzer_symbols"])
 
 from . import first_match as FM  # noqa: E402
 
@@ -54,4 +55,4 @@ from . import lifecycle as LC  # noqa: E402
 _register(LC, ["corpus_files", "resolve_language", "exclude_globs_basename", "exclude_globs_path",
                "inline_batch_accepted", "inline_batch_rejected", "json_report", "xml_report", "function_store",
                "vuln_store_files", "tag_functions", "incremental_scan", "stream_scan", "incremental_versions",
-               "stream_distinct_scan", "decoded_files"])
+               "stream_distinct_scan", "decoded_files", "supported_languages", "function_store_arrays"])

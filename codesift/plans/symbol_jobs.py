@@ -321,3 +321,61 @@ sims AS (SELECT text, pattern, {lcs} / greatest(length(text), length(pattern)) A
                WHERE least(length(func_name), length(pattern)) >= 0.7 * greatest(length(func_name), length(pattern))))
 SELECT path, lineno, sig_id, name, severity, pattern_ord, func_name AS matched_code, round(sim, 6) AS confidence
 FROM calls JOIN sims ON text = func_name JOIN pats USING (pattern) WHERE sim >= 0.7"""
+
+
+# --- C1, K5 and K6 for Go: calls in masked code ------------------------------------------
+
+def q_go_call_sites(spark, sf_dir):
+    return SY.call_sites_regex(C.syn_go_files(spark, sf_dir))
+
+
+_GO_CALLS = """(VALUES (0, 4, 'go_on'), (1, 3, 'fmt.Scanln'), (3, 3, 'exec.Command'), (3, 3, 'os.Getenv')) v(k, o, f)"""
+
+
+def _go_calls_cte() -> str:
+    return f"""{C.oracle_files_sql()},
+calls AS (SELECT regexp_replace(path, '\\.(py|js)$', '.go') AS path, CAST(2 * (n - 1) + o AS INT) AS lineno, f AS func_name
+          FROM syn_files, range(1, n_lines + 1) r(n), {_GO_CALLS} WHERE n % 4 = k)"""
+
+
+def sql_go_call_sites():
+    return f"""WITH {_go_calls_cte()}
+SELECT path, lineno, func_name, CASE WHEN contains(func_name, '.') THEN split_part(func_name, '.', 1) END AS base,
+       CASE WHEN contains(func_name, '.') THEN split_part(func_name, '.', 2) END AS attr FROM calls"""
+
+
+def q_go_call_checks(spark, sf_dir):
+    """K5 and K6, Go forms."""
+    calls = SY.call_sites_regex(C.syn_go_files(spark, sf_dir))
+    return K.input_validation_go(calls).unionByName(K.sandbox_escape_go(calls)).select("path", "check", "matched", "line_no")
+
+
+def sql_go_call_checks():
+    return f"""WITH {_go_calls_cte()}
+SELECT path, CASE WHEN func_name = 'fmt.Scanln' THEN 'input_validation' ELSE 'sandbox_escape' END AS "check", func_name AS matched, lineno AS line_no
+FROM calls WHERE func_name <> 'go_on'"""
+
+
+# --- X2: an extractor of a user's own for one more extension --------------------------------
+
+def _note_symbols(path: str, content: str) -> list[tuple]:
+    """Assignments of a file, as variables."""
+    found = [(n, line.partition(" = ")) for n, line in enumerate(content.split("\n"), 1) if " = " in line]
+    return [(path, "variable", name, n, value) for n, (name, _, value) in found]
+
+
+def q_analyzer_symbols(spark, sf_dir):
+    """Symbols of ``.note`` files by a registered extractor, beside those of
+    Python modules by the built-in one."""
+    SY.register_analyzer(".note", _note_symbols)
+    notes = C.syn_files(spark, sf_dir).select(F.regexp_replace("path", r"\.(py|js)$", ".note").alias("path"), "content")
+    out = SY.symbol_table(notes.unionByName(C.syn_modules(spark, sf_dir)))
+    return out.groupBy(F.regexp_extract("path", r"(\.[a-z]+)$", 1).alias("ext"), "kind", "name", "value").agg(F.count(F.lit(1)).alias("n")) \
+        .where("ext = '.note' or kind in ('class', 'import')")
+
+
+def sql_analyzer_symbols():
+    return f"""WITH {_module_symbols_sql()}
+SELECT '.note' AS ext, 'variable' AS kind, split_part(text, ' = ', 1) AS name, substr(text, strpos(text, ' = ') + 3) AS value, count(*) AS n
+FROM syn_lines WHERE contains(text, ' = ') GROUP BY ALL
+UNION ALL SELECT '.py', kind, name, value, count(*) FROM symbols WHERE kind IN ('class', 'import') GROUP BY ALL"""
