@@ -69,17 +69,19 @@ KNOWN_BYTES = 128 << 20
 
 ALNUM = np.zeros(256, bool)
 ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+STOPS = np.zeros(256, bool)
+STOPS[list(b".,;:?!")] = True
 
 
 def units(buf: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of what even texts, each followed by a zero byte, are
-    made of: line ends, words with the blank before them, and full stops and
-    commas at the end of a word after an ASCII letter or digit or a letter of
-    UTF-8 lead byte C3, with which they are never one token."""
+    made of: line ends, words with the blank before them, and a stop that ends
+    a word after an ASCII letter or digit or a letter of UTF-8 lead byte C3,
+    with which it is never one token."""
     a = np.frombuffer(buf, np.uint8)
     gap = (a == 32) | (a == 10) | (a == 0)
     before = np.r_[True, gap[:-1]]
-    stop = np.flatnonzero(((a[:-1] == 46) | (a[:-1] == 44)) & gap[1:])
+    stop = np.flatnonzero(STOPS[a[:-1]] & gap[1:])
     stop = stop[stop > 1]
     last, lead = a[stop - 1], a[stop - 2]
     stop = stop[ALNUM[last] | ((lead == 0xC3) & (last != 0x97) & (last != 0xB7))]
@@ -139,15 +141,15 @@ class Encoder:
         flat = ids.tobytes()
         return [flat[4 * x:4 * y] for x, y in zip(starts.tolist(), ends.tolist())]
 
-    def _learn(self, keys: list[int], words: list[bytes]) -> None:
-        for blank in (True, False):
-            mine = [i for i, w in enumerate(words) if (w[0] == 32) == blank and w != b"\n"]
+    def _learn(self, buf: bytes, keys: list[int], starts: np.ndarray, ends: np.ndarray) -> None:
+        first = np.frombuffer(buf, np.uint8)[starts]
+        for blank, mine in ((True, np.flatnonzero(first == 32)), (False, np.flatnonzero((first != 32) & (first != 10)))):
             for a in range(0, len(mine), LEARN):
                 part = mine[a:a + LEARN]
-                ids = self._cut([words[i] for i in part], blank)
-                self.known.update((keys[i], x) for i, x in zip(part, ids))
+                ids = self._cut([buf[x:y] for x, y in zip(starts[part].tolist(), ends[part].tolist())], blank)
+                self.known.update(zip([keys[i] for i in part.tolist()], ids))
                 self.size += sum(map(len, ids)) + 120 * len(ids)
-        self.known.update((k, self.line) for k, w in zip(keys, words) if w == b"\n")
+        self.known.update((keys[i], self.line) for i in np.flatnonzero(first == 10).tolist())
 
     def _even(self, texts: list[bytes]) -> list[bytes]:
         buf = b"\0".join(texts) + b"\0"
@@ -157,8 +159,7 @@ class Encoder:
             self.known, self.size = {}, 0
         keys = keys.tolist()
         new = [i for i, k in enumerate(keys) if k not in self.known]
-        x, y = starts[first[new]].tolist(), ends[first[new]].tolist()
-        self._learn([keys[i] for i in new], [buf[p:q] for p, q in zip(x, y)])
+        self._learn(buf, [keys[i] for i in new], starts[first[new]], ends[first[new]])
         known = list(map(self.known.__getitem__, keys))
         offsets = np.cumsum([0, *map(len, known)]) // 4
         ids, lens = gather(np.frombuffer(b"".join(known), "<u4"), offsets, which)
@@ -211,7 +212,7 @@ def _blocks(packed: bytes) -> list[bytes]:
     for a in range(0, len(packed), step):
         raw = packed[a:a + step]
         ones = int.from_bytes(raw).bit_count()
-        rare = min(ones, 8 * len(raw) - ones) < len(raw)
+        rare = 2 * min(ones, 8 * len(raw) - ones) < len(raw)
         out.append(min(raw, zlib.compress(raw, 1), key=len) if rare else raw)
     return out
 
