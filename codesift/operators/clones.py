@@ -63,12 +63,37 @@ def _replace_ids(body: Column, ids: Column, token: str) -> Column:
     return F.aggregate(F.coalesce(ids, F.array().cast("array<string>")), body, step)
 
 
+def _replace_words(body: Column, ids: Column, token: str) -> Column:
+    """What ``_replace_ids`` gives, in one pass for ids that are plain words:
+    the body is split into words and what lies between, and every word is
+    looked up in the list.
+
+    Both forms agree because a word is replaced wherever something follows it,
+    but for a word that follows itself after a single character, which the
+    pattern consumed with the first; bodies with such a pair, and lists with an
+    id twice or one that is no plain word, take the patterns.
+    """
+    words = F.regexp_extract_all(body, F.lit(r"(?U)\w+"), 0)
+    gaps = F.split(body, r"(?U)\w+", -1)
+    # one struct per word: itself, the gap before it, whether anything follows
+    spots = F.zip_with(F.slice(gaps, 1, F.size(words)), words, lambda g, w: F.struct(g.alias("g"), w.alias("w")))
+    ends = F.element_at(gaps, -1)
+    last = F.size(words) - 1
+    swapped = F.transform(spots, lambda x, i: F.concat(x["g"], F.when(
+        F.array_contains(ids, x["w"]) & ((i < last) | (ends != "")), F.lit(token)).otherwise(x["w"])))
+    plain = F.forall(ids, lambda i: i.rlike(r"(?U)^\w+$")) & (F.size(F.array_distinct(ids)) == F.size(ids))
+    twins = body.rlike(r"(?U)\b(\w+)\W\1\b")
+    one_pass = F.when(F.size(words) > 0, F.concat(F.array_join(swapped, ""), ends)).otherwise(body)
+    return F.when(F.coalesce(F.size(ids), F.lit(0)) < 1, body) \
+        .when(plain & ~twins, one_pass).otherwise(_replace_ids(body, ids, token))
+
+
 def abstract_identifiers(body, params=None, dtypes=None, locals_=None) -> Column:
     """T4: parameters -> FPARAM, then data types -> DTYPE, then locals -> LVAR."""
     b = TX._c(body)
     for ids, token in ((params, "FPARAM"), (dtypes, "DTYPE"), (locals_, "LVAR")):
         if ids is not None:
-            b = _replace_ids(b, TX._c(ids), token)
+            b = _replace_words(b, TX._c(ids), token)
     return b
 
 

@@ -386,3 +386,34 @@ def sql_clone_findings_c():
            f"{ST.oracle_store_sql()}"
     body = sql_clone_findings()
     return base + body[body.index(",\nhits AS"):]
+
+
+# --- T4 with parameters, types and locals --------------------------------------------------------
+
+T4_PARAMS, T4_TYPES = ["src", "blob", "b", "args"], ["unsigned int", "char", "int"]
+
+
+def q_abstract_forms(spark, sf_dir):
+    """T4 on the C view with a declaration line: parameters, data types (one of
+    two words) and the assigned names as locals; a word that follows itself is
+    in every body."""
+    files = C.syn_c_files(spark, sf_dir)
+    body = F.replace("content", F.lit("{\n"), F.lit("{\n    unsigned int total; int x, b b;\n"))
+    lits = lambda xs: F.array(*[F.lit(x) for x in xs])
+    fn = files.select("path", body.alias("body")).withColumn("locals", C.assigned_names(F.col("body")))
+    return fn.select("path", CL.abstract_identifiers(F.col("body"), lits(T4_PARAMS), lits(T4_TYPES), F.col("locals")).alias("abst_body"),
+                     CL.abstract_identifiers(F.regexp_replace("body", "b b;", "b;"), locals_=F.col("locals")).alias("abst_locals"))
+
+
+def sql_abstract_forms():
+    one = lambda s, i, t: f"regexp_replace({s}, '(^|\\W)' || {i} || '(\\W)', '\\1{t}\\2', 'g')"
+    s = "body"
+    for ids, token in ((T4_PARAMS, "FPARAM"), (T4_TYPES, "DTYPE")):
+        for i in ids:
+            s = one(s, f"'{i}'", token)
+    loc = lambda s: f"list_reduce(locals, lambda s, v: {one('s', 'v', 'LVAR')}, {s})"
+    names = r"regexp_extract_all(body, '(?m)^\s*([A-Za-z_]\w*)\s*=[^=]', 1)"
+    return f"""WITH {C.oracle_files_sql()},\n{C.oracle_c_files_sql()},
+b AS (SELECT path, replace(content || chr(10), '{{' || chr(10), '{{' || chr(10) || '    unsigned int total; int x, b b;' || chr(10)) AS body FROM syn_cfuncs),
+f AS (SELECT path, body, list_filter({names}, lambda x, i: list_position({names}, x) = i) AS locals FROM b)
+SELECT path, {loc(s)} AS abst_body, {loc("replace(body, 'b b;', 'b;')")} AS abst_locals FROM f"""

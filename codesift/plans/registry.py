@@ -22,7 +22,7 @@ _register(S, [
     "go_directory_scan", "severity_summary", "go_summary", "totals", "type_counts", "top_types",
     "top_files", "severity_distribution", "confidence_histogram", "per_file_report", "file_list",
     "severity_normalized", "signature_scan_all", "signature_file_scan", "report_rows", "go_signature_scan", "registered_detectors_scan",
-    "catalogue_lines", "catalogue_first",
+    "catalogue_lines", "catalogue_first", "finding_references",
 ])
 
 from . import security as K  # noqa: E402
@@ -36,7 +36,7 @@ _register(CJ, ["function_forms", "exact_clone_groups", "document_line_hashes", "
                "clone_reused_vulns", "clone_reduced_functions", "clone_containment", "clone_jaccard",
                "benchmark_containment", "store_corpus_line_intersect", "store_corpus_line_union",
                "vuln_store_rules", "clone_findings", "clone_rule_checks", "text_forms_lines",
-               "brace_functions", "clone_findings_by_cve", "clone_findings_c"])
+               "brace_functions", "clone_findings_by_cve", "clone_findings_c", "abstract_forms"])
 
 from . import symbol_jobs as SJ  # noqa: E402
 

@@ -354,6 +354,31 @@ def sql_signature_file_scan():
     return sql_signature_scan_all()
 
 
+def q_finding_references(spark, sf_dir):
+    """S6 ``references``: a signature file with references derived from the
+    nations is written and loaded, and its findings are counted by reference."""
+    import json
+    import uuid
+
+    from ..session import ensure_checkpoint_dir, write_text_file
+    names = [r.n_name for r in spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_name").orderBy("n_nationkey").collect()]
+    sigs = [dict(s) | ({"references": [f"https://example.org/{n}" for n in names[k::3]]} if k else {})
+            for k, s in enumerate(CAT.CWE_SIGNATURES["signatures"])]
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/signatures-{uuid.uuid4().hex}.json"
+    write_text_file(spark, path, json.dumps({"signatures": sigs}))
+    loaded = CAT.load_signatures(spark, path)
+    files, _ = _corpus(spark, sf_dir)
+    found = D.detect_all(files, CAT.patterns_of(loaded), "P", "signature", 0.7).groupBy("sig_id").agg(F.count(F.lit(1)).alias("n"))
+    return found.join(loaded.select("sig_id", F.explode_outer("references").alias("reference")), "sig_id").select("sig_id", "reference", "n")
+
+
+def sql_finding_references():
+    ids = values([(s["id"], k) for k, s in enumerate(CAT.CWE_SIGNATURES["signatures"])], ["sig_id", "k"])
+    return f"""WITH found AS (SELECT sig_id, count(*) AS n FROM ({sql_signature_scan_all()}) GROUP BY sig_id),
+ranked AS (SELECT 'https://example.org/' || n_name AS reference, row_number() OVER (ORDER BY n_nationkey) - 1 AS r FROM nation)
+SELECT f.sig_id, reference, n FROM found f JOIN {ids} s USING (sig_id) LEFT JOIN ranked ON k > 0 AND r >= k AND (r - k) % 3 = 0"""
+
+
 # --- A11 ------------------------------------------------------------------------------
 
 def _catalog_signatures(spark):

@@ -275,7 +275,7 @@ def builtin_signatures(spark: SparkSession, language: str = "python") -> DataFra
 
 
 def cwe_signatures(spark: SparkSession) -> DataFrame:
-    """The CWE signature file as a DataFrame (same result as ``load_signatures``)."""
+    """The CWE signature file as a DataFrame (``load_signatures`` without ``references``)."""
     rows = [_signature_row(s) for s in CWE_SIGNATURES["signatures"]]
     return spark.createDataFrame(rows, SIGNATURE_SCHEMA)
 
@@ -312,7 +312,8 @@ def load_signatures(spark: SparkSession, path: str) -> DataFrame:
                     F.coalesce("s.affected_languages", empty).alias("affected_languages"),
                     F.coalesce("s.code_patterns", empty).alias("code_patterns"),
                     F.coalesce("s.fix_patterns", empty).alias("fix_patterns"),
-                    F.coalesce("s.context_patterns", empty).alias("context_patterns")))
+                    F.coalesce("s.context_patterns", empty).alias("context_patterns"),
+                    F.coalesce("s.references", empty).alias("references")))
 
 
 def write_signatures(spark: SparkSession, signatures: dict, path: str) -> None:

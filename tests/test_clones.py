@@ -281,3 +281,20 @@ def test_interval_joins_with_2000_functions_in_one_file(spark):
     for df in (fns, ids):                       # every join has the bin of lines in its key
         joins = [x for x in df._jdf.queryExecution().executedPlan().toString().split("\n") if "Join" in x and "path" in x]
         assert joins and all("bin" in x for x in joins)
+
+
+def test_words_in_one_pass_equal_patterns(spark):
+    import random
+    import re
+    rng = random.Random(8)
+    words = ["a", "b", "int", "unsigned", "x1", "é", "FPARAM", "ab"]
+    body = lambda: "".join(rng.choice(words) + rng.choice([" ", ",", "; ", "(", "\n", "  ", "", "+"]) for _ in range(rng.randint(0, 12)))
+    ids = lambda: [rng.choice(["a", "b", "int", "x1", "é", "unsigned int", "zz", "ab"]) for _ in range(rng.randint(0, 3))]
+    rows = [(i, body(), ids(), ids(), ids() or None) for i in range(600)] + [(900, "", ["a"], ["b"], ["c"]), (901, None, ["a"], None, None)]
+    df = spark.createDataFrame(rows, "i int, body string, p array<string>, d array<string>, l array<string>")
+    got = {r.i: r.x for r in df.select("i", CL.abstract_identifiers("body", "p", "d", "l").alias("x")).collect()}
+    for i, t, p, d, l in rows:
+        for names, token in ((p, "FPARAM"), (d, "DTYPE"), (l, "LVAR")):
+            for n in names or []:
+                t = t and re.sub(rf"(^|\W){n}(\W)", rf"\1{token}\2", t)
+        assert got[i] == t, rows[i] if i < 600 else i
