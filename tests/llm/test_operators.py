@@ -642,4 +642,4 @@ def test_pipeline_stages_and_queries(spark):
         docs = corpus_pipeline.written(out, "test")
     want = {r.doc_id for r in docs.collect()}
     assert {r.doc_id for r in corpus_pipeline.run(spark, sf).select("doc_id").distinct().collect()} == want
-    assert [k.split("_")[0] for k in queries.QUERIES] == [f"op{n}" for n in range(1, 11)]
+    assert [k.split("_")[0] for k in queries.QUERIES] == [f"op{n}" for n in range(1, 14)]
