@@ -17,7 +17,8 @@ from collections import Counter
 from dataclasses import dataclass
 from re import IGNORECASE, _constants, _parser  # the parse tree of Python's own patterns
 
-Q = 3  # characters of an index key
+Q = 3  # least characters of an index key
+LENGTHS = (3, 5, 8)  # of index keys; a literal has keys of the greatest length it holds
 
 _REPEATS = (_constants.MAX_REPEAT, _constants.MIN_REPEAT, _constants.POSSESSIVE_REPEAT)
 
@@ -86,11 +87,15 @@ class Factors:
 
 
 def index_keys(patterns: list[str], ignore_case: bool = False) -> list[Factors]:
-    """For every pattern its rarest keys: of each literal the q-gram that the
-    fewest patterns contain, of all clauses the one with the fewest such
+    """For every pattern its rarest keys: of each literal the q-gram (of the
+    greatest of ``LENGTHS`` it holds) that the fewest patterns contain, of all clauses the one with the fewest such
     patterns.  A pattern without a clause has no keys."""
     clauses = [required_clauses(p, ignore_case) for p in patterns]
-    grams = lambda s: {_lower(s)[i:i + Q] for i in range(len(s) - Q + 1)}
+
+    def grams(s: str) -> set[str]:
+        q = max(n for n in LENGTHS if n <= len(s))
+        return {_lower(s)[i:i + q] for i in range(len(s) - q + 1)}
+
     users = Counter(g for cs in clauses for g in set().union(*(grams(s) for c in cs for s in c)))
     out = []
     for pattern, cs in zip(patterns, clauses):

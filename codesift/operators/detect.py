@@ -116,13 +116,13 @@ def _indexed_lines(lines: DataFrame, rows: list[tuple], rule: str, detector: str
     def project(part):
         java = [(*r[:4], TX.java_for_rule(r[4], rule), len(r[4].encode("utf-8")), r[4]) for r in part]
         fields = PATTERN_FIELDS.replace("pattern: string", "java: string, plen: int, pattern: string")
-        pairs = indexed.candidates(lines, F.col("code"), java, fields, whole=False)
+        pairs = indexed.candidates(lines, F.col("code"), java, fields)
         return pairs.where(F.rlike("code", F.col("java"))).select(
             F.lit(detector).alias("detector"), "sig_id", "name", "severity", "path", F.col("line_no").alias("line_start"),
             F.col("line_no").alias("line_end"), F.col("code").alias("matched_code"),
             TX.confidence(F.col("code"), F.col("plen"), rule).alias("confidence"))
 
-    return indexed.union_of([project(p) for p in indexed.parts(rows)])
+    return indexed.union_of([project(p) for p in indexed.parts(rows, bound=indexed.PASS_BYTES)])
 
 
 def match_schema() -> str:
@@ -184,7 +184,7 @@ def _indexed_files(files: DataFrame, rows: list[tuple], rule: str, detector: str
     def project(part):
         java = [(*r[:4], TX.java_for_rule(r[4], rule), len(r[4]) if rule == "P" else len(r[4].encode("utf-8")), r[4]) for r in part]
         fields = PATTERN_FIELDS.replace("pattern: string", "java: string, plen: int, pattern: string")
-        pairs = indexed.candidates(files.select("path", "content"), F.col("content"), java, fields, whole=True)
+        pairs = indexed.candidates(files.select("path", "content"), F.col("content"), java, fields)
         hits = pairs.where(F.rlike("content", F.col("java"))) \
             .select("path", "sig_id", "name", "severity", "plen", F.explode(TX.all_matches(F.col("content"), F.col("java"))).alias("m"))
         return hits.select(
@@ -192,7 +192,7 @@ def _indexed_files(files: DataFrame, rows: list[tuple], rule: str, detector: str
             F.col("m.line_end").alias("line_end"), F.col("m.text").alias("matched_code"),
             TX.confidence(F.col("m.text"), F.col("plen"), rule).alias("confidence"))
 
-    return indexed.union_of([project(p) for p in indexed.parts(rows)])
+    return indexed.union_of([project(p) for p in indexed.parts(rows, bound=indexed.PASS_BYTES)])
 
 
 # --- D5 / D6: block checks ------------------------------------------------------
@@ -367,7 +367,7 @@ def _indexed_first(files: DataFrame, rows: list[tuple], lines_arr: Column, conte
         fields = ("sig_id: string, name: string, severity: string, languages: array<string>, pattern_ord: int, java: string, "
                   "pattern: string")
         content, jp = F.col("content"), F.col("java")
-        pairs = indexed.candidates(files.select("path", "content", "_lang"), content, java, fields, whole=True)
+        pairs = indexed.candidates(files.select("path", "content", "_lang"), content, java, fields)
         hits = pairs.where(F.array_contains("languages", F.col("_lang")) & F.rlike(content, jp))
         text = F.call_function("regexp_extract", content, jp, F.lit(0))
         hits = hits.withColumn("line_start", (TX.newline_count(F.split(content, jp, 2)[0]) + 1).cast("int")) \
@@ -376,7 +376,7 @@ def _indexed_first(files: DataFrame, rows: list[tuple], lines_arr: Column, conte
         return hits.select(F.lit("first").alias("detector"), "sig_id", "name", "severity", "path", "line_start", "line_end",
                            snippet.alias("matched_code"), F.lit(0.5).alias("confidence"), "pattern_ord")
 
-    return indexed.union_of([project(p) for p in indexed.parts(rows)])
+    return indexed.union_of([project(p) for p in indexed.parts(rows, bound=indexed.PASS_BYTES)])
 
 
 # --- T12 -------------------------------------------------------------------------

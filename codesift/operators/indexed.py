@@ -2,41 +2,115 @@
 pattern.
 
 Every pattern is posted under a few q-grams of which each match must contain
-one (``functions.factors``).  The distinct q-grams of a text are looked up in
-that small index; only the (text, pattern) pairs found there reach a regex.
-So the corpus is read once whatever the number of patterns, and the regex work
-grows with the candidates instead of texts x patterns.  Patterns without a
-literal of ``Q`` characters are posted under the empty key, which every text
-has.
-
-The index is a broadcast table of the catalogue, whose bytes are checked; a
-catalogue beyond ``INDEX_BYTES`` is taken in parts, one corpus read each.
+one (``functions.factors``).  The q-grams of a text that are keys of the index
+are found in the tasks by array lookups; only the (text, pattern) pairs they
+lead to reach a regex.  So the corpus is read once whatever the number of
+patterns, and the regex work grows with the candidates instead of texts x
+patterns.  Keys are as long as the literals allow, so that a key leads to few
+patterns however large the catalogue is.  Patterns without a literal of ``Q``
+characters are posted under the empty key, which every text has.
+
+The tasks get the keys, of 8 bytes each.  Postings within ``INDEX_BYTES`` are
+broadcast, larger ones joined by a shuffle of the texts that hold a key; a
+catalogue beyond ``PASS_BYTES`` is taken in parts, one corpus read each.
 """
 
 from __future__ import annotations
 
+from typing import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.factors import Q, index_keys
+from ..functions.factors import LENGTHS, index_keys
 
 INDEX_BYTES = 16 << 20  # of patterns in one broadcast index
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-SEPARATOR = "\u0001"  # no key holds a control character but tab and newline
+PASS_BYTES = 512 << 20  # of patterns in one read of the corpus
+CHUNK = 1 << 18  # places of texts looked up at a time
+_ARROW = {"string": pa.string(), "int": pa.int32(), "array<string>": pa.list_(pa.string())}
+_LOWER = np.frombuffer(bytes(b + 32 if 65 <= b <= 90 else b for b in range(256)), np.uint8)
+
+
+def code_of(key: str) -> int:
+    """A key as a number: its bytes, the first the lowest; the empty key is 0."""
+    return int.from_bytes(key.encode(), "little")
+
+
+class Keys:
+    """Lookup of the keys of an index in texts."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = np.unique(keys)
+        self.bits = min(24, max(10, int(8 * len(self.keys)).bit_length()))
+        self.marked = np.zeros(1 << self.bits, bool)
+        self.marked[self._slot(self.keys)] = True
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)
+
+    def find(self, texts: pa.Array) -> pa.Array:
+        """For each text its distinct keys, ascending; every text but null has the empty key."""
+        texts = texts.cast(pa.large_string()) if texts.type != pa.large_string() else texts
+        ends = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, 8 * texts.offset)
+        size = int(ends[-1] - ends[0])
+        data = np.zeros(size + 8, np.uint8)
+        if size:
+            data[:size] = _LOWER[np.frombuffer(texts.buffers()[2], np.uint8, size, int(ends[0]))]
+        ends = ends - ends[0]
+        rows, keys = [], []
+        if self.keys[0] == 0:
+            rows.append(np.flatnonzero(np.asarray(texts.is_valid())))
+            keys.append(np.zeros(len(rows[0]), np.uint64))
+        for begin in range(0, size, CHUNK):
+            n = min(CHUNK, size - begin)
+            eight = np.ndarray((n,), "<u8", data, begin, (1,)).astype(np.uint64)
+            for q in LENGTHS:
+                code = eight & np.uint64((1 << 8 * q) - 1)
+                at = np.flatnonzero(self.marked[self._slot(code)])
+                code = code[at]
+                place = np.minimum(np.searchsorted(self.keys, code), len(self.keys) - 1)
+                # a key of this length, in one text
+                at, code = at[keep := (self.keys[place] == code) & (code >> np.uint64(8 * q - 8) > 0)] + begin, code[keep]
+                row = np.searchsorted(ends, at, side="right") - 1
+                keep = at + q <= ends[row + 1]
+                rows.append(row[keep])
+                keys.append(code[keep])
+        rows, keys = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (rows, keys))
+        order = np.lexsort((keys, rows))
+        rows, keys = rows[order], keys[order]
+        new = np.ones(len(rows), bool)
+        new[1:] = (rows[1:] != rows[:-1]) | (keys[1:] != keys[:-1])
+        rows, keys = rows[new], keys[new]
+        starts = np.searchsorted(rows, np.arange(len(texts) + 1)).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(starts), pa.array(keys.astype(np.int64)))
 
 
-def grams(text: Column) -> Column:
-    """Distinct q-grams of a text with ASCII letters in lower case, and the
-    empty key."""
-    every = F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(f"(?s)(?=(.{{{Q}}}))"), 1)
-    return F.array_distinct(F.concat(F.array(F.lit("")), every))
+def with_keys(texts: DataFrame, text: Column, keys: np.ndarray) -> DataFrame:
+    """``texts`` with ``_found``, the keys of the index in each text."""
+    sent = texts.sparkSession.sparkContext.broadcast(keys)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lookup = None
+        for batch in batches:
+            lookup = lookup or Keys(sent.value)
+            found = lookup.find(batch.column(batch.num_columns - 1))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], found], [*batch.schema.names[:-1], "_found"])
 
-def parts(rows: list[tuple], size=lambda r: 64 + sum(len(str(x)) for x in r)) -> list[list[tuple]]:
-    """``rows`` in runs of at most ``INDEX_BYTES``."""
+    schema = ", ".join(f"`{n}` {t}" for n, t in texts.dtypes) + ", _found array<bigint>"
+    return texts.withColumn("_text", text).mapInArrow(run, schema).where(F.size("_found") > 0)
+
+
+def _size(row: tuple) -> int:
+    return 64 + sum(len(str(x)) for x in row)
+
+
+def parts(rows: list[tuple], size=_size, bound: int | None = None) -> list[list[tuple]]:
+    """``rows`` in runs of at most ``bound`` (``INDEX_BYTES``) bytes."""
     out, used = [[]], 0
     for r in rows:
-        if out[-1] and used + size(r) > INDEX_BYTES:
+        if out[-1] and used + size(r) > (bound or INDEX_BYTES):
             out.append([])
             used = 0
         out[-1].append(r)
@@ -44,29 +118,43 @@ def parts(rows: list[tuple], size=lambda r: 64 + sum(len(str(x)) for x in r)) ->
     return out
 
 
-def candidates(texts: DataFrame, text: Column, rows: list[tuple], schema: str, whole: bool, ignore_case: bool = False) -> DataFrame:
-    """(columns of ``texts``, those of a catalogue row) for the pairs that may
-    match.  The last field of ``rows`` / ``schema`` is the pattern.
+def _posted(spark, rows: list[tuple], factors: list, schema: str) -> DataFrame:
+    """A row per pattern and key: ``_key``, ``_keys``, ``_literal`` and the
+    fields of the catalogue row, each behind ``_p_``."""
+    each = [(code_of(key), r, f) for r, f in zip(rows, factors) for key in (f.keys or ("",))]
+    columns = {"_key": pa.array([k for k, _, _ in each], pa.int64()),
+               "_keys": pa.array([[code_of(k) for k in f.keys] for _, _, f in each], pa.list_(pa.int64())),
+               "_literal": pa.array([f.literal for _, _, f in each], pa.string())}
+    for i, field in enumerate(schema.split(", ")):
+        name, kind = field.split(": ")
+        columns[f"_p_{name}"] = pa.array([r[i] for _, r, _ in each], _ARROW[kind])
+    return spark.createDataFrame(pa.table(columns))
 
-    ``whole``: long texts, whose few index hits are found before a row is
-    repeated; short ones are joined on all their q-grams.
-    """
+
+def candidates(texts: DataFrame, text: Column, rows: list[tuple], schema: str, ignore_case: bool = False) -> DataFrame:
+    """(columns of ``texts``, those of a catalogue row) for the pairs that may
+    match.  The last field of ``rows`` / ``schema`` is the pattern."""
     spark = texts.sparkSession
     factors = index_keys([r[-1] for r in rows], ignore_case)
-    posted = spark.createDataFrame(
-        [(key, (*r, list(f.keys), f.literal)) for r, f in zip(rows, factors) for key in (f.keys or ("",))],
-        f"_key string, _p struct<{schema}, _keys: array<string>, _literal: string>")
-    found = grams(text)
-    if whole:
-        index = sorted({key for f in factors for key in (f.keys or ("",))})
-        found = F.array_intersect(found, F.split(F.lit(SEPARATOR.join(index)), SEPARATOR, -1))
-    tagged = texts.withColumn("_found", found)
-    pairs = tagged.withColumn("_key", F.explode("_found")).join(F.broadcast(posted), "_key")
-    # a pattern with several keys in the text is taken at the first of them
-    first = F.filter(F.col("_p._keys"), lambda k: F.array_contains("_found", k))[0]
-    pairs = pairs.where((F.size("_p._keys") <= 1) | (F.col("_key") == first))
-    return pairs.where(F.contains(text, F.col("_p._literal"))).select(
-        *texts.columns, *[F.col(f"_p.{c.split(':')[0].strip()}") for c in schema.split(", ")])
+
+    def pairs(chosen: list[int], small: bool) -> DataFrame:
+        fs = [factors[i] for i in chosen]
+        keys = np.unique(np.array([code_of(k) for f in fs for k in (f.keys or ("",))], np.uint64))
+        posted = _posted(spark, [rows[i] for i in chosen], fs, schema)
+        found = with_keys(texts, text, keys).withColumn("_key", F.explode("_found")).join(F.broadcast(posted) if small else posted, "_key")
+        # a pattern with several keys in the text is taken at the first of them
+        first = F.filter(F.col("_keys"), lambda k: F.array_contains("_found", k))[0]
+        found = found.where((F.size("_keys") <= 1) | (F.col("_key") == first))
+        return found.where(F.contains(text, F.col("_literal"))).select(
+            *texts.columns, *[F.col(f"_p_{c.split(':')[0].strip()}").alias(c.split(":")[0].strip()) for c in schema.split(", ")])
+
+    every = list(range(len(rows)))
+    if sum(map(_size, rows)) <= INDEX_BYTES:
+        return pairs(every, True)
+    # every text has the empty key, which must not be dealt out by a shuffle
+    bare = parts([i for i in every if not factors[i].keys], lambda i: _size(rows[i]))
+    keyed = [i for i in every if factors[i].keys]
+    return union_of([pairs(p, True) for p in bare if p] + ([pairs(keyed, False)] if keyed else []))
 
 
 def union_of(parts_of: list[DataFrame]) -> DataFrame:

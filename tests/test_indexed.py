@@ -107,3 +107,33 @@ def test_reasons_equal_single_checks(spark):
     many = spark.range(150_000).selectExpr("concat('p', id) as pattern", "'k' as other")
     ok, bad = CAT.validate_patterns(many)
     assert ok.count() == 150_000 and bad.count() == 0 and ok.columns == ["pattern", "other"]
+
+
+def test_keys_of_a_large_catalogue_lead_to_few_patterns():
+    patterns = [rf"os\.system\s*\(\s*cmd{k}\)" for k in range(20_000)]
+    users = {}
+    for f in factors.index_keys(patterns):
+        for key in f.keys:
+            users[key] = users.get(key, 0) + 1
+    assert max(users.values()) <= 20
+
+
+def test_shuffled_index_equals_broadcast_one(spark, texts, monkeypatch):
+    cat = catalogue(MORE + [rf"func{i}\s*\(" for i in range(600)])
+    run = lambda: sorted(map(tuple, D.detect_all(texts, cat, "P", "t", 0.0).collect()))
+    small = run()
+    monkeypatch.setattr(indexed, "INDEX_BYTES", 2000)
+    assert run() == small and len(small) > 100
+
+
+def test_key_lookup_equals_search(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+    rng = random.Random(4)
+    keys = ["", "abc", "b\tc", "abcab", "cabca", "abcabcab", "zzz"]
+    texts = [None, "", "é", "ABCabcabC"] + ["".join(rng.choice("abcB\té") for _ in range(rng.randrange(30))) for _ in range(500)]
+    monkeypatch.setattr(indexed, "CHUNK", 64)
+    lookup = indexed.Keys(np.array([indexed.code_of(k) for k in keys], np.uint64))
+    want = [sorted(indexed.code_of(k) for k in keys if t is not None and k in factors._lower(t)) for t in texts]
+    assert lookup.find(pa.array(texts)).to_pylist() == want
+    assert lookup.find(pa.array(texts).slice(7, 90)).to_pylist() == want[7:97]
