@@ -16,6 +16,13 @@ def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def bind(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once per row.  A lambda of a
+    higher-order function computes a column again at every place and for
+    every element it is used in; a bound value is a variable there."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 # --- T1 / T2 / T3 / T6 -----------------------------------------------------
 
 def normalize_line(col) -> Column:
@@ -159,12 +166,15 @@ def semantic_form(col) -> Column:
     c = F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
     c = F.regexp_replace(c, r'"[^"]*"', '""')
     c = F.regexp_replace(c, r"'[^']*'", "''")
-    ids = F.regexp_extract_all(c, F.lit(_IDENT), 0)
-    gaps = F.split(c, _IDENT, -1)
-    uniq = F.array_distinct(ids)
-    body = F.array_join(F.transform(ids, lambda t, i: F.concat(
-        F.element_at(gaps, i + 1), F.lit("var"), (F.array_position(uniq, t) - 1).cast("string"))), "")
-    return F.concat(body, F.element_at(gaps, -1))
+
+    def rename(x):
+        body = F.array_join(F.transform(x["ids"], lambda t, i: F.concat(
+            F.element_at(x["gaps"], i + 1), F.lit("var"), (F.array_position(x["uniq"], t) - 1).cast("string"))), "")
+        return F.concat(body, F.element_at(x["gaps"], -1))
+
+    ids = lambda c: F.struct(F.regexp_extract_all(c, F.lit(_IDENT), 0).alias("ids"), F.split(c, _IDENT, -1).alias("gaps"))
+    return bind(c, lambda c: bind(ids(c), lambda x: bind(
+        F.struct(x["ids"].alias("ids"), x["gaps"].alias("gaps"), F.array_distinct(x["ids"]).alias("uniq")), rename)))
 
 
 def semantic_hash(col) -> Column:
