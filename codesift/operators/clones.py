@@ -73,19 +73,24 @@ def _replace_words(body: Column, ids: Column, token: str) -> Column:
     pattern consumed with the first; bodies with such a pair, and lists with an
     id twice or one that is no plain word, take the patterns.
     """
-    words = F.regexp_extract_all(body, F.lit(r"(?U)\w+"), 0)
-    gaps = F.split(body, r"(?U)\w+", -1)
-    # one struct per word: itself, the gap before it, whether anything follows
-    spots = F.zip_with(F.slice(gaps, 1, F.size(words)), words, lambda g, w: F.struct(g.alias("g"), w.alias("w")))
-    ends = F.element_at(gaps, -1)
-    last = F.size(words) - 1
-    swapped = F.transform(spots, lambda x, i: F.concat(x["g"], F.when(
-        F.array_contains(ids, x["w"]) & ((i < last) | (ends != "")), F.lit(token)).otherwise(x["w"])))
-    plain = F.forall(ids, lambda i: i.rlike(r"(?U)^\w+$")) & (F.size(F.array_distinct(ids)) == F.size(ids))
-    twins = body.rlike(r"(?U)\b(\w+)\W\1\b")
-    one_pass = F.when(F.size(words) > 0, F.concat(F.array_join(swapped, ""), ends)).otherwise(body)
-    return F.when(F.coalesce(F.size(ids), F.lit(0)) < 1, body) \
-        .when(plain & ~twins, one_pass).otherwise(_replace_ids(body, ids, token))
+    def swap(body, ids):
+        words = F.regexp_extract_all(body, F.lit(r"(?U)\w+"), 0)
+
+        def one_pass(x):
+            n, ends = F.size(x["words"]), F.element_at(x["gaps"], -1)
+            # a word is swapped if anything follows it
+            swapped = F.transform(x["words"], lambda w, i: F.concat(F.element_at(x["gaps"], i + 1), F.when(
+                F.array_contains(ids, w) & ((i < n - 1) | (ends != "")), F.lit(token)).otherwise(w)))
+            return F.when(n > 0, F.concat(F.array_join(swapped, ""), ends)).otherwise(body)
+
+        plain = F.forall(ids, lambda i: i.rlike(r"(?U)^\w+$")) & (F.size(F.array_distinct(ids)) == F.size(ids))
+        twins = body.rlike(r"(?U)\b(\w+)\W\1\b")
+        parts = F.struct(words.alias("words"), F.split(body, r"(?U)\w+", -1).alias("gaps"))
+        return F.when(F.coalesce(F.size(ids), F.lit(0)) < 1, body) \
+            .when(plain & ~twins, TX.bind(parts, one_pass)).otherwise(_replace_ids(body, ids, token))
+
+    # the body is the outcome of the lists before: computed once, not at every use
+    return TX.bind(F.struct(body.alias("body"), ids.alias("ids")), lambda x: swap(x["body"], x["ids"]))
 
 
 def abstract_identifiers(body, params=None, dtypes=None, locals_=None) -> Column:
