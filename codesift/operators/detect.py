@@ -243,15 +243,16 @@ def scan_files_fused(files: DataFrame, line_groups, block_languages=("python", "
     directory scan is a single map-only stage.
     """
     ext = F.regexp_extract(F.col("path"), r"(\.[^./]*)$", 1)
-    files = files.select("path", "content", ext.alias("_ext"),
-                         F.split(F.col("content"), "\n", -1).alias("_lines"))
+    # lines are stripped here: in the lambda every pattern would strip its line again
+    lines = F.transform(F.split(F.col("content"), "\n", -1),
+                        lambda x: F.when(x.contains("\r"), F.regexp_replace(x, r"\r$", "")).otherwise(x))
+    files = files.select("path", "content", ext.alias("_ext"), lines.alias("_lines"))
     rec = lambda det, sig, name, sev, ls, le, code, conf: F.struct(
         F.lit(det).alias("detector"), F.lit(sig).alias("sig_id"), F.lit(name).alias("name"),
         F.lit(sev).alias("severity"), ls.cast("int").alias("line_start"), le.cast("int").alias("line_end"),
         code.alias("matched_code"), conf.cast("double").alias("confidence"))
 
-    def line_hits(raw, i):
-        text = F.regexp_replace(raw, r"\r$", "")
+    def line_hits(text, i):
         hs = []
         for catalog, rule, detector, exts in line_groups:
             applies = F.col("_ext").isin(list(exts))
