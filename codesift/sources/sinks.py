@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..operators import report as R
 from ..session import materialize
 
+XML_DOCUMENTS = 20_000  # documents of one XML file: such a file is read by one task
 XML_FILES = ("_path string, match array<struct<_id: string, name: string, description: string, severity: string, "
              "lineNumber: int, matchedCode: string, confidence: double>>")
 
@@ -56,7 +57,7 @@ def write_xml(matches: DataFrame, path: str, title: str = "Vulnerability Report"
             m["line_start"].alias("lineNumber"), m["matched_code"].alias("matchedCode"),
             m["confidence"].alias("confidence"))).alias("match"))
     (files.write.mode("overwrite").format("xml").option("rootTag", "results").option("rowTag", "file")
-     .save(f"{path}/results"))
+     .option("maxRecordsPerFile", XML_DOCUMENTS).save(f"{path}/results"))
     (summary.select("title", "timestamp", F.struct(
         F.col("total_files").alias("_totalFiles"), F.col("high").alias("_high"),
         F.col("medium").alias("_medium"), F.col("low").alias("_low")).alias("summary"))
