@@ -245,8 +245,8 @@ def q_incremental_scan(spark, sf_dir):
     # read by the anti-join, the detectors and the semi-join
     files = materialize(C.syn_files(spark, sf_dir).select("path", F.sha2("content", 256).alias("sha256"), "content"),
                         "files")
-    empty_files = spark.createDataFrame([], "path string, sha256 string")
-    empty_res = spark.createDataFrame([], D.match_schema() + ", sha256 string")
+    empty_files = STR.empty(spark, "path string, sha256 string")
+    empty_res = STR.empty(spark, D.match_schema() + ", sha256 string")
     res1, state1, _fresh1 = STR.scan_incremental(files, empty_files, empty_res, _go_detect)
     state_dir = _scratch(spark, "incremental")
     res1.write.mode("overwrite").parquet(f"{state_dir}/results")
@@ -291,7 +291,7 @@ def q_incremental_versions(spark, sf_dir):
     """Version 1 of a corpus without its seven-line files, then version 2
     with those added, JavaScript files edited and one-line files removed.  Its
     results, with the counts of its manifest row."""
-    files = C.syn_files(spark, sf_dir).select("path", "content", "n_lines")
+    files = materialize(C.syn_files(spark, sf_dir).select("path", "content", "n_lines"), "corpus")  # read by both versions
     keyed = lambda df: materialize(df.select("path", F.sha2("content", 256).alias("sha256"), "content"), "files")
     scan = STR.IncrementalScan(spark, _scratch(spark, "versions"), D.match_schema())
     scan.update(keyed(files.where("n_lines < 7")), _go_detect)

@@ -23,19 +23,27 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from ..sources.files import decode_text, use_cp949
 
 BINARY_FILES = "path string, modificationTime timestamp, length long, content binary"
 Detector = Callable[[DataFrame], DataFrame]
 
 
+def empty(spark: SparkSession, schema: str) -> DataFrame:
+    """A table without rows that the optimizer knows to be empty, so joins with
+    it shuffle nothing."""
+    return spark.createDataFrame([], schema).where(F.lit(False))
+
+
 def scan_incremental(files: DataFrame, state_files: DataFrame, state_results: DataFrame,
                      detect: Detector) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``files(path, sha256, content)``; state = files scanned before and
     their results (with ``path, sha256``).  Returns ``(results, new_state_files,
     fresh_results)`` where ``results`` covers every current file."""
     key = ["path", "sha256"]
-    todo = files.join(state_files.select(*key), key, "left_anti")
+    # written once: every detector reads it, and each would join the contents again
+    todo = materialize(files.join(state_files.select(*key), key, "left_anti"), "todo")
     fresh = detect(todo.select("path", "content"))
     fresh = fresh.join(todo.select(*key), "path")
     kept = state_results.join(files.select(*key), key, "left_semi")
@@ -72,7 +80,7 @@ class IncrementalScan:
         """(files, results) of a version, by default the one in force."""
         n = self.version() if version is None else version
         if n == 0:
-            return self.spark.createDataFrame([], self.FILES), self.spark.createDataFrame([], self.schema)
+            return empty(self.spark, self.FILES), empty(self.spark, self.schema)
         return (self.spark.read.schema(self.FILES).parquet(f"{self.root}/files/v{n}"),
                 self.spark.read.schema(self.schema).parquet(f"{self.root}/results/v{n}"))
 
