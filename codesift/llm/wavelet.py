@@ -36,6 +36,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,7 +44,7 @@ from pyspark.sql import functions as F
 from codesift.session import ensure_checkpoint_dir
 
 from .common import batches, columns, tidy, written
-from .pretokens import gather, range_hashes
+from .pretokens import range_hashes
 
 # A shard is closed when it has this many ids; a document is never cut.
 SHARD_IDS = 1 << 20
@@ -63,12 +64,18 @@ CONTROL = bytes(b for b in range(32) if b != 10)
 UNEVEN = (b"  ", b" \n", b"\n ", b"\n\n\n")
 # Text cut at once (a larger batch repeats more of its words), units of one call
 # of the library, and bytes of known ids kept by one worker.
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 4 << 20
 LEARN = 512
-KNOWN_BYTES = 128 << 20
+KNOWN_BYTES = 64 << 20
 
+ALPHA = np.zeros(256, bool)
+ALPHA[[*range(65, 91), *range(97, 123)]] = True
 ALNUM = np.zeros(256, bool)
 ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+# Characters that a byte-level file has for the bytes; the others follow from 256 on.
+SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_CHARS = np.arange(256, dtype="<u4")
+BYTE_CHARS[sorted(set(range(256)) - set(SHOWN))] = np.arange(256, 512 - len(SHOWN))
 STOPS = np.zeros(256, bool)
 STOPS[list(b".,;:?!")] = True
 
@@ -98,85 +105,160 @@ def units(buf: bytes) -> tuple[np.ndarray, np.ndarray]:
     return starts - blank, ends
 
 
+def lettered(buf: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Which ranges, but for their first byte, are ASCII letters or letters of
+    UTF-8 lead byte C3: with a blank before them one piece of the file's pattern."""
+    a = np.frombuffer(buf, np.uint8)
+    lead = a[:-1] == 0xC3
+    lead &= (a[1:] != 0x97) & (a[1:] != 0xB7)
+    other = ~ALPHA[a]
+    other[:-1] &= ~lead
+    other[1:] &= ~lead
+    before = np.cumsum(other, dtype=np.int32)
+    return before[ends - 1] == before[starts]
+
+
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys, ascending, a place of each, and which of them every key is."""
+    # told apart by hashing, so that only the distinct ones are sorted
+    coded = pc.dictionary_encode(pa.array(keys))
+    found, of = coded.dictionary.to_numpy(), coded.indices.to_numpy()
+    first = np.empty(len(found), np.int64)
+    first[of[::-1]] = np.arange(len(keys) - 1, -1, -1)
+    order = np.argsort(found)
+    rank = np.empty(len(found), np.int32)
+    rank[order] = np.arange(len(found), dtype=np.int32)
+    return found[order], first[order], rank[of]
+
+
 class Encoder:
     """Ids of texts as the tokenizers library gives them for a byte-level file.
     Its pattern never joins characters across white space but for one leading
     blank, so texts are cut there and each distinct unit is encoded once.
 
     The units of many even texts are found and told apart by numpy.  New ones
-    are encoded many at a time, those after a blank as one text whose tokens
+    of a blank and letters are one piece of the pattern and go to the library's
+    model at once, the others many at a time, those after a blank as one text whose tokens
     show where a blank begins, the others as lines.  What is known is kept for
-    the worker's next tasks.
+    the worker's next tasks, as arrays: hashes in ascending order, and where
+    the ids of each lie in one row of ids.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"     # Spark runs the tasks in parallel
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tok = Tokenizer.from_file(path)
+        pattern = self.tok.pre_tokenizer
+        self.pieces = (self.tok.normalizer is None and isinstance(pattern, pre_tokenizers.ByteLevel) and pattern.use_regex
+                       and not pattern.add_prefix_space)
+        self.model = self.tok.model
         self.special = tuple(t.content.encode() for t in self.tok.get_added_tokens_decoder().values())
         vocabulary = self.tok.get_vocab()
         self.blank = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         for token, i in vocabulary.items():
             self.blank[i] = token.startswith("\u0120")
-        self.line = self._whole([b"\n"])[0]
-        self.known: dict[int, bytes] = {}
-        self.size = 0
+        self.line = np.frombuffer(self._whole([b"\n"])[0], "<u4")
+        self._forget()
+
+    def _forget(self) -> None:
+        self.keys, self.starts, self.lens = np.empty(0, np.uint64), np.empty(0, np.int32), np.empty(0, np.int32)
+        self.ids = np.empty(0, "<u4")
 
     def _whole(self, texts: list[bytes]) -> list[bytes]:
         found = self.tok.encode_batch_fast([t.decode("utf-8") for t in texts], add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
-    def _cut(self, part: list[bytes], blank: bool) -> list[bytes]:
-        """Ids of units that all begin with a blank, or all with none and hold no line end."""
+    def _cut(self, part: list[bytes], blank: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of units that all begin with a blank, or all with none and hold no
+        line end, one after the other, and their numbers."""
         ids = np.frombuffer(self._whole([b"".join(part) if blank else b"\n".join(part) + b"\n"])[0], "<u4")
         if blank:
-            starts = np.flatnonzero(self.blank[ids])
-            ends = np.r_[starts[1:], len(ids)]
+            lens = np.diff(np.flatnonzero(self.blank[ids]), append=len(ids))
         else:
-            ends = np.flatnonzero(ids == np.frombuffer(self.line, "<u4")[0])
-            starts = np.r_[0, ends[:-1] + 1]
-        if len(starts) != len(part) or len(ends) != len(part):
+            end = ids == self.line[0]
+            lens = np.diff(np.flatnonzero(end), prepend=-1) - 1
+            ids = ids[~end]
+        if len(lens) != len(part) or lens.sum() != len(ids):
             raise ValueError("this tokenizer file joins characters across white space")
-        flat = ids.tobytes()
-        return [flat[4 * x:4 * y] for x, y in zip(starts.tolist(), ends.tolist())]
-
-    def _learn(self, buf: bytes, keys: list[int], starts: np.ndarray, ends: np.ndarray) -> None:
-        first = np.frombuffer(buf, np.uint8)[starts]
-        for blank, mine in ((True, np.flatnonzero(first == 32)), (False, np.flatnonzero((first != 32) & (first != 10)))):
+        return ids, lens
+
+    def _words(self, part: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """As ``_cut``, of units of a blank and letters."""
+        ids, lens, tokens = [], [], self.model.tokenize
+        for word in BYTE_CHARS[np.frombuffer(b"".join(part), np.uint8)].tobytes().decode("utf-32-le").split("\u0120")[1:]:
+            found = tokens("\u0120" + word)
+            lens.append(len(found))
+            ids += [t.id for t in found]
+        return np.array(ids, "<u4"), np.array(lens, np.int64)
+
+    def _learn(self, buf: bytes, keys: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        """Add units, given by their ascending hashes and their places in ``buf``."""
+        new, first = [buf[x:y] for x, y in zip(starts.tolist(), ends.tolist())], np.frombuffer(buf, np.uint8)[starts]
+        lines = np.flatnonzero(first == 10)
+        order, found = [lines], [(np.tile(self.line, len(lines)), np.full(len(lines), len(self.line)))]
+        blank = first == 32
+        upto = np.cumsum(ends - starts)
+        words = blank & lettered(b"".join(new), upto - (ends - starts), upto) if self.pieces else np.zeros(len(first), bool)
+        for encode, mine in ((self._words, words), (lambda u: self._cut(u, True), blank & ~words), (lambda u: self._cut(u, False), ~blank & (first != 10))):
+            mine = np.flatnonzero(mine)
             for a in range(0, len(mine), LEARN):
                 part = mine[a:a + LEARN]
-                ids = self._cut([buf[x:y] for x, y in zip(starts[part].tolist(), ends[part].tolist())], blank)
-                self.known.update(zip([keys[i] for i in part.tolist()], ids))
-                self.size += sum(map(len, ids)) + 120 * len(ids)
-        self.known.update((keys[i], self.line) for i in np.flatnonzero(first == 10).tolist())
+                order.append(part)
+                found.append(encode([new[i] for i in part.tolist()]))
+        order, ids, lens = np.concatenate(order), [i for i, _ in found], np.concatenate([n for _, n in found])
+        at = np.empty((2, len(keys)), np.int32)
+        at[:, order] = len(self.ids) + np.cumsum(lens) - lens, lens
+        place = np.searchsorted(self.keys, keys) + np.arange(len(keys))
+        old = np.ones(len(self.keys) + len(keys), bool)
+        old[place] = False
+
+        def merged(was, more):
+            out = np.empty(len(old), was.dtype)
+            out[old], out[place] = was, more
+            return out
+
+        self.keys, self.starts, self.lens = merged(self.keys, keys), merged(self.starts, at[0]), merged(self.lens, at[1])
+        self.ids = np.concatenate([self.ids, *ids])
+
+    def _places(self, keys: np.ndarray) -> np.ndarray:
+        """Where the hashes stand among the known ones; -1 for others."""
+        if not len(self.keys):
+            return np.full(len(keys), -1)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, at, -1)
 
     def _even(self, texts: list[bytes]) -> list[bytes]:
         buf = b"\0".join(texts) + b"\0"
         starts, ends = units(buf)
-        keys, first, which = np.unique(range_hashes(buf, starts, ends), return_index=True, return_inverse=True)
-        if self.size > KNOWN_BYTES:
-            self.known, self.size = {}, 0
-        keys = keys.tolist()
-        new = [i for i, k in enumerate(keys) if k not in self.known]
-        self._learn(buf, [keys[i] for i in new], starts[first[new]], ends[first[new]])
-        known = list(map(self.known.__getitem__, keys))
-        offsets = np.cumsum([0, *map(len, known)]) // 4
-        ids, lens = gather(np.frombuffer(b"".join(known), "<u4"), offsets, which)
+        keys, first, which = distinct(range_hashes(buf, starts, ends))
+        if self.keys.nbytes + self.starts.nbytes + self.lens.nbytes + self.ids.nbytes > KNOWN_BYTES:
+            self._forget()
+        at = self._places(keys)
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            self._learn(buf, keys[new], starts[first[new]], ends[first[new]])
+            at = self._places(keys)
+        lens = self.lens[at][which].astype(np.int64)
+        upto = np.r_[0, np.cumsum(lens)]
+        ids = self.ids[np.arange(upto[-1]) + np.repeat(self.starts[at][which] - upto[:-1], lens)]
         closes = np.cumsum([len(t) + 1 for t in texts])
-        upto = np.r_[0, np.cumsum(lens)][np.searchsorted(starts, closes)]
-        flat, cut = ids.tobytes(), [0, *(4 * upto).tolist()]
+        flat, cut = ids.tobytes(), [0, *(4 * upto[np.searchsorted(starts, closes)]).tolist()]
         return [flat[a:b] for a, b in zip(cut, cut[1:])]
 
     def __call__(self, texts: list) -> list[bytes]:
         out, even, uneven = [b""] * len(texts), [], []
+        # of what sets a text apart, only what any of them has is looked for in each
+        everything = b"".join([t + b"\0" for t in texts if t])
+        special, signs, breaks = ([x for x in xs if x in everything] for xs in (self.special, SIGNS, UNEVEN))
+        controls = len(everything.translate(None, CONTROL)) + sum(map(bool, texts)) != len(everything)
         for i, t in enumerate(texts):
             if not t:
                 continue
-            if any(x in t for x in self.special) or (not t.isascii() and any(s in t for s in SIGNS) and RARE.search(t)):
+            if any(x in t for x in special) or (signs and any(s in t for s in signs) and RARE.search(t)):
                 out[i] = self._whole([t])[0]
-            elif not (t[:1] in (b" ", b"\n") or t[-1:] in (b" ", b"\n") or any(u in t for u in UNEVEN)
-                      or len(t.translate(None, CONTROL)) != len(t)):
+            elif not (t[:1] in (b" ", b"\n") or t[-1:] in (b" ", b"\n") or any(u in t for u in breaks)
+                      or (controls and len(t.translate(None, CONTROL)) != len(t))):
                 even.append(i)
             elif RARE.search(t):
                 out[i] = self._whole([t])[0]
@@ -204,23 +286,23 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def _blocks(packed: bytes) -> list[bytes]:
+def _blocks(packed: bytes) -> tuple[list[bytes], np.ndarray]:
     """The blocks of a plane, deflated where few or most bits are ones and
-    that is smaller."""
+    that is smaller, and the ones of each."""
     step = BLOCK_BITS // 8
+    counts = np.bitwise_count(np.frombuffer(packed, np.uint8))
+    ones = np.add.reduceat(counts, np.arange(0, len(packed), step), dtype=np.int64)
     out = []
-    for a in range(0, len(packed), step):
+    for a, n in zip(range(0, len(packed), step), ones.tolist()):
         raw = packed[a:a + step]
-        ones = int.from_bytes(raw).bit_count()
-        rare = 2 * min(ones, 8 * len(raw) - ones) < len(raw)
+        rare = 2 * min(n, 8 * len(raw) - n) < len(raw)
         out.append(min(raw, zlib.compress(raw, 1), key=len) if rare else raw)
-    return out
+    return out, ones
 
 
 def _plane(packed: bytes) -> bytes:
     """One bit-plane: ones before every block and the blocks' places, then the blocks."""
-    blocks = _blocks(packed)
-    ones = [int.from_bytes(packed[a:a + BLOCK_BITS // 8]).bit_count() for a in range(0, len(packed), BLOCK_BITS // 8)]
+    blocks, ones = _blocks(packed)
     directory = np.concatenate([[0], np.cumsum(ones), [0], np.cumsum([len(b) for b in blocks], dtype=np.int64)]).astype("<i8")
     return directory.tobytes() + b"".join(blocks)
 

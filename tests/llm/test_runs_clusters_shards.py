@@ -216,6 +216,27 @@ def test_encoder_equals_library():
         assert np.frombuffer(got, "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_encoder_keeps_units_across_batches(monkeypatch):
+    """Words of every kind in several batches, learned once, also when what is known is given up."""
+    from tokenizers import Tokenizer
+
+    tok, rng = Tokenizer.from_file(TOKENIZER), random.Random(3)
+    letters = ["a", "B", "é", "Ñ", "×", "÷", "ß", "1", "'s", ".", "ā", "Ã", "\u0120", "日"]
+    words = ["".join(rng.choices(letters, [9, 9, 4, 4, 1, 1, 4, 1, 1, 1, 1, 1, 1, 1], k=rng.randint(1, 7))) for _ in range(3000)]
+    batches = [["x" + rng.choice([" ", "\n"]).join(rng.choices(words, k=60)) + "x" for _ in range(40)] for _ in range(4)]
+    want = [[tok.encode(t, add_special_tokens=False).ids for t in b] for b in batches]
+    for limit, times in ((1 << 26, 1), (0, 2)):
+        monkeypatch.setattr(wavelet, "KNOWN_BYTES", limit)
+        enc, asked = wavelet.Encoder(TOKENIZER), []
+        cut, learned = enc._cut, enc._words
+        enc._cut = lambda part, blank: (asked.extend(part), cut(part, blank))[1]
+        enc._words = lambda part: (asked.extend(part), learned(part))[1]
+        for b, ids in zip([*batches, *batches], [*want, *want]):
+            assert [np.frombuffer(i, "<u4").tolist() for i in enc([t.encode() for t in b])] == ids
+        assert (len(asked) == len(set(asked))) == (times == 1)
+        assert (enc.keys[1:] > enc.keys[:-1]).all()
+
+
 def library_rows(rows):
     from tokenizers import Tokenizer
 
