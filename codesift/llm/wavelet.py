@@ -395,8 +395,12 @@ class Shard:
         for shift, plane in enumerate(reversed(self.planes)):
             one = plane.bits().view(bool)
             up = np.empty_like(cur)
-            up[np.flatnonzero(~one)] = cur[:plane.zeros]
-            up[np.flatnonzero(one)] = cur[plane.zeros:] | kind(1 << shift)
+            zeros, ones = ~one, one
+            # where equal bits lie together masks are quicker than places
+            if 6 * np.count_nonzero(one[1:] != one[:-1]) >= len(one):
+                zeros, ones = np.flatnonzero(zeros), np.flatnonzero(ones)
+            up[zeros] = cur[:plane.zeros]
+            up[ones] = cur[plane.zeros:] | kind(1 << shift)
             cur = up
         return cur.astype("<u4")
 
