@@ -259,3 +259,43 @@ def test_corpus_files_against_hashlib(spark):
             data = open(p, "rb").read()
             exp[name] = (len(data), hashlib.sha256(data).hexdigest())
     assert got == exp
+
+
+def test_full_check_one_shuffle_without_the_grid(spark, files_df):
+    files = files_df([("a.py", "x"), ("a.py", "x"), (None, "y"), ("clean.py", "z")])
+    cols = "path string, check string, pattern_ord int, matched string, offset int, line_no int"
+    findings = spark.createDataFrame([
+        ("a.py", "file_access", 0, "open", 9, 2), ("a.py", "file_access", 1, "open", 3, 1), ("a.py", "file_access", 1, "rm", 0, 1),
+        ("a.py", "sandbox_escape", -1, None, None, None), (None, "file_access", 0, "open", None, 4), (None, "file_access", 0, "open", None, 6),
+        ("other.py", "sandbox_escape", 0, "eval(x)", None, 7), ("a.py", "unknown", 0, "open", 1, 1)], cols)
+    out = K.full_check(files, findings, ["file_access", "sandbox_escape"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+    assert "explode(array(file_access" not in plan  # the grid is made behind the shuffle
+    got = {(r.path, r.check): (r.has_issues, r.n_issues, r.details) for r in out.collect()}
+    assert got == {
+        ("a.py", "file_access"): (True, 3, {"open": 3, "rm": 0}), ("a.py", "sandbox_escape"): (True, 1, {}),
+        (None, "file_access"): (True, 2, {"open": 6}), (None, "sandbox_escape"): (False, 0, None),
+        ("clean.py", "file_access"): (False, 0, None), ("clean.py", "sandbox_escape"): (False, 0, None),
+        ("other.py", "sandbox_escape"): (True, 1, {"eval(x)": 7})}
+
+
+def test_security_check_finds_matches_once(files_df):
+    out = K.security_check(files_df([("a.py", "requests.get(u)\nrequests.get(v)")]), ["network_access"])
+    assert [(r.matched, r.offset, r.line_no) for r in out.collect()] == [("requests.get", 0, 1), ("requests.get", 16, 2)]
+    # as the optimizer leaves it: no filter that repeats the search
+    assert "Filter (size(" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_call_checks_emit_only_the_calls_they_report(files_df):
+    from codesift.operators import symbols as SY
+    files = files_df([("a.py", "x = input('q')\nprint(len(x))\ns.get(k)\na.b.get(k)\nos.system(c)\neval(x)\nrun(x)"), ("bad.py", "except:"),
+                      ("long.py", "print(-0x" + "f" * 5000 + ")")])
+    named = SY.calls_named(files, ["input", "eval"], ["get", "system"]).collect()
+    assert sorted((r.path, r.func_name) for r in named if r.error is None) == [
+        ("a.py", "a.b.get"), ("a.py", "eval"), ("a.py", "input"), ("a.py", "os.system"), ("a.py", "s.get")]
+    assert sorted(r.path for r in named if r.error is not None) == sorted(
+        r.path for r in SY.parse_calls(files).where("error is not null").collect()) == ["bad.py", "long.py"]
+    assert sorted((r.path, r.check, r.matched, r.line_no) for r in K.call_checks(files).where("matched is not null").collect()) == [
+        ("a.py", "input_validation", "input", 1), ("a.py", "input_validation", "s.get", 3),
+        ("a.py", "sandbox_escape", "eval(x)", 6), ("a.py", "sandbox_escape", "os.system(c)", 5)]
