@@ -36,7 +36,7 @@ def _scratch(spark, name: str) -> str:
 def q_corpus_files(spark, sf_dir):
     """S1 over the driver's own table files, of any size (rows-only: the
     oracle has no file access)."""
-    f = SF.scan_corpus(spark, sf_dir, max_bytes=None, decode=False)
+    f = SF.scan_corpus(spark, sf_dir, max_bytes=None, decode=False, content=False)
     return f.select("path", "ext", "size", "sha256")
 
 

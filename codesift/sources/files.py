@@ -4,20 +4,29 @@
 one row per file, read by the executors, never by the driver.  Size, suffix
 and exclude filters are predicates on the file's metadata (``_metadata``),
 which Spark applies to the file listing, so skipped files are never opened.
+Where only the hash of a file is asked for, a large one is read as a stream.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from functools import reduce
-from typing import Sequence
+from typing import Iterator, Sequence
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import catalog as CAT
 
 DEFAULT_MAX_BYTES = 104_857_600  # 100 MiB, the reference's default
+STREAMED_BYTES = 32 << 20  # files beyond, of which only the hash is asked for, never stand in memory as a whole
+WHOLE = 1 << 45  # bytes of a split that holds any one file
+# Spark's text reader unpacks files with these names, so their own bytes come from ``binaryFile`` alone.
+PACKED = (".gz", ".bz2", ".deflate", ".snappy", ".lz4", ".zst", ".passthrough")
+_MARK = b"\xef\xbb\xbf"  # the byte order mark, which the text reader takes off a file
 
 
 def decode_text(content: Column) -> Column:
@@ -45,19 +54,21 @@ def use_cp949(spark: SparkSession) -> None:
 
 def scan_corpus(spark: SparkSession, root: str, max_bytes: int | None = DEFAULT_MAX_BYTES,
                 exclude: Sequence[str] = (), exclude_mode: str = "basename", glob: str | None = None,
-                decode: bool = True, suffixes: Sequence[str] = ()) -> DataFrame:
+                decode: bool = True, suffixes: Sequence[str] = (), content: bool = True) -> DataFrame:
     """``path, repo, ext, size, sha256, content`` for every file under ``root``.
 
     ``path`` is relative to ``root``; ``repo`` is the root's name.  With
     ``suffixes``, only files whose path ends in one of them; ``max_bytes``
-    None keeps files of any size.
+    None keeps files of any size.  Without ``content`` that column is left out,
+    and a file may be larger than the 2 GiB that a row holds.
     """
-    if decode:
+    if decode and content:
         use_cp949(spark)
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    raw = reader.load(root)
+
+    def reader_of(session, kind):
+        reader = session.read.format(kind).option("recursiveFileLookup", "true")
+        return reader.option("pathGlobFilter", glob) if glob else reader
+
     base = root.rstrip("/")
     # compare URI paths without scheme and authority (file:, hdfs://host, s3a://bucket)
     uri = r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?"
@@ -66,22 +77,86 @@ def scan_corpus(spark: SparkSession, root: str, max_bytes: int | None = DEFAULT_
     def relative(path):
         return F.regexp_replace(F.regexp_replace(path, uri, ""), r"^/*" + re.escape(base_path) + "/?", "")
 
-    # the metadata's path is URI-encoded
-    listed = relative(F.url_decode(F.regexp_replace(F.col("_metadata.file_path"), r"\+", "%2B")))
-    if max_bytes is not None:
-        raw = raw.where(F.col("_metadata.file_size") <= F.lit(max_bytes))
-    if suffixes:
-        ends = [listed.endswith(s) for s in suffixes]
-        raw = raw.where(reduce(lambda a, b: a | b, ends))
-    if exclude:
-        raw = exclude_globs(raw, exclude, exclude_mode, path=listed)
-    meta = raw.select(relative(F.col("path")).alias("path"), F.col("length").alias("size"), "content")
-    out = meta.select(
-        "path", F.lit(base.rsplit("/", 1)[-1]).alias("repo"),
-        F.regexp_extract("path", r"(\.[^./]*)$", 1).alias("ext"), "size",
-        F.sha2(F.col("content"), 256).alias("sha256"),
-        (decode_text(F.col("content")) if decode else F.col("content")).alias("content"))
-    return out
+    def decoded(uri_path):
+        return relative(F.url_decode(F.regexp_replace(uri_path, r"\+", "%2B")))
+
+    listed = decoded(F.col("_metadata.file_path"))  # the metadata's path is URI-encoded
+
+    def wanted(raw):
+        if max_bytes is not None:
+            raw = raw.where(F.col("_metadata.file_size") <= F.lit(max_bytes))
+        if suffixes:
+            ends = [listed.endswith(s) for s in suffixes]
+            raw = raw.where(reduce(lambda a, b: a | b, ends))
+        return exclude_globs(raw, exclude, exclude_mode, path=listed) if exclude else raw
+
+    raw = wanted(reader_of(spark, "binaryFile").load(root))
+    packed = reduce(lambda a, b: a | b, [F.col("_metadata.file_name").endswith(s) for s in PACKED])
+    streamed = (F.col("_metadata.file_size") > F.lit(STREAMED_BYTES)) & ~packed
+    if not content:
+        raw = raw.where(~streamed)
+    meta = raw.select(relative(F.col("path")).alias("path"), F.col("length").alias("size"),
+                      F.sha2(F.col("content"), 256).alias("sha256"), "content")
+    if not content:
+        large = wanted(reader_of(_whole_files(spark), "text").option("lineSep", "\n").load(root)).where(streamed)
+        large = large.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"), F.col("value").cast("binary").alias("line"))
+        hashed = large.mapInArrow(_stream_hashes, "path string, size bigint, sha256 string")
+        meta = meta.drop("content").unionByName(hashed.withColumn("path", decoded(F.col("path"))))
+    columns = [F.col("path"), F.lit(base.rsplit("/", 1)[-1]).alias("repo"),
+               F.regexp_extract("path", r"(\.[^./]*)$", 1).alias("ext"), F.col("size"), F.col("sha256")]
+    if content:
+        columns.append((decode_text(F.col("content")) if decode else F.col("content")).alias("content"))
+    return meta.select(*columns)
+
+
+def _whole_files(spark: SparkSession) -> SparkSession:
+    """A session with the settings of ``spark`` in which no file is split and no
+    two share a task, so that a task reads a file from its first byte to its last."""
+    session = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if session.conf.isModifiable(key):
+            session.conf.set(key, value)
+    session.conf.set("spark.sql.files.maxPartitionBytes", str(WHOLE))
+    session.conf.set("spark.sql.files.openCostInBytes", str(WHOLE))
+    return session
+
+
+def _stream_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``path, size, sha256`` of files from ``path, size, line``, the raw lines of
+    each file in order.  The size tells whether a line end closes the file and
+    whether a byte order mark was taken off it."""
+    path = size = None
+    plain = marked = seen = None
+
+    def result():
+        for digest, missing in ((plain, size - seen), (marked, size - seen - len(_MARK))):
+            if missing in (0, 1):
+                digest.update(b"\n" * missing)
+                return pa.RecordBatch.from_pydict({"path": pa.array([path]), "size": pa.array([size], pa.int64()),
+                                                   "sha256": pa.array([digest.hexdigest()])})
+        raise ValueError(f"{path}: {seen} bytes were read of {size}")
+
+    for batch in batches:
+        begin = 0
+        # the files of a batch, in runs of lines
+        for run in pc.run_end_encode(batch.column(0)).run_ends.to_pylist():
+            lines = pa.ListArray.from_arrays(pa.array([0, run - begin], pa.int32()), batch.column(2).slice(begin, run - begin))
+            piece = pc.binary_join(lines, b"\n")[0].as_buffer()
+            if (new := batch.column(0)[begin].as_py()) != path:
+                if path is not None:
+                    yield result()
+                path, size, seen = new, batch.column(1)[begin].as_py(), 0
+                plain, marked = hashlib.sha256(), hashlib.sha256(_MARK)
+            else:
+                plain.update(b"\n")
+                marked.update(b"\n")
+                seen += 1
+            plain.update(piece)
+            marked.update(piece)
+            seen += len(piece)
+            begin = run
+    if path is not None:
+        yield result()
 
 
 def limit_size(files: DataFrame, max_bytes: int) -> DataFrame:
