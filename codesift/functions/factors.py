@@ -20,8 +20,6 @@ from re import IGNORECASE, _constants, _parser  # the parse tree of Python's own
 Q = 3  # least characters of an index key
 LENGTHS = (3, 5, 8)  # of index keys; a literal has keys of the greatest length it holds
 
-_REPEATS = (_constants.MAX_REPEAT, _constants.MIN_REPEAT, _constants.POSSESSIVE_REPEAT)
-
 
 def _lower(s: str) -> str:
     return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in s)
@@ -49,7 +47,7 @@ def _clauses(tree, folded: bool) -> list[frozenset[str]]:
             out += _clauses(inner, bool((folded or added & IGNORECASE) and not removed & IGNORECASE))
         elif op is _constants.ATOMIC_GROUP:
             out += _clauses(arg, folded)
-        elif op in _REPEATS and arg[0] >= 1:
+        elif op in (_constants.MAX_REPEAT, _constants.MIN_REPEAT, _constants.POSSESSIVE_REPEAT) and arg[0] >= 1:  # not sent to the tasks as values
             out += _clauses(arg[2], folded)
         elif op is _constants.BRANCH:
             best = [max(_long(_clauses(branch, folded)), key=_strength, default=None) for branch in arg[1]]
@@ -86,16 +84,23 @@ class Factors:
     literal: str
 
 
+def grams(literal: str) -> set[str]:
+    """The q-grams of a literal, of the greatest of ``LENGTHS`` it holds."""
+    q = max(n for n in LENGTHS if n <= len(literal))
+    return {_lower(literal)[i:i + q] for i in range(len(literal) - q + 1)}
+
+
+def exact_literal(pattern: str, clauses: list[frozenset[str]], ignore_case: bool = False) -> str:
+    """The longest literal that every text with a match holds as it is, or ''."""
+    singles = [s for c in clauses if len(c) == 1 for s in c]
+    return max(singles, key=len, default="") if not ignore_case and "(?" not in pattern else ""
+
+
 def index_keys(patterns: list[str], ignore_case: bool = False) -> list[Factors]:
-    """For every pattern its rarest keys: of each literal the q-gram (of the
-    greatest of ``LENGTHS`` it holds) that the fewest patterns contain, of all clauses the one with the fewest such
+    """For every pattern its rarest keys: of each literal the q-gram that the
+    fewest patterns contain, of all clauses the one with the fewest such
     patterns.  A pattern without a clause has no keys."""
     clauses = [required_clauses(p, ignore_case) for p in patterns]
-
-    def grams(s: str) -> set[str]:
-        q = max(n for n in LENGTHS if n <= len(s))
-        return {_lower(s)[i:i + q] for i in range(len(s) - q + 1)}
-
     users = Counter(g for cs in clauses for g in set().union(*(grams(s) for c in cs for s in c)))
     out = []
     for pattern, cs in zip(patterns, clauses):
@@ -103,8 +108,5 @@ def index_keys(patterns: list[str], ignore_case: bool = False) -> list[Factors]:
         for c in cs:
             keys = sorted({min(grams(s), key=lambda g: (users[g], g)) for s in c})
             choices.append((sum(users[k] for k in keys), len(keys), keys))
-        singles = [s for c in cs if len(c) == 1 for s in c]
-        exact = not ignore_case and "(?" not in pattern
-        literal = max(singles, key=len, default="") if exact else ""
-        out.append(Factors(tuple(min(choices)[2]) if choices else (), literal))
+        out.append(Factors(tuple(min(choices)[2]) if choices else (), exact_literal(pattern, cs, ignore_case)))
     return out

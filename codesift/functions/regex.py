@@ -46,6 +46,11 @@ def re2_compatible(pattern: str) -> bool:
     return _LOOKAROUND.search(pattern) is None
 
 
+def is_re2_compatible(pattern: Column) -> Column:
+    """``re2_compatible`` of a column."""
+    return ~F.rlike(pattern, F.lit(_LOOKAROUND.pattern))
+
+
 def check_pattern(spark, pattern: str, dialect: str = RE2) -> str | None:
     """Return ``None`` if usable, else the reason it is rejected.
 

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as TX
-from ..functions.regex import RE2, check_pattern, re2_compatible, required_literal, to_java, with_reasons
+from ..functions.regex import RE2, check_pattern, is_re2_compatible, re2_compatible, required_literal, to_java, with_reasons
 from ..sources import catalog as CAT
 from . import indexed
 
@@ -38,12 +38,7 @@ def pattern_rows(patterns, spark=None) -> list[tuple]:
     ``code_patterns``), without the patterns that do not compile or can match
     the empty string (``catalog.validate_patterns`` returns those)."""
     if isinstance(patterns, DataFrame):
-        spark = patterns.sparkSession
-        if "code_patterns" in patterns.columns:
-            patterns = patterns.select("sig_id", "name", "severity",
-                                       F.posexplode("code_patterns").alias("pattern_ord", "pattern"))
-        rows = patterns.select("sig_id", "name", "severity", "pattern_ord", "pattern")
-        return [tuple(r)[:5] for r in with_reasons(rows, "python").where("reason is null").toLocalIterator()]
+        return [tuple(r) for r in valid(raw_patterns(patterns)).toLocalIterator()]
     rows = [(sig_id, name, severity, i, p) for sig_id, name, severity, _desc, pats in patterns for i, p in enumerate(pats)]
     spark = spark or SparkSession.getActiveSession()
     if len(rows) > MAX_UNROLLED:  # checked in the tasks
@@ -52,6 +47,53 @@ def pattern_rows(patterns, spark=None) -> list[tuple]:
     return [r for r in rows if check_pattern(spark, r[4], "python") is None]
 
 
+PATTERN_FIELDS = "sig_id: string, name: string, severity: string, pattern_ord: int, pattern: string"
+
+
+def raw_patterns(patterns: DataFrame) -> DataFrame:
+    """A patterns or signature table as ``PATTERN_FIELDS``."""
+    if "code_patterns" in patterns.columns:
+        patterns = patterns.select("sig_id", "name", "severity",
+                                   F.posexplode("code_patterns").alias("pattern_ord", "pattern"))
+    return patterns.select("sig_id", "name", "severity", "pattern_ord", "pattern")
+
+
+def valid(rows: DataFrame) -> DataFrame:
+    """The rows whose ``pattern`` compiles and does not match the empty string."""
+    return with_reasons(rows, "python").where("reason is null").select(*rows.columns)
+
+
+TASK_BYTES = 1 << 20  # of a large catalogue, analysed by one task
+
+
+def large_table(rows: DataFrame) -> DataFrame | None:
+    """The valid ones of the ``rows`` of a catalogue beyond ``indexed.INDEX_BYTES``,
+    which the driver does not collect; None of a smaller one."""
+    n, size = rows.agg(F.count(F.lit(1)), F.sum(indexed.table_size(rows))).first()
+    if n <= MAX_UNROLLED or size <= indexed.INDEX_BYTES:
+        return None
+    # a table of patterns is few bytes for its work: dealt out beyond its input splits
+    return valid(rows.repartition(min(10_000, -(-size // TASK_BYTES))))
+
+
+def catalogue_rows(patterns, spark: SparkSession):
+    """``pattern_rows``, or ``large_table`` of a large catalogue."""
+    if isinstance(patterns, DataFrame):
+        table = large_table(raw_patterns(patterns))
+    else:
+        rows = [(sig_id, name, severity, i, p) for sig_id, name, severity, _desc, pats in patterns for i, p in enumerate(pats)]
+        large = len(rows) > MAX_UNROLLED and sum(map(indexed._size, rows)) > indexed.INDEX_BYTES
+        table = large_table(spark.createDataFrame(rows, PATTERN_FIELDS)) if large else None
+    return pattern_rows(patterns, spark) if table is None else table
+
+
+def re2_rows(rows):
+    """Those of ``catalogue_rows`` that RE2 compiles."""
+    if isinstance(rows, DataFrame):
+        return rows.where(is_re2_compatible(F.col("pattern")))
+    return [r for r in rows if re2_compatible(r[4])]
+
+
 def in_chunks(rows: list, project, empty: DataFrame) -> DataFrame:
     """Union of ``project(chunk)`` over chunks of ``MAX_UNROLLED`` rows."""
     out = None
@@ -85,9 +127,11 @@ def detect_lines(lines: DataFrame, patterns, rule: str = "G-py", detector: str =
     """
     if exts is not None:
         lines = lines.where(ext_filter(F.col("path"), exts))
-    rows = [r for r in pattern_rows(patterns, lines.sparkSession) if keep_non_re2 or re2_compatible(r[4])]
     text = F.regexp_replace(F.col("text"), r"\r$", "")
-    if len(rows) > MAX_UNROLLED:
+    rows = catalogue_rows(patterns, lines.sparkSession)
+    if not keep_non_re2:
+        rows = re2_rows(rows)
+    if isinstance(rows, DataFrame) or len(rows) > MAX_UNROLLED:
         return _indexed_lines(lines.select("path", "line_no", text.alias("code")), rows, rule, detector)
 
     def project(chunk):
@@ -108,21 +152,23 @@ def detect_lines(lines: DataFrame, patterns, rule: str = "G-py", detector: str =
     return in_chunks(rows, project, lines.sparkSession.createDataFrame([], match_schema()))
 
 
-PATTERN_FIELDS = "sig_id: string, name: string, severity: string, pattern_ord: int, pattern: string"
+def _java_pairs(texts: DataFrame, text: str, catalogue, rule: str, in_bytes: bool) -> DataFrame:
+    """The pairs of texts and patterns of a list or table that may match, with the
+    Java pattern and the length of the pattern's text."""
+    if isinstance(catalogue, DataFrame):
+        plen = F.octet_length("pattern") if in_bytes else F.length("pattern")
+        return indexed.candidates_of(texts, text, catalogue.select(
+            "*", F.concat(F.lit(TX.java_for_rule("", rule)), F.col("pattern")).alias("java"), plen.alias("plen")))
+    java = [(*r[:4], TX.java_for_rule(r[4], rule), len(r[4].encode("utf-8") if in_bytes else r[4]), r[4]) for r in catalogue]
+    return indexed.candidates(texts, text, java, PATTERN_FIELDS.replace("pattern: string", "java: string, plen: int, pattern: string"))
 
 
-def _indexed_lines(lines: DataFrame, rows: list[tuple], rule: str, detector: str) -> DataFrame:
+def _indexed_lines(lines: DataFrame, catalogue, rule: str, detector: str) -> DataFrame:
     """D3 through the literal-factor index: ``lines(path, line_no, code)``."""
-    def project(part):
-        java = [(*r[:4], TX.java_for_rule(r[4], rule), len(r[4].encode("utf-8")), r[4]) for r in part]
-        fields = PATTERN_FIELDS.replace("pattern: string", "java: string, plen: int, pattern: string")
-        pairs = indexed.candidates(lines, F.col("code"), java, fields)
-        return pairs.where(F.rlike("code", F.col("java"))).select(
-            F.lit(detector).alias("detector"), "sig_id", "name", "severity", "path", F.col("line_no").alias("line_start"),
-            F.col("line_no").alias("line_end"), F.col("code").alias("matched_code"),
-            TX.confidence(F.col("code"), F.col("plen"), rule).alias("confidence"))
-
-    return indexed.union_of([project(p) for p in indexed.parts(rows, bound=indexed.PASS_BYTES)])
+    return _java_pairs(lines, "code", catalogue, rule, True).where(F.rlike("code", F.col("java"))).select(
+        F.lit(detector).alias("detector"), "sig_id", "name", "severity", "path", F.col("line_no").alias("line_start"),
+        F.col("line_no").alias("line_end"), F.col("code").alias("matched_code"),
+        TX.confidence(F.col("code"), F.col("plen"), rule).alias("confidence"))
 
 
 def match_schema() -> str:
@@ -159,9 +205,10 @@ def detect_all(files: DataFrame, patterns, rule: str = "P", detector: str = "sig
                min_confidence: float = 0.7, keep_non_re2: bool = True) -> DataFrame:
     """Every match in the whole file (may span lines), confidence by rule
     ``P`` (Python CLI) or ``G-vul`` (Go signature detector); keep >= threshold."""
-    rows = [r for r in pattern_rows(patterns, files.sparkSession)
-            if rule == "P" or keep_non_re2 or re2_compatible(r[4])]
-    if len(rows) > MAX_UNROLLED:
+    rows = catalogue_rows(patterns, files.sparkSession)
+    if rule != "P" and not keep_non_re2:
+        rows = re2_rows(rows)
+    if isinstance(rows, DataFrame) or len(rows) > MAX_UNROLLED:
         return min_confidence_filter(_indexed_files(files, rows, rule, detector), min_confidence)
 
     def project(chunk):
@@ -179,20 +226,15 @@ def detect_all(files: DataFrame, patterns, rule: str = "P", detector: str = "sig
     return min_confidence_filter(out, min_confidence)
 
 
-def _indexed_files(files: DataFrame, rows: list[tuple], rule: str, detector: str) -> DataFrame:
+def _indexed_files(files: DataFrame, catalogue, rule: str, detector: str) -> DataFrame:
     """D2 through the literal-factor index."""
-    def project(part):
-        java = [(*r[:4], TX.java_for_rule(r[4], rule), len(r[4]) if rule == "P" else len(r[4].encode("utf-8")), r[4]) for r in part]
-        fields = PATTERN_FIELDS.replace("pattern: string", "java: string, plen: int, pattern: string")
-        pairs = indexed.candidates(files.select("path", "content"), F.col("content"), java, fields)
-        hits = pairs.where(F.rlike("content", F.col("java"))) \
-            .select("path", "sig_id", "name", "severity", "plen", F.explode(TX.all_matches(F.col("content"), F.col("java"))).alias("m"))
-        return hits.select(
-            F.lit(detector).alias("detector"), "sig_id", "name", "severity", "path", F.col("m.line_start").alias("line_start"),
-            F.col("m.line_end").alias("line_end"), F.col("m.text").alias("matched_code"),
-            TX.confidence(F.col("m.text"), F.col("plen"), rule).alias("confidence"))
-
-    return indexed.union_of([project(p) for p in indexed.parts(rows, bound=indexed.PASS_BYTES)])
+    pairs = _java_pairs(files.select("path", "content"), "content", catalogue, rule, rule != "P")
+    hits = pairs.where(F.rlike("content", F.col("java"))) \
+        .select("path", "sig_id", "name", "severity", "plen", F.explode(TX.all_matches(F.col("content"), F.col("java"))).alias("m"))
+    return hits.select(
+        F.lit(detector).alias("detector"), "sig_id", "name", "severity", "path", F.col("m.line_start").alias("line_start"),
+        F.col("m.line_end").alias("line_end"), F.col("m.text").alias("matched_code"),
+        TX.confidence(F.col("m.text"), F.col("plen"), rule).alias("confidence"))
 
 
 # --- D5 / D6: block checks ------------------------------------------------------
@@ -324,8 +366,11 @@ def detect_first(files: DataFrame, signatures, strict_ext: bool = False, context
     """
     spark = files.sparkSession
     if isinstance(signatures, DataFrame):
-        each = signatures.select("sig_id", "name", "severity", "affected_languages", F.posexplode("code_patterns").alias("i", "pattern"))
-        rows = [tuple(r)[:6] for r in with_reasons(each, "python").where("reason is null").toLocalIterator()]
+        each = signatures.select("sig_id", "name", "severity", F.col("affected_languages").alias("languages"),
+                                 F.posexplode("code_patterns").alias("pattern_ord", "pattern"))
+        rows = large_table(each)
+        if rows is None:
+            rows = [tuple(r) for r in valid(each).toLocalIterator()]
     else:
         rows = [(r["sig_id"], r["name"], r["severity"], list(r["affected_languages"]), i, p)
                 for r in signatures for i, p in enumerate(r["code_patterns"]) if check_pattern(spark, p, "python") is None]
@@ -333,7 +378,7 @@ def detect_first(files: DataFrame, signatures, strict_ext: bool = False, context
     content = F.col("content")
     # Python ``splitlines`` also breaks on \r; the corpus is \n-normalised.
     lines_arr = F.split(F.regexp_replace(F.col("content"), r"\n\z", ""), "\n", -1)
-    if len(rows) > MAX_UNROLLED:
+    if isinstance(rows, DataFrame) or len(rows) > MAX_UNROLLED:
         return _indexed_first(tagged, rows, lines_arr, context_lines)
 
     def project(chunk):
@@ -361,23 +406,25 @@ def detect_first(files: DataFrame, signatures, strict_ext: bool = False, context
     return in_chunks(rows, project, spark.createDataFrame([], match_schema() + ", pattern_ord int"))
 
 
-def _indexed_first(files: DataFrame, rows: list[tuple], lines_arr: Column, context_lines: int) -> DataFrame:
+def _indexed_first(files: DataFrame, catalogue, lines_arr: Column, context_lines: int) -> DataFrame:
     """D4 through the literal-factor index: ``files(path, content, _lang)``."""
-    def project(part):
-        java = [(*r[:3], list(r[3]), r[4], to_java(r[5], "python", multiline=True), r[5]) for r in part]
+    texts = files.select("path", "content", "_lang")
+    content, jp = F.col("content"), F.col("java")
+    if isinstance(catalogue, DataFrame):
+        pairs = indexed.candidates_of(texts, "content", catalogue.withColumn(
+            "java", F.concat(F.lit(to_java("", "python", multiline=True)), F.col("pattern"))))
+    else:
+        java = [(*r[:3], list(r[3]), r[4], to_java(r[5], "python", multiline=True), r[5]) for r in catalogue]
         fields = ("sig_id: string, name: string, severity: string, languages: array<string>, pattern_ord: int, java: string, "
                   "pattern: string")
-        content, jp = F.col("content"), F.col("java")
-        pairs = indexed.candidates(files.select("path", "content", "_lang"), content, java, fields)
-        hits = pairs.where(F.array_contains("languages", F.col("_lang")) & F.rlike(content, jp))
-        text = F.call_function("regexp_extract", content, jp, F.lit(0))
-        hits = hits.withColumn("line_start", (TX.newline_count(F.split(content, jp, 2)[0]) + 1).cast("int")) \
-            .withColumn("line_end", (F.col("line_start") + TX.newline_count(text)).cast("int"))
-        snippet = TX.context_snippet(lines_arr, F.col("line_start"), F.col("line_end"), context_lines)
-        return hits.select(F.lit("first").alias("detector"), "sig_id", "name", "severity", "path", "line_start", "line_end",
-                           snippet.alias("matched_code"), F.lit(0.5).alias("confidence"), "pattern_ord")
-
-    return indexed.union_of([project(p) for p in indexed.parts(rows, bound=indexed.PASS_BYTES)])
+        pairs = indexed.candidates(texts, "content", java, fields)
+    hits = pairs.where(F.array_contains("languages", F.col("_lang")) & F.rlike(content, jp))
+    text = F.call_function("regexp_extract", content, jp, F.lit(0))
+    hits = hits.withColumn("line_start", (TX.newline_count(F.split(content, jp, 2)[0]) + 1).cast("int")) \
+        .withColumn("line_end", (F.col("line_start") + TX.newline_count(text)).cast("int"))
+    snippet = TX.context_snippet(lines_arr, F.col("line_start"), F.col("line_end"), context_lines)
+    return hits.select(F.lit("first").alias("detector"), "sig_id", "name", "severity", "path", "line_start", "line_end",
+                       snippet.alias("matched_code"), F.lit(0.5).alias("confidence"), "pattern_ord")
 
 
 # --- T12 -------------------------------------------------------------------------

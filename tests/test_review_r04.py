@@ -38,3 +38,70 @@ def test_files_split_over_batches_are_hashed_once(monkeypatch):
     for n in (1, 2, 3, 100):
         out = [r for b in _stream_hashes(iter(table.to_batches(n))) for r in b.to_pylist()]
         assert out == [{"path": p, "size": len(b"\n".join(ls)) + 1, "sha256": hashlib.sha256(b"\n".join(ls) + b"\n").hexdigest()} for p, ls in data.items()]
+
+
+def _small_then_large(monkeypatch, run):
+    """Rows with a catalogue collected, and with one that may not be."""
+    from pyspark.sql.classic.dataframe import DataFrame
+    from codesift.operators import indexed
+    out = [sorted(map(tuple, run().collect()), key=str)]
+    monkeypatch.setattr(indexed, "INDEX_BYTES", 2000)
+
+    def refused(*_, **__):
+        raise AssertionError("the catalogue was collected")
+    monkeypatch.setattr(DataFrame, "toLocalIterator", refused)
+    out.append(sorted(map(tuple, run().collect()), key=str))
+    assert out[0] == out[1]
+    return out[0]
+
+
+def _patterns():
+    rows = [(f"S{i}", "n", "high", i % 3, rf"func{i}\s*\(") for i in range(600)]
+    rows += [("D", "n", "low", 0, r"func7\s*\(")] * 2  # the same row twice
+    return rows + [("B", None, "low", 0, r"\d\d"), ("A", "n", "low", 1, r"(?:open|close)_it"), ("X", "n", "low", 2, "a("), ("N", "n", "low", 3, None),
+                   ("E", "n", "low", 4, "x*"), ("L", "n", "low", 5, r"func(?=7)7"), (None, "n", "low", None, "É\\w+abc")]
+
+
+def test_lines_by_a_catalogue_that_is_not_collected(spark, monkeypatch):
+    from codesift.operators import detect as D
+    table = spark.createDataFrame(_patterns(), "sig_id string, name string, severity string, pattern_ord int, pattern string")
+    lines = spark.createDataFrame([(f"f{i}.py", i, f"func{i * 7} (x)\r") for i in range(100)] + [
+        ("g.py", 1, "close_it func7(func14("), ("g.py", 2, "É1abc 12"), ("g.py", 3, None), ("g.py", 4, "")], "path string, line_no int, text string")
+    rows = _small_then_large(monkeypatch, lambda: D.detect_lines(lines, table, "G-py", "t"))
+    assert sum(r[1] == "D" for r in rows) == 4 and {"A", "B", None} <= {r[1] for r in rows} and not {"X", "N", "E", "L"} & {r[1] for r in rows}
+
+
+def test_first_matches_by_a_catalogue_that_is_not_collected(spark, monkeypatch):
+    from codesift.operators import detect as D
+    signatures = spark.createDataFrame([(s, n, v, [["python"], ["python", "javascript"]][k % 2], [p, r"\d{3}"]) for k, (s, n, v, _, p) in enumerate(_patterns())],
+                                       "sig_id string, name string, severity string, affected_languages array<string>, code_patterns array<string>")
+    files = spark.createDataFrame([(f"f{i}.{['py', 'js'][i % 2]}", f"a\nfunc{i} (x)\nfunc{i + 1}(y) close_it\nfunc{i} (x) 123") for i in range(50)] + [("n.py", None)],
+                                  "path string, content string")
+    assert len(_small_then_large(monkeypatch, lambda: D.detect_first(files, signatures, context_lines=0))) > 200
+
+
+def test_filter_holds_all_keys_and_few_others(spark):
+    import numpy as np
+    from codesift.operators import indexed
+    rng = np.random.default_rng(1)
+    keys = np.unique(rng.integers(1, 1 << 62, 50_000))
+    words = indexed.filter_words(spark.createDataFrame([(int(k),) for k in keys], "key long"), len(keys))
+    held = indexed.KeyFilter(words)
+    assert len(held.places(keys.astype(np.uint64))) == len(keys)
+    assert len(held.places(rng.integers(1, 1 << 62, 200_000).astype(np.uint64))) < 1000
+
+
+def test_rarest_keys_are_those_of_the_driver(spark):
+    from codesift.functions.factors import index_keys
+    from codesift.operators import indexed
+    patterns = [p for *_, p in _patterns() if p] + [r"os\.system\s*\(\s*cmd12\)", r"(?:password|passwd)\s*=\s*\"pw1\""]
+    df = spark.createDataFrame([(i, p) for i, p in enumerate(patterns)], "_id long, pattern string")
+    table = df.mapInArrow(indexed._gram_batches(1, False), "_id long, pattern string, _literal string, _grams array<struct<c:int,n:int,k:bigint>>")
+    factors = index_keys(patterns)
+    assert [r._literal for r in table.orderBy("_id").collect()] == [f.literal for f in factors]
+    got, users = {r._id: r._keys for r in indexed.rarest_keys(table).collect()}, {}
+    for r in table.collect():
+        for k in {g.k for g in r._grams}:
+            users[k] = users.get(k, 0) + 1
+    cost = lambda ks: (sum(users[k] for k in ks), len(ks))
+    assert {i: cost(ks) for i, ks in got.items()} == {i: cost([indexed.code_of(k) for k in f.keys]) for i, f in enumerate(factors) if f.keys}
