@@ -105,3 +105,47 @@ def test_rarest_keys_are_those_of_the_driver(spark):
             users[k] = users.get(k, 0) + 1
     cost = lambda ks: (sum(users[k] for k in ks), len(ks))
     assert {i: cost(ks) for i, ks in got.items()} == {i: cost([indexed.code_of(k) for k in f.keys]) for i, f in enumerate(factors) if f.keys}
+
+
+SOURCES = [("a.py", "import os\nclass A(B):\n    def f(self): x = 1; y = 2\n    def g(self):\n        def h(): pass\n        z = h\nx = 1; class_ = 2\n"),
+           ("b.py", "def f(): a = 1\nclass C: b = 1; c = 2\nclass D:\n    class E:\n        def k(self): import os\n"), ("bad.py", "except:"), ("e.py", ""),
+           ("c.js", "x = 1"), ("n.py", None)]
+
+
+def test_scopes_found_in_the_parse(spark, files_df):
+    from codesift.operators import symbols as SY
+    from codesift.plans.registry import QUERIES
+    files = files_df(SOURCES)
+    want, scoped = SY.with_scopes(SY.symbol_table(files)), SY.with_scopes(SY.symbol_table(files, scopes=True))
+    assert scoped.schema == want.schema
+    assert sorted(map(tuple, scoped.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    assert scoped.where("method").count() == 3
+    plan = QUERIES["symbols_files"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1  # that of the files
+
+
+def test_scopes_of_an_extractor_without_lines(spark, files_df, monkeypatch):
+    from codesift.operators import symbols as SY
+    monkeypatch.setitem(SY._ANALYZERS, ".odd", lambda path, content: [
+        (path, "class", "K", 2, None, [], None, None, [], [], 5), (path, "variable", "v", None, None), (path, "variable", "w", 3, None), (path, None, None, 9, None)])
+    files = files_df([("x.odd", "-"), ("y.odd", "-")])
+    assert sorted(map(tuple, SY.with_scopes(SY.symbol_table(files, scopes=True)).collect()), key=str) == sorted(
+        map(tuple, SY.with_scopes(SY.symbol_table(files)).collect()), key=str)
+
+
+def test_input_calls_without_other_renderings(spark, files_df, monkeypatch):
+    from codesift.operators import checks as K
+    from codesift.operators import symbols as SY
+    from codesift.plans import symbol_jobs as SJ
+    from codesift.sources import catalog as CAT
+    bad = ["print(-0x" + "f" * 5000 + ")", "f(" + "-" * 3000 + "x)", "f(" + "+".join("a" * 400) + ")", "f(\n" + "-" * 400 + "x)", "f(" + "~" * 70 + "x)"]
+    files = files_df(SOURCES + [(f"d{i}.py", f"x = input('q')\n{b}\ns.get(f(k))\nt.u.get(k)\nf(f'{{x!r:>{{w}}}}').post()\n") for i, b in enumerate(bad)] + [
+        ("g.py", "f(f'{a}')\ng.put(f'{a}' 'b')\nraw_input()")])
+    want = K.input_validation(SY.parse_calls(files)).collect()
+    got = K.input_validation(SY.calls_named(files, CAT.INPUT_CALL_NAMES, CAT.HTTP_ATTRIBUTE_CALLS)).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, want), key=str) and len(got) > 3
+    errors = [sorted((r.path, r.error) for r in d.where("error is not null").collect()) for d in (SY.parse_calls(files), SY.calls_named(files, ["input"], []))]
+    assert [p for p, _ in errors[0]] == [p for p, _ in errors[1]]
+    # the query renders what it reports
+    monkeypatch.setattr(SY, "parse_calls", None)
+    assert SJ.q_input_checks_files(spark, "/root/testdata/sf0.001").count() > 100
